@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moorage.functions import features as feat
 
@@ -42,7 +45,19 @@ def clean(
     checked = [c for c in labelled.columns if c != "uuid"]
     if required is not None:
         checked = sorted({*required, "status", "timestamp", "deployment_time"})
-    return labelled.na.drop("any", subset=checked)
+    return labelled.where(_complete(labelled, checked))
+
+
+def _complete(rows: DataFrame, columns: Sequence[str]) -> Column:
+    """No null and no NaN in ``columns``.
+
+    One test per column, unlike ``na.drop``: the scan can push each down, and the optimiser need
+    not reason about a single condition over all columns.
+    """
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    tests = [F.col(c).isNotNull() for c in columns]
+    tests += [~F.isnan(c) for c in columns if isinstance(types[c], (T.DoubleType, T.FloatType))]
+    return reduce(and_, tests)
 
 
 def derive(rows: DataFrame, *, complex_templates: Sequence[str] = ()) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moorage.settle import settle
+
 SEED = 42
 _PREFIX_BITS = 16
 _COPIES_PER_TASK = 1_000_000
@@ -28,12 +30,21 @@ def row_hash(columns: Sequence[str], seed: int = SEED) -> Column:
 
 
 def with_parts(
-    df: DataFrame, sizes: Sizes, *, stratum: str | None = None, seed: int = SEED, to: str = "part"
+    df: DataFrame,
+    sizes: Sizes,
+    *,
+    stratum: str | None = None,
+    seed: int = SEED,
+    to: str = "part",
+    stored: bool = False,
 ) -> DataFrame:
     """Add the part number of every row; part ``i`` of a stratum has exactly the size asked for.
 
-    ``stratum`` is a column of few values, such as a class label.
+    ``stratum`` is a column of few values, such as a class label.  Range ends found in one pass must
+    hold in the next, so the rows are settled first, unless they already are (``stored``).
     """
+    if not stored:
+        df = settle(df)
     key = F.col(stratum) if stratum else F.lit(0)
     keyed = df.withColumns({"_stratum": key, "_hash": row_hash(df.columns, seed)})
     prefix = F.shiftright("_hash", 64 - _PREFIX_BITS)
@@ -42,6 +53,7 @@ def with_parts(
         prefixes[r["_stratum"]][r["p"]] = r["count"]
     totals = {s: sum(counts.values()) for s, counts in prefixes.items()}
 
+    totals = totals or {0: 0}
     # Last position (1-based) of every part but the final one -> the prefix it falls into.
     ends, parts = [], sizes(totals)
     for s, counts in prefixes.items():
@@ -142,7 +154,9 @@ def _dealt_copies(rows: DataFrame, shared: dict, to: str, columns: list[str]) ->
     return copies.withColumn(to, F.col(to) + beyond).select(*columns, to)
 
 
-def exact_split(df: DataFrame, test_size: float, *, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def exact_split(
+    df: DataFrame, test_size: float, *, seed: int = SEED, stored: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(train, test) with ceil(rows * test_size) test rows."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
@@ -154,9 +168,7 @@ def exact_split(df: DataFrame, test_size: float, *, seed: int = SEED) -> tuple[D
             raise ValueError(f"{rows} rows cannot be split into a training and a test set")
         return {0: [test, rows - test]}
 
-    if df.isEmpty():
-        raise ValueError("0 rows cannot be split into a training and a test set")
-    parts = with_parts(df, sizes, seed=seed, to="_part")
+    parts = with_parts(df, sizes, seed=seed, to="_part", stored=stored)
     return parts.where("_part = 1").drop("_part"), parts.where("_part = 0").drop("_part")
 
 
@@ -174,7 +186,13 @@ def fold_sizes(totals: dict, folds: int) -> dict:
 
 
 def with_folds(
-    df: DataFrame, folds: int, *, label: str | None = None, seed: int = SEED, to: str = "fold"
+    df: DataFrame,
+    folds: int,
+    *,
+    label: str | None = None,
+    seed: int = SEED,
+    to: str = "fold",
+    stored: bool = False,
 ) -> DataFrame:
     """Add a fold number 0..folds-1; with ``label`` every fold gets its share of each class."""
 
@@ -183,4 +201,4 @@ def with_folds(
             raise ValueError(f"{sum(totals.values())} rows cannot be put into {folds} folds")
         return fold_sizes(totals, folds)
 
-    return with_parts(df, sizes, stratum=label, seed=seed, to=to)
+    return with_parts(df, sizes, stratum=label, seed=seed, to=to, stored=stored)

@@ -259,7 +259,7 @@ SELECT uuid, CASE
   WHEN version <> '1.1.0' THEN concat('unsupported version: ', version)
   WHEN len(bad) > 0 THEN concat('invalid keys: ', array_to_string(list_sort(bad), ',')) END AS reason
 FROM (SELECT uuid, json_extract_string(value, '$.msg_version') AS version,
-        list_filter(json_keys(value), k -> k NOT IN ('msg_version', {_ALLOWED})) AS bad
+        list_filter(json_keys(value), lambda k: k NOT IN ('msg_version', {_ALLOWED})) AS bad
       FROM topic_messages)""",
     ),
     "history_to_json": _with(

@@ -306,7 +306,7 @@ def registry_latest(spark, sf_dir):
 
 def _training_rows(spark, sf_dir, features, target):
     table = feature_table(deployments(spark, sf_dir), complex_templates=COMPLEX)
-    train, test = exact_split(settle(table.select("uuid", *features, target)), 0.2)
+    train, test = exact_split(table.select("uuid", *features, target), 0.2)
     return train.drop("uuid"), test.drop("uuid")
 
 
