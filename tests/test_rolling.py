@@ -1,0 +1,132 @@
+from collections import defaultdict
+from datetime import datetime, timedelta
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from moorage.operators.latest import latest_state, newest_state
+from moorage.operators.rolling import rolling_history, rolling_history_by_frame
+from moorage.schema import HISTORY_STATS
+
+SCHEMA = """id int, provider string, template_name string, timestamp timestamp_ntz, status int,
+deployment_time double, completion_time_s double"""
+DAY = timedelta(days=1)
+START = datetime(1969, 12, 1)
+
+
+def expected(rows, frame, include_current=True):
+    """The frame rule, restated row by row."""
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1:3]].append(r)
+    result = {}
+    for r in rows:
+        def inside(o):
+            upper = o[3] <= r[3] if include_current else o[3] < r[3]
+            return upper and o[3] > r[3] - frame
+
+        seen = [o for o in groups[r[1:3]] if inside(o)]
+        ok = [o[5] for o in seen if o[4] == 0]
+        ko = [o[5] for o in seen if o[4] == 1]
+        fast = [o[5] for o in seen if o[4] == 0 and o[6] > 0]
+        result[r[0]] = (
+            len(ko) / len(seen) if seen else 0.0,
+            sum(ok) / len(ok) if ok else 0.0,
+            sum(ko) / len(ko) if ko else 0.0,
+            max(ok, default=0.0),
+            min(fast, default=0.0),
+        )
+    return result
+
+
+def answers(df):
+    return {r["id"]: tuple(r[c] for c in HISTORY_STATS) for r in df.collect()}
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize(
+    "statuses, times, stat, value",
+    [
+        ([0, 1, 1], [1, 1, 1], "failure_percentage", 2 / 3),
+        ([0, 0, 0], [10, 20, 30], "avg_success_time", 20.0),
+        ([1, 1, 1], [5, 10, 15], "avg_failure_time", 10.0),
+        ([0, 0, 0], [10, 20, 30], "max_success_time", 30.0),
+        ([0, 0, 0], [5, 10, 15], "min_success_time", 5.0),
+    ],
+)
+def test_micro_tables(spark, statuses, times, stat, value):
+    rows = [(i, "p", "t", START + i * DAY, s, float(d), float(d)) for i, (s, d) in enumerate(zip(statuses, times))]
+    last = rolling_history(table(spark, rows)).where("id = 2").first()
+    assert last[stat] == pytest.approx(value)
+
+
+def test_frame_edges_peers_and_unfinished_successes(spark):
+    month, tick = timedelta(days=30), timedelta(microseconds=1)
+    rows = [
+        (0, "p", "t", START, 0, 100.0, 100.0),
+        (1, "p", "t", START + tick, 0, 8.0, 0.0),
+        (2, "p", "t", START + month, 1, 4.0, 0.0),
+        (3, "p", "t", START + month, 0, 2.0, 2.0),
+        (4, "p", "t", START + month + tick, 1, 6.0, 0.0),
+        (5, "q", "t", START + month, 1, 6.0, 0.0),
+    ]
+    df = table(spark, rows)
+    for grains in (1, 2, 30):
+        assert answers(rolling_history(df, grains=grains)) == expected(rows, month)
+    assert answers(rolling_history_by_frame(df)) == expected(rows, month)
+    assert answers(rolling_history(df, include_current=False)) == expected(rows, month, False)
+
+
+row = st.tuples(
+    st.sampled_from("pq"),
+    st.sampled_from("tu"),
+    st.integers(0, 40 * 24),
+    st.integers(0, 1),
+    st.sampled_from([1.0, 2.0, 4.5, 8.0]),
+    st.booleans(),
+)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(row, min_size=1, max_size=60), st.sampled_from([1, 5, 10]), st.booleans())
+def test_equals_the_frame_rule(spark, drawn, grains, include_current):
+    rows = [
+        (i, p, t, START + timedelta(hours=h), s, d, d if done else 0.0)
+        for i, (p, t, h, s, d, done) in enumerate(drawn)
+    ]
+    frame = timedelta(days=10)
+    df = rolling_history(table(spark, rows), frame=frame, grains=grains, include_current=include_current)
+    assert answers(df) == expected(rows, frame, include_current)
+
+
+def test_latest_state_is_the_newest_rolled_row(spark):
+    rows = [
+        (i, f"p{i % 3}", "t", START + timedelta(days=(i * 7) % 50, hours=i % 5), i % 2, float(i), float(i % 4))
+        for i in range(80)
+    ]
+    df = table(spark, rows)
+    direct = {tuple(r) for r in latest_state(df).collect()}
+    assert direct == {tuple(r) for r in newest_state(rolling_history_by_frame(df)).collect()}
+    assert len(direct) == 3
+
+
+def test_same_answer_for_any_partition_number(spark):
+    rows = [(i, "p", "t", START + timedelta(hours=i), i % 2, float(i), 1.0) for i in range(200)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        found = []
+        for n in ("1", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(answers(rolling_history(table(spark, rows), frame=3 * DAY, grains=3)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def test_indivisible_frame(spark):
+    with pytest.raises(ValueError, match="equal slices"):
+        rolling_history(table(spark, [(0, "p", "t", START, 0, 1.0, 1.0)]), frame=DAY, grains=7)
