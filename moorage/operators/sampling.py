@@ -145,7 +145,9 @@ def _dealt_copies(rows: DataFrame, shared: dict, to: str, columns: list[str]) ->
         .withColumn("_first", F.col("_chunk") * chunk)
         .withColumn("_last", F.least(F.col("_count"), F.col("_first") + chunk) - 1)
     )
-    copies = chunks.withColumn("_at", F.explode(F.sequence("_first", "_last")) + F.col("_from"))
+    copies = chunks.withColumn("_copy", F.explode(F.sequence("_first", "_last"))).withColumn(
+        "_at", F.col("_from") + F.col("_copy")
+    )
     beyond = F.lit(0)
     for (s, hash_value, before), ends in shared.items():
         here = F.col("_stratum").eqNullSafe(F.lit(s)) & (F.col("_hash") == F.lit(hash_value))

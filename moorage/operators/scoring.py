@@ -13,29 +13,20 @@ from moorage.functions.scores import duration_goodness
 from moorage.operators.requests import MESSAGE
 from moorage.schema import NO_PREDICTION, SUCCEEDED
 
-_MODEL_COLUMNS = ["features", "rawPrediction", "probability", "prediction"]
-
-
 def with_features(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Add the features ``rows`` lacks as NaN."""
     absent = {c: F.lit(float("nan")) for c in features if c not in rows.columns}
     return rows.withColumns(absent) if absent else rows
 
 
-def _without_model_columns(rows: DataFrame, before: Sequence[str]) -> DataFrame:
-    return rows.drop(*[c for c in rows.columns if c in _MODEL_COLUMNS and c not in before])
-
-
 def success_probability(rows: DataFrame, model: PipelineModel, *, to: str = "classification") -> DataFrame:
     """Probability of the 'succeeded' class from a fitted classifier pipeline."""
-    scored = model.transform(rows)
-    scored = scored.withColumn(to, vector_to_array("probability")[SUCCEEDED])
-    return _without_model_columns(scored, rows.columns)
+    probability = vector_to_array("probability")[SUCCEEDED]
+    return model.transform(rows).select(*rows.columns, probability.alias(to))
 
 
 def expected_duration(rows: DataFrame, model: PipelineModel, *, to: str = "expected_time") -> DataFrame:
-    scored = model.transform(rows)
-    return _without_model_columns(scored.withColumn(to, F.col("prediction")), rows.columns)
+    return model.transform(rows).select(*rows.columns, F.col("prediction").alias(to))
 
 
 def goodness(rows: DataFrame, *, expected: str = "expected_time", to: str = "regression") -> DataFrame:
