@@ -16,20 +16,22 @@ from moorage.schema import SUCCEEDED
 
 #: Rows of the background sample that stands for "feature unknown".
 BACKGROUND_ROWS = 50
-_MOST_FEATURES = 16
+_MOST_FEATURES = 20
 
 
-def importance(fitted: Fitted, train: DataFrame) -> DataFrame:
+def importance(fitted: Fitted, train: DataFrame, *, explained_rows: int | None = None) -> DataFrame:
     """(feature, importance), most important first.
 
     Trees report their own; linear models their coefficients (absolute for classifiers, signed
-    for regressors); any other model the mean absolute Shapley value over the training rows.
+    for regressors); any other model the mean absolute Shapley value over the training rows, or
+    over ``explained_rows`` of them, as every row costs 2**features times background answers.
     """
     if train.isEmpty():
         raise ValueError("importances need training rows")
     values = own_importance(fitted)
     if values is None:
-        return shapley_importance(fitted, train)
+        explained = train if explained_rows is None else first_by_hash(train, explained_rows)
+        return shapley_importance(fitted, explained)
     if len(values) != len(fitted.features):
         raise ValueError(f"{len(values)} importances for {len(fitted.features)} features")
     pairs = [(n, float(v)) for n, v in zip(fitted.features, values)]
@@ -48,10 +50,13 @@ def own_importance(fitted: Fitted) -> np.ndarray | None:
     return None
 
 
+def first_by_hash(df: DataFrame, rows: int) -> DataFrame:
+    """A fixed sample: the first ``rows`` rows by hash."""
+    return df.orderBy(row_hash(df.columns), *df.columns).limit(rows)
+
+
 def background(vectors: DataFrame, rows: int = BACKGROUND_ROWS) -> list[list[float]]:
-    """A fixed sample of feature vectors: the first ``rows`` by hash."""
-    order = row_hash(vectors.columns)
-    return [list(r["x"]) for r in vectors.orderBy(order, "x").limit(rows).collect()]
+    return [list(r["x"]) for r in first_by_hash(vectors, rows).collect()]
 
 
 def shapley_values(fitted: Fitted, train: DataFrame, *, background_rows: int = BACKGROUND_ROWS) -> DataFrame:

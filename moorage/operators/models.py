@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from moorage.operators import metrics
 from moorage.operators.sampling import SEED, with_folds
 from moorage.operators.scaling import fit_scaler, scaled_name, scaler_stage
+from moorage.settle import settle
 
 CLASSIFIER, REGRESSOR = "classifier", "regressor"
 
@@ -241,9 +242,9 @@ def fit(
     stages: list | None = None,
 ) -> Fitted:
     stages = stages or feature_stages(train, features, scale=scale)
-    stage = estimator(
-        name, params, kind=kind, label=label, rows=max(train.count(), 1), width=len(list(features))
-    )
+    # Only penalties that are spread over the rows need their number.
+    rows = max(train.count(), 1) if learner(name, kind).derived else 0
+    stage = estimator(name, params, kind=kind, label=label, rows=rows, width=len(list(features)))
     pipeline = Pipeline(stages=[*stages, stage]).fit(train)
     return Fitted(name, kind, dict(params), list(features), label, pipeline)
 
@@ -258,8 +259,12 @@ def predictions(fitted: Fitted, rows: DataFrame) -> DataFrame:
 
 
 def evaluate(fitted: Fitted, rows: DataFrame) -> dict[str, float | None]:
-    """Metric name -> value."""
-    scored = predictions(fitted, rows)
+    """Metric name -> value.
+
+    The predictions, two or three numbers a row, are settled: the model runs once per row however
+    many measures read them.
+    """
+    scored = settle(predictions(fitted, rows))
     if fitted.kind == REGRESSOR:
         return metrics.regression_metrics(scored).first().asDict()
     values = metrics.classification_metrics(scored).first().asDict()

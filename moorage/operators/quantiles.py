@@ -12,10 +12,12 @@ from moorage.functions.scores import number_or_null
 from moorage.settle import settle
 
 #: Above this many rows the built-in exact aggregate, which keeps all distinct values in one
-#: buffer, gives way to the bracketing search.
+#: buffer, gives way to the search.
 BUILT_IN_ROWS = 2_000_000
 #: Distinct values that may be put in order inside one task.
 IN_ONE_TASK = 1_000_000
+#: Rows the first guess of a quantile's surroundings is made from.
+GUESS_ROWS = 10_000_000
 _ACCURACY = 10_000
 _BINS = 4096
 
@@ -27,83 +29,116 @@ def exact_quantiles(
     *,
     built_in_rows: int = BUILT_IN_ROWS,
     in_one_task: int = IN_ONE_TASK,
+    guess_rows: int = GUESS_ROWS,
 ) -> dict[str, list[float | None]]:
     """Column -> its quantiles, null and NaN left out; None for a column without values.
 
     The result is one number per (column, probability), so it is returned, not left in a table.
+    ``df`` is read two or three times: settle it first when it is costly to compute.
     """
     columns, probabilities = list(columns), [float(p) for p in probabilities]
     if not columns:
         return {}
     numbers = df.select(*[number_or_null(F.col(c)).alias(c) for c in columns])
-    if numbers.limit(built_in_rows + 1).count() <= built_in_rows:
+    rows = numbers.count()
+    if rows <= built_in_rows:
         wanted = F.array(*[F.lit(p) for p in probabilities])
         row = numbers.agg(*[F.percentile(c, wanted).alias(c) for c in columns]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probabilities) for c in columns}
-    return _searched(numbers, columns, probabilities, in_one_task)
+    return _searched(numbers, columns, probabilities, in_one_task, min(1.0, guess_rows / rows))
 
 
-def _searched(numbers, columns, probabilities, in_one_task):
+def _searched(numbers, columns, probabilities, in_one_task, guess_share):
     """Quantiles from order statistics found by narrowing.
 
-    One pass of approximate quantiles gives a bracket around each wanted rank; the next pass
-    counts what lies below each bracket and keeps the counted distinct values inside it.  That
-    small table is narrowed further by histogram until it fits one task.
+    A sample gives a guess of the surroundings of each wanted rank.  The next pass counts, over all
+    rows, what lies below them and keeps the counted distinct values inside; where the guess turns
+    out to miss its rank, the pass is repeated over the column's whole range.  The counted values
+    are narrowed further by histogram until they fit one task.
     """
-    slack = 2.0 / _ACCURACY
-    around = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)]
-    row = numbers.agg(
+    slots, ranges, brackets = _guesses(numbers, columns, probabilities, guess_share)
+    found, pending = {}, brackets
+    while pending:
+        counted, below, inside = _counted(numbers, pending)
+        wanted = {}
+        for slot in pending:
+            _, _, rank, fraction = slots[slot]
+            first = rank - below.get(slot, 0)
+            ranks = [first, first + 1] if fraction > 0 else [first]
+            if first >= 0 and ranks[-1] < inside.get(slot, 0):
+                wanted[slot] = ranks
+        found.update(_ranked_values(counted, wanted, in_one_task))
+        pending = {s: (c, *ranges[c]) for s, (c, _, _) in pending.items() if s not in wanted}
+
+    result = {c: [None] * len(probabilities) for c in columns}
+    for slot, (c, i, _, fraction) in slots.items():
+        pair = found[slot]
+        result[c][i] = pair[0] if len(pair) == 1 else pair[0] + (pair[1] - pair[0]) * fraction
+    return result
+
+
+def _guesses(numbers, columns, probabilities, share):
+    """Slots (one per column and probability), column ranges, and where to look for each slot.
+
+    A slot is ``(column, index, 0-based rank, fraction towards the next rank)``.
+    """
+    facts = numbers.agg(
         *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[
-            F.percentile_approx(c, F.array(*[F.lit(p) for p in around]), F.lit(_ACCURACY)).alias(f"q_{c}")
-            for c in columns
-        ],
         *[F.min(c).alias(f"lo_{c}") for c in columns],
         *[F.max(c).alias(f"hi_{c}") for c in columns],
     ).first()
+    sample = numbers.sample(share, seed=1) if share < 1 else numbers
+    seen = max(1.0, share * max(facts[f"n_{c}"] for c in columns))
+    # Six deviations of a sampled share, and the error of the approximate aggregate.
+    slack = 2.0 / _ACCURACY + (3.0 / math.sqrt(seen) if share < 1 else 0.0)
+    around = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)]
+    near = F.array(*[F.lit(p) for p in around])
+    guess = sample.agg(*[F.percentile_approx(c, near, F.lit(_ACCURACY)).alias(c) for c in columns]).first()
 
-    # slot -> (column, lower, upper, 0-based rank below, fraction towards the next rank)
-    slots = {}
+    slots, ranges, brackets = {}, {}, {}
     for c in columns:
-        count = row[f"n_{c}"]
+        ranges[c] = (facts[f"lo_{c}"], facts[f"hi_{c}"])
         for i, p in enumerate(probabilities):
-            if count:
-                exact_rank = (count - 1) * p
-                low = row[f"q_{c}"][2 * i] if around[2 * i] > 0 else row[f"lo_{c}"]
-                high = row[f"q_{c}"][2 * i + 1] if around[2 * i + 1] < 1 else row[f"hi_{c}"]
-                rank = math.floor(exact_rank)
-                slots[(c, i)] = (f"{c}#{i}", low, high, rank, exact_rank - rank)
-
+            if not facts[f"n_{c}"]:
+                continue
+            place = (facts[f"n_{c}"] - 1) * p
+            slot, rank = f"{c}#{i}", math.floor(place)
+            slots[slot] = (c, i, rank, place - rank)
+            low, high = ranges[c]
+            if guess[c] is not None:
+                low = guess[c][2 * i] if around[2 * i] > 0 else low
+                high = guess[c][2 * i + 1] if around[2 * i + 1] < 1 else high
+            brackets[slot] = (c, low, high)
+    return slots, ranges, brackets
+
+
+def _counted(numbers, brackets):
+    """Counted distinct values inside the brackets; rows below and inside per slot."""
     entries = [
         F.when(
             F.col(c) <= F.lit(high),
             F.struct(F.lit(slot).alias("slot"), F.when(F.col(c) >= F.lit(low), F.col(c)).alias("value")),
         )
-        for (c, _), (slot, low, high, _, _) in slots.items()
+        for slot, (c, low, high) in brackets.items()
     ]
-    inside = F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+    entry = F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")
     # A null value stands for "below the bracket": one counted entry per slot and task.
     counted = settle(
-        numbers.select(inside.alias("e")).groupBy("e.slot", "e.value").agg(F.count(F.lit(1)).alias("n"))
+        numbers.select(entry).groupBy("e.slot", "e.value").agg(F.count(F.lit(1)).alias("n"))
     )
-    below = {r["slot"]: r["n"] for r in counted.where(F.col("value").isNull()).collect()}
-    values = counted.where(F.col("value").isNotNull())
-    wanted = {}
-    for slot, _, _, rank, fraction in slots.values():
-        first = rank - below.get(slot, 0)
-        wanted[slot] = [first, first + 1] if fraction > 0 else [first]
-    found = _ranked_values(values, wanted, in_one_task)
-
-    result = {c: [None] * len(probabilities) for c in columns}
-    for (c, i), (slot, _, _, _, fraction) in slots.items():
-        pair = found[slot]
-        result[c][i] = pair[0] if len(pair) == 1 else pair[0] + (pair[1] - pair[0]) * fraction
-    return result
+    sizes = counted.groupBy("slot", F.col("value").isNull().alias("outside")).agg(F.sum("n").alias("n"))
+    below, inside = {}, {}
+    for r in sizes.collect():
+        (below if r["outside"] else inside)[r["slot"]] = r["n"]
+    return counted.where(F.col("value").isNotNull()), below, inside
 
 
 def _ranked_values(values: DataFrame, wanted: dict[str, list[int]], in_one_task: int):
     """slot -> values at its 0-based ranks, from counted distinct values ``(slot, value, n)``."""
+    if not wanted:
+        return {}
     found = {slot: {} for slot in wanted}
+    values = values.where(F.col("slot").isin(list(wanted)))
     # Ranges still to be searched: (slot, lower, upper) -> (rows of the slot below it, ranks).
     extent = values.groupBy("slot").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     ranges = {(r["slot"], r["lo"], r["hi"]): (0, wanted[r["slot"]]) for r in extent.collect()}

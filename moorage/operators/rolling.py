@@ -24,6 +24,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import timedelta
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +37,6 @@ FRAME = timedelta(days=30)
 
 # Partials and how two of them are merged.
 _MERGE = {
-    "n_rows": F.sum,
     "n_failed": F.sum,
     "n_ok": F.sum,
     "time_failed": F.sum,
@@ -51,7 +52,6 @@ def partial_stats() -> dict[str, Column]:
     ok, failed = F.col("status") == SUCCEEDED, F.col("status") == FAILED
     spent = F.col("deployment_time")
     return {
-        "n_rows": F.count(F.lit(1)),
         "n_failed": F.count_if(failed),
         "n_ok": F.count_if(ok),
         "time_failed": F.sum(F.when(failed, spent)),
@@ -69,13 +69,12 @@ def aliased(columns: dict[str, Column]) -> list[Column]:
 def finished_stats(part=F.col) -> dict[str, Column]:
     """The five statistics from (merged) partials; nothing to average gives 0."""
 
-    def mean(total: str, count: str) -> Column:
-        return F.coalesce(F.try_divide(part(total), part(count).cast("double")), F.lit(0.0))
+    def mean(total: str, *counts: str) -> Column:
+        rows = reduce(add, [part(c) for c in counts])
+        return F.coalesce(F.try_divide(part(total).cast("double"), rows.cast("double")), F.lit(0.0))
 
     return {
-        "failure_percentage": F.coalesce(
-            F.try_divide(part("n_failed").cast("double"), part("n_rows").cast("double")), F.lit(0.0)
-        ),
+        "failure_percentage": mean("n_failed", "n_ok", "n_failed"),
         "avg_success_time": mean("time_ok", "n_ok"),
         "avg_failure_time": mean("time_failed", "n_failed"),
         "max_success_time": F.coalesce(part("slowest_ok"), F.lit(0.0)),
@@ -94,7 +93,7 @@ def _joined(name: str, parts: Sequence[str]) -> Column:
     merge = _MERGE[name]
     if merge is F.sum:
         # A part that saw no row adds nothing; min and max skip nulls by themselves.
-        return sum((F.coalesce(c, F.lit(0)) for c in cols[1:]), F.coalesce(cols[0], F.lit(0)))
+        return reduce(add, [F.coalesce(c, F.lit(0)) for c in cols])
     return (F.greatest if merge is F.max else F.least)(*cols)
 
 

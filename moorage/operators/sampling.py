@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from moorage.settle import settle
 
 SEED = 42
-_PREFIX_BITS = 16
+_PREFIX_BITS = 14
 _COPIES_PER_TASK = 1_000_000
 
 #: Row count per stratum -> sizes of the parts per stratum.

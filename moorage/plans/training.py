@@ -43,6 +43,7 @@ class TrainSpec:
     scale_inside_fold: bool = False
     frame: timedelta = FRAME
     seed: int = SEED
+    explained_rows: int | None = None
 
     def __post_init__(self):
         if not 0 < self.test_size < 1:
@@ -110,6 +111,6 @@ def train(spark: SparkSession, history: DataFrame, spec: TrainSpec, registry: Re
                 scaling=spec.scale,
             ),
             metrics=models.train_and_test_metrics(fitted, learn, check),
-            importances=importance(fitted, learn),
+            importances=importance(fitted, learn, explained_rows=spec.explained_rows),
         )
     return versions

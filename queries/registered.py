@@ -230,7 +230,7 @@ def history_from_messages(spark, sf_dir):
 
 
 def quantile_bounds(spark, sf_dir):
-    quantiles = exact_quantiles(derived(spark, sf_dir), FENCED, [0.25, 0.75])
+    quantiles = exact_quantiles(settle(derived(spark, sf_dir).select(*FENCED)), FENCED, [0.25, 0.75])
     fences = [
         (c, round(q1, 6), round(q3, 6), round(q1 - 1.5 * (q3 - q1), 6), round(q3 + 1.5 * (q3 - q1), 6))
         for c, (q1, q3) in quantiles.items()
@@ -241,12 +241,12 @@ def quantile_bounds(spark, sf_dir):
 
 
 def iqr_filter_query(spark, sf_dir):
-    rows = derived(spark, sf_dir)
+    rows = settle(derived(spark, sf_dir).select("uuid", *FENCED))
     return within_fences(rows, iqr_fences(rows, FENCED)).select("uuid")
 
 
 def robust_scale_query(spark, sf_dir):
-    rows = derived(spark, sf_dir).select("uuid", *SCALED)
+    rows = settle(derived(spark, sf_dir).select("uuid", *SCALED))
     scaled = robust_scale(rows, fit_scaler(rows, SCALED))
     return scaled.select("uuid", *[F.round(c, 6).alias(c) for c in SCALED])
 

@@ -46,6 +46,14 @@ def test_searched_quantiles_are_exact(spark, kind, in_one_task):
         assert built_in[name] == pytest.approx(searched[name], rel=1e-12)
 
 
+@pytest.mark.parametrize("guess_rows", [1, 40])
+def test_a_wrong_guess_is_noticed(spark, guess_rows):
+    values = draws("even")
+    df = frame(spark, a=values)
+    found = exact_quantiles(df, ["a"], PROBABILITIES, built_in_rows=0, in_one_task=100, guess_rows=guess_rows)
+    assert found["a"] == pytest.approx(np.quantile(values, PROBABILITIES).tolist(), rel=1e-12)
+
+
 @pytest.mark.parametrize("built_in_rows", [0, 1000])
 def test_quantiles_skip_null_and_nan(spark, built_in_rows):
     df = spark.createDataFrame([(1.0, None), (float("nan"), None), (None, None), (3.0, None)], "a double, b double")
