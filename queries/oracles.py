@@ -165,7 +165,7 @@ SELECT '{name}' AS class, {_share(hit, f"({hit} + {wrong})")} AS precision,
   {_share(f"2 * {hit}", f"(2 * {hit} + {wrong} + {missed})")} AS f1, {hit} + {missed} AS support FROM c"""
 
 
-_ANSWERED_ORDER = "l_linenumber, l_partkey, l_suppkey"
+_ANSWERED_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
 
 ORACLES: dict[str, str] = {
     "clean_history": _with(

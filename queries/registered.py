@@ -208,10 +208,11 @@ def skip_processed(spark, sf_dir):
 def skip_processed_repeats(spark, sf_dir):
     """Many requests per uuid: the first ones are cancelled, as many as there are answers."""
     answers = view(spark, sf_dir, "processed")
-    place = ["l_linenumber", "l_partkey", "l_suppkey"]
+    place = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
     requests = spark.table("lineitem").select("l_orderkey", *place)
     requests = requests.withColumn("uuid", F.col("l_orderkey").cast("string"))
-    return skip_answered(requests, answers, order=place, block=2).drop("uuid")
+    left = skip_answered(requests, answers, order=place, block=2)
+    return left.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def validate_messages(spark, sf_dir):

@@ -70,7 +70,8 @@ FROM lineitem l {_JOINS}
 SELECT o.o_orderkey AS msg_id, cast(o.o_orderkey AS {{S}}) AS uuid,
   {_TEMPLATES} AS template_name,
   row_number() OVER (PARTITION BY o.o_orderkey
-                     ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS pos,
+                     ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice,
+                       l.l_shipdate, l.l_quantity, l.l_discount, l.l_tax) AS pos,
   n.n_name AS provider_name, r.r_name AS region_name,
   {_RESOURCES}
 FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey {_JOINS}
