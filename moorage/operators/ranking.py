@@ -80,13 +80,15 @@ def fold_messages(ranked: DataFrame, *, message: str = MESSAGE) -> DataFrame:
     return folded.select(message, "uuid", F.col("_entries.entry").alias("ranked_providers"))
 
 
-def unscored(candidates: DataFrame) -> DataFrame:
-    """The only candidate of a message: passed on with the 'no prediction' scores, rank 1."""
-    return candidates.withColumns(
+def pass_lone(ranked: DataFrame) -> DataFrame:
+    """The only candidate of a message (``route`` 'single') passes with 'no prediction' scores."""
+    lone = F.col("route") == "single"
+    none = F.lit(NO_PREDICTION)
+    return ranked.withColumns(
         {
-            "classification": F.lit(NO_PREDICTION),
-            "regression": F.lit(NO_PREDICTION),
-            "kept": F.lit(True),
-            "rank": F.lit(1),
+            "classification": F.when(lone, none).otherwise(F.col("classification")),
+            "regression": F.when(lone, none).otherwise(F.col("regression")),
+            "kept": lone | F.col("kept"),
+            "rank": F.when(lone, F.lit(1)).otherwise(F.col("rank")),
         }
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from moorage.operators.cleaning import clean, derive
 from moorage.operators.enrich import enrich
 from moorage.operators.latest import latest_state
-from moorage.operators.ranking import RankSpec, fold_messages, unscored, with_rank
+from moorage.operators.ranking import RankSpec, fold_messages, pass_lone, with_rank
 from moorage.operators.registry import Registry
 from moorage.operators.requests import MESSAGE, describe, merge_repeats, route, unfold
 from moorage.operators.rolling import FRAME
@@ -84,24 +84,16 @@ def candidates(messages: DataFrame, *, complex_templates: Sequence[str] = ()) ->
     return merge_repeats(describe(unfold(messages), complex_templates=complex_templates))
 
 
-def scored_candidates(described: DataFrame, state: DataFrame, scorer: Scorer = history_scores) -> DataFrame:
-    return scorer(enrich(described, state))
-
-
 def rank_messages(
     messages: DataFrame, state: DataFrame, *, job: RankJob = RankJob(), scorer: Scorer = history_scores
 ) -> DataFrame:
     """(msg_id, uuid, ranked_providers) for every message with a candidate.
 
     Several candidates are scored and ordered; a single one passes with -1 scores; a message
-    without candidates gets no answer.
+    without candidates gets no answer.  Single ones take the same way, so that every message is
+    read and parsed once, and their scores are replaced at the end.
     """
-    routed = route(messages)
-    several = routed.where(F.col("route") == "scored").drop("route")
-    single = routed.where(F.col("route") == "single").drop("route")
-    scored = scored_candidates(candidates(several, complex_templates=job.complex_templates), state, scorer)
-    columns = [MESSAGE, "uuid", "pos", "request", "resource_exactness"]
-    columns += ["classification", "regression", "kept", "rank"]
-    ranked = with_rank(scored, job.spec).select(*columns)
-    passed = unscored(describe(unfold(single), complex_templates=job.complex_templates)).select(*columns)
-    return fold_messages(ranked).unionByName(fold_messages(passed))
+    asked = route(messages).where(F.col("route") != "none")
+    described = candidates(asked, complex_templates=job.complex_templates)
+    ranked = pass_lone(with_rank(scorer(enrich(described, state)), job.spec))
+    return fold_messages(ranked)

@@ -253,7 +253,8 @@ def robust_scale_query(spark, sf_dir):
 
 
 def split_sizes(spark, sf_dir):
-    train, test = exact_split(derived(spark, sf_dir), 0.2)
+    rows = derived(spark, sf_dir).select("uuid", "timestamp", "status", "deployment_time", *RESOURCE_DIFFS)
+    train, test = exact_split(rows, 0.2)
     counted = [
         rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
         for name, rows in (("test", test), ("train", train))
