@@ -2,4 +2,61 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from moorage.llm.adaptive_rules import RULES, SKETCH_BITS
+
+
+def _quality_rules() -> str:
+    high = ",\n".join(
+        f"""max(CASE WHEN rule = '{n}' THEN q3 + greatest({f.times} * (q3 - q1), {f.least}) END) AS {n}_high,
+        max(CASE WHEN rule = '{n}' THEN {f"q1 - greatest({f.times} * (q3 - q1), {f.least})" if f.both else "0"} END) AS {n}_low"""
+        for n, f in RULES.items()
+    )
+    within = " AND ".join(f"coalesce(v.{n} BETWEEN b.{n}_low AND b.{n}_high, false)" for n in RULES)
+    values = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS rule, {n} AS value FROM v WHERE {n} IS NOT NULL" for n in RULES)
+    return rf"""
+    WITH d AS (
+        SELECT doc_id, lang, source, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), lines AS (
+        SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+    ), line_counts AS (
+        SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id
+    ), grams AS (
+        SELECT doc_id, i, list_slice(words, i, i + 7) AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM d WHERE len(words) >= 8)
+    ), twice AS (
+        SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM grams) WHERE c > 1
+    ), repeats AS (
+        SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(8) AS r(k) GROUP BY doc_id
+    ), facts AS (
+        SELECT d.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+               CAST(len(array_to_string(words, '')) AS BIGINT) AS word_chars,
+               CAST(len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+               CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+               CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines
+        FROM d LEFT JOIN line_counts USING (doc_id) LEFT JOIN repeats USING (doc_id)
+    ), v AS (
+        SELECT *, CASE WHEN word_chars > 0 THEN (1000000 * n_symbols) // word_chars END AS symbol_share,
+               CASE WHEN n_lines > 0 THEN (1000000 * n_dup_lines) // n_lines END AS dup_line_share,
+               CASE WHEN n_words > 0 THEN (1000000 * n_repeat_words) // n_words END AS repeat_share,
+               CASE WHEN n_words > 0 THEN (1000000 * word_chars) // n_words END AS word_length
+        FROM facts
+    ), vals AS ({values}
+    ), buckets AS (
+        SELECT lang, source, rule, (value >> s) << s AS bucket, count(*) AS n
+        FROM (SELECT *, greatest(0, len(bin(value)) - {SKETCH_BITS}) AS s FROM vals) GROUP BY ALL
+    ), ranked AS (
+        SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM buckets
+    ), q AS (
+        SELECT lang, source, rule, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3
+        FROM ranked GROUP BY ALL
+    ), b AS (
+        SELECT lang, source, {high} FROM q GROUP BY ALL
+    )
+    SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {within} AS kept
+    FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v) AS v
+    LEFT JOIN b ON v.lang IS NOT DISTINCT FROM b.lang AND v.source IS NOT DISTINCT FROM b.source
+    """
+
+
+ORACLES: dict[str, str] = {"op5_adaptive_rules": _quality_rules()}

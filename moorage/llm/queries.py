@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moorage.llm import digest_counts, packing, repair
+from moorage.llm import adaptive_rules, digest_counts, packing, repair
 from moorage.llm.base import documents, fresh_folder
 from moorage.llm.tokens import TokenizerFile
 
@@ -24,6 +24,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
 
 
+def op5_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_rules.quality_rules(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = TokenizerFile.read(public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack_documents(documents(spark, sf_dir), tokenizer, capacity=CONTEXT, end_id=0)
@@ -38,6 +42,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
+    "op5_adaptive_rules": op5_adaptive_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_ids": op10_token_ids,
 }
