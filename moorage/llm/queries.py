@@ -8,14 +8,49 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moorage.llm import adaptive_rules, digest_counts, packing, repair
-from moorage.llm.base import documents, fresh_folder
+from moorage.llm import adaptive_rules, digest_counts, language_mix, packing, pu_quality, repair, toxic_segments
+from moorage.llm.base import documents, fold, fresh_folder, table
 from moorage.llm.tokens import TokenizerFile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Tokens a document may have before it counts as long, and tokens of a packed sequence.
 CONTEXT = 2048
+#: Scores from which a text counts as good, and as toxic.
+QUALITY_CUT, TOXIC_CUT = 0.7, 0.5
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> pu_quality.PuModel:
+    """Trusted positives are rows labelled 1 outside the held-out fold; everything else is unlabelled."""
+    positives = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (fold(F.col("doc_id"), 4) != 2))
+    return pu_quality.train(docs, positives.select("doc_id"))
+
+
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = pu_quality.score(docs, quality_model(spark, docs, sf_dir))
+    held_out = (fold(F.col("doc_id"), 4) == 2).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
+def toxic_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxic_segments.ToxicModel:
+    """Labels outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    return toxic_segments.train(docs, labels.select("doc_id", "toxic"))
+
+
+def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = toxic_segments.score(docs, toxic_model(spark, docs, sf_dir))
+    held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"))
+
+
+def op4_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = language_mix.train(docs.where(~held_out))
+    return language_mix.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +76,9 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pu_quality": op1_pu_quality,
+    "op3_toxic_segments": op3_toxic_segments,
+    "op4_language_mix": op4_language_mix,
     "op2_token_counts": op2_token_counts,
     "op5_adaptive_rules": op5_adaptive_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
