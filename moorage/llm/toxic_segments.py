@@ -39,8 +39,8 @@ def _levels(word: str) -> list[str]:
 class ToxicModel:
     counts: dict[str, tuple[int, int]]  # key -> toxic and clean documents that hold it
     base: float  # share of toxic documents over all (document, token) pairs
-    strength: float = 5.0
-    drift: float = 0.5
+    strength: float = 20.0
+    drift: float = 1.0
     decay: float = 1.0  # lambda
     density: float = 1.0  # K
     intercept: float = 0.0
@@ -63,18 +63,32 @@ class ToxicModel:
         return known
 
     def segments(self, text: str) -> tuple[int, list[tuple[float, int, int]]]:
-        """Number of tokens, and (score, first, last token) of every maximal scoring segment."""
-        scores = list(map(self.token_score, TOKEN.findall(text.lower())))
+        """Number of tokens, and (score, first, last token) of every maximal scoring segment.
+
+        Odds come from documents that hold a token, so its k-th occurrence in a text adds a k-th of them: one
+        word repeated over and over is no passage.
+        """
+        words = TOKEN.findall(text.lower())
+        scores = list(map(self.token_score, words))
+        times: Counter = Counter()
+        for place, score in enumerate(scores):
+            if score > 0:
+                times[words[place]] += 1
+                scores[place] = (score + self.drift) / times[words[place]] - self.drift
         return len(scores), maximal_segments(scores)
 
     def evidence(self, text: str | None) -> float:
-        """Sum of lambda S - ln(K n) over segments where it is above zero, that is, E-value below one."""
+        """ln(1 + x) of the text's extreme value x = lambda S - ln(K n), S its best segment's score; 0 for x < 0.
+
+        exp(-x) is the number of segments so good that clean text of this length has by chance. The best passage
+        decides: many weak segments are what long clean texts have.
+        """
         n, found = self.segments(text or "")
         return self.weigh(n, [s for s, _, _ in found])
 
     def weigh(self, n: int, scores: list[float]) -> float:
         chance = np.log(max(1.0, self.density * n))
-        return float(sum(max(0.0, self.decay * s - chance) for s in scores))
+        return float(np.log1p(max(0.0, self.decay * max(scores, default=0.0) - chance)))
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.intercept + self.slope * self.evidence(text), -500, 500))))
@@ -144,14 +158,23 @@ def _root(scores: np.ndarray, weights: np.ndarray) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton's method, with a small ridge so that separable labels have a fit."""
+    """Intercept and slope by Newton's method with halved steps; a small ridge gives separable labels a fit."""
     design = np.stack([np.ones_like(x), x], axis=1)
     theta, ridge = np.zeros(2), np.array([1e-3, 1e-2])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ theta, -50, 50)))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge), design.T @ (y - p) - ridge * theta)
-        theta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+
+    def loss(t: np.ndarray) -> float:
+        f = design @ t
+        return float((np.logaddexp(0, f) - y * f).sum() + ridge @ t**2 / 2)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ theta, -500, 500)))
+        down = design.T @ (y - p) - ridge * theta
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge), down)
+        size = 1.0
+        while size > 1e-6 and loss(theta + size * step) > loss(theta):
+            size /= 2
+        theta = theta + size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return float(theta[0]), float(theta[1])
 
