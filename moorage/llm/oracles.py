@@ -59,4 +59,27 @@ def _quality_rules() -> str:
     """
 
 
-ORACLES: dict[str, str] = {"op5_adaptive_rules": _quality_rules()}
+#: Brute force: every pair of documents that shares a shingle is compared on its full sets.
+_NEAR_DUPLICATES = r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 2), ' ') AS shingle
+        FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 1))) AS i FROM d WHERE len(words) > 0)
+    ), n AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id
+    ), shared AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+    ), links AS (
+        SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n_shingles + b.n_shingles - c)
+    ), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+    ), reach(doc_id, seen) AS (
+        SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.y FROM reach r JOIN both_ways l ON l.x = r.seen
+    ), least AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, CAST(coalesce(n_shingles, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_bbit_minhash": _NEAR_DUPLICATES,
+    "op5_adaptive_rules": _quality_rules()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moorage.llm import adaptive_rules, digest_counts, language_mix, packing, pu_quality, repair, toxic_segments
+from moorage.llm import adaptive_rules, bbit_minhash, digest_counts, language_mix, packing, pu_quality, repair, toxic_segments
 from moorage.llm.base import documents, fold, fresh_folder, table
 from moorage.llm.tokens import TokenizerFile
 
@@ -63,6 +63,11 @@ def op5_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = bbit_minhash.MinHashSpec(words=3, numerator=85, denominator=100)
+    return bbit_minhash.near_duplicates(documents(spark, sf_dir), spec)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = TokenizerFile.read(public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack_documents(documents(spark, sf_dir), tokenizer, capacity=CONTEXT, end_id=0)
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op4_language_mix": op4_language_mix,
     "op2_token_counts": op2_token_counts,
     "op5_adaptive_rules": op5_adaptive_rules,
+    "op6_bbit_minhash": op6_bbit_minhash,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_ids": op10_token_ids,
 }
