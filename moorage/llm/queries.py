@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moorage.llm import adaptive_rules, bbit_minhash, context_tree, digest_counts, language_mix, packing, pu_quality, repair, toxic_segments
+from moorage.llm import adaptive_rules, bbit_minhash, context_tree, decontaminate, digest_counts, language_mix, packing, pu_quality, repair, toxic_segments
 from moorage.llm.base import documents, fold, fresh_folder, table
 from moorage.llm.tokens import TokenizerFile
 
@@ -68,6 +68,10 @@ def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.near_duplicates(documents(spark, sf_dir), spec)
 
 
+def op7_benchmark_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", (fold(F.col("doc_id"), 7) == 2).alias("held_out"))
     return context_tree.score_documents(docs)
@@ -92,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op5_adaptive_rules": op5_adaptive_rules,
     "op6_bbit_minhash": op6_bbit_minhash,
+    "op7_benchmark_search": op7_benchmark_search,
     "op8_context_tree": op8_context_tree,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_ids": op10_token_ids,
