@@ -133,7 +133,7 @@ def estimates(own: np.ndarray, others: np.ndarray, count: int, bits: int) -> np.
 
 
 def near_duplicates(docs: DataFrame, spec: MinHashSpec, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (least id reachable), kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (least id reachable), kept, text_hash.
 
     ``kept`` marks the rows whose id is their component's. Texts without words have no shingles and link with
     nothing; each is its own component. Rows with equal ids are one document each for the links, and share the id;
@@ -157,14 +157,27 @@ def near_duplicates(docs: DataFrame, spec: MinHashSpec, *, doc_id: str = "doc_id
     links = settle(_confirmed(rows_in.join(settle(wanted), same).dropDuplicates(["digest"]), spec))
     linked = components(links)
 
-    ids = signed.select("doc_id", "n_shingles", "digest")
+    ids = signed.select("doc_id", "text_hash", "n_shingles", "digest")
     least = firsts.select("digest", F.col("doc_id").alias("rep"))
     class_of = settle(least.join(linked, F.col("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("component", "digest").alias("component")))
     roots = class_of.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "of_component")
     named = settle(class_of.join(roots, F.col("component") == F.col("of_component")).select(F.col("digest").alias("of_digest"), "component_id"))
     joined = ids.join(named, F.col("digest") == F.col("of_digest"), "left")
     component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"), "text_hash")
+
+
+def first_of_each(docs: DataFrame, spec: MinHashSpec) -> DataFrame:
+    """One row of ``docs`` (doc_id, text, ...) for each component, all columns as they are.
+
+    It is a row with the component's least id; of several such rows the one with the least hash of its text,
+    and of equal rows one. Rows without words are components by their ids.
+    """
+    found = near_duplicates(docs, spec).where("kept").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    wanted = settle(found.select(F.col("first.doc_id").alias("id of the first"), F.col("first.text_hash").alias("hash of the first")))
+    hashed = docs.withColumn("hash of the text", F.xxhash64("text"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("`id of the first`")) & (F.col("`hash of the text`") == F.col("`hash of the first`"))
+    return hashed.join(wanted, same, "left_semi").dropDuplicates(["doc_id", "hash of the text"]).select(*(f"`{c}`" for c in docs.columns))
 
 
 def _signatures(docs: DataFrame, spec: MinHashSpec) -> DataFrame:

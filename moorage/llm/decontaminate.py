@@ -13,12 +13,16 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from moorage.llm.base import map_rows
 
@@ -214,9 +218,32 @@ def find_contamination(docs: DataFrame, items: DataFrame, spec: SearchSpec = Sea
     index is broadcast, so what is broadcast is bounded; document frequencies are those of all items. Null and empty
     texts and items match nothing; equal rows match alike, each on its own; a null id stays null.
     """
-    spark = docs.sparkSession
     rows_in = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    known = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
+    known = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    found = [_search_all(rows_in, index) for index in indexes(known, spec)]
+    return reduce(DataFrame.union, found)
+
+
+def clean(docs: DataFrame, items: DataFrame, spec: SearchSpec = SearchSpec(), *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in whose text no item is found, all columns as they are. No shuffle."""
+    known = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    for index in indexes(known, spec):
+        docs = docs.where(~_holder(docs.sparkSession.sparkContext.broadcast(index))(F.col(text)))
+    return docs
+
+
+def _holder(sent: Broadcast) -> Callable[[Column], Column]:
+    @pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(sent.value.matches(t)) for t in texts], dtype=bool)
+
+    return holds
+
+
+def indexes(items: DataFrame, spec: SearchSpec) -> list[ItemIndex]:
+    """The items (item_id, text) in indexes of about ``index_items``, one at least; null texts are left out."""
+    spark = items.sparkSession
+    known = items.select(F.col("item_id").cast("bigint"), "text").where("text IS NOT NULL")
 
     def facts(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -225,19 +252,18 @@ def find_contamination(docs: DataFrame, items: DataFrame, spec: SearchSpec = Sea
                 terms = list(set(words))
                 yield {"term": [*terms, b""], "df": [*[1] * len(terms), len(words)]}
 
-    counted = map_rows(known, facts, "term binary, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = map_rows(known.select("text"), facts, "term binary, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
     n_items = known.count()
     parts = max(1, -(-n_items // spec.index_items))
-    out = None
+    out = []
     for part in range(parts):
         own = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         rows = sorted((r.item_id is None, r.item_id or 0, r.text) for r in own.collect())
         terms = {t for _, _, content in rows for t in words_of(content)} | {b""}
         asked = spark.createDataFrame([(bytearray(t),) for t in sorted(terms)], "wanted binary")
         frequencies = Counter({bytes(r.term): r.df for r in counted.join(asked, F.col("term") == F.col("wanted"), "left_semi").collect()})
-        index = ItemIndex([(None if null else key, content) for null, key, content in rows], spec, frequencies, n_items, max(1.0, frequencies[b""] / max(1, n_items)))
-        found = _search_all(rows_in, index)
-        out = found if out is None else out.union(found)
+        keyed = [(None if null else key, content) for null, key, content in rows]
+        out.append(ItemIndex(keyed, spec, frequencies, n_items, max(1.0, frequencies[b""] / max(1, n_items))))
     return out
 
 

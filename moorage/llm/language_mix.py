@@ -133,7 +133,8 @@ def train(docs: DataFrame, *, smoothing: float = 0.1, text: str = "text", lang:
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (its proportion) and ``mixture`` (language -> proportion).
+    """``docs`` with ``lang_pred``, ``score`` (its proportion) and ``mixture`` (language -> proportion), in
+    place of columns of those names.
 
     From the whole text alone; a null text or one without a letter has ``und`` and 0. No shuffle.
     """
@@ -145,5 +146,6 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> Da
         maps = [{name: float(s) for name, s in zip(sent.value.languages, row) if s > 1e-9} for row in shares]
         return pd.DataFrame({"lang_pred": best, "score": top, "mixture": maps})
 
-    out = docs.withColumn("_mixed", mixed(F.col(text)))
-    return out.select(*docs.columns, "_mixed.lang_pred", "_mixed.score", "_mixed.mixture")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score", "mixture")]
+    out = docs.select(*kept, mixed(F.col(text)).alias("found of this operator"))
+    return out.select(*kept, *(F.col(f"`found of this operator`.{c}") for c in ("lang_pred", "score", "mixture")))

@@ -13,11 +13,12 @@ so there the unlabelled share divided by the positive share is the prior.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -79,7 +80,7 @@ class PuModel:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+    return 1 / (1 + np.exp(-np.clip(x, -80, 80)))
 
 
 def _descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int, decay: float) -> tuple[np.ndarray, float]:
@@ -174,13 +175,18 @@ def train(docs: DataFrame, positives: DataFrame, *, most_positive: int = 6_000,
     return fit(matrix(True), matrix(False))
 
 
-def score(docs: DataFrame, model: PuModel, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``, from the whole text alone; null text is empty. No shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: PuModel) -> Callable[[Column], Column]:
+    """The score of a column of whole texts; null text is empty."""
+    sent = spark.sparkContext.broadcast(model)
 
     @pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         rows = np.stack([features(t) for t in texts]) if len(texts) else np.zeros((0, N_FEATURES), np.float32)
-        return pd.Series(sent.value.score(rows))
+        return pd.Series(sent.value.score(rows), dtype=float)
+
+    return scored
 
-    return docs.withColumn("score", scored(F.col(text)))
+
+def score(docs: DataFrame, model: PuModel, *, text: str = "text") -> DataFrame:
+    """``docs`` with ``score`` (in place of a column of that name), from the whole text alone. No shuffle."""
+    return docs.withColumn("score", scorer(docs.sparkSession, model)(F.col(text)))

@@ -65,7 +65,7 @@ def op5_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bbit_minhash.MinHashSpec(words=3, numerator=85, denominator=100)
-    return bbit_minhash.near_duplicates(documents(spark, sf_dir), spec)
+    return bbit_minhash.near_duplicates(documents(spark, sf_dir), spec).drop("text_hash")
 
 
 def op7_benchmark_search(spark: SparkSession, sf_dir: str) -> DataFrame:

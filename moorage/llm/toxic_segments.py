@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -271,12 +271,17 @@ def _passages(text: str, model: ToxicModel, most: float) -> Iterable[tuple[int,
             yield start, stop, text[start:stop], score, expected
 
 
-def score(docs: DataFrame, model: ToxicModel, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``, from the whole text alone; null text is empty. No shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: ToxicModel) -> Callable[[Column], Column]:
+    """The score of a column of whole texts; null text is empty."""
+    sent = spark.sparkContext.broadcast(model)
 
     @pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series([sent.value.score(t) for t in texts], dtype=float)
 
-    return docs.withColumn("score", scored(F.col(text)))
+    return scored
+
+
+def score(docs: DataFrame, model: ToxicModel, *, text: str = "text") -> DataFrame:
+    """``docs`` with ``score`` (in place of a column of that name), from the whole text alone. No shuffle."""
+    return docs.withColumn("score", scorer(docs.sparkSession, model)(F.col(text)))
