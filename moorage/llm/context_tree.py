@@ -33,7 +33,7 @@ from moorage.llm.base import map_rows, settle
 from moorage.llm.bbit_minhash import tokens
 
 #: Bytes of text in one chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 8_000_000
 _END = 0x0A
 
 
@@ -340,21 +340,18 @@ def score_documents(docs: DataFrame, *, depth: int = 6, contexts: int = 1 << 17)
                 yield {"bucket": [bucket], "counts": [_squeeze(counts.tobytes())], "logs": [_squeeze(sent.value.log10_words(words).astype("<f8").tobytes())]}
 
     values = settle(map_rows(types, valued, "bucket int, counts binary, logs binary"))
-    asked = typed.where("kind = 1").select(F.col("bucket").alias("of_bucket"), "chunk", F.col("a").alias("numbers"))
+    asked = typed.where("kind = 1").select("bucket", "chunk", F.col("a").alias("numbers"))
+    names = ["chunk", "bucket", "counts", "logs"]
 
-    def answer(batches: Iterator[dict]) -> Iterator[dict]:
-        last, counts, logs = None, None, None
-        for batch in batches:
-            out = {"chunk": batch["chunk"], "bucket": batch["bucket"], "counts": [], "logs": []}
-            for bucket, c, p, numbers in zip(batch["bucket"], batch["counts"], batch["logs"], batch["numbers"]):
-                if bucket != last:
-                    last, counts, logs = bucket, np.frombuffer(_expand(c), "<i8"), np.frombuffer(_expand(p), "<f8")
-                own = np.frombuffer(_expand(numbers), "<u4")
-                out["counts"].append(_squeeze(counts[own].tobytes()))
-                out["logs"].append(_squeeze(logs[own].astype("<f4").tobytes()))
-            yield out
-
-    answers = map_rows(asked.join(values, F.col("of_bucket") == F.col("bucket")).select("chunk", "bucket", "counts", "logs", "numbers"), answer, "chunk bigint, bucket int, counts binary, logs binary")
+    def answer(wanted: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        counts, logs = np.frombuffer(_expand(known["counts"].iat[0]), "<i8"), np.frombuffer(_expand(known["logs"].iat[0]), "<f8")
+        out = []
+        for bucket, chunk, numbers in zip(wanted["bucket"], wanted["chunk"], wanted["numbers"]):
+            own = np.frombuffer(_expand(numbers), "<u4")
+            out.append((chunk, bucket, _squeeze(counts[own].tobytes()), _squeeze(logs[own].astype("<f4").tobytes())))
+        return pd.DataFrame(out, columns=names)
+
+    answers = asked.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInPandas(answer, "chunk bigint, bucket int, counts binary, logs binary")
     documents = chunks.where("kind = 1").select("chunk", "doc_id", "held_out", "n_words", "a", "b")
     norm, end_known, end_score = math.log10(n + v + 1), n_ends, tree.log10_end()
 
