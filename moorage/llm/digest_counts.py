@@ -40,7 +40,8 @@ def count_tokens(docs: DataFrame, tokenizer: TokenizerFile, cache_path: str, *,
     )
     encode(wanted.select("content_digest", "text"), tokenizer).write.mode("append").parquet(cache_path)
 
-    counts = stored_counts(spark, cache_path, tokenizer)
+    # Settled, so that both sides of the join are plain exchanges and a content with many rows may be split.
+    counts = settle(stored_counts(spark, cache_path, tokenizer))
     return digests.join(counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
