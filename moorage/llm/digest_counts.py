@@ -17,7 +17,7 @@ def count_tokens(docs: DataFrame, tokenizer: TokenizerFile, cache_path: str, *,
     The cache is a Parquet table of (content digest, tokenizer digest, count). Every content is looked up by
     both digests; of the missing contents one row each is encoded, whole, and appended; then all rows take
     their counts from the cache. Content is normalised only where that cannot change a count: runs of ASCII
-    white space become one space for tokenizers that drop white space.
+    white space become one space, and none at the ends, for tokenizers that drop white space.
 
     Only digests meet per content, combined before their shuffle, so a text with many copies is no hot key;
     texts move once, by (digest, id). Null text counts as empty; rows with equal or null ids each get their
@@ -25,19 +25,17 @@ def count_tokens(docs: DataFrame, tokenizer: TokenizerFile, cache_path: str, *,
     """
     spark = docs.sparkSession
     shown = F.coalesce(F.col(text), F.lit(""))
-    content = F.regexp_replace(shown, r"[ \t\n\x0B\f\r]+", " ") if tokenizer.drops_space else shown
-    texts = docs.select(F.col(doc_id).alias("doc_id"), shown.alias("text"), F.unhex(F.sha2(content, 256)).alias("content_digest"))
+    content = F.trim(F.regexp_replace(shown, r"[ \t\n\x0B\f\r]+", " ")) if tokenizer.drops_space else shown
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), shown.alias("text"), F.unhex(F.sha2(content, 256)).alias("content_digest"))
     digests = settle(texts.select("doc_id", "content_digest", F.octet_length("text").cast("bigint").alias("n_bytes")))
 
-    missing = digests.groupBy("content_digest").agg(F.min("doc_id").alias("first_id"))
+    # A null id takes the place of -1 here: rows of one content are all as good to encode.
+    key = F.coalesce("doc_id", F.lit(-1))
+    missing = digests.groupBy("content_digest").agg(F.min(key).alias("first_id"))
     stored = stored_counts(spark, cache_path, tokenizer)
     if stored is not None:
         missing = missing.join(stored, "content_digest", "left_anti")
-    wanted = texts.alias("t").join(
-        missing.alias("m"),
-        (F.col("t.content_digest") == F.col("m.content_digest")) & F.col("t.doc_id").eqNullSafe(F.col("m.first_id")),
-        "left_semi",
-    )
+    wanted = texts.withColumn("first_id", key).join(missing, ["content_digest", "first_id"], "left_semi").dropDuplicates(["content_digest", "first_id"])
     encode(wanted.select("content_digest", "text"), tokenizer).write.mode("append").parquet(cache_path)
 
     # Settled, so that both sides of the join are plain exchanges and a content with many rows may be split.
