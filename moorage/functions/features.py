@@ -19,8 +19,13 @@ def outcome(status: Column) -> Column:
 
 
 def parsed_time(text: Column, formats: Sequence[str] = ()) -> Column:
-    """Timestamp without zone from ISO text, or from the first of ``formats`` that fits; else null."""
-    tries = [text.try_cast("timestamp_ntz")]
+    """Timestamp without zone from ISO text, or from the first of ``formats`` that fits; else null.
+
+    Text with an offset (or ``Z``) names an instant and becomes its UTC time; text without one stays as written.
+    """
+    with_offset = text.rlike(r"(?i)[0-9](z|utc|gmt|[+-][0-9]{1,2}(:?[0-9]{2})?)\s*$") & text.rlike("[0-9]:[0-9]|[Tt][0-9]")
+    instant = F.convert_timezone(F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))
+    tries = [F.when(with_offset, instant).otherwise(text.try_cast("timestamp_ntz"))]
     tries += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
     return F.coalesce(*tries)
 
@@ -50,5 +55,8 @@ def complexity(template: Column, complex_templates: Sequence[str]) -> Column:
 
 
 def resource_exactness(exact: Column, instances: Column) -> Column:
-    """Share of requested instances the provider can serve with an exactly matching flavour."""
-    return F.when(instances > 0, exact / instances).otherwise(F.lit(0.0))
+    """Share of requested instances the provider can serve with an exactly matching flavour.
+
+    0 where no instances are asked for; NaN counts as none, although Spark holds it above any number.
+    """
+    return F.when((instances > 0) & ~F.isnan(instances), exact / instances).otherwise(F.lit(0.0))

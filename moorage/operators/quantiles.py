@@ -3,23 +3,22 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moorage.functions.scores import number_or_null
 from moorage.settle import settle
 
-#: Above this many rows the built-in exact aggregate, which keeps all distinct values in one
-#: buffer, gives way to the search.
-BUILT_IN_ROWS = 2_000_000
 #: Distinct values that may be put in order inside one task.
 IN_ONE_TASK = 1_000_000
 #: Rows the first guess of a quantile's surroundings is made from.
 GUESS_ROWS = 10_000_000
 _ACCURACY = 10_000
 _BINS = 4096
+_LARGEST = sys.float_info.max
 
 
 def exact_quantiles(
@@ -27,7 +26,6 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     *,
-    built_in_rows: int = BUILT_IN_ROWS,
     in_one_task: int = IN_ONE_TASK,
     guess_rows: int = GUESS_ROWS,
 ) -> dict[str, list[float | None]]:
@@ -40,12 +38,7 @@ def exact_quantiles(
     if not columns:
         return {}
     numbers = df.select(*[number_or_null(F.col(c)).alias(c) for c in columns])
-    rows = numbers.count()
-    if rows <= built_in_rows:
-        wanted = F.array(*[F.lit(p) for p in probabilities])
-        row = numbers.agg(*[F.percentile(c, wanted).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probabilities) for c in columns}
-    return _searched(numbers, columns, probabilities, in_one_task, min(1.0, guess_rows / rows))
+    return _searched(numbers, columns, probabilities, in_one_task, min(1.0, guess_rows / max(1, numbers.count())))
 
 
 def _searched(numbers, columns, probabilities, in_one_task, guess_share):
@@ -73,10 +66,15 @@ def _searched(numbers, columns, probabilities, in_one_task, guess_share):
     result = {c: [None] * len(probabilities) for c in columns}
     for slot, (c, i, _, fraction) in slots.items():
         pair = found[slot]
-        result[c][i] = pair[0] if len(pair) == 1 else pair[0] + (pair[1] - pair[0]) * fraction
+        result[c][i] = pair[0] if len(pair) == 1 else _between(*pair, fraction)
     return result
 
 
+def _between(low: float, high: float, fraction: float) -> float:
+    """The point between two neighbours; equal ones (infinite ones too) are their own."""
+    return low if low == high else (1 - fraction) * low + fraction * high
+
+
 def _guesses(numbers, columns, probabilities, share):
     """Slots (one per column and probability), column ranges, and where to look for each slot.
 
@@ -149,8 +147,7 @@ def _ranked_values(values: DataFrame, wanted: dict[str, list[int]], in_one_task:
         spread = (
             values.join(F.broadcast(cells), "slot")  # two ranges per (column, probability) at most
             .where(F.col("value").between(F.col("lo"), F.col("hi")))
-            .withColumn("_share", F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")))
-            .withColumn("bin", F.coalesce(F.least(F.floor(F.col("_share") * _BINS), F.lit(_BINS - 1)), F.lit(0)))
+            .withColumn("bin", _bin(F.col("value"), F.col("lo"), F.col("hi")))
         )
         bins = (
             spread.groupBy("slot", "lo", "hi", "bin")
@@ -182,6 +179,17 @@ def _ranked_values(values: DataFrame, wanted: dict[str, list[int]], in_one_task:
     return {slot: [found[slot][r] for r in ranks] for slot, ranks in wanted.items()}
 
 
+def _bin(value: Column, low: Column, high: Column) -> Column:
+    """The bin of a value in a range: infinite values have bins of their own, the others share the finite range.
+
+    Halves keep the width of a range finite, however far its ends lie apart.
+    """
+    low, high = F.greatest(low, F.lit(-_LARGEST)), F.least(high, F.lit(_LARGEST))
+    share = F.try_divide(value / 2 - low / 2, high / 2 - low / 2)
+    inside = F.coalesce(F.least(F.floor(share * _BINS), F.lit(_BINS - 1)), F.lit(0))
+    return F.when(value < -_LARGEST, F.lit(-1)).when(value > _LARGEST, F.lit(_BINS)).otherwise(inside)
+
+
 def _ordered(values: DataFrame, small: dict) -> list:
     """The few counted values that cover the wanted ranks of small ranges."""
     if not small:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from moorage.functions.scores import number_or_null
 from moorage.operators.requests import MESSAGE
 from moorage.schema import NO_PREDICTION, SCORE_FIELDS
 
@@ -41,15 +42,16 @@ def weigh(scored: DataFrame, spec: RankSpec = RankSpec()) -> DataFrame:
 def with_rank(scored: DataFrame, spec: RankSpec = RankSpec(), *, message: str = MESSAGE) -> DataFrame:
     """Weighted scores, ``kept`` (passes the threshold) and ``rank`` among the kept of a message.
 
-    Equal candidates keep the order of the request.  A message is one source record, so its
-    window is bounded by the record.
+    Equal candidates keep the order of the request.  A candidate whose total is null or NaN does not
+    pass a threshold, and comes after those that have a total and the same precedence.  A message is
+    one source record, so its window is bounded by the record.
     """
-    total = F.col("classification") + F.col("regression")
-    kept = F.lit(True) if spec.threshold is None else total >= F.lit(spec.threshold)
+    total = number_or_null(F.col("classification") + F.col("regression"))
+    kept = F.lit(True) if spec.threshold is None else F.coalesce(total >= F.lit(spec.threshold), F.lit(False))
     order = [F.col("kept").desc()]
     if spec.exact_first:
-        order.append(F.col("resource_exactness").desc())
-    order += [total.desc(), F.col("pos").asc()]
+        order.append(number_or_null(F.col("resource_exactness")).desc_nulls_last())
+    order += [total.desc_nulls_last(), F.col("pos").asc()]
     place = F.row_number().over(Window.partitionBy(message).orderBy(*order))
     return weigh(scored, spec).withColumn("kept", kept).withColumn("rank", F.when(F.col("kept"), place))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: the session's checkpoint folder.
 
-    A folder of our own is set only where the session names none (single-machine tests).
+    Where the session names none, a folder of our own is set if driver and executors are one machine's process
+    (``local`` masters, as in tests); on a cluster that is an error, as each executor would write to its own disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         configured = tempfile.mkdtemp(prefix="moorage-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured

@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moorage.schema import request_schema
+from moorage.sources.jsonfiles import json_reader
 from moorage.sources.topics import Topic, struct_messages
 
 
 def read_requests(spark: SparkSession, path: str, *, version: str = "1.1.0") -> DataFrame:
-    """Requests from a JSON file, numbered by their place in it (``msg_id``)."""
+    """Requests from a JSON array or JSON lines, numbered by their place (``msg_id``)."""
     if path is None:
         raise ValueError("no request file is set")
-    rows = spark.read.option("multiLine", True).schema(request_schema(version)).json(path)
+    rows = json_reader(spark, path).schema(request_schema(version)).json(path)
     return rows.withColumn("msg_id", F.monotonically_increasing_id())
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """The uuids of a JSON file or folder of answers."""
-    return spark.read.option("multiLine", True).schema("uuid string").json(path)
+    """The uuids of a JSON file or folder of answers: arrays, or lines as ``write_answers`` makes them."""
+    return json_reader(spark, path).schema("uuid string").json(path)
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,4 @@
-"""Using all cores on sources that arrive in few pieces."""
+"""Using all cores on sources that one task must read."""
 
 from __future__ import annotations
 
@@ -6,11 +6,5 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores when the source has fewer splits than there are cores.
-
-    A single JSON document, a gzip file or a parquet file of one row group is one split, and all
-    that follows a scan would run in that one task.  A source with fewer splits than cores is
-    small beside the cluster, so the exchange is cheap; a larger one is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows of a source whose format allows one task per file, dealt to all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

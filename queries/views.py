@@ -114,7 +114,9 @@ def view_sql(name: str, string_type: str) -> str:
 def load_tables(spark: SparkSession, sf_dir: str) -> None:
     for name in TABLES:
         table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        (spread(table) if name in FACTS else table).createOrReplaceTempView(name)
+        # A table of one file is one split here; one of many files is read as it is.
+        alone = name in FACTS and len(table.inputFiles()) == 1
+        (spread(table) if alone else table).createOrReplaceTempView(name)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

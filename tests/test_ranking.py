@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moorage.functions.scores import duration_goodness
 from moorage.operators.enrich import enrich
-from moorage.operators.ranking import RankSpec, rank_candidates
+from moorage.operators.ranking import RankSpec, rank_candidates, with_rank
 from moorage.operators.requests import route
 from moorage.operators.scoring import any_missing, model_scores, void_messages
 from moorage.plans.inference import RankJob, rank_messages
@@ -168,3 +168,14 @@ def test_answer_text_has_sorted_keys_and_no_absent_fields(spark):
     entry = json.loads(text)["ranked_providers"][0]
     assert text == json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
     assert "ram_gb_quota" not in entry and entry["provider_name"] == "b"
+
+
+def test_unscorable_candidates_come_last(spark):
+    nan = float("nan")
+    scores = [(1, nan, 0.5), (2, 0.4, 0.2), (3, None, 0.9), (4, 0.6, 0.3), (5, 0.1, 0.1)]
+    rows = [("m", pos, c, r, 1.0) for pos, c, r in scores]
+    scored = spark.createDataFrame(rows, "msg_id string, pos int, classification double, regression double, resource_exactness double")
+    every = with_rank(scored, RankSpec(weight=0.5)).orderBy("rank").collect()
+    assert [r["pos"] for r in every] == [4, 2, 5, 1, 3]
+    kept = rank_candidates(scored, RankSpec(weight=0.5, threshold=0.25)).orderBy("rank").collect()
+    assert [r["pos"] for r in kept] == [4, 2]

@@ -184,3 +184,49 @@ def test_dump(spark):
 
 def test_fewer_columns_are_fine():
     check_columns(["uuid", "status"], "1.1.0")
+
+
+def test_json_lines_of_several_records(spark, tmp_path):
+    lines = "\n".join(json.dumps({"uuid": f"u{i}", "vcpus_quota": i, "n_failures": 1}) for i in range(5))
+    path = tmp_path / "lines.json"
+    path.write_text(lines + "\n\n")
+    assert sorted(r["uuid"] for r in read_history_files(spark, str(path)).collect()) == [f"u{i}" for i in range(5)]
+    requests = tmp_path / "requests.json"
+    requests.write_text("\n".join(json.dumps({"uuid": f"r{i}", "providers": []}) for i in range(4)))
+    assert read_requests(spark, str(requests)).count() == 4
+
+
+@pytest.mark.parametrize("text", ['[{"uuid": "a"}]\n[{"uuid": "b"}]', '{"uuid": "a"}\n{"uuid": ', '{"uuid":\n"a"}\n{"uuid":\n"b"}', "uuid"])
+def test_json_that_would_be_read_in_part_is_refused(spark, tmp_path, text):
+    path = tmp_path / "bad.json"
+    path.write_text(text)
+    for read in (read_history_files, read_answers, read_requests):
+        with pytest.raises(ValueError, match="neither"):
+            read(spark, str(path))
+
+
+def test_answers_of_many_rows_come_back(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = [(f"a{i}", [(f"p{i}",)]) for i in range(50)]
+    answers = spark.createDataFrame(rows, "uuid string, ranked_providers array<struct<provider_name string>>")
+    write_answers(answers.coalesce(2), AnswerSink(path=out))
+    assert sorted(r["uuid"] for r in read_answers(spark, out).collect()) == sorted(r[0] for r in rows)
+
+
+def test_csv_as_it_is_written(spark, tmp_path):
+    """Doubled quotes, newlines in quotes, and files with their columns in another order."""
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text('uuid,status_reason,vcpus_quota\nu1,"bad ""x"", quota",1\nu2,"two\nlines",2\n')
+    (folder / "b.csv").write_text("vcpus_quota,uuid\n3,u3\n")
+    rows = {r["uuid"]: (r["status_reason"], r["vcpus_quota"]) for r in read_history_files(spark, str(folder)).collect()}
+    assert rows == {"u1": ('bad "x", quota', 1.0), "u2": ("two\nlines", 2.0), "u3": (None, 3.0)}
+
+
+def test_label_maps_keep_all_labels(spark, tmp_path):
+    labels = [str(i) for i in range(3000)]
+    document = {"uuid": {k: f"u{k}" for k in labels}, "vcpus_quota": {k: int(k) for k in labels[:-1]}, "n_failures": {k: 1 for k in labels}}
+    path = tmp_path / "maps.json"
+    path.write_text(json.dumps(document))
+    rows = read_history_files(spark, str(path)).collect()
+    assert {(r["uuid"], r["vcpus_quota"], r["n_failures"]) for r in rows} == {(f"u{k}", float(k) if k != "2999" else None, 1) for k in labels}

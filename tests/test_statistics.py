@@ -39,25 +39,34 @@ def draws(kind, n=4000):
 def test_searched_quantiles_are_exact(spark, kind, in_one_task):
     values = draws(kind)
     df = frame(spark, a=values, b=[-v for v in values])
-    searched = exact_quantiles(df, ["a", "b"], PROBABILITIES, built_in_rows=10, in_one_task=in_one_task)
-    built_in = exact_quantiles(df, ["a", "b"], PROBABILITIES)
+    searched = exact_quantiles(df, ["a", "b"], PROBABILITIES, in_one_task=in_one_task)
+    whole = exact_quantiles(df, ["a", "b"], PROBABILITIES)
     for name, column in (("a", np.array(values)), ("b", -np.array(values))):
         assert searched[name] == pytest.approx(np.quantile(column, PROBABILITIES).tolist(), rel=1e-12)
-        assert built_in[name] == pytest.approx(searched[name], rel=1e-12)
+        assert whole[name] == searched[name]
 
 
 @pytest.mark.parametrize("guess_rows", [1, 40])
 def test_a_wrong_guess_is_noticed(spark, guess_rows):
     values = draws("even")
     df = frame(spark, a=values)
-    found = exact_quantiles(df, ["a"], PROBABILITIES, built_in_rows=0, in_one_task=100, guess_rows=guess_rows)
+    found = exact_quantiles(df, ["a"], PROBABILITIES, in_one_task=100, guess_rows=guess_rows)
     assert found["a"] == pytest.approx(np.quantile(values, PROBABILITIES).tolist(), rel=1e-12)
 
 
-@pytest.mark.parametrize("built_in_rows", [0, 1000])
-def test_quantiles_skip_null_and_nan(spark, built_in_rows):
+@pytest.mark.parametrize("in_one_task", [1, 1000])
+def test_quantiles_with_infinities_and_overflowing_ranges(spark, in_one_task):
+    inf, big = math.inf, 1.7e308
+    values = [-inf, -big, *range(40), big, inf, inf]
+    found = exact_quantiles(frame(spark, a=values), ["a"], [0.0, 0.02, 0.5, 0.9, 1.0], in_one_task=in_one_task)["a"]
+    ordered = sorted(map(float, values))
+    assert found[0] == -inf and found[-1] == inf and found[2] == ordered[22]
+    assert found[1] == -inf and found[3] == pytest.approx(0.4 * ordered[39] + 0.6 * ordered[40])
+
+
+def test_quantiles_skip_null_and_nan(spark):
     df = spark.createDataFrame([(1.0, None), (float("nan"), None), (None, None), (3.0, None)], "a double, b double")
-    found = exact_quantiles(df, ["a", "b"], [0.5], built_in_rows=built_in_rows)
+    found = exact_quantiles(df, ["a", "b"], [0.5])
     assert found == {"a": [2.0], "b": [None]}
 
 
