@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moorage.llm.base import map_rows, settle
@@ -145,16 +145,15 @@ def near_duplicates(docs: DataFrame, spec: MinHashSpec, *, doc_id: str = "doc_id
     """
     rows_in = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = settle(_signatures(rows_in, spec))
-    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumnRenamed("digest", "of")
-    own = (F.col("of") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    firsts = settle(signed.join(classes, own, "left_semi").dropDuplicates(["digest"]).select("digest", "doc_id", "text_hash", "bands"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash", "doc_id", "bands"))
+    firsts = settle(signed.where("n_shingles > 0").groupBy("digest").agg(first.alias("first")).select("digest", "first.*"))
 
     chained = settle(components(_chains(firsts)))
     sizes = chained.groupBy("component").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("component", "of")
     members = chained.join(sizes, F.col("component") == F.col("of")).select("node", "component", "members")
-    wanted = firsts.join(members, F.col("digest") == F.col("node")).select("digest", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "component", "members")
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
-    links = settle(_confirmed(rows_in.join(settle(wanted), same).dropDuplicates(["digest"]), spec))
+    wanted = settle(firsts.join(members, F.col("digest") == F.col("node")).select("digest", *_KEY, "component", "members"))
+    # Duplicates are dropped by the join's own keys, so the texts move once.
+    links = settle(_confirmed(_keyed(rows_in).join(wanted, _KEY).dropDuplicates(_KEY), spec))
     linked = components(links)
 
     ids = signed.select("doc_id", "text_hash", "n_shingles", "digest")
@@ -174,10 +173,23 @@ def first_of_each(docs: DataFrame, spec: MinHashSpec) -> DataFrame:
     and of equal rows one. Rows without words are components by their ids.
     """
     found = near_duplicates(docs, spec).where("kept").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    wanted = settle(found.select(F.col("first.doc_id").alias("id of the first"), F.col("first.text_hash").alias("hash of the first")))
-    hashed = docs.withColumn("hash of the text", F.xxhash64("text"))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("`id of the first`")) & (F.col("`hash of the text`") == F.col("`hash of the first`"))
-    return hashed.join(wanted, same, "left_semi").dropDuplicates(["doc_id", "hash of the text"]).select(*(f"`{c}`" for c in docs.columns))
+    chosen = found.select("first.*")
+    wanted = settle(_keyed(chosen).select(*(F.col(c).alias(f"{c} of the first") for c in _KEY)))
+    hashed = docs.select("*", *(c.alias(f"{n} of the first") for n, c in _key_of(F.col("doc_id").cast("bigint"), F.xxhash64("text")).items()))
+    keys = [f"{c} of the first" for c in _KEY]
+    return hashed.join(wanted, keys, "left_semi").dropDuplicates(keys).select(*(f"`{c}`" for c in docs.columns))
+
+
+#: What tells rows apart, without nulls: id, whether there is one, hash of the text.
+_KEY = ["id", "no_id", "text_hash"]
+
+
+def _key_of(doc_id: Column, text_hash: Column) -> dict[str, Column]:
+    return {"id": F.coalesce(doc_id, F.lit(0)), "no_id": doc_id.isNull(), "text_hash": text_hash}
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(_key_of(F.col("doc_id"), F.col("text_hash")))
 
 
 def _signatures(docs: DataFrame, spec: MinHashSpec) -> DataFrame:
