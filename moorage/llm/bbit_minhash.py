@@ -22,7 +22,7 @@ from moorage.llm.base import map_rows, settle
 from moorage.llm.components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 200_000
 _HASHES_AT_ONCE = 1 << 21
 
 

@@ -10,7 +10,7 @@ from array import array
 from dataclasses import dataclass
 
 #: Pieces whose ids one worker keeps; beyond it, it starts anew. Bounds memory, not results.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 300_000
 _LONG_PIECE = 64
 _SPACE = {chr(c) for c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0)}
 

@@ -26,7 +26,7 @@ TOKEN = re.compile(r"\w+")
 #: Letters of the stems that lend a word their odds, shortest first.
 STEMS = (3, 4, 5, 6)
 PASSAGES = "doc_id bigint, start int, stop int, passage string, score double, e_value double"
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 200_000
 _PER_UNIT = 20  # steps of the score histogram
 
 
