@@ -41,9 +41,18 @@ class Learner:
 
 
 def _depth(value) -> int:
+    """Spark's trees end at depth 30; no limit means that one, and a deeper limit is refused."""
+    if value is not None and int(value) > _DEEPEST:
+        raise ValueError(f"max_depth {value} is above the deepest tree, {_DEEPEST}")
     return _DEEPEST if value is None else int(value)
 
 
+def recorded_params(name: str, params: dict, kind: str) -> dict:
+    """The given parameters with the depth that is really used, for the registry."""
+    deep = learner(name, kind).renamed.get("max_depth") == "maxDepth"
+    return {**params, "max_depth": _depth(params["max_depth"])} if deep and "max_depth" in params else dict(params)
+
+
 # Parameter names shared by families of estimators -> Spark's names.
 _TREE = {
     "max_depth": "maxDepth",
@@ -60,9 +69,15 @@ _LINEAR = {"fit_intercept": "fitIntercept", "max_iter": "maxIter", "tol": "tol"}
 
 def _inverse_strength(given: dict, rows: int, width: int) -> dict:
     """A penalty divided by C and summed over rows, as Spark's penalty on the mean loss."""
-    if given.get("penalty", "l2") is None:
+    penalty = given.get("penalty", "l2")
+    if penalty is None:
         return {"regParam": 0.0}
-    return {"regParam": 1.0 / (float(given.get("C", 1.0)) * rows)}
+    if penalty == "elasticnet" and given.get("l1_ratio") is None:
+        raise ValueError("penalty 'elasticnet' needs l1_ratio")
+    shares = {"l2": 0.0, "l1": 1.0, "elasticnet": given.get("l1_ratio")}
+    if penalty not in shares:
+        raise ValueError(f"penalty {penalty!r} is not known; known: {sorted(shares)} and None")
+    return {"regParam": 1.0 / (float(given.get("C", 1.0)) * rows), "elasticNetParam": float(shares[penalty])}
 
 
 def _ridge_strength(given: dict, rows: int, width: int) -> dict:
@@ -179,6 +194,8 @@ def learner(name: str, kind: str) -> Learner:
 def estimator(name: str, params: dict, *, kind: str, label: str, rows: int, width: int):
     """A Spark estimator for ``name`` with the given parameters, under either naming."""
     entry = learner(name, kind)
+    if name == "IsotonicRegression" and width != 1:
+        raise ValueError(f"IsotonicRegression takes exactly one feature, not {width}")
     settings = dict(entry.fixed)
     if entry.derived is not None:
         settings.update(entry.derived(params, rows, width))
@@ -246,7 +263,7 @@ def fit(
     rows = max(train.count(), 1) if learner(name, kind).derived else 0
     stage = estimator(name, params, kind=kind, label=label, rows=rows, width=len(list(features)))
     pipeline = Pipeline(stages=[*stages, stage]).fit(train)
-    return Fitted(name, kind, dict(params), list(features), label, pipeline)
+    return Fitted(name, kind, recorded_params(name, params, kind), list(features), label, pipeline)
 
 
 def predictions(fitted: Fitted, rows: DataFrame) -> DataFrame:
@@ -291,18 +308,22 @@ def cross_validate(
     features: Sequence[str],
     label: str,
     folds: int = 5,
+    by: str | None = None,
     scale: bool = False,
     scale_inside_fold: bool = False,
 ) -> list[FoldScore]:
     """Score every model on every fold: AUC for classifiers, r2 for regressors.
 
+    ``by`` is the row's id, whose hash deals the folds; without it the features and the label do.
+
     Folds are a column, stratified by label for classifiers.  The scaler is fitted on all rows
     unless ``scale_inside_fold``, which keeps the validation rows out of it.
     """
     for name in models:
         learner(name, kind)
+    own = [by] if by else []
     folded = with_folds(
-        train.select(*features, label), folds, label=label if kind == CLASSIFIER else None, to="_fold"
+        train.select(*own, *features, label), folds, label=label if kind == CLASSIFIER else None, by=own or None, to="_fold"
     )
     shared = None if scale_inside_fold else feature_stages(train, features, scale=scale)
     measure = "auc" if kind == CLASSIFIER else "r2"

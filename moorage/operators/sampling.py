@@ -1,6 +1,6 @@
 """Random splits and folds of exact size that depend on the rows alone.
 
-Rows are put in the order of a seeded 64-bit hash of their content, and a part is a range of
+Rows are put in the order of a seeded 60-bit hash of their id or content, and a part is a range of
 that order.  The range ends are found from counts per hash prefix, so assigning parts is a
 comparison with literals: no sort, no shuffle, and the same answer on every re-run.
 """
@@ -25,8 +25,14 @@ _COPIES_PER_TASK = 1_000_000
 Sizes = Callable[[dict], dict]
 
 
+_HASH_BITS = 60
+
+
 def row_hash(columns: Sequence[str], seed: int = SEED) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(columns)])
+    """60 bits of the md5 of the seed and the columns' texts, by name order, with 0x1F between them."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(columns)]
+    digest = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *texts))
+    return F.conv(F.substring(digest, 1, _HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def with_parts(
@@ -34,20 +40,24 @@ def with_parts(
     sizes: Sizes,
     *,
     stratum: str | None = None,
+    by: Sequence[str] | None = None,
     seed: int = SEED,
     to: str = "part",
     stored: bool = False,
 ) -> DataFrame:
     """Add the part number of every row; part ``i`` of a stratum has exactly the size asked for.
 
+    ``by`` names the columns whose hash orders the rows: a row's id, so that the last digit of some average
+    does not move it to another part. Without it all columns count.
+
     ``stratum`` is a column of few values, such as a class label.  Range ends found in one pass must
     hold in the next, so the rows are settled first, unless they already are (``stored``).
     """
     if not stored:
         df = settle(df)
     key = F.col(stratum) if stratum else F.lit(0)
-    keyed = df.withColumns({"_stratum": key, "_hash": row_hash(df.columns, seed)})
-    prefix = F.shiftright("_hash", 64 - _PREFIX_BITS)
+    keyed = df.withColumns({"_stratum": key, "_hash": row_hash(by or df.columns, seed)})
+    prefix = F.shiftright("_hash", _HASH_BITS - _PREFIX_BITS)
     prefixes = defaultdict(dict)
     for r in keyed.groupBy("_stratum", prefix.alias("p")).count().collect():
         prefixes[r["_stratum"]][r["p"]] = r["count"]
@@ -157,7 +167,7 @@ def _dealt_copies(rows: DataFrame, shared: dict, to: str, columns: list[str]) ->
 
 
 def exact_split(
-    df: DataFrame, test_size: float, *, seed: int = SEED, stored: bool = False
+    df: DataFrame, test_size: float, *, by: Sequence[str] | None = None, seed: int = SEED, stored: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test) with ceil(rows * test_size) test rows."""
     if not 0 < test_size < 1:
@@ -170,7 +180,7 @@ def exact_split(
             raise ValueError(f"{rows} rows cannot be split into a training and a test set")
         return {0: [test, rows - test]}
 
-    parts = with_parts(df, sizes, seed=seed, to="_part", stored=stored)
+    parts = with_parts(df, sizes, by=by, seed=seed, to="_part", stored=stored)
     return parts.where("_part = 1").drop("_part"), parts.where("_part = 0").drop("_part")
 
 
@@ -192,6 +202,7 @@ def with_folds(
     folds: int,
     *,
     label: str | None = None,
+    by: Sequence[str] | None = None,
     seed: int = SEED,
     to: str = "fold",
     stored: bool = False,
@@ -203,4 +214,4 @@ def with_folds(
             raise ValueError(f"{sum(totals.values())} rows cannot be put into {folds} folds")
         return fold_sizes(totals, folds)
 
-    return with_parts(df, sizes, stratum=label, seed=seed, to=to, stored=stored)
+    return with_parts(df, sizes, stratum=label, by=by, seed=seed, to=to, stored=stored)

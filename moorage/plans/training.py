@@ -84,7 +84,7 @@ def train(spark: SparkSession, history: DataFrame, spec: TrainSpec, registry: Re
         log.warning("no usable history: no model is trained")
         return {}
     span = time_span(table).first()
-    train_rows, test_rows = exact_split(table, spec.test_size, seed=spec.seed, stored=True)
+    train_rows, test_rows = exact_split(table, spec.test_size, by=["uuid"], seed=spec.seed, stored=True)
     jobs = [
         (models.CLASSIFIER, spec.classifiers, spec.class_target),
         (models.REGRESSOR, spec.regressors, spec.duration_target),

@@ -167,7 +167,58 @@ SELECT '{name}' AS class, {_share(hit, f"({hit} + {wrong})")} AS precision,
 
 _ANSWERED_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
 
+#: The order that splits and folds follow: 60 bits of the md5 of the seed and the id.
+_HASH = "cast('0x' || substr(md5('42' || chr(31) || uuid), 1, 15) AS bigint)"
+_UNSCORABLE = "CASE WHEN n_instances_requ = 6 OR n_instances_requ = 5 THEN NULL ELSE classification + regression END"
+
+
+def _unscorable(mode: str, where: str) -> str:
+    return f"""
+SELECT msg_id, provider, cast(row_number() OVER (PARTITION BY msg_id
+    ORDER BY resource_exactness DESC, total DESC NULLS LAST, pos) AS integer) AS rank, '{mode}' AS mode
+FROM (SELECT *, {_UNSCORABLE} AS total FROM weighed) WHERE {where}"""
+
+
 ORACLES: dict[str, str] = {
+    "split_members": _with(
+        ["derived"],
+        f"""
+SELECT uuid, CASE WHEN row_number() OVER (ORDER BY {_HASH}) <= ceil(count(*) OVER () * 0.2E0)
+  THEN 'test' ELSE 'train' END AS part FROM derived""",
+    ),
+    "fold_members": _with(
+        ["derived"],
+        f"""
+, placed AS (
+  SELECT uuid, status, row_number() OVER (PARTITION BY status ORDER BY {_HASH}) AS k FROM derived),
+counts AS (SELECT status, count(*) AS n, sum(count(*)) OVER (ORDER BY status) AS stop FROM derived GROUP BY status),
+sizes AS (
+  SELECT status, i, (stop - i + 4) // 5 - (stop - n - i + 4) // 5 AS size
+  FROM counts, range(5) AS folds(i)),
+ends AS (SELECT status, i, sum(size) OVER (PARTITION BY status ORDER BY i) AS reached FROM sizes)
+SELECT uuid, cast(min(i) AS integer) AS fold FROM placed JOIN ends USING (status) WHERE k <= reached GROUP BY uuid, status, k""",
+    ),
+    "rank_unscorable": _with(
+        ["weighed"],
+        _unscorable("kept", f"total >= {THRESHOLD}E0") + "\nUNION ALL" + _unscorable("all", "true"),
+    ),
+    "answers_round_trip": _with(
+        ["processed"],
+        """
+SELECT o.o_orderkey AS msg_id FROM orders o
+LEFT JOIN (SELECT uuid, count(*) AS answered FROM processed GROUP BY uuid) p ON p.uuid = cast(o.o_orderkey AS varchar)
+WHERE p.answered IS NULL""",
+    ),
+    "history_files": _with(
+        ["deployments"],
+        """
+, texts AS (
+  SELECT uuid, template_name, concat('said "no",', chr(10), template_name) AS status_reason,
+    vcpus_quota, vcpus_usage, cast(n_failures AS integer) AS n_failures FROM deployments)
+SELECT 'csv' AS kind, * FROM texts
+UNION ALL SELECT 'csv', uuid, template_name, NULL, NULL, NULL, n_failures FROM texts
+UNION ALL SELECT 'json', * FROM texts""",
+    ),
     "clean_history": _with(
         ["cleaned"],
         """

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moorage.functions.clock import micros
@@ -29,7 +29,8 @@ from moorage.plans.inference import RankJob, rank_messages
 from moorage.plans.training import feature_table, time_span
 from moorage.schema import DEFAULT_FEATURES, HISTORY_SCHEMAS, HISTORY_STATS, RESOURCE_DIFFS
 from moorage.settle import settle, shared_folder
-from moorage.sources.messages import AnswerSink
+from moorage.sources.history import read_history_files
+from moorage.sources.messages import AnswerSink, read_answers, write_answers
 from moorage.sources.topics import history_messages, read_history_messages, struct_messages
 from moorage.sources.validation import with_history_reason
 from moorage.streaming.ranking import rank_stream
@@ -58,9 +59,9 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Described candidates of messages with more than one, repeats merged."""
-    rows = described(spark, sf_dir)
-    several = rows.groupBy("msg_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return merge_repeats(rows.join(several, "msg_id", "left_semi"))
+    candidates = F.count(F.lit(1)).over(Window.partitionBy("msg_id"))  # a message is one record
+    rows = described(spark, sf_dir).withColumn("_candidates", candidates).where("_candidates > 1")
+    return merge_repeats(rows.drop("_candidates"))
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +255,7 @@ def robust_scale_query(spark, sf_dir):
 
 def split_sizes(spark, sf_dir):
     rows = derived(spark, sf_dir).select("uuid", "timestamp", "status", "deployment_time", *RESOURCE_DIFFS)
-    train, test = exact_split(rows, 0.2)
+    train, test = exact_split(rows, 0.2, by=["uuid"])
     counted = [
         rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
         for name, rows in (("test", test), ("train", train))
@@ -268,6 +269,50 @@ def fold_sizes_query(spark, sf_dir):
     return folded.groupBy("status", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+def split_members(spark, sf_dir):
+    train, test = exact_split(derived(spark, sf_dir).select("uuid"), 0.2, by=["uuid"])
+    return test.withColumn("part", F.lit("test")).unionByName(train.withColumn("part", F.lit("train")))
+
+
+def fold_members(spark, sf_dir):
+    rows = derived(spark, sf_dir).select("uuid", "status")
+    return with_folds(rows, 5, label="status", by=["uuid"]).select("uuid", F.col("fold").cast("int").alias("fold"))
+
+
+def rank_unscorable(spark, sf_dir):
+    """Candidates without a usable score pass no threshold and come last among the others."""
+    n = F.col("n_instances_requ")
+    broken = F.when(n == 6, F.lit(float("nan"))).when(n == 5, F.lit(None)).otherwise(F.col("regression"))
+    rows = scored(spark, sf_dir).withColumn("regression", broken)
+    kept = rank_candidates(rows, RankSpec(threshold=THRESHOLD)).select("msg_id", "provider", "rank", F.lit("kept").alias("mode"))
+    every = rank_candidates(rows, RankSpec()).select("msg_id", "provider", "rank", F.lit("all").alias("mode"))
+    return kept.unionByName(every)
+
+
+def answers_round_trip(spark, sf_dir):
+    """Answers written to a folder, read back, and cancelled against all requests."""
+    folder = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    entries = F.array(F.struct(F.lit("p").alias("provider_name"), F.lit("r").alias("region_name")))
+    write_answers(view(spark, sf_dir, "processed").select("uuid", entries.alias("ranked_providers")), AnswerSink(path=folder))
+    requests = spark.table("orders").select(
+        F.col("o_orderkey").alias("msg_id"), F.col("o_orderkey").cast("string").alias("uuid")
+    )
+    return skip_answered(requests, read_answers(spark, folder), order=["msg_id"]).select("msg_id")
+
+
+def history_files(spark, sf_dir):
+    """The history written as CSV and as JSON lines, with quotes and newlines in a text, and read back."""
+    rows = deployments(spark, sf_dir).select("uuid", "template_name", "vcpus_quota", "vcpus_usage", "n_failures")
+    rows = rows.withColumn("status_reason", F.concat(F.lit('said "no",\n'), "template_name"))
+    folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    rows.write.option("header", True).option("escape", '"').csv(f"{folder}/rows.csv")
+    rows.select("uuid", "n_failures", "template_name").write.option("header", True).mode("append").csv(f"{folder}/rows.csv")
+    rows.write.json(f"{folder}/rows.json")
+    parts = [read_history_files(spark, f"{folder}/rows.{kind}").withColumn("kind", F.lit(kind)) for kind in ("csv", "json")]
+    names = ["kind", "uuid", "template_name", "status_reason", "vcpus_quota", "vcpus_usage", "n_failures"]
+    return parts[0].select(*names).unionByName(parts[1].select(*names))
+
+
 def _rounded(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -308,7 +353,7 @@ def registry_latest(spark, sf_dir):
 
 def _training_rows(spark, sf_dir, features, target):
     table = feature_table(deployments(spark, sf_dir), complex_templates=COMPLEX)
-    train, test = exact_split(table.select("uuid", *features, target), 0.2)
+    train, test = exact_split(table.select("uuid", *features, target), 0.2, by=["uuid"])
     return train.drop("uuid"), test.drop("uuid")
 
 
@@ -363,7 +408,7 @@ def shapley_importance_query(spark, sf_dir):
 
 def score_and_rank_models(spark, sf_dir):
     """Two fitted models score all candidates, then the ranking."""
-    features = [c for c in DEFAULT_FEATURES if c != "test_failure_perc_30d"]
+    features = DEFAULT_FEATURES
     fits = {}
     for kind, name, target in (
         (models.CLASSIFIER, "LogisticRegression", "status"),
@@ -415,6 +460,11 @@ def stream_rank(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {
+    "split_members": split_members,
+    "fold_members": fold_members,
+    "rank_unscorable": rank_unscorable,
+    "answers_round_trip": answers_round_trip,
+    "history_files": history_files,
     "clean_history": clean_history,
     "derived_properties": derived_properties,
     "rolling_history_30d": rolling_history_30d,
