@@ -63,6 +63,16 @@ RESOURCE_DIFFS = {
     "floatingips_diff": "floating_ips",
 }
 
+#: What a request must name, and what some of its candidates must carry to be compared.
+REQUEST_FIELDS = ["uuid", "template_name"]
+CANDIDATE_FIELDS = [
+    "provider_name",
+    "region_name",
+    *(f"{prefix}_{part}" for prefix in RESOURCE_DIFFS.values() for part in ("quota", "usage", "requ")),
+    "gpus_requ",
+    "exact_flavors",
+]
+
 # The five rolling statistics.
 HISTORY_STATS = [
     "failure_percentage",

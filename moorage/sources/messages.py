@@ -7,17 +7,38 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moorage.schema import request_schema
-from moorage.sources.jsonfiles import json_reader
-from moorage.sources.topics import Topic, struct_messages
+from moorage.schema import CANDIDATE_FIELDS
+from moorage.sources.jsonfiles import holds_documents, json_reader
+from moorage.sources.topics import Topic, parse_requests, struct_messages
+from moorage.sources.validation import NO_PROVIDERS, raise_refusals, refusals, with_request_reason
 
 
-def read_requests(spark: SparkSession, path: str, *, version: str = "1.1.0") -> DataFrame:
-    """Requests from a JSON array or JSON lines, numbered by their place (``msg_id``)."""
+def request_messages(spark: SparkSession, path: str) -> DataFrame:
+    """The requests of a JSON array or of JSON lines as messages: ``msg_id`` (place) and ``value`` (text).
+
+    They go through the same checks and the same parser as those of a topic.
+    """
     if path is None:
         raise ValueError("no request file is set")
-    rows = json_reader(spark, path).schema(request_schema(version)).json(path)
-    return rows.withColumn("msg_id", F.monotonically_increasing_id())
+    if not holds_documents(spark, path):
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        return lines.select(F.monotonically_increasing_id().alias("msg_id"), "value")
+    texts = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
+    one = F.array(F.col("value"))
+    several = F.from_json(F.col("value"), "array<string>")
+    rows = texts.select(F.explode(F.when(F.ltrim("value").startswith("{"), one).otherwise(several)).alias("value"))
+    return rows.withColumn("msg_id", F.monotonically_increasing_id()).select("msg_id", "value")
+
+
+def read_requests(spark: SparkSession, path: str, *, version: str = "1.1.0") -> DataFrame:
+    """Requests from a JSON array or JSON lines, numbered by their place (``msg_id``).
+
+    One refused request fails the read, as one of a version or with fields that are not known would be
+    answered wrongly. Those without candidates stay, for ``route`` to tell apart.
+    """
+    checked = with_request_reason(request_messages(spark, path), required=CANDIDATE_FIELDS)
+    raise_refusals(checked.where(F.coalesce(F.col("reason") != NO_PROVIDERS, F.lit(False))).agg(*refusals()).first())
+    return parse_requests(checked.drop("reason"), version=version)
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:

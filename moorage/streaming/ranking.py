@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,10 +77,13 @@ def rank_stream(
     checkpoint: str,
     job: RankJob = RankJob(),
     scorer: Scorer = history_scores,
+    required: Sequence[str] = (),
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Rank the requests of a topic-shaped stream.
 
+    ``required`` names candidate fields without which a request is a bad one.
+
     ``state`` gives the newest history and is asked once per micro-batch.  A bad request goes to
     the dead letters with its reason and the stream goes on.
     """
@@ -89,7 +92,7 @@ def rank_stream(
 
     def rank(batch: DataFrame, batch_id: int) -> None:
         uuid = F.get_json_object(F.col("value").cast("string"), "$.uuid")
-        arrived = settle(with_request_reason(batch).withColumn("uuid", uuid))
+        arrived = settle(with_request_reason(batch, required=required).withColumn("uuid", uuid))
         # An answer is used up even by a request that could not be answered again.
         still_open, used = cancel_answered(arrived, book.remaining(batch_id))
         book.note(batch_id, used)

@@ -180,6 +180,14 @@ FROM (SELECT *, {_UNSCORABLE} AS total FROM weighed) WHERE {where}"""
 
 
 ORACLES: dict[str, str] = {
+    "validate_requests": _with(
+        ["requests"],
+        """
+SELECT o_orderkey AS msg_id, CASE WHEN n = 0 THEN 'no providers' WHEN n = 1 OR o_orderkey % 5 = 4 THEN NULL
+  WHEN o_orderkey % 5 = 0 THEN 'unsupported version: 9.9' WHEN o_orderkey % 5 = 1 THEN 'invalid keys: hobby'
+  WHEN o_orderkey % 5 = 2 THEN 'missing keys: template_name' ELSE 'missing keys: exact_flavors' END AS reason
+FROM (SELECT o.o_orderkey, count(r.msg_id) AS n FROM orders o LEFT JOIN requests r ON r.msg_id = o.o_orderkey GROUP BY ALL)""",
+    ),
     "split_members": _with(
         ["derived"],
         f"""

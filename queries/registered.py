@@ -27,12 +27,12 @@ from moorage.operators.scaling import fit_scaler, robust_scale
 from moorage.operators.scoring import any_missing, history_scores, model_scores, void_messages
 from moorage.plans.inference import RankJob, rank_messages
 from moorage.plans.training import feature_table, time_span
-from moorage.schema import DEFAULT_FEATURES, HISTORY_SCHEMAS, HISTORY_STATS, RESOURCE_DIFFS
+from moorage.schema import CANDIDATE_FIELDS, DEFAULT_FEATURES, HISTORY_SCHEMAS, HISTORY_STATS, RESOURCE_DIFFS
 from moorage.settle import settle, shared_folder
 from moorage.sources.history import read_history_files
 from moorage.sources.messages import AnswerSink, read_answers, write_answers
 from moorage.sources.topics import history_messages, read_history_messages, struct_messages
-from moorage.sources.validation import with_history_reason
+from moorage.sources.validation import with_history_reason, with_request_reason
 from moorage.streaming.ranking import rank_stream
 from queries.oracles import COMPLEX, FENCED, SCALED, THRESHOLD
 from queries.views import view
@@ -220,6 +220,21 @@ def validate_messages(spark, sf_dir):
     return with_history_reason(view(spark, sf_dir, "topic_messages")).select("uuid", "reason")
 
 
+def validate_requests(spark, sf_dir):
+    """Requests with a defect each, by the order's number: version, foreign field, no template, no flavours."""
+    rows = messages(spark, sf_dir).select("uuid", "msg_version", "template_name", "providers")
+    text, number = F.col("value"), F.get_json_object("value", "$.uuid").cast("bigint")
+    broken = (
+        F.when(number % 5 == 0, F.replace(text, F.lit('"msg_version":"1.1.0"'), F.lit('"msg_version":"9.9"')))
+        .when(number % 5 == 1, F.replace(text, F.lit('"gpus_requ":'), F.lit('"hobby":')))
+        .when(number % 5 == 2, F.replace(text, F.lit('"template_name":'), F.lit('"no_template":')))
+        .when(number % 5 == 3, F.regexp_replace(text, '"exact_flavors":[^,}]*,', ""))
+        .otherwise(text)
+    )
+    sent = struct_messages(rows).select(number.alias("msg_id"), broken.alias("value"))
+    return with_request_reason(sent, required=CANDIDATE_FIELDS).select("msg_id", "reason")
+
+
 def history_to_json(spark, sf_dir):
     rows = deployments(spark, sf_dir)
     return history_messages(rows).select(F.get_json_object("value", "$.uuid").alias("uuid"), "value")
@@ -453,6 +468,7 @@ def stream_rank(spark, sf_dir):
         ledger=f"{folder}/ledger",
         checkpoint=f"{folder}/checkpoint",
         job=RankJob(complex_templates=COMPLEX),
+        required=CANDIDATE_FIELDS,
     ).awaitTermination()
     entry = "uuid string, ranked_providers array<struct<provider_name string, region_name string>>"
     answers = spark.read.schema(entry).json(f"{folder}/answers")
@@ -460,6 +476,7 @@ def stream_rank(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {
+    "validate_requests": validate_requests,
     "split_members": split_members,
     "fold_members": fold_members,
     "rank_unscorable": rank_unscorable,

@@ -2,9 +2,9 @@ import json
 
 import pytest
 
-from moorage.schema import TOPIC_SCHEMA, history_schema
+from moorage.schema import CANDIDATE_FIELDS, TOPIC_SCHEMA, history_schema
 from moorage.sources.history import HistorySource, read_history, read_history_files
-from moorage.sources.messages import AnswerSink, read_answers, read_requests, write_answers
+from moorage.sources.messages import AnswerSink, read_answers, read_requests, request_messages, write_answers
 from moorage.sources.topics import (
     Tls,
     Topic,
@@ -196,6 +196,29 @@ def test_json_lines_of_several_records(spark, tmp_path):
     assert read_requests(spark, str(requests)).count() == 4
 
 
+@pytest.mark.parametrize("as_lines", [True, False])
+def test_requests_of_files_are_checked_like_those_of_topics(spark, tmp_path, as_lines):
+    good = {f: 1 for f in CANDIDATE_FIELDS}
+    fine = {"uuid": "a", "msg_version": "1.1.0", "template_name": "t", "providers": [good, good]}
+    defects = {
+        "unsupported version: 9.9": {**fine, "msg_version": "9.9"},
+        "invalid keys: hobby": {**fine, "providers": [good, {"hobby": 1}]},
+        "missing keys: uuid": {k: v for k, v in fine.items() if k != "uuid"},
+        "missing keys: exact_flavors": {**fine, "providers": [{k: v for k, v in good.items() if k != "exact_flavors"}] * 2},
+    }
+    for k, (reason, message) in enumerate({None: fine, **defects}.items()):
+        rows = [fine, message]
+        text = "\n".join(map(json.dumps, rows)) if as_lines else json.dumps(rows, indent=1)
+        path = write(tmp_path / f"{k}.json", text)
+        found = sorted(str(r["reason"]) for r in with_request_reason(request_messages(spark, path), required=CANDIDATE_FIELDS).collect())
+        assert found == sorted(["None", str(reason)])
+        if reason is None:
+            assert [r["uuid"] for r in read_requests(spark, path).collect()] == ["a", "a"]
+        else:
+            with pytest.raises(ValueError, match="refused"):
+                read_requests(spark, path)
+
+
 @pytest.mark.parametrize("text", ['[{"uuid": "a"}]\n[{"uuid": "b"}]', '{"uuid": "a"}\n{"uuid": ', '{"uuid":\n"a"}\n{"uuid":\n"b"}', "uuid"])
 def test_json_that_would_be_read_in_part_is_refused(spark, tmp_path, text):
     path = tmp_path / "bad.json"
