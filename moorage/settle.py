@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +28,23 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("settled tables of the innermost scope", default=None)
+
+
+@contextmanager
+def settled_for_now(spark: SparkSession) -> Iterator[None]:
+    """Tables that are settled inside are deleted at the end: nothing that is still to run may read them."""
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a parquet table and read it back.
 
@@ -36,5 +56,7 @@ def settle(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from moorage.functions.features import parsed_time
+from moorage.settle import settle, settled_for_now
 from moorage.sources.topics import parse_history
 from moorage.sources.validation import accepted, refused, with_history_reason
 
@@ -27,16 +28,18 @@ def ingest_history(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        checked = with_history_reason(batch)
-        rows = parse_history(accepted(checked), version=version)
-        month = F.date_format(parsed_time(F.col("submission_time")), "yyyy-MM")
-        (
-            rows.withColumn("month", month)
-            .write.mode("overwrite")
-            .partitionBy("month")
-            .parquet(f"{table}/batch_id={batch_id}")
-        )
-        refused(checked).write.mode("overwrite").parquet(f"{dead_letters}/batch_id={batch_id}")
+        with settled_for_now(batch.sparkSession):
+            # The source is read once, for the rows and for the dead letters.
+            checked = settle(with_history_reason(batch))
+            rows = parse_history(accepted(checked), version=version)
+            month = F.date_format(parsed_time(F.col("submission_time")), "yyyy-MM")
+            (
+                rows.withColumn("month", month)
+                .write.mode("overwrite")
+                .partitionBy("month")
+                .parquet(f"{table}/batch_id={batch_id}")
+            )
+            refused(checked).write.mode("overwrite").parquet(f"{dead_letters}/batch_id={batch_id}")
 
     return (
         messages.writeStream.foreachBatch(store)

@@ -12,7 +12,7 @@ from moorage.operators.answered import after_cut, answer_counts, last_cancelled
 from moorage.operators.requests import MESSAGE
 from moorage.operators.scoring import history_scores
 from moorage.plans.inference import RankJob, Scorer, rank_messages
-from moorage.settle import settle
+from moorage.settle import settle, settled_for_now
 from moorage.sources.messages import AnswerSink, write_answers
 from moorage.sources.topics import parse_requests
 from moorage.sources.validation import accepted, refused, with_request_reason
@@ -91,6 +91,10 @@ def rank_stream(
     book.freeze(answers)
 
     def rank(batch: DataFrame, batch_id: int) -> None:
+        with settled_for_now(batch.sparkSession):
+            rank_batch(batch, batch_id)
+
+    def rank_batch(batch: DataFrame, batch_id: int) -> None:
         uuid = F.get_json_object(F.col("value").cast("string"), "$.uuid")
         arrived = settle(with_request_reason(batch, required=required).withColumn("uuid", uuid))
         # An answer is used up even by a request that could not be answered again.
