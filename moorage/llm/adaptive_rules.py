@@ -29,11 +29,12 @@ class Fence:
     both: bool = False
 
 
-#: Rules by name, in millionths; ``least`` keeps a group of equal documents from cutting at its own value.
+#: Rules by name, in millionths; ``least`` keeps a group of equal documents from cutting at its own value. A few
+#: repeated lines are normal prose: repetition is never cut more tightly than by the base rule's share.
 RULES: Mapping[str, Fence] = {
     "symbol_share": Fence(least=50_000),
-    "dup_line_share": Fence(least=300_000),
-    "repeat_share": Fence(least=150_000),
+    "dup_line_share": Fence(least=500_000),
+    "repeat_share": Fence(least=300_000),
     "word_length": Fence(least=3_000_000, both=True),
 }
 

@@ -50,6 +50,7 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
     """``mapInArrow`` over dicts of Python lists, one per batch; column types come from ``schema``."""
     kind = to_arrow(schema)
+    reachable_by_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in rows(batch.to_pydict() for batch in batches):
