@@ -25,11 +25,13 @@ class AnswerLedger:
 
     Answers are counted once, when a stream first starts; answers given later, also the stream's
     own, do not count.  Every batch notes the cancellations it used, in a folder of its own, and a
-    batch looks only at the notes of earlier ones, so that replaying it changes nothing.
+    batch looks only at the notes of earlier ones, so that replaying it changes nothing.  Every
+    ``summed_every`` batches what is left is written as a table of its own, from which later batches go on,
+    so a batch reads a bounded number of notes however long the stream runs.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, *, summed_every: int = 64):
+        self.spark, self.folder, self.summed_every = spark, folder.rstrip("/"), summed_every
 
     def _exists(self, name: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -40,15 +42,32 @@ class AnswerLedger:
         if not self._exists("answers/_SUCCESS"):
             answer_counts(answers).write.mode("overwrite").parquet(f"{self.folder}/answers")
 
+    def _sums(self) -> list[int]:
+        """The batches before which what is left was written in full."""
+        if not self._exists("left"):
+            return []
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/left")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        names = [f.getPath().getName() for f in found]
+        return [int(n.split("=")[1]) for n in names if "=" in n and self._exists(f"left/{n}/_SUCCESS")]
+
     def remaining(self, batch_id: int) -> DataFrame:
         """(uuid, answered): answers not used up before batch ``batch_id``."""
-        counts = self.spark.read.schema("uuid string, answered bigint").parquet(f"{self.folder}/answers")
-        if not self._exists("used"):
+        base = max((b for b in self._sums() if b <= batch_id), default=0)
+        if batch_id - base >= self.summed_every:
+            self._left(base, batch_id).write.mode("overwrite").parquet(f"{self.folder}/left/before={batch_id}")
+            base = batch_id
+        return self._left(base, batch_id)
+
+    def _left(self, base: int, batch_id: int) -> DataFrame:
+        start = f"left/before={base}" if base else "answers"
+        counts = self.spark.read.schema("uuid string, answered bigint").parquet(f"{self.folder}/{start}")
+        if base == batch_id or not self._exists("used"):
             return counts
         used = (
             self.spark.read.schema("uuid string, used bigint, batch_id bigint")
             .parquet(f"{self.folder}/used")
-            .where(F.col("batch_id") < batch_id)
+            .where((F.col("batch_id") >= base) & (F.col("batch_id") < batch_id))
             .groupBy("uuid")
             .agg(F.sum("used").alias("used"))
         )

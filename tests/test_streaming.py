@@ -118,3 +118,56 @@ def test_ledger_ignores_the_batch_itself_and_later_ones(spark, folder):
     assert left(0) == {"a": 3, "b": 1} and left(1) == {"a": 1, "b": 1} and left(2) == {"a": 1}
     book.note(0, spark.createDataFrame([("a", 1)], used))
     assert left(1) == {"a": 2, "b": 1}
+
+
+def test_history_is_refreshed_for_every_batch(spark, folder, make_history):
+    """Two micro-batches between which the better provider changes; nothing that they settle stays."""
+    import os
+
+    better = iter(["good", "bad"])
+
+    def state(_):
+        first = next(better)
+        second = "bad" if first == "good" else "good"
+        return history_state(
+            make_history(
+                {"provider_name": first, "region_name": "r"},
+                {"provider_name": second, "region_name": "r", "status": "CREATE_FAILED"},
+            )
+        )
+
+    two = [candidate("bad"), candidate("good")]
+    send(spark, folder, 0, request("a", *two))
+    send(spark, folder, 1, request("b", *two))
+
+    def settled():
+        return {n for n in os.listdir(shared_folder(spark).removeprefix("file:")) if n.startswith("settled-")}
+
+    before = settled()
+    rank_stream(
+        spark.readStream.schema(TOPIC_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{folder}/topic"),
+        answers=spark.createDataFrame([], "uuid string"),
+        state=state,
+        sink=AnswerSink(path=f"{folder}/answers"),
+        dead_letters=f"{folder}/refused",
+        ledger=f"{folder}/ledger",
+        checkpoint=f"{folder}/checkpoint",
+    ).awaitTermination()
+    rows = spark.read.schema("uuid string, ranked_providers array<struct<provider_name string>>").json(f"{folder}/answers")
+    orders = [[p["provider_name"] for p in r["ranked_providers"]] for r in rows.orderBy("batch_id").collect()]
+    assert orders == [["good", "bad"], ["bad", "good"]]
+    assert settled() == before
+
+
+def test_summed_ledger_equals_all_notes(spark, folder):
+    plain, summed = AnswerLedger(spark, f"{folder}/a"), AnswerLedger(spark, f"{folder}/b", summed_every=2)
+    answers = spark.createDataFrame([(f"u{i % 5}",) for i in range(40)], "uuid string")
+    for book in (plain, summed):
+        book.freeze(answers)
+        for batch in range(7):
+            left = sorted(map(tuple, book.remaining(batch).collect()))
+            assert left == sorted(map(tuple, book.remaining(batch).collect()))
+            book.note(batch, spark.createDataFrame([(f"u{batch % 5}", 2), ("u1", 1)], "uuid string, used bigint"))
+    assert summed._sums() and not plain._sums()
+    assert sorted(map(tuple, plain.remaining(7).collect())) == sorted(map(tuple, summed.remaining(7).collect()))
+    assert sorted(map(tuple, plain.remaining(3).collect())) == sorted(map(tuple, summed.remaining(3).collect()))
