@@ -149,7 +149,8 @@ def near_duplicates(docs: DataFrame, spec: MinHashSpec, *, doc_id: str = "doc_id
     firsts = settle(signed.where("n_shingles > 0").groupBy("digest").agg(first.alias("first")).select("digest", "first.*"))
 
     chained = settle(components(_chains(firsts)))
-    sizes = chained.groupBy("component").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("component", "of")
+    # Settled before they are joined: a side that is still to be aggregated can't be split where one group is large.
+    sizes = settle(chained.groupBy("component").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("component", "of"))
     members = chained.join(sizes, F.col("component") == F.col("of")).select("node", "component", "members")
     wanted = settle(firsts.join(members, F.col("digest") == F.col("node")).select("digest", *_KEY, "component", "members"))
     # Duplicates are dropped by the join's own keys, so the texts move once.
@@ -159,7 +160,7 @@ def near_duplicates(docs: DataFrame, spec: MinHashSpec, *, doc_id: str = "doc_id
     ids = signed.select("doc_id", "text_hash", "n_shingles", "digest")
     least = firsts.select("digest", F.col("doc_id").alias("rep"))
     class_of = settle(least.join(linked, F.col("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("component", "digest").alias("component")))
-    roots = class_of.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "of_component")
+    roots = settle(class_of.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "of_component"))
     named = settle(class_of.join(roots, F.col("component") == F.col("of_component")).select(F.col("digest").alias("of_digest"), "component_id"))
     joined = ids.join(named, F.col("digest") == F.col("of_digest"), "left")
     component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -39,10 +39,11 @@ def _star(edges: DataFrame, *, larger: bool) -> DataFrame:
     if larger:
         both = edges.union(edges.select(F.col("to").alias("node"), F.col("node").alias("to")))
         least = both.groupBy("node").agg(F.min("to").alias("low")).select(F.col("node").alias("of"), F.least("node", "low").alias("low"))
+        least = settle(least)  # so the join is of two plain exchanges and may split a node with many links
         kept = edges.select(F.col("to").alias("centre"), F.col("node").alias("leaf"))
         hung = kept.join(least, F.col("centre") == F.col("of")).select(F.col("leaf").alias("node"), F.col("low").alias("to"))
     else:
-        least = edges.groupBy("node").agg(F.min("to").alias("low")).withColumnRenamed("node", "of")
+        least = settle(edges.groupBy("node").agg(F.min("to").alias("low")).withColumnRenamed("node", "of"))
         hung = edges.join(least, F.col("node") == F.col("of")).select(F.col("to").alias("node"), F.col("low").alias("to")).where("node <> to")
         hung = hung.union(least.select(F.col("of").alias("node"), F.col("low").alias("to")))
     return hung.distinct()
