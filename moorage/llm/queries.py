@@ -50,7 +50,7 @@ def op4_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 3) == 1
     model = language_mix.train(docs.where(~held_out))
-    return language_mix.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")
+    return language_mix.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
