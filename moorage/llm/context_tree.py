@@ -1,26 +1,27 @@
 """Byte model by context-tree weighting, and scores of whole texts with it.
 
-A text is a row of words (A-Z in lower case) and one end. A word is its bytes and a space, the end is a
-line feed; each byte is eight binary decisions, and each decision has a context tree of its own over the up to ``depth``
-bytes before it inside the word (spaces before its first byte). A node's estimate is Krichevsky-Trofimov's from its training
+A text is a stream of bytes: its words (A-Z in lower case) joined by a space, and a line feed as its end. Each byte is
+eight binary decisions, and each decision has a context tree of its own over the up to ``depth`` bytes before it
+inside the word (spaces before its first byte). A node's estimate is Krichevsky-Trofimov's from its training
 counts; its weight against its children follows from the block probabilities,
 
     Pw = 1/2 Pe + 1/2 prod Pw(children),   Pw = Pe at a leaf,
 
-so a byte's probability mixes the estimates of all depths on its path. Contexts that hold less than one
-``contexts``-th of the training bytes share one leaf under their parent: at every depth there are at most ``contexts``
-others, whatever the size of the corpus, so the tree may be broadcast, and still every byte counts.
+so a byte's probability mixes the estimates of all depths on its path. Every context with a training byte has its node, at
+every depth: the tree grows with the corpus and stays in tables.
 
-Counting meets per word without a row per word and document: a task numbers the words of its chunk, sends the
-chunk's words in one piece per bucket of words, and gets the counts and log-probabilities back in
-the same order.
+A gram is a byte with the context before it. A task counts the grams of its chunk and sends them in one piece per
+bucket of contexts; contexts with the same last ``TOP`` bytes share a bucket. A bucket adds up its pieces and weighs its
+subtrees from the leaves up; the nodes above, of at most ``TOP`` bytes, are bounded by the alphabet whatever the
+corpus, and are weighed on the driver. Then buckets answer every piece with its grams' log-probabilities in the same
+order, and chunks sum them per text. Words are counted the same way for the unigram base.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,11 @@ from moorage.llm.bbit_minhash import tokens
 
 #: Bytes of text in one chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 8_000_000
-_END = 0x0A
+#: Positions of a stream that are looked at together.
+SLICE = 2_000_000
+#: Bytes of context that buckets share.
+TOP = 2
+_SPACE, _END = 0x20, 0x0A
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -47,26 +52,13 @@ def _expand(data: bytes) -> bytes:
 
 @dataclass(frozen=True)
 class ContextTree:
-    """``kept[d]``: sorted contexts of length d that have a node; ``keys``: sorted (depth, context, byte), ``log2p``."""
+    """A small tree in memory. ``kept[d]``: sorted contexts of length d that have a node; ``keys``: sorted (depth, context, byte), ``log2p``."""
 
     depth: int
     kept: tuple[np.ndarray, ...]
     keys: np.ndarray
     log2p: np.ndarray
 
-    def log10_words(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word, its closing space included."""
-        if not words:
-            return np.zeros(0)
-        grams, lengths = word_grams(words, self.depth)
-        at = np.searchsorted(self.keys, reduced(grams, self.kept, self.depth))
-        ends = np.cumsum(lengths)
-        return np.add.reduceat(self.log2p[at].astype(np.float64), ends - lengths) * math.log10(2)
-
-    def log10_end(self) -> float:
-        at = np.searchsorted(self.keys, reduced(end_gram(self.depth), self.kept, self.depth))
-        return float(self.log2p[at][0]) * math.log10(2)
-
 
 def word_grams(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For every byte of every word and its closing space: the ``depth`` bytes before it and itself, as one number."""
@@ -183,189 +175,318 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys, np.bincount(inverse, weights=weights, minlength=len(keys)).astype(np.int64)
 
 
-CHUNKS = "kind int, chunk bigint, bucket int, doc_id bigint, held_out boolean, n_words bigint, a binary, b binary"
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    return _squeeze(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes())
+
+
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    flat = np.frombuffer(_expand(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _pack_grams(grams: np.ndarray) -> bytes:
+    return _pack(np.diff(grams, prepend=np.uint64(0)))
+
+
+def _unpack_grams(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, "<u8"), dtype=np.uint64)
+
+
+def stream(words: list[bytes]) -> bytes:
+    return b" ".join(words) + b"\n"
+
+
+def stream_grams(flat: np.ndarray, depth: int, begin: int, stop: int) -> np.ndarray:
+    """Grams of the bytes ``begin`` to ``stop`` of texts one after another; before a text's first byte are spaces."""
+    grams = flat[begin:stop].astype(np.uint64)
+    ended = np.zeros(stop - begin, bool)
+    for back in range(1, depth + 1):
+        outside = min(max(0, back - begin), stop - begin)
+        byte = np.full(stop - begin, _SPACE, np.uint8)
+        byte[outside:] = flat[begin + outside - back : stop - back]
+        ended |= (byte == _END) | (byte == _SPACE)
+        byte[ended] = _SPACE
+        grams |= byte.astype(np.uint64) << np.uint64(8 * back)
+    return grams
+
+
+def _slices(size: int) -> Iterator[tuple[int, int]]:
+    for begin in range(0, size, SLICE):
+        yield begin, min(size, begin + SLICE)
+
+
+def _collapse(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams of the parts, with their counts added up."""
+    grams = np.concatenate([np.zeros(0, np.uint64), *(g for g, _ in parts)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+    return grams[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _counted(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in parts:
+        held.append(part)
+        if sum(len(g) for g, _ in held[1:]) > max(SLICE, len(held[0][0])):
+            held = [_collapse(held)]
+    return _collapse(held)
+
+
+def count_grams(flat: np.ndarray, depth: int, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams of texts one after another, with their counts in texts marked by ``train``, one per text."""
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        text = 0
+        for begin, stop in _slices(len(flat)):
+            ends = flat[begin:stop] == _END
+            learned = train[np.minimum(text + np.cumsum(ends) - ends, len(train) - 1)]
+            text += int(ends.sum())
+            grams = stream_grams(flat, depth, begin, stop)
+            yield np.unique(grams[learned], return_counts=True)
+            others = np.unique(grams[~learned])
+            yield others, np.zeros(len(others), np.int64)
+
+    return _counted(parts())
+
+
+def bucket_of(grams: np.ndarray, depth: int, buckets: int) -> np.ndarray:
+    """By the last bytes of the context alone, so that a bucket holds whole subtrees."""
+    shared = grams >> np.uint64(8) & _mask(_top(depth))
+    return (((shared * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)).astype(np.int64) % buckets
+
+
+def _top(depth: int) -> int:
+    return min(TOP, depth - 1)
+
+
+def _levels(grams: np.ndarray, counts: np.ndarray, depth: int, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(gram, count, its row in the next level) for contexts of ``depth`` bytes, one less, and so on to ``least``."""
+    levels = []
+    for d in range(depth - 1, least - 1, -1):
+        shorter, up = np.unique(grams & _mask(d + 1), return_inverse=True)
+        levels.append((grams, counts, up))
+        grams, counts = shorter, np.bincount(up, weights=counts, minlength=len(shorter)).astype(np.int64)
+    levels.append((grams, counts, None))
+    return levels
+
+
+def decide(levels: list, below: np.ndarray | None, above: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """For each of the eight decisions: ln of the children's Pw product at the last level, and the mixture so far at the first.
+
+    ``below`` (8, rows): that product at the first level, None where it has the leaves. ``above`` (8, 3, rows): the mixture
+    at the last level from the contexts before it; the last level is then weighed there, not here. The mixture has
+    three parts: what the estimates down to here bring, the weight left for deeper ones, and the probability where no
+    deeper context has a training byte.
+    """
+    for bit in range(8):
+        nodes, product = [], None if below is None else below[bit]
+        for grams, counts, up in levels if above is None else levels[:-1]:
+            node = grams >> np.uint64(8 - bit)
+            starts = np.append(True, node[1:] != node[:-1])[: len(node)]
+            first, own = np.flatnonzero(starts), np.cumsum(starts) - 1
+            value = (grams >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
+            total, ones = (np.add.reduceat(c, first).astype(np.float64) if len(first) else np.zeros(0) for c in (counts, counts * value))
+            log_pe = _log_kt(total - ones, ones)
+            if product is None:
+                log_pw, weight = log_pe, np.ones(len(first))
+            else:
+                children = product[first]
+                log_pw = np.logaddexp(log_pe, children) - math.log(2)
+                weight = 1 / (1 + np.exp(np.clip(children - log_pe, -500, 500)))
+            nodes.append((_estimate(total, ones, own, value), weight[own], total[own] > 0))
+            if up is not None:
+                prefix = levels[len(nodes)][0] >> np.uint64(8 - bit)
+                group = np.cumsum(np.append(True, prefix[1:] != prefix[:-1])[: len(prefix)]) - 1
+                product = np.bincount(group[up[first]], weights=log_pw, minlength=int(group[-1]) + 1 if len(group) else 0)[group]
+        mixed = np.stack([np.zeros(len(levels[-1][0])), np.ones(len(levels[-1][0])), np.full(len(levels[-1][0]), 0.5)]) if above is None else above[bit]
+        for (estimate, weight, seen), (_, _, up) in zip(reversed(nodes), reversed(levels if above is None else levels[:-1])):
+            brought, left, stop = mixed if up is None else mixed[:, up]
+            mixed = np.stack([brought + left * weight * estimate, left * (1 - weight), np.where(seen, brought + left * estimate, stop)])
+        yield product, mixed
+
+
+def subtree_products(grams: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the nodes above a bucket need of it: their grams of ``TOP`` bytes of context, counts, products of Pw (8, rows)."""
+    levels = _levels(grams, counts, depth, _top(depth))
+    unweighed = np.zeros((8, 3, len(levels[-1][0])))
+    return levels[-1][0], levels[-1][1], np.stack([product for product, _ in decide(levels, None, unweighed)])
+
+
+def weigh_top(grams: np.ndarray, counts: np.ndarray, products: np.ndarray, depth: int) -> np.ndarray:
+    """The mixtures (8, 3, rows) at the grams of ``TOP`` bytes of context."""
+    return np.stack([mixed for _, mixed in decide(_levels(grams, counts, _top(depth), 0), products, None)])
+
+
+def weigh_bucket(grams: np.ndarray, counts: np.ndarray, depth: int, top_grams: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """log2 probability of each of a bucket's grams."""
+    levels = _levels(grams, counts, depth, _top(depth))
+    above = top[:, :, np.searchsorted(top_grams, levels[-1][0])]
+    return sum(np.log2(mixed[2]) for _, mixed in decide(levels, None, above))
+
+
+CHUNKS = "kind int, chunk bigint, bucket int, doc_id bigint, held_out boolean, a binary, b binary"
 _CHUNK_NAMES = [c.split()[0] for c in CHUNKS.split(", ")]
 
 
-def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Words of each chunk by bucket (kind 0: words, training counts), and documents by their words' numbers (kind 1)."""
+def _numbered(texts: Iterable[list[bytes]], buckets: int) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+    """Distinct words by bucket, each text's words by their places among them, and where buckets begin."""
+    vocabulary: dict[bytes, int] = {}
+    numbers = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.uint32, len(words)) for words in texts]
+    words = list(vocabulary)
+    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(words), np.uint32)
+    place[order] = np.arange(len(words))
+    return [words[i] for i in order.tolist()], [place[n] for n in numbers], np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _chunks(docs: DataFrame, buckets: int, depth: int) -> DataFrame:
+    """Of each chunk: words (kind 0) and grams (kind 2) by bucket with training counts, texts (kind 1), their stream (kind 3)."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        vocabulary: dict[bytes, int] = {}
         held: list[tuple] = []
         size = 0
 
-        def close() -> dict:
-            nonlocal vocabulary, held, size, number
+        def close() -> Iterator[dict]:
             chunk = part << 32 | number
-            words = list(vocabulary)
-            train = np.zeros(len(words), np.int64)
-            for _, out, _, kinds, times in held:
-                if not out:
-                    train[kinds] += times
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
             out = {name: [] for name in _CHUNK_NAMES}
 
             def row(*values) -> None:
                 for name, value in zip(_CHUNK_NAMES, values):
                     out[name].append(value)
 
+            whole = b"".join(text for _, _, text in held)
+            train = np.array([not held_out for _, held_out, _ in held], bool)
+            words, places, edges = _numbered((text[:-1].split() for _, _, text in held), buckets)
+            counts = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(p for p, t in zip(places, train) if t)]), minlength=len(words))
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                own = slice(edges[b], edges[b + 1])
+                row(0, chunk, b, None, None, _squeeze(b"\n".join(words[own])), _pack(counts[own].astype("<i8")))
+            del words, places
+            grams, counts = count_grams(np.frombuffer(whole, np.uint8), depth, train)
+            bucket = bucket_of(grams, depth, buckets)
+            order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
+            for b in np.flatnonzero(np.diff(edges)).tolist():
                 own = order[edges[b] : edges[b + 1]]
-                if len(own):
-                    row(0, chunk, b, None, None, None, _squeeze(b"\n".join([words[i] for i in own.tolist()])), _squeeze(train[own].astype("<i8").tobytes()))
-            for key, held_out, n, kinds, times in held:
-                at = place[kinds]
-                turn = np.argsort(at)
-                row(1, chunk, None, key, held_out, n, _squeeze(np.diff(at[turn], prepend=0).astype("<u4").tobytes()), _squeeze(times[turn].astype("<u4").tobytes()))
-            vocabulary, held, size, number = {}, [], 0, number + 1
-            return out
+                row(2, chunk, b, None, None, _pack_grams(grams[own]), _pack(counts[own].astype("<u4")))
+            for place, (key, held_out, _) in enumerate(held):
+                row(1, chunk, place, key, held_out, None, None)
+            row(3, chunk, None, None, None, _squeeze(whole), None)
+            yield out
 
         for batch in batches:
             for key, text, held_out in zip(batch["doc_id"], batch["text"], batch["held_out"]):
-                words = tokens(text)
-                numbers = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words))
-                kinds, times = np.unique(numbers, return_counts=True)
-                held.append((key, held_out, len(words), kinds, times))
-                size += len(text or "") + 100
+                held.append((key, held_out, stream(tokens(text))))
+                size += len(held[-1][2]) + 100
                 if size >= CHUNK_BYTES:
-                    yield close()
+                    yield from close()
+                    held, size, number = [], 0, number + 1
         if held:
-            yield close()
+            yield from close()
 
     return map_rows(docs, rows, CHUNKS)
 
 
-TYPES = "kind int, bucket int, chunk bigint, a binary, b binary"
-
-
-def _bucket_types(frame: pd.DataFrame) -> pd.DataFrame:
-    """Distinct words of a bucket with their counts (kind 0), and each chunk's words by their numbers (kind 1)."""
-    known: dict[bytes, int] = {}
-    out, sums = [], []
-    for chunk, words, counts in sorted(zip(frame["chunk"], frame["a"], frame["b"])):
-        numbers = np.array([known.setdefault(w, len(known)) for w in _expand(words).split(b"\n")], np.int64)
-        out.append((1, int(frame["bucket"].iat[0]), chunk, _squeeze(numbers.astype("<u4").tobytes()), None))
-        sums.append((numbers, np.frombuffer(_expand(counts), "<i8")))
-    total = np.zeros(len(known), np.int64)
-    for numbers, counts in sums:
-        total[numbers] += counts
-    out.append((0, int(frame["bucket"].iat[0]), None, _squeeze(b"\n".join(known)), _squeeze(total.astype("<i8").tobytes())))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in TYPES.split(", ")])
-
-
-def _opened(batch: dict) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    for bucket, words, counts in zip(batch["bucket"], batch["a"], batch["b"]):
-        yield bucket, _expand(words).split(b"\n"), np.frombuffer(_expand(counts), "<i8")
-
-
-def fit(types: DataFrame, n_bytes: int, n_ends: int, *, depth: int, contexts: int) -> ContextTree:
-    """The tree for a table of buckets (bucket, a: words, b: training counts) and the number of ends."""
-    spark = types.sparkSession
-    least = max(1, -(-n_bytes // contexts))
-
-    def totals(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            for _, words, counts in _opened(batch):
-                words = [w for w, c in zip(words, counts.tolist()) if c]
-                if not words:
-                    continue
-                grams, lengths = word_grams(words, depth)
-                weights = np.repeat(counts[counts > 0], lengths)
-                for d in range(1, depth + 1):
-                    keys, sums = _summed(grams >> np.uint64(8) & _mask(d), weights)
-                    yield {"d": [d] * len(keys), "context": keys.astype(np.int64).tolist(), "n": sums.tolist()}
-
-    counted = map_rows(types, totals, "d int, context bigint, n bigint").groupBy("d", "context").agg(F.sum("n").alias("n"))
-    frequent = counted.where(F.col("n") >= least).select("d", "context").toPandas()
-    start = end_gram(depth)[0] >> np.uint64(8)
-    kept = tuple(np.unique(np.append(frequent.loc[frequent["d"] == d, "context"].to_numpy(np.int64).astype(np.uint64), start & _mask(d))) for d in range(depth + 1))
-    sent = spark.sparkContext.broadcast(kept)
-
-    def grams_of(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            for _, words, counts in _opened(batch):
-                grams, lengths = word_grams(words, depth)
-                keys, sums = _summed(reduced(grams, sent.value, depth), np.repeat(counts, lengths))
-                yield {"key": keys.astype(np.int64).tolist(), "n": sums.tolist()}
-
-    grams = map_rows(types, grams_of, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    keys = np.append(grams["key"].to_numpy(np.int64).astype(np.uint64), reduced(end_gram(depth), kept, depth))
-    counts = np.append(grams["n"].to_numpy(np.int64), n_ends)
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    return ContextTree(depth, kept, keys, weigh(keys, counts, depth).astype(np.float32))
+def _bucket_words(frame: pd.DataFrame) -> pd.DataFrame:
+    """Training counts of a bucket's distinct words."""
+    total: dict[bytes, int] = {}
+    for words, counts in zip(frame["a"], frame["b"]):
+        for word, count in zip(_expand(words).split(b"\n"), _unpack(counts, "<i8").tolist()):
+            total[word] = total.get(word, 0) + count
+    sums = np.fromiter(total.values(), np.int64, len(total))
+    return pd.DataFrame([(int(frame["bucket"].iat[0]), int(sums.sum()), int((sums > 0).sum()), _squeeze(b"\n".join(total)), _pack(sums.astype("<i8")))], columns=["bucket", "n", "v", "words", "counts"])
 
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, *, depth: int = 6, contexts: int = 1 << 17) -> DataFrame:
+def score_documents(docs: DataFrame, *, depth: int = 6) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, held_out): tokens, known tokens, unigram and tree log10 scores.
 
-    Learns from rows that are not held out, counting every word of every text. A null text is empty and has the
+    Learns from rows that are not held out, counting every byte of every text. A null text is empty and has the
     end alone. Equal rows each get their row; null ids stay. Where nothing is learned from, every count is zero and all
     decisions have probability 1/2. An empty table gives an empty result.
     """
+    if not 1 <= depth <= 7:
+        raise ValueError("a depth of 1 to 7 bytes")
     spark = docs.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows_in = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    chunks = settle(_chunks(rows_in, buckets))
-    pieces = chunks.where("kind = 0").select("chunk", "bucket", "a", "b")
-    typed = settle(pieces.groupBy("bucket").applyInPandas(_bucket_types, TYPES))
-    types = typed.where("kind = 0").select("bucket", "a", "b")
-
-    def sums(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            for _, words, counts in _opened(batch):
-                lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-                yield {"n": [int(counts.sum())], "v": [int((counts > 0).sum())], "bytes": [int((counts * lengths).sum())]}
-
-    seen = map_rows(types, sums, "n bigint, v bigint, bytes bigint").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "bytes"))).first()
+    chunks = settle(_chunks(rows_in, buckets, depth))
+    words, grams = (chunks.where(f"kind = {k}").select("chunk", "bucket", "a", "b") for k in (0, 2))
+    known = settle(words.groupBy("bucket").applyInPandas(_bucket_words, "bucket int, n bigint, v bigint, words binary, counts binary"))
+    seen = known.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v"))).first()
     n_ends = chunks.where("kind = 1 AND NOT held_out").count()
     n, v = seen.n + n_ends, seen.v + (n_ends > 0)
-    tree = fit(types, seen.bytes + n_ends, n_ends, depth=depth, contexts=contexts)
-    sent = spark.sparkContext.broadcast(tree)
-
-    def valued(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            for bucket, words, counts in _opened(batch):
-                yield {"bucket": [bucket], "counts": [_squeeze(counts.tobytes())], "logs": [_squeeze(sent.value.log10_words(words).astype("<f8").tobytes())]}
-
-    values = settle(map_rows(types, valued, "bucket int, counts binary, logs binary"))
-    asked = typed.where("kind = 1").select("bucket", "chunk", F.col("a").alias("numbers"))
-    names = ["chunk", "bucket", "counts", "logs"]
-
-    def answer(wanted: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        counts, logs = np.frombuffer(_expand(known["counts"].iat[0]), "<i8"), np.frombuffer(_expand(known["logs"].iat[0]), "<f8")
-        out = []
-        for bucket, chunk, numbers in zip(wanted["bucket"], wanted["chunk"], wanted["numbers"]):
-            own = np.frombuffer(_expand(numbers), "<u4")
-            out.append((chunk, bucket, _squeeze(counts[own].tobytes()), _squeeze(logs[own].astype("<f4").tobytes())))
-        return pd.DataFrame(out, columns=names)
 
-    answers = asked.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInPandas(answer, "chunk bigint, bucket int, counts binary, logs binary")
-    documents = chunks.where("kind = 1").select("chunk", "doc_id", "held_out", "n_words", "a", "b")
-    norm, end_known, end_score = math.log10(n + v + 1), n_ends, tree.log10_end()
+    def summed_bucket(frame: pd.DataFrame) -> pd.DataFrame:
+        own, counts = _counted((_unpack_grams(a), _unpack(b, "<u4").astype(np.int64)) for a, b in zip(frame["a"], frame["b"]))
+        top, top_counts, products = subtree_products(own, counts, depth)
+        values = (int(frame["bucket"].iat[0]), _pack_grams(own), _pack(counts.astype("<i8")), _pack_grams(top), _pack(top_counts.astype("<i8")), _pack(np.ascontiguousarray(products.T).astype("<f8").ravel()))
+        return pd.DataFrame([values], columns=["bucket", "grams", "counts", "top", "top_counts", "products"])
+
+    trees = settle(grams.groupBy("bucket").applyInPandas(summed_bucket, "bucket int, grams binary, counts binary, top binary, top_counts binary, products binary"))
+    # One row per byte with the TOP bytes before it: bounded by the alphabet, not by the corpus.
+    tops = trees.select("top", "top_counts", "products").collect()
+    top = np.concatenate([np.zeros(0, np.uint64), *(_unpack_grams(r.top) for r in tops)])
+    order = np.argsort(top)
+    top_counts = np.concatenate([np.zeros(0, np.int64), *(_unpack(r.top_counts, "<i8") for r in tops)])[order]
+    products = np.concatenate([np.zeros((0, 8)), *(_unpack(r.products, "<f8").reshape(-1, 8) for r in tops)])[order].T
+    sent = spark.sparkContext.broadcast((top[order], weigh_top(top[order], top_counts, products, depth)))
+
+    def count_answers(wanted: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        total = dict(zip(_expand(found["words"].iat[0]).split(b"\n"), _unpack(found["counts"].iat[0], "<i8").tolist()))
+        out = [(c, 0, b, _pack(np.array([total[w] for w in _expand(a).split(b"\n")], "<i8"))) for c, b, a in zip(wanted["chunk"], wanted["bucket"], wanted["a"])]
+        return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "answer"])
+
+    def gram_answers(wanted: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        own = _unpack_grams(found["grams"].iat[0])
+        logs = weigh_bucket(own, _unpack(found["counts"].iat[0], "<i8"), depth, *sent.value).astype("<f4")
+        out = [(c, 2, b, _pack(logs[np.searchsorted(own, _unpack_grams(a))])) for c, b, a in zip(wanted["chunk"], wanted["bucket"], wanted["a"])]
+        return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "answer"])
+
+    answers = "chunk bigint, kind int, bucket int, answer binary"
+    asked = [k.drop("b").groupBy("bucket") for k in (words, grams)]
+    answered = asked[0].cogroup(known.groupBy("bucket")).applyInPandas(count_answers, answers).union(asked[1].cogroup(trees.groupBy("bucket")).applyInPandas(gram_answers, answers))
+    texts = chunks.where("kind IN (1, 3)").select("chunk", "kind", F.col("bucket").alias("place"), "doc_id", "held_out", "a")
+    norm, end_known = math.log10(n + v + 1), n_ends
 
     def summed(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        whole = _expand(wanted.loc[wanted["kind"] == 3, "a"].iat[0])
+        rows = wanted[wanted["kind"] == 1].sort_values("place")
         found = found.sort_values("bucket")
-        counts = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(_expand(c), "<i8") for c in found["counts"])])
-        logs = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(_expand(p), "<f4") for p in found["logs"])]).astype(np.float64)
+        counts = np.concatenate([np.zeros(0, "<i8"), *(_unpack(x, "<i8") for x in found.loc[found["kind"] == 0, "answer"])])
+        logs = np.concatenate([np.zeros(0, "<f4"), *(_unpack(x, "<f4") for x in found.loc[found["kind"] == 2, "answer"])])
+        scores = score_stream(np.frombuffer(whole, np.uint8), depth, buckets, logs, len(rows)) * math.log10(2)
         plain = np.log10(counts + 1.0) - norm
+        _, places, _ = _numbered((text.split() for text in whole[:-1].split(b"\n")), buckets)
         out = []
-        for row in wanted.itertuples(index=False):
-            at, times = np.cumsum(np.frombuffer(_expand(row.a), "<u4").astype(np.int64)), np.frombuffer(_expand(row.b), "<u4").astype(np.float64)
-            known = int(times[counts[at] > 0].sum()) + (end_known > 0)
-            base = float(times @ plain[at]) + math.log10(end_known + 1) - norm
-            out.append((row.doc_id, row.held_out, row.n_words + 1, known, n, base, float(times @ logs[at]) + end_score))
+        for key, held_out, own, score in zip(rows["doc_id"], rows["held_out"], places, scores.tolist()):
+            known_words = int(np.count_nonzero(counts[own])) + (end_known > 0)
+            out.append((key, held_out, len(own) + 1, known_words, n, float(plain[own].sum()) + math.log10(end_known + 1) - norm, score))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCORES.split(", ")]).astype({"doc_id": "Int64"})
 
-    return answers.groupBy("chunk").cogroup(documents.groupBy("chunk")).applyInPandas(summed, SCORES)
+    return answered.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInPandas(summed, SCORES)
+
+
+def score_stream(flat: np.ndarray, depth: int, buckets: int, logs: np.ndarray, texts: int) -> np.ndarray:
+    """log2 probability of each text of a stream; ``logs`` are those of its distinct grams, bucket after bucket."""
+    grams, _ = count_grams(flat, depth, np.zeros(texts, bool))
+    value = np.empty(len(grams), np.float64)
+    value[np.argsort(bucket_of(grams, depth, buckets), kind="stable")] = logs
+    out, text = np.zeros(texts), 0
+    for begin, stop in _slices(len(flat)):
+        ends = flat[begin:stop] == _END
+        own = text + np.cumsum(ends) - ends
+        text += int(ends.sum())
+        asked = stream_grams(flat, depth, begin, stop)
+        order = np.argsort(asked)  # searched in order: neighbours are near in memory
+        out += np.bincount(own[order], weights=value[np.searchsorted(grams, asked[order])], minlength=texts)
+    return out

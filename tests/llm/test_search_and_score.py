@@ -205,3 +205,27 @@ def test_odd_texts(spark):
     assert ct.score_documents(docs.where("false")).collect() == []
     unlearned = ct.score_documents(docs.selectExpr("doc_id", "text", "true AS held_out")).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in unlearned)
+
+
+def whole_tree(texts, depth):
+    """log10 of each text when every context of the texts has a node, weighed in one piece."""
+    flat = np.frombuffer(b"".join(ct.stream(tokens(t)) for t in texts), np.uint8)
+    grams = ct.stream_grams(flat, depth, 0, len(flat))
+    keys, counts = ct._summed(grams | np.uint64(depth) << np.uint64(8 * (depth + 1)), np.ones(len(grams)))
+    logs = ct.weigh(keys, counts, depth)[np.searchsorted(keys & ct._mask(depth + 1), grams)]
+    ends = np.flatnonzero(flat == 10)
+    return np.add.reduceat(logs, np.append(0, ends[:-1] + 1)) * math.log10(2)
+
+
+@pytest.mark.parametrize("chunk", [32_000_000, 1000])
+@pytest.mark.parametrize("depth", [1, 2, 6])
+def test_rare_contexts_have_nodes_in_a_large_corpus(spark, chunk, depth, monkeypatch):
+    monkeypatch.setattr(ct, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(ct, "SLICE", 7_001)
+    rng = random.Random(1)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 8))) for _ in range(300)), False) for i in range(150)]
+    docs = spark.createDataFrame([*rows, (150, "", False)], "doc_id int, text string, held_out boolean")
+    got = {r.doc_id: r.score for r in ct.score_documents(docs, depth=depth).collect()}
+    texts = [t for _, t, _ in rows] + [""]
+    assert sum(map(len, texts)) > 1 << 17
+    assert [got[i] for i in range(151)] == pytest.approx(whole_tree(texts, depth).tolist(), rel=1e-5)
