@@ -1,8 +1,8 @@
 """Byte model by context-tree weighting, and scores of whole texts with it.
 
 A text is a stream of bytes: its words (A-Z in lower case) joined by a space, and a line feed as its end. Each byte is
-eight binary decisions, and each decision has a context tree of its own over the up to ``depth`` bytes before it
-inside the word (spaces before its first byte). A node's estimate is Krichevsky-Trofimov's from its training
+eight binary decisions, and each decision has a context tree of its own over the up to ``depth`` bytes before it,
+across words (spaces before a text's first byte). A node's estimate is Krichevsky-Trofimov's from its training
 counts; its weight against its children follows from the block probabilities,
 
     Pw = 1/2 Pe + 1/2 prod Pw(children),   Pw = Pe at a leaf,
@@ -205,7 +205,7 @@ def stream_grams(flat: np.ndarray, depth: int, begin: int, stop: int) -> np.ndar
         outside = min(max(0, back - begin), stop - begin)
         byte = np.full(stop - begin, _SPACE, np.uint8)
         byte[outside:] = flat[begin + outside - back : stop - back]
-        ended |= (byte == _END) | (byte == _SPACE)
+        ended |= byte == _END
         byte[ended] = _SPACE
         grams |= byte.astype(np.uint64) << np.uint64(8 * back)
     return grams

@@ -229,3 +229,13 @@ def test_rare_contexts_have_nodes_in_a_large_corpus(spark, chunk, depth, monkeyp
     texts = [t for _, t, _ in rows] + [""]
     assert sum(map(len, texts)) > 1 << 17
     assert [got[i] for i in range(151)] == pytest.approx(whole_tree(texts, depth).tolist(), rel=1e-5)
+
+
+def test_contexts_reach_across_words(spark):
+    flat = np.frombuffer(b"ab cd\nef\n", np.uint8)
+    parts = [ct.stream_grams(flat, 6, a, b) for a, b in [(0, 2), (2, 4), (4, 9)]]
+    wanted = [b"      a", b"     ab", b"    ab ", b"   ab c", b"  ab cd", b" ab cd\n", b"      e", b"     ef", b"    ef\n"]
+    assert [g.to_bytes(7, "big") for g in np.concatenate(parts).tolist()] == wanted
+    rows = [(i, "red sky and blue sea", False) for i in range(40)] + [(40, "red sky and blue sea", True), (41, "sea blue red and sky", True)]
+    got = {r.doc_id: r for r in ct.score_documents(spark.createDataFrame(rows, "doc_id int, text string, held_out boolean")).collect()}
+    assert got[40].base_score == pytest.approx(got[41].base_score) and got[40].score > got[41].score + 3
