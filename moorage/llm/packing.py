@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Sequence
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -72,7 +74,7 @@ def pack(pieces: DataFrame, *, capacity: int, group_pieces: int = GROUP_PIECES)
     return spread.groupBy("group").applyInPandas(place, PLACES)
 
 
-def pack_lengths(lengths: Sequence[int], capacity: int, *, tries: int = 200_000) -> list[list[int]]:
+def pack_lengths(lengths: Sequence[int], capacity: int, *, tries: int | None = None) -> list[list[int]]:
     """Bins of indexes into ``lengths``, which must not rise: best fit, then :func:`empty_bins`."""
     bins: list[list[int]] = []
     with_room: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -95,72 +97,113 @@ def pack_lengths(lengths: Sequence[int], capacity: int, *, tries: int = 200_000)
     return empty_bins(bins, lengths, capacity, tries=tries)
 
 
-def empty_bins(bins: list[list[int]], lengths: Sequence[int], capacity: int, *, tries: int) -> list[list[int]]:
+def empty_bins(bins: list[list[int]], lengths: Sequence[int], capacity: int, *, tries: int | None = None) -> list[list[int]]:
     """Local search among underfull bins: every step raises the sum of squared fills.
 
     The emptiest bin gives: each of its items moves to another bin with room, or changes places with one
     shorter item, or with two that are together shorter, of a fuller bin. Fuller bins get fuller, the giving
-    bin emptier, and a bin without items goes. A round looks at every underfull bin once as the giving one, emptiest
-    first. The search ends with a round that changes nothing, when all room left is less than the
-    emptiest bin's content, or after looking at ``tries`` bins as partners.
+    bin emptier, and a bin without items goes. A round takes every underfull bin once as the giving one, emptiest
+    first. The search ends with a round that changes nothing, or when all room left is less than a bin;
+    ``tries``, if given, also ends it after as many steps looked for.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     changed = True
-    while changed and tries > 0:
+    while changed and tries != 0:
         changed = False
         under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
         spare = sum(capacity - fill[b] for b in under)
+        if spare < capacity:
+            break
+        takers = _Takers(capacity)
+        for b in under:
+            takers.add(b, capacity - fill[b], [lengths[i] for i in bins[b]])
         for giver in under:
-            if spare - (capacity - fill[giver]) < fill[giver] or tries <= 0:
+            if spare < capacity or tries == 0:
                 break
+            if fill[giver] == capacity:
+                continue
+            takers.remove(giver)
             for i in sorted(bins[giver], key=lambda i: -lengths[i]):
-                given, looked = _give(i, giver, under, bins, fill, lengths, capacity)
-                changed |= given
-                tries -= looked
+                if tries == 0:
+                    break
+                tries = None if tries is None else tries - 1
+                found = takers.best(lengths[i])
+                if found is None:
+                    continue
+                b, back = found
+                handed = _of_length(back, bins[b], lengths)
+                bins[giver].remove(i)
+                for j in handed:
+                    bins[b].remove(j)
+                bins[b].append(i)
+                bins[giver].extend(handed)
+                fill[b] += lengths[i] - back
+                fill[giver] -= lengths[i] - back
+                takers.remove(b)
+                if fill[b] < capacity:
+                    takers.add(b, capacity - fill[b], [lengths[i] for i in bins[b]])
+                changed = True
             if not bins[giver]:
                 spare -= capacity
     return [b for b in bins if b]
 
 
-def _give(i: int, giver: int, under: list[int], bins: list[list[int]], fill: list[int], lengths: Sequence[int], capacity: int) -> tuple[bool, int]:
-    """Hand item ``i`` to the bin that gains most by it, if one does; also how many bins were looked at."""
-    size, looked = lengths[i], 0
-    best: tuple[int, int, tuple[int, ...]] = (0, -1, ())  # what the taker gains, who, what it hands back
-    for b in under:
-        room = capacity - fill[b]
-        if b == giver or not room or fill[b] < fill[giver]:
-            continue
-        looked += 1
-        handed, gain = ((), size) if size <= room else _exchange(size, room, bins[b], lengths)
-        if gain > best[0]:
-            best = (gain, b, handed)
-            if gain == min(size, room):
-                break
-    gain, b, handed = best
-    if not gain:
-        return False, looked
-    bins[giver].remove(i)
-    for j in handed:
-        bins[b].remove(j)
-    bins[b].append(i)
-    bins[giver].extend(handed)
-    fill[b] += gain
-    fill[giver] -= gain
-    return True, looked
-
-
-def _exchange(size: int, room: int, items: list[int], lengths: Sequence[int]) -> tuple[tuple[int, ...], int]:
-    """The one or two items whose exchange for ``size`` fills the most of ``room``; gain 0: none does."""
-    best: tuple[tuple[int, ...], int] = ((), 0)
-    for a, i in enumerate(items):
-        gain = size - lengths[i]
-        if best[1] < gain <= room:
-            best = ((i,), gain)
-        for j in items[a + 1 :]:
-            gain = size - lengths[i] - lengths[j]
-            if best[1] < gain <= room:
-                best = ((i, j), gain)
-    return best
+class _Takers:
+    """Underfull bins by room and by the lengths they can hand back: nothing, one item, or two."""
+
+    def __init__(self, capacity: int) -> None:
+        self.bins: dict[tuple[int, int], dict[int, None]] = {}
+        self.rooms: list[list[int]] = [[] for _ in range(capacity + 1)]  # heaps by length handed back, with rooms gone
+        self.reach = np.full(capacity + 1, -1)  # that length and the most room any bin has with it
+        self.most = np.full(capacity + 1, -1)
+        self.held: dict[int, tuple[int, set[int]]] = {}
+
+    def add(self, b: int, room: int, own: list[int]) -> None:
+        kinds = sorted(set(own))
+        backs = {0, *kinds, *(x + y for k, x in enumerate(kinds) for y in kinds[k + 1 :]), *(2 * x for x, n in Counter(own).items() if n > 1)}
+        self.held[b] = (room, backs)
+        for back in backs:
+            there = self.bins.get((back, room))
+            if there is None:
+                self.bins[back, room] = {b: None}
+                heappush(self.rooms[back], -room)
+                if room > self.most[back]:
+                    self.most[back] = room
+                    self.reach[back] = back + room
+            else:
+                there[b] = None
+
+    def remove(self, b: int) -> None:
+        room, backs = self.held.pop(b)
+        for back in backs:
+            there = self.bins[back, room]
+            del there[b]
+            if not there:
+                del self.bins[back, room]
+                rooms = self.rooms[back]
+                while rooms and (back, -rooms[0]) not in self.bins:
+                    heappop(rooms)
+                self.most[back] = -rooms[0] if rooms else -1
+                self.reach[back] = back - rooms[0] if rooms else -1
+
+    def best(self, size: int) -> tuple[int, int] | None:
+        """The bin that gains most by an item of ``size``, and the length it hands back; None: no bin gains."""
+        fits = self.reach[:size] >= size
+        back = int(fits.argmax())
+        if not fits[back]:
+            return None
+        there = self.bins.get((back, size - back)) or self.bins[back, int(self.most[back])]
+        return next(iter(there)), back
+
+
+def _of_length(back: int, items: list[int], lengths: Sequence[int]) -> tuple[int, ...]:
+    """No item, the one or the two whose length is ``back``."""
+    if not back:
+        return ()
+    for i in items:
+        if lengths[i] == back:
+            return (i,)
+    return next((i, j) for a, i in enumerate(items) for j in items[a + 1 :] if lengths[i] + lengths[j] == back)
 
 
 def pack_documents(docs: DataFrame, tokenizer: TokenizerFile, *, capacity: int, end_id: int) -> DataFrame:

@@ -42,6 +42,14 @@ def test_two_for_one():
     assert len(bins) == 2
 
 
+def test_search_goes_on_among_many_underfull_bins():
+    rng = random.Random(3)
+    lengths = sorted((rng.randint(300, 900) for _ in range(4000)), reverse=True)
+    bins = pack_lengths(lengths, 2048)
+    valid(bins, lengths, 2048)
+    assert len(bins) <= len(pack_lengths(lengths, 2048, tries=0)) - 15
+
+
 def check(rows, texts, capacity):
     encode = Encoder(TOKENIZER.text)
     by_sequence, by_doc = defaultdict(list), defaultdict(list)
