@@ -184,20 +184,27 @@ class ItemIndex:
         lists[:] = [e for e in lists if e[0] >= 0]
 
     def matches(self, text: str | None) -> list[tuple[int, float, int, float, float]]:
-        """Verified items of a text: item id, score of its best passage, that passage's first word, overlaps."""
+        """Verified items of a text: item id, score of its best verified passage, that passage's first word, overlaps.
+
+        Every retrieved passage is verified, the best first, until one of the item's passes.
+        """
         words = words_of(text)
-        best: dict[int, tuple[float, int]] = {}
+        retrieved: dict[int, list[tuple[float, int]]] = {}
         for first, terms in self.passages(words):
             for item, score in self.search(terms, self.spec.least_score):
-                if item not in best or score > best[item][0]:
-                    best[item] = (score, first)
+                retrieved.setdefault(item, []).append((-score, first))
         out = []
-        for item, (score, first) in best.items():
+        for item, found in retrieved.items():
             key, question, answer = self.items[item]
-            around = words[max(0, first - self.half) : first + 3 * self.half]
-            q, a = overlap(question, around, self.spec.run), overlap(answer, around, self.spec.run)
-            if q >= self.spec.least_question and a >= self.spec.least_answer:
-                out.append((key, score, first, q, a))
+            for score, first in sorted(found):
+                near = words[max(0, first - self.half) : first + 3 * self.half]
+                q = overlap(question, near, self.spec.run)
+                if q < self.spec.least_question:
+                    continue
+                a = overlap(answer, near, self.spec.run)
+                if a >= self.spec.least_answer:
+                    out.append((key, -score, first, q, a))
+                    break
         return out
 
 

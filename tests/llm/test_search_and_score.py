@@ -58,6 +58,18 @@ def test_no_passage_above_the_threshold_is_passed_over(seed):
             assert given[first] == terms
 
 
+def test_a_copy_after_shuffled_words_is_found():
+    item = " ".join(f"w{i}" for i in range(24))
+    other = [f"f{i}" for i in range(400)]
+    shuffled = sorted(item.split(), key=lambda w: zlib.crc32(w.encode()))
+    index = an_index([(1, item), (2, " ".join(f"f{i}" for i in range(0, 400, 40)))])
+    copy = [*other[:128], *item.split(), *other[128:256]]
+    text = " ".join([*shuffled, *other[256:], *copy])
+    found = [m for m in index.matches(text) if m[0] == 1]
+    assert len(found) == 1 and found[0][2] >= 200 and found[0][3:] == (1.0, 1.0)
+    assert [m for m in index.matches(" ".join([*shuffled, *other])) if m[0] == 1] == []
+
+
 def test_questions_and_answers():
     assert question_and_answer("What is it? It is so. Yes it is.") == ([b"what", b"is", b"it", b"it", b"is", b"so"], [b"yes", b"it", b"is"])
     assert question_and_answer("one two three four") == ([b"one", b"two", b"three"], [b"four"])
