@@ -65,17 +65,41 @@ class ToxicModel:
     def segments(self, text: str) -> tuple[int, list[tuple[float, int, int]]]:
         """Number of tokens, and (score, first, last token) of every maximal scoring segment.
 
-        Odds come from documents that hold a token, so its k-th occurrence in a text adds a k-th of them: one
-        word repeated over and over is no passage.
+        Odds come from documents that hold a token, so its k-th occurrence in a passage adds a k-th of them: one
+        word repeated over and over is no passage. Each passage counts anew, whatever stands elsewhere in the text.
         """
         words = TOKEN.findall(text.lower())
         scores = list(map(self.token_score, words))
-        times: Counter = Counter()
-        for place, score in enumerate(scores):
-            if score > 0:
-                times[words[place]] += 1
-                scores[place] = (score + self.drift) / times[words[place]] - self.drift
-        return len(scores), maximal_segments(scores)
+        found = []
+        for segment in maximal_segments(scores):
+            first, last = segment[1:]
+            good = [words[k] for k in range(first, last + 1) if scores[k] > 0]
+            found += [segment] if len(good) == len(set(good)) else self._damped(words, scores, first, last)
+        return len(scores), found
+
+    def _damped(self, words: list[str], scores: list[float], first: int, last: int) -> Iterable[tuple[float, int, int]]:
+        """Passages of a segment with repeated words, from left to right.
+
+        A passage ends at its highest total, found when the total is used up; the next one begins after it.
+        """
+        while first <= last:
+            if scores[first] <= 0:
+                first += 1
+                continue
+            times: Counter = Counter()
+            total, best, end = 0.0, 0.0, first
+            for place in range(first, last + 1):
+                score = scores[place]
+                if score > 0:
+                    times[words[place]] += 1
+                    score = (score + self.drift) / times[words[place]] - self.drift
+                total += score
+                if total > best:
+                    best, end = total, place
+                elif total <= 0:
+                    break
+            yield best, first, end
+            first = end + 1
 
     def evidence(self, text: str | None) -> float:
         """ln(1 + x) of the text's extreme value x = lambda S - ln(K n), S its best segment's score; 0 for x < 0.

@@ -82,6 +82,22 @@ def test_stems_lend_their_odds():
     assert model.token_score("badword") > 3 > model.token_score("badge") > 0 > model.token_score("other") == -1.0 > model.token_score("fine")
 
 
+def test_each_passage_is_judged_on_its_own():
+    bad = ["vile", "rotten", "beast", "filthy", "scum"]
+    model = toxic_segments.ToxicModel({f"={w}": (95, 5) for w in bad}, 0.05)
+    passage, plain = " ".join(bad), " ".join(f"plain{i}" for i in range(300))
+    alone = model.segments(passage)[1][0][0]
+    once_each = " ".join(f"{w} {plain}" for w in bad * 8)
+    late = model.segments(f"{once_each} {passage}")[1]
+    assert late[-1][0] == pytest.approx(alone) and late[-1][0] == max(s for s, _, _ in late)
+    thrice = model.segments(f"{passage} {plain} {passage} {plain} {passage}")[1]
+    assert [s for s, _, _ in thrice] == pytest.approx([alone] * 3)
+    # Near copies: each lies in a passage. One word over and over scores no more than a few words.
+    near = model.segments(" ".join(f"{passage} a b c d" for _ in range(12)))[1]
+    assert {k for _, a, b in near for k in range(a, b + 1)} >= {9 * n + k for n in range(12) for k in range(5)}
+    assert max(s for s, _, _ in model.segments("vile " * 5000)[1]) < alone / 2
+
+
 def test_toxic_query(spark):
     got = queries.op3_toxic_segments(spark, SMALL)
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
