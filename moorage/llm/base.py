@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from moorage.settle import settle, shared_folder
 
-__all__ = ["documents", "fold", "fresh_folder", "map_rows", "settle", "table", "to_arrow"]
+__all__ = ["documents", "fold", "fresh_folder", "map_rows", "may_hold", "reachable_by_workers", "settle", "table", "to_arrow"]
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -59,6 +59,31 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator
     return df.mapInArrow(run, schema)
 
 
+#: Bits of a bitmap of keys, at most: 16 MB.
+_BITMAP_BITS = 27
+_CELL_BITS = 15
+
+
+def may_hold(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows of ``df`` whose bigint ``key`` may be in the settled ``wanted``: all that are, and few others while keys are few.
+
+    The keys are marked in a bitmap of 16 bits a key, at most 16 MB, that is broadcast whatever their number; beyond
+    some hundred million keys it lets most rows pass and saves nothing, so it is a filter before an exact step only.
+    """
+    size = min(_BITMAP_BITS, max(16, (16 * wanted.count()).bit_length()))
+
+    def place(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(1 << size))
+
+    marks = wanted.select(place(wanted_key).alias("place")).select(F.shiftright("place", _CELL_BITS).alias("cell of keys"), F.col("place").bitwiseAND((1 << _CELL_BITS) - 1).alias("bit"))
+    cells = settle(marks.groupBy("cell of keys").agg(F.bitmap_construct_agg("bit").alias("bits of keys")))
+    asked = df.withColumn("place of key", place(key)).withColumn("cell of keys", F.shiftright("place of key", _CELL_BITS))
+    bit = F.col("place of key").bitwiseAND((1 << _CELL_BITS) - 1)
+    byte = F.conv(F.hex(F.substring(F.col("bits of keys"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1
+    return asked.join(F.broadcast(cells), "cell of keys").where(marked).select(*(f"`{c}`" for c in df.columns))
+
+
 def to_arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

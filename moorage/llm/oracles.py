@@ -80,6 +80,13 @@ _NEAR_DUPLICATES = r"""
     FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+_EXACT_DUPLICATES = r"""
+    WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+    SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
+    FROM d WINDOW g AS (PARTITION BY text_sha256)
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_quotient_filters": _EXACT_DUPLICATES,
     "op6_bbit_minhash": _NEAR_DUPLICATES,
     "op5_adaptive_rules": _quality_rules()}
