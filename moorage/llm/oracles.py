@@ -86,7 +86,37 @@ _EXACT_DUPLICATES = r"""
     FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+def _centroids(rounds: int = 10) -> str:
+    """Plain rounds over all components, without rotation or bounds."""
+    nearest = """
+        SELECT row, vec_id, arg_min(k, (distance, k)) AS cluster, min(distance) AS distance FROM (
+            SELECT v.row, vec_id, k, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS distance FROM v JOIN c{i} c USING (place) GROUP BY ALL
+        ) GROUP BY row, vec_id"""
+    steps = "".join(
+        f""", a{i} AS MATERIALIZED ({nearest.format(i=i)}
+        ), s{i} AS (SELECT cluster AS k, place, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{i} JOIN v USING (row) GROUP BY ALL
+        ), c{i + 1} AS MATERIALIZED (SELECT k, place, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{i} LEFT JOIN s{i} USING (k, place))"""
+        for i in range(rounds)
+    )
+    return f"""
+    WITH kept AS (
+        SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+        WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64
+    ), v AS MATERIALIZED (
+        SELECT row, vec_id, place, CAST(floor(1024 * CAST(embedding[place] AS DOUBLE)) AS BIGINT) AS x FROM kept, range(1, 65) AS r(place)
+    ), starts AS (
+        SELECT row, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR))) - 1 AS k FROM kept
+    ), c0 AS MATERIALIZED (SELECT CAST(k AS INTEGER) AS k, place, x FROM starts JOIN v USING (row) WHERE k < 8)
+    {steps}, a AS ({nearest.format(i=rounds)}
+    ), names AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY place)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+    SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+           CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+    FROM a JOIN names ON cluster = k
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op11_rotated_centroids": _centroids(),
     "op12_quotient_filters": _EXACT_DUPLICATES,
     "op6_bbit_minhash": _NEAR_DUPLICATES,
     "op5_adaptive_rules": _quality_rules()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moorage.llm import adaptive_rules, bbit_minhash, context_tree, decontaminate, digest_counts, language_mix, packing, pu_quality, quotient_filters, repair, toxic_segments
+from moorage.llm import adaptive_rules, bbit_minhash, context_tree, decontaminate, digest_counts, importance_resampling, language_mix, packing, pu_quality, quotient_filters, repair, rotated_centroids, toxic_segments
 from moorage.llm.base import documents, fold, fresh_folder, table
 from moorage.llm.tokens import TokenizerFile
 
@@ -89,10 +89,18 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_ids(spark, path)
 
 
+def op11_rotated_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated_centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 def op12_quotient_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotient_filters.exact_duplicates(documents(spark, sf_dir))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pu_quality": op1_pu_quality,
     "op3_toxic_segments": op3_toxic_segments,
@@ -104,5 +112,7 @@ QUERIES: dict[str, Query] = {
     "op8_context_tree": op8_context_tree,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_ids": op10_token_ids,
+    "op11_rotated_centroids": op11_rotated_centroids,
     "op12_quotient_filters": op12_quotient_filters,
+    "op13_importance_resampling": op13_importance_resampling,
 }
