@@ -22,21 +22,28 @@ SKETCH_BITS = 7
 
 @dataclass(frozen=True)
 class Fence:
-    """Bounds of a rule: quartiles widened by ``times`` their distance, by ``least`` at least; ``both``: below too."""
+    """Bounds of a rule: the quartiles of a group widened by ``times`` their distance; ``both``: below too.
 
-    least: int
-    times: int = 3
+    Where a measure is zero for most of a group its quartiles are zero, and so is the upper bound. ``few`` of what the
+    column ``part`` counts never fail a rule, so that a text is not cut for one symbol or one line.
+    """
+
+    times: int = 4
     both: bool = False
+    part: str | None = None
+    few: int = 0
 
 
-#: Rules by name, in millionths; ``least`` keeps a group of equal documents from cutting at its own value. A few
-#: repeated lines are normal prose: repetition is never cut more tightly than by the base rule's share.
+#: Rules by name, in millionths. Four symbols, three repeated lines, and 31 words (two windows of eight that are met
+#: twice hold 32 at least) pass everywhere.
 RULES: Mapping[str, Fence] = {
-    "symbol_share": Fence(least=50_000),
-    "dup_line_share": Fence(least=500_000),
-    "repeat_share": Fence(least=300_000),
-    "word_length": Fence(least=3_000_000, both=True),
+    "symbol_share": Fence(part="n_symbols", few=4),
+    "dup_line_share": Fence(part="n_dup_lines", few=3),
+    "repeat_share": Fence(part="n_repeat_words", few=31),
+    "word_length": Fence(both=True),
 }
+#: Values that a language and source must have for quartiles of its own; with fewer it has its language's.
+LEAST_VALUES = 20
 
 
 def repeated_words(words: list[str], window: int = 8) -> int:
@@ -108,44 +115,60 @@ def sketch(values: DataFrame, keys: list[str], names: list[str], *, bits: int =
     return rows.select(*keys, "rule", F.expr("shiftleft(shiftright(value, shift), shift)").alias("bucket")).groupBy(*keys, "rule", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+def merged(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches of larger groups: those of all groups that agree in ``keys``, added up."""
+    return sketches.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
+
+
 def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Per keys and rule: q1 and q3, the first buckets that reach a quarter and three quarters of the count."""
+    """Per keys and rule: q1 and q3, the first buckets that reach a quarter and three quarters of the count, and the count."""
     group = Window.partitionBy(*keys, "rule")
     ranked = sketches.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
     return ranked.groupBy(*keys, "rule").agg(
         F.min(F.when(4 * F.col("upto") >= F.col("all"), F.col("bucket"))).alias("q1"),
         F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), F.col("bucket"))).alias("q3"),
+        F.max("all").alias("n"),
     )
 
 
-def fences(sketches: DataFrame, keys: list[str], rules: Mapping[str, Fence] = RULES) -> DataFrame:
-    """One row per keys: ``<rule>_low`` and ``<rule>_high``."""
+def fences(sketches: DataFrame, group: str, within: str, rules: Mapping[str, Fence] = RULES) -> DataFrame:
+    """One row per ``group`` and ``within`` (a source in its language): ``<rule>_low`` and ``<rule>_high``.
+
+    Where a source has fewer than ``LEAST_VALUES`` values, the quartiles are those of its group's merged sketch.
+    """
+    wide = quartiles(merged(sketches, [group]), [group]).select(F.col(group).alias("of group"), F.col("rule").alias("of rule"), F.col("q1").alias("wide q1"), F.col("q3").alias("wide q3"))
+    own = quartiles(sketches, [group, within])
+    both = own.join(wide, F.col(group).eqNullSafe(F.col("of group")) & (F.col("rule") == F.col("of rule")))
+    enough = F.col("n") >= LEAST_VALUES
+    chosen = both.select(group, within, "rule", *(F.when(enough, F.col(q)).otherwise(F.col(f"wide {q}")).alias(q) for q in ("q1", "q3")))
     columns = []
     for name, fence in rules.items():
-        own = F.col("rule") == name
-        width = F.greatest(fence.times * (F.col("q3") - F.col("q1")), F.lit(fence.least))
-        columns.append(F.max(F.when(own, F.col("q3") + width)).alias(f"{name}_high"))
-        columns.append(F.max(F.when(own, F.col("q1") - width if fence.both else F.lit(0))).alias(f"{name}_low"))
-    return quartiles(sketches, keys).groupBy(*keys).agg(*columns)
+        own_rule = F.col("rule") == name
+        width = fence.times * (F.col("q3") - F.col("q1"))
+        columns.append(F.max(F.when(own_rule, F.col("q3") + width)).alias(f"{name}_high"))
+        columns.append(F.max(F.when(own_rule, F.col("q1") - width if fence.both else F.lit(0))).alias(f"{name}_low"))
+    return chosen.groupBy(group, within).agg(*columns)
 
 
 def quality_rules(docs: DataFrame, rules: Mapping[str, Fence] = RULES) -> DataFrame:
     """One row per document: the counts, ``base_failed`` and ``kept``.
 
     ``kept`` is false where the base rule fails, else true when every measured value lies within the fences
-    of the document's language and source. A document without words fails the base rule. Null languages or
-    sources form groups of their own; equal rows each get their row; an empty table gives an empty result.
+    of the document's language and source, or is made of few counts. A document without words fails the base rule. Null
+    languages or sources form groups of their own; equal rows each get their row; an empty table gives an empty result.
     Texts are read once: the counts are settled, then sketched and joined with the fences (one row per
     language and source), which are settled too, so they are broadcast only by their real size.
     """
     keys = ["lang", "source"]
     known = settle(facts(docs))
     values = known.withColumns(measured())
-    bounds = settle(fences(sketch(values, keys, list(rules)), keys, rules)).withColumnsRenamed({k: f"of_{k}" for k in keys})
+    sketches = settle(sketch(values, keys, list(rules)))
+    bounds = settle(fences(sketches, *keys, rules)).withColumnsRenamed({k: f"of_{k}" for k in keys})
     joined = values.join(bounds, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     within = F.lit(True)
-    for name in rules:
-        within &= F.coalesce(F.col(name).between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(False))
+    for name, fence in rules.items():
+        passes = F.coalesce(F.col(name).between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(False))
+        within &= passes | (F.col(fence.part) <= fence.few) if fence.part else passes
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return joined.select(*counts, base_failed.alias("base_failed"), (~base_failed & within).alias("kept"))

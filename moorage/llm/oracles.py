@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from moorage.llm.adaptive_rules import RULES, SKETCH_BITS
+from moorage.llm.adaptive_rules import LEAST_VALUES, RULES, SKETCH_BITS
 
 
 def _quality_rules() -> str:
     high = ",\n".join(
-        f"""max(CASE WHEN rule = '{n}' THEN q3 + greatest({f.times} * (q3 - q1), {f.least}) END) AS {n}_high,
-        max(CASE WHEN rule = '{n}' THEN {f"q1 - greatest({f.times} * (q3 - q1), {f.least})" if f.both else "0"} END) AS {n}_low"""
+        f"""max(CASE WHEN rule = '{n}' THEN q3 + {f.times} * (q3 - q1) END) AS {n}_high,
+        max(CASE WHEN rule = '{n}' THEN {f"q1 - {f.times} * (q3 - q1)" if f.both else "0"} END) AS {n}_low"""
         for n, f in RULES.items()
     )
-    within = " AND ".join(f"coalesce(v.{n} BETWEEN b.{n}_low AND b.{n}_high, false)" for n in RULES)
+    within = " AND ".join(f"(coalesce(v.{n} BETWEEN b.{n}_low AND b.{n}_high, false){f' OR {f.part} <= {f.few}' if f.part else ''})" for n, f in RULES.items())
     values = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS rule, {n} AS value FROM v WHERE {n} IS NOT NULL" for n in RULES)
     return rf"""
     WITH d AS (
@@ -47,9 +47,18 @@ def _quality_rules() -> str:
         FROM (SELECT *, greatest(0, len(bin(value)) - {SKETCH_BITS}) AS s FROM vals) GROUP BY ALL
     ), ranked AS (
         SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM buckets
-    ), q AS (
-        SELECT lang, source, rule, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3
+    ), own AS (
+        SELECT lang, source, rule, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3, max(total) AS n
         FROM ranked GROUP BY ALL
+    ), by_lang AS (
+        SELECT *, sum(n) OVER (PARTITION BY lang, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, rule) AS total
+        FROM (SELECT lang, rule, bucket, sum(n) AS n FROM buckets GROUP BY ALL)
+    ), wide AS (
+        SELECT lang, rule, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3 FROM by_lang GROUP BY ALL
+    ), q AS (
+        SELECT own.lang, source, own.rule, CASE WHEN n >= {LEAST_VALUES} THEN own.q1 ELSE wide.q1 END AS q1,
+               CASE WHEN n >= {LEAST_VALUES} THEN own.q3 ELSE wide.q3 END AS q3
+        FROM own JOIN wide ON own.lang IS NOT DISTINCT FROM wide.lang AND own.rule = wide.rule
     ), b AS (
         SELECT lang, source, {high} FROM q GROUP BY ALL
     )
