@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -28,16 +28,30 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
+#: Whether Spark removes an execution's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SCOPE: ContextVar[list[str] | None] = ContextVar("settled tables of the innermost scope", default=None)
 
 
 @contextmanager
-def settled_for_now(spark: SparkSession) -> Iterator[None]:
-    """Tables that are settled inside are deleted at the end: nothing that is still to run may read them."""
+def settled_for_now(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are settled inside are deleted at the end: nothing that is still to run may read them.
+
+    What is to outlive them is settled by the function this gives, as a table of the scope around.
+    """
     paths: list[str] = []
+    outer = _SCOPE.get()
     token = _SCOPE.set(paths)
+
+    def hand_over(df: DataFrame) -> DataFrame:
+        inner = _SCOPE.set(outer)
+        try:
+            return settle(df)
+        finally:
+            _SCOPE.reset(inner)
+
     try:
-        yield
+        yield hand_over
     finally:
         _SCOPE.reset(token)
         for path in paths:
@@ -50,7 +64,8 @@ def settle(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame
 
     Unlike a cached plan it survives the loss of executors, later readers prune its columns, and
     the optimiser knows its true size: a join against it is broadcast exactly when the files are
-    below ``spark.sql.autoBroadcastJoinThreshold`` and shuffled otherwise.
+    below ``spark.sql.autoBroadcastJoinThreshold`` and shuffled otherwise. The shuffle files behind it are
+    removed once it is written, as nothing reads them again.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
@@ -58,5 +73,10 @@ def settle(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame
         writer = writer.partitionBy(*partition_by)
     if (scope := _SCOPE.get()) is not None:
         scope.append(path)
-    writer.parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
