@@ -134,6 +134,7 @@ def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
 def fences(sketches: DataFrame, group: str, within: str, rules: Mapping[str, Fence] = RULES) -> DataFrame:
     """One row per ``group`` and ``within`` (a source in its language): ``<rule>_low`` and ``<rule>_high``.
 
+    Quartiles are the lower ends of buckets, so the upper bound is from the upper end, a 64th of it above.
     Where a source has fewer than ``LEAST_VALUES`` values, the quartiles are those of its group's merged sketch.
     """
     wide = quartiles(merged(sketches, [group]), [group]).select(F.col(group).alias("of group"), F.col("rule").alias("of rule"), F.col("q1").alias("wide q1"), F.col("q3").alias("wide q3"))
@@ -145,7 +146,7 @@ def fences(sketches: DataFrame, group: str, within: str, rules: Mapping[str, Fen
     for name, fence in rules.items():
         own_rule = F.col("rule") == name
         width = fence.times * (F.col("q3") - F.col("q1"))
-        columns.append(F.max(F.when(own_rule, F.col("q3") + width)).alias(f"{name}_high"))
+        columns.append(F.max(F.when(own_rule, F.col("q3") + F.shiftright("q3", SKETCH_BITS - 1) + width)).alias(f"{name}_high"))
         columns.append(F.max(F.when(own_rule, F.col("q1") - width if fence.both else F.lit(0))).alias(f"{name}_low"))
     return chosen.groupBy(group, within).agg(*columns)
 

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moorage.settle import settle, shared_folder
+from moorage.settle import settle, settled_for_now, shared_folder
 
-__all__ = ["documents", "fold", "fresh_folder", "map_rows", "may_hold", "reachable_by_workers", "settle", "table", "to_arrow"]
+__all__ = ["documents", "fold", "fresh_folder", "map_rows", "map_texts", "may_hold", "reachable_by_workers", "settle", "settled_for_now", "small_batches", "table", "to_arrow", "worker_cache"]
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -47,13 +47,51 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that are Python objects at the same time.
+_BATCH_BYTES = 8 << 20
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a worker keeps between an operator's tasks. An operator that asks drops what others kept.
+
+    A worker lives on from stage to stage, so it would else hold the caches of all operators it ever ran.
+    """
+    if owner not in _CACHES:
+        _CACHES.clear()
+        _CACHES[owner] = {}
+    return _CACHES[owner]
+
+
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded bytes; a longer row is a batch of its own."""
+    for batch in batches:
+        if batch.num_rows < 2 or batch.nbytes <= _BATCH_BYTES:
+            yield batch
+        else:
+            half = batch.num_rows // 2
+            yield from small_batches(iter((batch.slice(0, half), batch.slice(half))))
+
+
+def map_texts(value: Callable[[list[str | None]], list], kind: str) -> Callable[[Column], Column]:
+    """A column function of whole texts, asked for texts of bounded bytes at a time."""
+    arrow_kind = to_arrow(f"value {kind}").field(0).type
+
+    @F.arrow_udf(kind)
+    def mapped(texts: pa.Array) -> pa.Array:
+        parts = small_batches(iter((pa.RecordBatch.from_arrays([texts], ["text"]),)))
+        return pa.concat_arrays([pa.array(value(part.column(0).to_pylist()), arrow_kind) for part in parts])
+
+    return mapped
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
     """``mapInArrow`` over dicts of Python lists, one per batch; column types come from ``schema``."""
     kind = to_arrow(schema)
     reachable_by_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in rows(batch.to_pydict() for batch in batches):
+        for out in rows(batch.to_pydict() for batch in small_batches(batches)):
             yield pa.RecordBatch.from_pydict(out, schema=kind)
 
     return df.mapInArrow(run, schema)
@@ -64,24 +102,26 @@ _BITMAP_BITS = 27
 _CELL_BITS = 15
 
 
-def may_hold(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """Rows of ``df`` whose bigint ``key`` may be in the settled ``wanted``: all that are, and few others while keys are few.
+def may_hold(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, *, others: bool = False) -> DataFrame:
+    """Rows of ``df`` whose bigint ``key`` may be in the settled ``wanted``: all that are, and few more while keys are few.
 
-    The keys are marked in a bitmap of 16 bits a key, at most 16 MB, that is broadcast whatever their number; beyond
-    some hundred million keys it lets most rows pass and saves nothing, so it is a filter before an exact step only.
+    ``others``: the other rows instead, none of which is in it. The keys are marked in a bitmap of 16 bits a key, at
+    most 16 MB, that is broadcast whatever their number; beyond some ten million keys more and more rows pass,
+    so it spares an exact step rows but never replaces it. A null key is in nothing.
     """
     size = min(_BITMAP_BITS, max(16, (16 * wanted.count()).bit_length()))
 
     def place(name: str) -> Column:
         return F.pmod(F.xxhash64(name), F.lit(1 << size))
 
-    marks = wanted.select(place(wanted_key).alias("place")).select(F.shiftright("place", _CELL_BITS).alias("cell of keys"), F.col("place").bitwiseAND((1 << _CELL_BITS) - 1).alias("bit"))
+    marks = wanted.where(F.col(wanted_key).isNotNull()).select(place(wanted_key).alias("place")).select(F.shiftright("place", _CELL_BITS).alias("cell of keys"), F.col("place").bitwiseAND((1 << _CELL_BITS) - 1).alias("bit"))
     cells = settle(marks.groupBy("cell of keys").agg(F.bitmap_construct_agg("bit").alias("bits of keys")))
     asked = df.withColumn("place of key", place(key)).withColumn("cell of keys", F.shiftright("place of key", _CELL_BITS))
     bit = F.col("place of key").bitwiseAND((1 << _CELL_BITS) - 1)
     byte = F.conv(F.hex(F.substring(F.col("bits of keys"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    marked = F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1
-    return asked.join(F.broadcast(cells), "cell of keys").where(marked).select(*(f"`{c}`" for c in df.columns))
+    marked = (F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1) & F.col(key).isNotNull()
+    joined = asked.join(F.broadcast(cells), "cell of keys", "left" if others else "inner")
+    return joined.where(~F.coalesce(marked, F.lit(False)) if others else marked).select(*(f"`{c}`" for c in df.columns))
 
 
 def to_arrow(schema: str) -> pa.Schema:

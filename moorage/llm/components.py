@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moorage.llm.base import settle
+from moorage.llm.base import settle, settled_for_now
 
 
 def components(links: DataFrame, *, most_rounds: int = 50) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame, *, most_rounds: int = 50) -> DataFrame:
     edges = settle(ordered.distinct())
     before = None
     for _ in range(most_rounds):
-        edges = settle(_star(_star(edges, larger=True), larger=False))
+        with settled_for_now(links.sparkSession) as hand_over:
+            edges = hand_over(_star(settle(_star(edges, larger=True)), larger=False))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)"))).first()
         if now == before:
             roots = edges.select(F.col("to").alias("node"), F.col("to").alias("component")).distinct()

@@ -7,7 +7,7 @@ from moorage.llm.adaptive_rules import LEAST_VALUES, RULES, SKETCH_BITS
 
 def _quality_rules() -> str:
     high = ",\n".join(
-        f"""max(CASE WHEN rule = '{n}' THEN q3 + {f.times} * (q3 - q1) END) AS {n}_high,
+        f"""max(CASE WHEN rule = '{n}' THEN q3 + (q3 >> {SKETCH_BITS - 1}) + {f.times} * (q3 - q1) END) AS {n}_high,
         max(CASE WHEN rule = '{n}' THEN {f"q1 - {f.times} * (q3 - q1)" if f.both else "0"} END) AS {n}_low"""
         for n, f in RULES.items()
     )

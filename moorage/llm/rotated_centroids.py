@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moorage.llm.base import reachable_by_workers, settle, to_arrow
+from moorage.llm.base import reachable_by_workers, settle, settled_for_now, to_arrow
 
 #: Components may have this magnitude at most, so that squared distances fit in 64 bits.
 LARGEST = 1 << 27
@@ -188,6 +188,19 @@ def _next_centroids(turned: DataFrame, centroids: Centroids, spec: ClusterSpec)
     return out
 
 
+def _places(turned: DataFrame, centroids: Centroids, spec: ClusterSpec) -> DataFrame:
+    """vec_id, cluster, distance."""
+    schema = "vec_id bigint, cluster int, distance bigint"
+    kind, sent = to_arrow(schema), turned.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, best, distance = _assigned(batch, spec, sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32)), pa.array(distance)], schema=kind)
+
+    return turned.mapInArrow(run, schema)
+
+
 def cluster(table: DataFrame, spec: ClusterSpec = ClusterSpec(), *, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row per kept vector: vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256, centroid (its components).
 
@@ -198,27 +211,19 @@ def cluster(table: DataFrame, spec: ClusterSpec = ClusterSpec(), *, vec_id: str
     one that keeps nothing, gives an empty result.
     """
     spark = table.sparkSession
-    vectors = settle(whole_vectors(table, spec, vec_id=vec_id, embedding=embedding))
-    start = vectors.orderBy(start_order(F.col("vec_id"), spec.seed), "v").limit(spec.clusters).select("v").collect()
-    turn = rotation(*_moments(vectors, spec.size), spec.leading)
-    turned = settle(_turned(vectors, turn, spec))
-    centroids = np.array([r.v for r in start], np.int64).reshape(-1, spec.size)
-    if len(centroids):
-        for _ in range(spec.rounds):
+    with settled_for_now(spark) as hand_over:
+        with settled_for_now(spark) as hand_on:
+            vectors = settle(whole_vectors(table, spec, vec_id=vec_id, embedding=embedding))
+            start = vectors.orderBy(start_order(F.col("vec_id"), spec.seed), "v").limit(spec.clusters).select("v").collect()
+            turn = rotation(*_moments(vectors, spec.size), spec.leading)
+            turned = hand_on(_turned(vectors, turn, spec))
+        centroids = np.array([r.v for r in start], np.int64).reshape(-1, spec.size)
+        for _ in range(spec.rounds if len(centroids) else 0):
             after = _next_centroids(turned, Centroids.of(centroids, turn), spec)
             if (after == centroids).all():
                 break  # every further round would repeat this one
             centroids = after
-
-    schema = "vec_id bigint, cluster int, distance bigint"
-    kind, sent = to_arrow(schema), spark.sparkContext.broadcast(Centroids.of(centroids, turn))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, best, distance = _assigned(batch, spec, sent.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32)), pa.array(distance)], schema=kind)
-
-    found = settle(turned.mapInArrow(run, schema))
+        found = hand_over(_places(turned, Centroids.of(centroids, turn), spec))
     sums = {r.cluster: r.n for r in found.groupBy("cluster").agg(F.sum("distance").alias("n")).collect()}
     facts = [
         (k, sums.get(k, 0), sum(sums.values()), hashlib.sha256(",".join(map(str, row)).encode()).hexdigest(), row)

@@ -9,6 +9,8 @@ import unicodedata
 from array import array
 from dataclasses import dataclass
 
+from moorage.llm.base import worker_cache
+
 #: Pieces whose ids one worker keeps; beyond it, it starts anew. Bounds memory, not results.
 KEPT_PIECES = 300_000
 _LONG_PIECE = 64
@@ -123,12 +125,10 @@ def _narrow(text: str) -> bool:
     return True
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(text: str) -> Encoder:
     """The worker's encoder for a tokenizer file; later tasks of the worker find it again."""
-    if text not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[text] = Encoder(text)
-    return _ENCODERS[text]
+    kept = worker_cache("token ids")
+    if text not in kept:
+        kept.clear()
+        kept[text] = Encoder(text)
+    return kept[text]

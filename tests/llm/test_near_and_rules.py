@@ -60,6 +60,28 @@ def test_fences_follow_the_group(spark):
     assert not kept[100] and all(v for k, v in kept.items() if k != 100)
 
 
+def test_every_rule_rejects(spark):
+    def prose(n, seed):
+        return [f"word{(i * 7919 + seed * 104729) % 9973:04d}" + "x" * (seed % 4) for i in range(n)]
+
+    def lines(words, k=9):
+        return "\n".join(" ".join(words[i : i + k]) for i in range(0, len(words), k))
+
+    plain = {i: lines(prose(180 + i, i)) for i in range(60)}
+    odd = {
+        100: lines(prose(180, 100)) + " # # # # #",
+        101: lines(prose(180, 101)) + "\nsame line" * 5,
+        102: " ".join(w := prose(160, 102)) + " " + " ".join(w[:9]) + " x " + " ".join(w[40:49]),
+        103: " ".join(w * 4 for w in prose(180, 103)),
+    }
+    few = {104: lines(prose(180, 104)) + " # # # #", 105: lines(prose(180, 105)) + "\nsame line" * 4, 106: " ".join(w := prose(160, 106)) + " " + " ".join(w[:9])}
+    # A source of few documents has its language's fences.
+    alone = {200: lines(prose(170, 200)), 201: lines(prose(180, 201)) + " # # # # #"}
+    rows = [(k, t, "en", "a" if k < 200 else "b") for k, t in (plain | odd | few | alone).items()]
+    kept = {r.doc_id: r.kept for r in adaptive_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert sorted(k for k, v in kept.items() if not v) == [100, 101, 102, 103, 201]
+
+
 # --- near duplicates
 
 def brute(rows, size, numerator, denominator):
