@@ -10,11 +10,12 @@ counts; its weight against its children follows from the block probabilities,
 so a byte's probability mixes the estimates of all depths on its path. Every context with a training byte has its node, at
 every depth: the tree grows with the corpus and stays in tables.
 
-A gram is a byte with the context before it. A task counts the grams of its chunk and sends them in one piece per
-bucket of contexts; contexts with the same last ``TOP`` bytes share a bucket. A bucket adds up its pieces and weighs its
-subtrees from the leaves up; the nodes above, of at most ``TOP`` bytes, are bounded by the alphabet whatever the
-corpus, and are weighed on the driver. Then buckets answer every piece with its grams' log-probabilities in the same
-order, and chunks sum them per text. Words are counted the same way for the unigram base.
+A gram is a byte with the context before it, written nearest byte first, so that a subtree is a range of grams. Buckets are
+such ranges, with about as many bytes of text each: where many bytes follow one context, it is cut by the byte before it, and
+so on. A task counts the grams of its chunk and sends them in one piece per bucket. A bucket adds up its pieces and
+weighs its subtrees from the leaves up; the few nodes above the buckets are weighed on the driver. Then buckets
+answer every piece with its grams' log-probabilities in the same order, and chunks sum them per text. Words are
+counted the same way for the unigram base.
 """
 
 from __future__ import annotations
@@ -26,82 +27,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moorage.llm.base import map_rows, settle
+from moorage.llm.base import map_rows, settle, small_batches, to_arrow
 from moorage.llm.bbit_minhash import tokens
 
 #: Bytes of text in one chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 8_000_000
 #: Positions of a stream that are looked at together.
 SLICE = 2_000_000
-#: Bytes of context that buckets share.
-TOP = 2
+#: Bytes of text whose grams share a bucket: at most, at least, and the buckets of a small corpus.
+BUCKET_BYTES, SMALL_BUCKET_BYTES, FEW_BUCKETS = 8_000_000, 250_000, 64
+#: One in so many positions is a sample for the cut into buckets; it comes from so many chunks at most.
+SAMPLE_STEP, SAMPLE_CHUNKS = 4096, 2000
 _SPACE, _END = 0x20, 0x0A
 
 
 def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(bytes(data))
 
 
-@dataclass(frozen=True)
-class ContextTree:
-    """A small tree in memory. ``kept[d]``: sorted contexts of length d that have a node; ``keys``: sorted (depth, context, byte), ``log2p``."""
-
-    depth: int
-    kept: tuple[np.ndarray, ...]
-    keys: np.ndarray
-    log2p: np.ndarray
-
-
-def word_grams(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every word and its closing space: the ``depth`` bytes before it and itself, as one number."""
-    pad = b" " * depth
-    flat = np.frombuffer(pad + (b" " + pad).join(words) + b" ", np.uint8)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    begins = np.cumsum(lengths + depth) - lengths
-    ends = np.cumsum(lengths)
-    places = np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1])
-    grams = np.zeros(len(places), np.uint64)
-    for back in range(depth, -1, -1):
-        grams = grams << np.uint64(8) | flat[places - back]
-    return grams, lengths
-
-
-def end_gram(depth: int) -> np.ndarray:
-    return np.array([int.from_bytes(b" " * depth, "big") << 8 | _END], np.uint64)
-
-
-def _mask(n_bytes: int) -> np.uint64:
-    return np.uint64((1 << 8 * n_bytes) - 1)
-
-
-def _in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    if not len(among):
-        return np.zeros(len(values), bool)
-    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
-
-
-def reduced(grams: np.ndarray, kept: tuple[np.ndarray, ...], depth: int) -> np.ndarray:
-    """(longest context with a node, byte) of each gram, its length above it."""
-    out = grams & _mask(1)
-    open_, length = np.ones(len(grams), bool), np.zeros(len(grams), np.uint64)
-    for d in range(1, depth + 1):
-        own = np.flatnonzero(open_)
-        found = _in_sorted(grams[own] >> np.uint64(8) & _mask(d), kept[d])
-        open_[own[~found]] = False
-        good = own[found]
-        out[good] = grams[good] & _mask(d + 1)
-        length[good] = d
-    return out | length << np.uint64(8 * (depth + 1))
-
-
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma for x >= 1/2: Stirling's series eight further on."""
     y = x + 8.0
@@ -116,65 +68,10 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - math.log(math.pi) - _log_gamma(zeros + ones + 1.0)
 
 
-def weigh(keys: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
-    """log2 probability of each row of ``keys`` (see :func:`reduced`), given all rows' training counts.
-
-    A node without training counts says nothing and leaves the decision to its parent.
-    """
-    shift = np.uint64(8 * (depth + 1))
-    length, gram = (keys >> shift).astype(np.int64), keys & _mask(depth + 1)
-    byte = (gram & _mask(1)).astype(np.int64)
-    counts = counts.astype(np.float64)
-
-    # Levels from the leaves up: each row's own (pooled leaf or full context), then contexts of every length.
-    levels: list[tuple[np.ndarray, np.ndarray]] = []  # rows taking part, group of each by (context, byte)
-    for d in range(depth, -1, -1):
-        rows = np.flatnonzero(length >= d)
-        levels.append((rows, (gram[rows] & _mask(d + 1)) >> np.uint64(8)))
-    pooled = np.flatnonzero(length < depth)
-
-    total = np.zeros(len(keys))
-    for bit in range(8):
-        prefix, value = byte >> (8 - bit), (byte >> (7 - bit)) & 1
-        predicted = np.full(len(keys), np.nan)
-        children = np.zeros(len(keys))  # of each row's nearest node below: ln Pw, if the row stands for it
-        stands = np.zeros(len(keys), bool)
-        _, first, inverse = np.unique(keys[pooled] >> np.uint64(8) << np.uint64(8) | prefix[pooled].astype(np.uint64), return_index=True, return_inverse=True)
-        ones, all_ = (np.bincount(inverse, weights=w, minlength=len(first)) for w in (counts[pooled] * value[pooled], counts[pooled]))
-        pooled_kt, pooled_n = _estimate(all_, ones, inverse, value[pooled]), all_[inverse]
-        pooled_rep, pooled_pw = pooled[first], _log_kt(all_ - ones, ones)
-        for d, (rows, context) in zip(range(depth, -1, -1), levels):
-            if d < depth:
-                own = np.flatnonzero(length[pooled] == d)
-                seen = own[pooled_n[own] > 0]
-                predicted[pooled[seen]] = pooled_kt[seen]
-                mine = length[pooled_rep] == d
-                children[pooled_rep[mine]], stands[pooled_rep[mine]] = pooled_pw[mine], True
-            _, first, inverse = np.unique(context << np.uint64(8) | prefix[rows].astype(np.uint64), return_index=True, return_inverse=True)
-            ones, all_ = (np.bincount(inverse, weights=w, minlength=len(first)) for w in (counts[rows] * value[rows], counts[rows]))
-            log_pe = _log_kt(all_ - ones, ones)
-            below = np.bincount(inverse, weights=np.where(stands[rows], children[rows], 0.0), minlength=len(first))
-            leaf = d == depth
-            log_pw = log_pe if leaf else np.logaddexp(log_pe, below) - math.log(2)
-            weight = np.ones(len(first)) if leaf else 1 / (1 + np.exp(np.clip(below - log_pe, -500, 500)))
-            kt, deeper = _estimate(all_, ones, inverse, value[rows]), predicted[rows]
-            mixed = np.where(np.isnan(deeper), kt, weight[inverse] * kt + (1 - weight[inverse]) * deeper)
-            predicted[rows] = np.where(all_[inverse] > 0, mixed, np.nan)
-            stands[:] = False
-            children[rows[first]], stands[rows[first]] = log_pw, True
-        total += np.log2(np.where(np.isnan(predicted), 0.5, predicted))
-    return total
-
-
 def _estimate(total: np.ndarray, ones: np.ndarray, inverse: np.ndarray, value: np.ndarray) -> np.ndarray:
     return (np.where(value == 1, ones[inverse], (total - ones)[inverse]) + 0.5) / (total[inverse] + 1)
 
 
-def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(inverse, weights=weights, minlength=len(keys)).astype(np.int64)
-
-
 def _pack(numbers: np.ndarray) -> bytes:
     """Numbers byte plane by byte plane, compressed."""
     return _squeeze(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes())
@@ -198,7 +95,10 @@ def stream(words: list[bytes]) -> bytes:
 
 
 def stream_grams(flat: np.ndarray, depth: int, begin: int, stop: int) -> np.ndarray:
-    """Grams of the bytes ``begin`` to ``stop`` of texts one after another; before a text's first byte are spaces."""
+    """Grams of the bytes ``begin`` to ``stop`` of texts one after another; before a text's first byte are spaces.
+
+    The byte is the lowest of the number, the nearest one before it the highest.
+    """
     grams = flat[begin:stop].astype(np.uint64)
     ended = np.zeros(stop - begin, bool)
     for back in range(1, depth + 1):
@@ -207,22 +107,44 @@ def stream_grams(flat: np.ndarray, depth: int, begin: int, stop: int) -> np.ndar
         byte[outside:] = flat[begin + outside - back : stop - back]
         ended |= byte == _END
         byte[ended] = _SPACE
-        grams |= byte.astype(np.uint64) << np.uint64(8 * back)
+        grams |= byte.astype(np.uint64) << np.uint64(8 * (depth + 1 - back))
+    return grams
+
+
+def grams_at(flat: np.ndarray, depth: int, places: np.ndarray) -> np.ndarray:
+    """The same for single places."""
+    grams = flat[places].astype(np.uint64)
+    ended = np.zeros(len(places), bool)
+    for back in range(1, depth + 1):
+        byte = flat[np.maximum(places - back, 0)]
+        ended |= (byte == _END) | (places < back)
+        byte[ended] = _SPACE
+        grams |= byte.astype(np.uint64) << np.uint64(8 * (depth + 1 - back))
     return grams
 
 
+def _shorter(grams: np.ndarray) -> np.ndarray:
+    """The same bytes with contexts a byte shorter."""
+    return (grams >> np.uint64(16)) << np.uint64(8) | grams & np.uint64(255)
+
+
 def _slices(size: int) -> Iterator[tuple[int, int]]:
     for begin in range(0, size, SLICE):
         yield begin, min(size, begin + SLICE)
 
 
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+
+
 def _collapse(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct grams of the parts, with their counts added up."""
     grams = np.concatenate([np.zeros(0, np.uint64), *(g for g, _ in parts)])
     counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
-    order = np.argsort(grams, kind="stable")
+    order = np.argsort(grams)
     grams = grams[order]
-    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+    first = _starts(grams)
     return grams[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
@@ -245,50 +167,113 @@ def count_grams(flat: np.ndarray, depth: int, train: np.ndarray) -> tuple[np.nda
             learned = train[np.minimum(text + np.cumsum(ends) - ends, len(train) - 1)]
             text += int(ends.sum())
             grams = stream_grams(flat, depth, begin, stop)
-            yield np.unique(grams[learned], return_counts=True)
-            others = np.unique(grams[~learned])
-            yield others, np.zeros(len(others), np.int64)
+            order = np.argsort(grams)
+            grams = grams[order]
+            first = _starts(grams)
+            yield grams[first], np.add.reduceat(learned[order].astype(np.int64), first)
 
     return _counted(parts())
 
 
-def bucket_of(grams: np.ndarray, depth: int, buckets: int) -> np.ndarray:
-    """By the last bytes of the context alone, so that a bucket holds whole subtrees."""
-    shared = grams >> np.uint64(8) & _mask(_top(depth))
-    return (((shared * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)).astype(np.int64) % buckets
+def score_stream(flat: np.ndarray, depth: int, logs: np.ndarray) -> np.ndarray:
+    """log2 probability of each text of a stream; ``logs`` are those of its sorted distinct grams."""
+    sliced = []
+    for begin, stop in _slices(len(flat)):
+        grams = stream_grams(flat, depth, begin, stop)
+        order = np.argsort(grams)
+        grams = grams[order]
+        first = _starts(grams)
+        sliced.append((order.astype(np.int32), first, grams[first]))
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(g for _, _, g in sliced)])) if len(sliced) != 1 else sliced[0][2]
+    value = np.empty(len(flat), np.float64)
+    for (begin, stop), (order, first, grams) in zip(_slices(len(flat)), sliced):
+        value[begin:stop][order] = np.repeat(logs[np.searchsorted(known, grams)], np.diff(first, append=stop - begin))
+    ends = np.flatnonzero(flat == _END)
+    return np.add.reduceat(value, np.append(0, ends[:-1] + 1)) if len(ends) else np.zeros(0)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Buckets of grams: each begins at ``lows`` and holds the subtrees of contexts of ``roots`` bytes."""
+
+    lows: np.ndarray
+    roots: np.ndarray
+
+
+def plan_buckets(sample: np.ndarray, depth: int, most: float) -> Plan:
+    """Buckets of at most about ``most`` of the sorted sampled grams.
 
+    A context with more is cut by the byte before it, as long as its parts stay inner nodes; other contexts with the
+    same bytes after them share a bucket while they are few.
+    """
+    lows, roots = [], []
+
+    def cut(prefix: int, length: int, own: np.ndarray) -> None:
+        shift = 8 * (depth - length)
+        edges = np.searchsorted(own, np.array([prefix + (b << shift) for b in range(256)], np.uint64))
+        counts = np.diff(edges, append=len(own))
+        begin, held = 0, 0
+        for byte in range(257):
+            n = int(counts[byte]) if byte < 256 else 0
+            deeper = n > most and length + 2 < depth
+            if byte > begin and (byte == 256 or deeper or held + n > most):
+                lows.append(prefix + (begin << shift))
+                roots.append(length + 1)
+                begin, held = byte, 0
+            if byte < 256 and deeper:
+                cut(prefix + (byte << shift), length + 1, own[edges[byte] : edges[byte] + n])
+                begin = byte + 1
+            held += n if not deeper else 0
+
+    if depth == 1:
+        return Plan(np.zeros(1, np.uint64), np.zeros(1, np.int64))
+    cut(0, 0, sample)
+    return Plan(np.array(lows, np.uint64), np.array(roots, np.int64))
+
+
+@dataclass
+class Level:
+    """Grams of one context length, in order, and their counts; ``up``: each one's place in the next shorter level.
+
+    ``given``: rows whose children were weighed elsewhere, and ln of those children's Pw products, per decision.
+    """
 
-def _top(depth: int) -> int:
-    return min(TOP, depth - 1)
+    grams: np.ndarray
+    counts: np.ndarray
+    up: np.ndarray | None = None
+    given: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def _levels(grams: np.ndarray, counts: np.ndarray, depth: int, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(gram, count, its row in the next level) for contexts of ``depth`` bytes, one less, and so on to ``least``."""
+def _levels(grams: np.ndarray, counts: np.ndarray, depth: int, least: int) -> list[Level]:
+    """Levels for contexts of ``depth`` bytes, one less, and so on to ``least``."""
     levels = []
-    for d in range(depth - 1, least - 1, -1):
-        shorter, up = np.unique(grams & _mask(d + 1), return_inverse=True)
-        levels.append((grams, counts, up))
+    for _ in range(depth - least):
+        shorter, up = np.unique(_shorter(grams), return_inverse=True)
+        levels.append(Level(grams, counts, up))
         grams, counts = shorter, np.bincount(up, weights=counts, minlength=len(shorter)).astype(np.int64)
-    levels.append((grams, counts, None))
-    return levels
+    return [*levels, Level(grams, counts)]
 
 
-def decide(levels: list, below: np.ndarray | None, above: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """For each of the eight decisions: ln of the children's Pw product at the last level, and the mixture so far at the first.
+def decide(levels: list[Level], above: np.ndarray | None) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """For each of the eight decisions: ln of the children's Pw product at the last level, and the mixtures at each level.
 
-    ``below`` (8, rows): that product at the first level, None where it has the leaves. ``above`` (8, 3, rows): the mixture
-    at the last level from the contexts before it; the last level is then weighed there, not here. The mixture has
+    The first level has the leaves, but for rows with ``given`` products. ``above`` (8, 3, rows): the mixture at the last
+    level from the contexts before it; the last level is then weighed there, not here. The mixture has
     three parts: what the estimates down to here bring, the weight left for deeper ones, and the probability where no
     deeper context has a training byte.
     """
     for bit in range(8):
-        nodes, product = [], None if below is None else below[bit]
-        for grams, counts, up in levels if above is None else levels[:-1]:
-            node = grams >> np.uint64(8 - bit)
-            starts = np.append(True, node[1:] != node[:-1])[: len(node)]
-            first, own = np.flatnonzero(starts), np.cumsum(starts) - 1
-            value = (grams >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
-            total, ones = (np.add.reduceat(c, first).astype(np.float64) if len(first) else np.zeros(0) for c in (counts, counts * value))
+        nodes, product = [], None
+        for level in levels if above is None else levels[:-1]:
+            if level.given is not None:
+                rows, products = level.given
+                product = np.zeros(len(level.grams)) if product is None else product
+                product[rows] = products[bit]
+            node = level.grams >> np.uint64(8 - bit)
+            first = _starts(node)
+            own = np.repeat(np.arange(len(first)), np.diff(first, append=len(node)))
+            value = (level.grams >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
+            total, ones = (np.add.reduceat(c, first).astype(np.float64) if len(first) else np.zeros(0) for c in (level.counts, level.counts * value))
             log_pe = _log_kt(total - ones, ones)
             if product is None:
                 log_pw, weight = log_pe, np.ones(len(first))
@@ -297,38 +282,93 @@ def decide(levels: list, below: np.ndarray | None, above: np.ndarray | None) ->
                 log_pw = np.logaddexp(log_pe, children) - math.log(2)
                 weight = 1 / (1 + np.exp(np.clip(children - log_pe, -500, 500)))
             nodes.append((_estimate(total, ones, own, value), weight[own], total[own] > 0))
-            if up is not None:
-                prefix = levels[len(nodes)][0] >> np.uint64(8 - bit)
-                group = np.cumsum(np.append(True, prefix[1:] != prefix[:-1])[: len(prefix)]) - 1
-                product = np.bincount(group[up[first]], weights=log_pw, minlength=int(group[-1]) + 1 if len(group) else 0)[group]
-        mixed = np.stack([np.zeros(len(levels[-1][0])), np.ones(len(levels[-1][0])), np.full(len(levels[-1][0]), 0.5)]) if above is None else above[bit]
-        for (estimate, weight, seen), (_, _, up) in zip(reversed(nodes), reversed(levels if above is None else levels[:-1])):
-            brought, left, stop = mixed if up is None else mixed[:, up]
+            if level.up is not None:
+                prefix = levels[len(nodes)].grams >> np.uint64(8 - bit)
+                starts = _starts(prefix)
+                group = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(prefix)))
+                product = np.bincount(group[level.up[first]], weights=log_pw, minlength=len(starts))[group]
+        last = len(levels[-1].grams)
+        mixed = np.stack([np.zeros(last), np.ones(last), np.full(last, 0.5)]) if above is None else above[bit].astype(np.float64)
+        mixtures = []
+        for (estimate, weight, seen), level in zip(reversed(nodes), reversed(levels if above is None else levels[:-1])):
+            brought, left, stop = mixed if level.up is None else mixed[:, level.up]
             mixed = np.stack([brought + left * weight * estimate, left * (1 - weight), np.where(seen, brought + left * estimate, stop)])
-        yield product, mixed
+            mixtures.append(mixed)
+        yield product, mixtures[::-1]
+
+
+def subtree_products(grams: np.ndarray, counts: np.ndarray, depth: int, root: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the nodes above a bucket need of it: its grams with ``root`` bytes of context, counts, products of Pw (8, rows)."""
+    levels = _levels(grams, counts, depth, root)
+    unweighed = np.zeros((8, 3, len(levels[-1].grams)))
+    return levels[-1].grams, levels[-1].counts, np.stack([product for product, _ in decide(levels, unweighed)])
+
+
+def weigh_top(tops: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sorted grams and mixtures (8, 3, rows) at the buckets' roots, by the length of these, from what buckets tell of theirs."""
+    levels: list[Level] = []
+    grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for length in range(max(tops), -1, -1):
+        own, own_counts, products = tops.get(length, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((8, 0))))
+        both = np.concatenate([grams, own])
+        order = np.argsort(both)
+        if levels:
+            levels[-1].up = np.argsort(order)[levels[-1].up]
+        rows = np.flatnonzero(order >= len(grams))
+        level = Level(both[order], np.concatenate([counts, own_counts])[order], given=(rows, products[:, order[rows] - len(grams)]))
+        levels.append(level)
+        if length:
+            grams, level.up = np.unique(_shorter(level.grams), return_inverse=True)
+            counts = np.bincount(level.up, weights=level.counts, minlength=len(grams)).astype(np.int64)
+    mixtures = [m for _, m in decide(levels, None)]
+    out = {}
+    for k, level in enumerate(levels):
+        rows = level.given[0]
+        if len(rows):
+            out[max(tops) - k] = level.grams[rows], np.stack([m[k][:, rows] for m in mixtures]).astype(np.float32)
+    return out
 
 
-def subtree_products(grams: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What the nodes above a bucket need of it: their grams of ``TOP`` bytes of context, counts, products of Pw (8, rows)."""
-    levels = _levels(grams, counts, depth, _top(depth))
-    unweighed = np.zeros((8, 3, len(levels[-1][0])))
-    return levels[-1][0], levels[-1][1], np.stack([product for product, _ in decide(levels, None, unweighed)])
+def weigh_bucket(grams: np.ndarray, counts: np.ndarray, depth: int, root: int, top_grams: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """log2 probability of each of a bucket's grams."""
+    levels = _levels(grams, counts, depth, root)
+    above = top[:, :, np.searchsorted(top_grams, levels[-1].grams)]
+    return sum(np.log2(mixtures[0][2]) for _, mixtures in decide(levels, above))
 
 
-def weigh_top(grams: np.ndarray, counts: np.ndarray, products: np.ndarray, depth: int) -> np.ndarray:
-    """The mixtures (8, 3, rows) at the grams of ``TOP`` bytes of context."""
-    return np.stack([mixed for _, mixed in decide(_levels(grams, counts, _top(depth), 0), products, None)])
+TEXTS = "chunk bigint, bytes bigint, n_learned bigint, text binary, ids binary, flags binary, sample binary"
+#: What a text's flag says, added up.
+_HELD_OUT, _NO_ID = 1, 2
 
 
-def weigh_bucket(grams: np.ndarray, counts: np.ndarray, depth: int, top_grams: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """log2 probability of each of a bucket's grams."""
-    levels = _levels(grams, counts, depth, _top(depth))
-    above = top[:, :, np.searchsorted(top_grams, levels[-1][0])]
-    return sum(np.log2(mixed[2]) for _, mixed in decide(levels, None, above))
+def _chunks(docs: DataFrame, depth: int) -> DataFrame:
+    """Texts in chunks, each as one stream, with their ids and flags and a sample of their grams. No shuffle."""
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        from pyspark import TaskContext
+
+        part, number = TaskContext.get().partitionId(), 0
+        held: list[tuple[int | None, bool, bytes]] = []
+        size = 0
+
+        def close() -> dict:
+            whole = b"".join(text for _, _, text in held)
+            flags = bytes((_HELD_OUT if out else 0) + (_NO_ID if key is None else 0) for key, out, _ in held)
+            sample = grams_at(np.frombuffer(whole, np.uint8), depth, np.arange(0, len(whole), SAMPLE_STEP))
+            values = (part << 32 | number, len(whole), sum(not out for _, out, _ in held), _squeeze(whole), np.array([key or 0 for key, _, _ in held], "<i8").tobytes(), flags, sample.tobytes())
+            return {c.split()[0]: [v] for c, v in zip(TEXTS.split(", "), values)}
 
+        for batch in batches:
+            for key, text, held_out in zip(batch["doc_id"], batch["text"], batch["held_out"]):
+                held.append((key, held_out, stream(tokens(text))))
+                size += len(held[-1][2]) + 100
+                if size >= CHUNK_BYTES:
+                    yield close()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield close()
 
-CHUNKS = "kind int, chunk bigint, bucket int, doc_id bigint, held_out boolean, a binary, b binary"
-_CHUNK_NAMES = [c.split()[0] for c in CHUNKS.split(", ")]
+    return map_rows(docs, rows, TEXTS)
 
 
 def _numbered(texts: Iterable[list[bytes]], buckets: int) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
@@ -343,68 +383,94 @@ def _numbered(texts: Iterable[list[bytes]], buckets: int) -> tuple[list[bytes],
     return [words[i] for i in order.tolist()], [place[n] for n in numbers], np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _chunks(docs: DataFrame, buckets: int, depth: int) -> DataFrame:
-    """Of each chunk: words (kind 0) and grams (kind 2) by bucket with training counts, texts (kind 1), their stream (kind 3)."""
-
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        from pyspark import TaskContext
-
-        part, number = TaskContext.get().partitionId(), 0
-        held: list[tuple] = []
-        size = 0
-
-        def close() -> Iterator[dict]:
-            chunk = part << 32 | number
-            out = {name: [] for name in _CHUNK_NAMES}
+def _texts_of(whole: bytes) -> Iterator[list[bytes]]:
+    return (text.split() for text in whole[:-1].split(b"\n"))
 
-            def row(*values) -> None:
-                for name, value in zip(_CHUNK_NAMES, values):
-                    out[name].append(value)
 
-            whole = b"".join(text for _, _, text in held)
-            train = np.array([not held_out for _, held_out, _ in held], bool)
-            words, places, edges = _numbered((text[:-1].split() for _, _, text in held), buckets)
-            counts = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(p for p, t in zip(places, train) if t)]), minlength=len(words))
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                own = slice(edges[b], edges[b + 1])
-                row(0, chunk, b, None, None, _squeeze(b"\n".join(words[own])), _pack(counts[own].astype("<i8")))
-            del words, places
-            grams, counts = count_grams(np.frombuffer(whole, np.uint8), depth, train)
-            bucket = bucket_of(grams, depth, buckets)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                own = order[edges[b] : edges[b + 1]]
-                row(2, chunk, b, None, None, _pack_grams(grams[own]), _pack(counts[own].astype("<u4")))
-            for place, (key, held_out, _) in enumerate(held):
-                row(1, chunk, place, key, held_out, None, None)
-            row(3, chunk, None, None, None, _squeeze(whole), None)
-            yield out
+PIECES = "kind int, bucket int, chunk bigint, asked binary, counts binary"
+_WORDS, _GRAMS = 0, 1
 
-        for batch in batches:
-            for key, text, held_out in zip(batch["doc_id"], batch["text"], batch["held_out"]):
-                held.append((key, held_out, stream(tokens(text))))
-                size += len(held[-1][2]) + 100
-                if size >= CHUNK_BYTES:
-                    yield from close()
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield from close()
 
-    return map_rows(docs, rows, CHUNKS)
+def _pieces(texts: DataFrame, plan: Plan, depth: int) -> DataFrame:
+    """Distinct words and grams of each chunk, by bucket, with their counts in texts that are learned from."""
+    kind = to_arrow(PIECES)
+    buckets = len(plan.lows)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            for chunk, text, flags in zip(*(batch.column(c).to_pylist() for c in ("chunk", "text", "flags"))):
+                whole = _expand(text)
+                train = np.frombuffer(flags, np.uint8) & _HELD_OUT == 0
+                words, places, edges = _numbered(_texts_of(whole), buckets)
+                counts = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(p for p, t in zip(places, train) if t)]), minlength=len(words))
+                rows = []
+                for b in np.flatnonzero(np.diff(edges)).tolist():
+                    own = slice(edges[b], edges[b + 1])
+                    rows.append((_WORDS, b, chunk, _squeeze(b"\n".join(words[own])), _pack(counts[own].astype("<i8"))))
+                del words, places
+                grams, counts = count_grams(np.frombuffer(whole, np.uint8), depth, train)
+                edges = np.append(np.searchsorted(grams, plan.lows), len(grams))
+                for b in np.flatnonzero(np.diff(edges)).tolist():
+                    own = slice(edges[b], edges[b + 1])
+                    rows.append((_GRAMS, b, chunk, _pack_grams(grams[own]), _pack(counts[own].astype("<u4"))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kind.types)], schema=kind)
 
-def _bucket_words(frame: pd.DataFrame) -> pd.DataFrame:
-    """Training counts of a bucket's distinct words."""
-    total: dict[bytes, int] = {}
-    for words, counts in zip(frame["a"], frame["b"]):
-        for word, count in zip(_expand(words).split(b"\n"), _unpack(counts, "<i8").tolist()):
-            total[word] = total.get(word, 0) + count
-    sums = np.fromiter(total.values(), np.int64, len(total))
-    return pd.DataFrame([(int(frame["bucket"].iat[0]), int(sums.sum()), int((sums > 0).sum()), _squeeze(b"\n".join(total)), _pack(sums.astype("<i8")))], columns=["bucket", "n", "v", "words", "counts"])
+    return texts.select("chunk", "text", "flags").mapInArrow(run, PIECES)
 
 
+#: A bucket's distinct words or grams with their counts, what the top needs of it, and what each chunk asks.
+BUCKETS = "kind int, bucket int, n bigint, v bigint, keys binary, counts binary, top binary, top_counts binary, products binary, chunks array<bigint>, asked array<binary>"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+ANSWERS = "chunk bigint, kind int, bucket int, answer binary"
+
+
+def _summed(frame: pd.DataFrame, plan: Plan, depth: int) -> pd.DataFrame:
+    kind, bucket = int(frame["kind"].iat[0]), int(frame["bucket"].iat[0])
+    asked = (frame["chunk"].tolist(), frame["asked"].tolist())
+    if kind == _WORDS:
+        total: dict[bytes, int] = {}
+        for words, counts in zip(frame["asked"], frame["counts"]):
+            for word, count in zip(_expand(words).split(b"\n"), _unpack(counts, "<i8").tolist()):
+                total[word] = total.get(word, 0) + count
+        sums = np.fromiter(total.values(), np.int64, len(total))
+        row = (kind, bucket, int(sums.sum()), int((sums > 0).sum()), _squeeze(b"\n".join(total)), _pack(sums.astype("<i8")), None, None, None, *asked)
+    else:
+        own, counts = _counted((_unpack_grams(a), _unpack(b, "<u4").astype(np.int64)) for a, b in zip(frame["asked"], frame["counts"]))
+        top, top_counts, products = subtree_products(own, counts, depth, int(plan.roots[bucket]))
+        told = (_pack_grams(top), _pack(top_counts.astype("<i8")), _pack(np.ascontiguousarray(products.T).astype("<f8").ravel()))
+        row = (kind, bucket, None, None, _pack_grams(own), _pack(counts.astype("<i8")), *told, *asked)
+    return pd.DataFrame([row], columns=[c.split()[0] for c in BUCKETS.split(", ")]).astype({"n": "Int64", "v": "Int64"})
+
+
+def _tops(buckets: DataFrame, plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Mixtures at the roots of all buckets: one row per byte and root context reaches the driver."""
+    told: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for r in buckets.where(F.col("kind") == _GRAMS).select("bucket", "top", "top_counts", "products").collect():
+        part = (_unpack_grams(r.top), _unpack(r.top_counts, "<i8"), _unpack(r.products, "<f8").reshape(-1, 8).T)
+        told.setdefault(int(plan.roots[r.bucket]), []).append(part)
+    return weigh_top({k: tuple(np.concatenate(c, axis=-1) for c in zip(*parts)) for k, parts in told.items()}) if told else {}
+
+
+def _answers(buckets: DataFrame, tops: dict[int, tuple[np.ndarray, np.ndarray]], plan: Plan, depth: int) -> DataFrame:
+    """To each piece, its words' training counts or its grams' log2 probabilities, in the piece's order. No shuffle."""
+    kind, sent = to_arrow(ANSWERS), buckets.sparkSession.sparkContext.broadcast(tops)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            for row in batch.to_pylist():
+                counts, out = _unpack(row["counts"], "<i8"), []
+                if row["kind"] == _WORDS:
+                    total = dict(zip(_expand(row["keys"]).split(b"\n"), counts.tolist()))
+                    out = [_pack(np.array([total[w] for w in _expand(a).split(b"\n")], "<i8")) for a in row["asked"]]
+                else:
+                    own, root = _unpack_grams(row["keys"]), int(plan.roots[row["bucket"]])
+                    logs = weigh_bucket(own, counts, depth, root, *sent.value[root]).astype("<f4")
+                    out = [_pack(logs[np.searchsorted(own, _unpack_grams(a))]) for a in row["asked"]]
+                n = len(out)
+                columns = (row["chunks"], [row["kind"]] * n, [row["bucket"]] * n, out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kind.types)], schema=kind)
+
+    return buckets.select("kind", "bucket", "keys", "counts", "chunks", "asked").mapInArrow(run, ANSWERS)
 
 
 def score_documents(docs: DataFrame, *, depth: int = 6) -> DataFrame:
@@ -412,81 +478,45 @@ def score_documents(docs: DataFrame, *, depth: int = 6) -> DataFrame:
 
     Learns from rows that are not held out, counting every byte of every text. A null text is empty and has the
     end alone. Equal rows each get their row; null ids stay. Where nothing is learned from, every count is zero and all
-    decisions have probability 1/2. An empty table gives an empty result.
+    decisions have probability 1/2. An empty table gives an empty result. A gram is one 64-bit number, so contexts
+    have 7 bytes at most.
     """
     if not 1 <= depth <= 7:
         raise ValueError("a depth of 1 to 7 bytes")
-    spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows_in = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    chunks = settle(_chunks(rows_in, buckets, depth))
-    words, grams = (chunks.where(f"kind = {k}").select("chunk", "bucket", "a", "b") for k in (0, 2))
-    known = settle(words.groupBy("bucket").applyInPandas(_bucket_words, "bucket int, n bigint, v bigint, words binary, counts binary"))
-    seen = known.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v"))).first()
-    n_ends = chunks.where("kind = 1 AND NOT held_out").count()
-    n, v = seen.n + n_ends, seen.v + (n_ends > 0)
+    texts = settle(_chunks(rows_in, depth))
+    size, n_ends = texts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "n_learned"))).first()
+    # A sample decides where buckets begin, and so how work is spread; results are the same with any.
+    chosen = texts.orderBy(F.xxhash64("chunk")).limit(SAMPLE_CHUNKS).select("sample").collect()
+    sample = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.sample, np.uint64) for r in chosen)]))
+    share = min(BUCKET_BYTES, max(SMALL_BUCKET_BYTES, size // FEW_BUCKETS)) / max(1, size)
+    plan = plan_buckets(sample, depth, share * len(sample))
 
     def summed_bucket(frame: pd.DataFrame) -> pd.DataFrame:
-        own, counts = _counted((_unpack_grams(a), _unpack(b, "<u4").astype(np.int64)) for a, b in zip(frame["a"], frame["b"]))
-        top, top_counts, products = subtree_products(own, counts, depth)
-        values = (int(frame["bucket"].iat[0]), _pack_grams(own), _pack(counts.astype("<i8")), _pack_grams(top), _pack(top_counts.astype("<i8")), _pack(np.ascontiguousarray(products.T).astype("<f8").ravel()))
-        return pd.DataFrame([values], columns=["bucket", "grams", "counts", "top", "top_counts", "products"])
-
-    trees = settle(grams.groupBy("bucket").applyInPandas(summed_bucket, "bucket int, grams binary, counts binary, top binary, top_counts binary, products binary"))
-    # One row per byte with the TOP bytes before it: bounded by the alphabet, not by the corpus.
-    tops = trees.select("top", "top_counts", "products").collect()
-    top = np.concatenate([np.zeros(0, np.uint64), *(_unpack_grams(r.top) for r in tops)])
-    order = np.argsort(top)
-    top_counts = np.concatenate([np.zeros(0, np.int64), *(_unpack(r.top_counts, "<i8") for r in tops)])[order]
-    products = np.concatenate([np.zeros((0, 8)), *(_unpack(r.products, "<f8").reshape(-1, 8) for r in tops)])[order].T
-    sent = spark.sparkContext.broadcast((top[order], weigh_top(top[order], top_counts, products, depth)))
-
-    def count_answers(wanted: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        total = dict(zip(_expand(found["words"].iat[0]).split(b"\n"), _unpack(found["counts"].iat[0], "<i8").tolist()))
-        out = [(c, 0, b, _pack(np.array([total[w] for w in _expand(a).split(b"\n")], "<i8"))) for c, b, a in zip(wanted["chunk"], wanted["bucket"], wanted["a"])]
-        return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "answer"])
-
-    def gram_answers(wanted: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        own = _unpack_grams(found["grams"].iat[0])
-        logs = weigh_bucket(own, _unpack(found["counts"].iat[0], "<i8"), depth, *sent.value).astype("<f4")
-        out = [(c, 2, b, _pack(logs[np.searchsorted(own, _unpack_grams(a))])) for c, b, a in zip(wanted["chunk"], wanted["bucket"], wanted["a"])]
-        return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "answer"])
-
-    answers = "chunk bigint, kind int, bucket int, answer binary"
-    asked = [k.drop("b").groupBy("bucket") for k in (words, grams)]
-    answered = asked[0].cogroup(known.groupBy("bucket")).applyInPandas(count_answers, answers).union(asked[1].cogroup(trees.groupBy("bucket")).applyInPandas(gram_answers, answers))
-    texts = chunks.where("kind IN (1, 3)").select("chunk", "kind", F.col("bucket").alias("place"), "doc_id", "held_out", "a")
-    norm, end_known = math.log10(n + v + 1), n_ends
+        return _summed(frame, plan, depth)
+
+    dealt = _pieces(texts, plan, depth).repartition(len(plan.lows), "kind", "bucket")
+    buckets = settle(dealt.groupBy("kind", "bucket").applyInPandas(summed_bucket, BUCKETS))
+    seen = buckets.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v"))).first()
+    n, v = seen.n + n_ends, seen.v + (n_ends > 0)
+    answers = _answers(buckets, _tops(buckets, plan), plan, depth)
+    norm, word_buckets = math.log10(n + v + 1), len(plan.lows)
 
     def summed(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        whole = _expand(wanted.loc[wanted["kind"] == 3, "a"].iat[0])
-        rows = wanted[wanted["kind"] == 1].sort_values("place")
+        whole = _expand(wanted["text"].iat[0])
+        flags = np.frombuffer(wanted["flags"].iat[0], np.uint8)
+        ids = np.frombuffer(wanted["ids"].iat[0], "<i8")
         found = found.sort_values("bucket")
-        counts = np.concatenate([np.zeros(0, "<i8"), *(_unpack(x, "<i8") for x in found.loc[found["kind"] == 0, "answer"])])
-        logs = np.concatenate([np.zeros(0, "<f4"), *(_unpack(x, "<f4") for x in found.loc[found["kind"] == 2, "answer"])])
-        scores = score_stream(np.frombuffer(whole, np.uint8), depth, buckets, logs, len(rows)) * math.log10(2)
+        counts = np.concatenate([np.zeros(0, "<i8"), *(_unpack(x, "<i8") for x in found.loc[found["kind"] == _WORDS, "answer"])])
+        logs = np.concatenate([np.zeros(0, "<f4"), *(_unpack(x, "<f4") for x in found.loc[found["kind"] == _GRAMS, "answer"])])
+        scores = score_stream(np.frombuffer(whole, np.uint8), depth, logs) * math.log10(2)
         plain = np.log10(counts + 1.0) - norm
-        _, places, _ = _numbered((text.split() for text in whole[:-1].split(b"\n")), buckets)
+        _, places, _ = _numbered(_texts_of(whole), word_buckets)
         out = []
-        for key, held_out, own, score in zip(rows["doc_id"], rows["held_out"], places, scores.tolist()):
-            known_words = int(np.count_nonzero(counts[own])) + (end_known > 0)
-            out.append((key, held_out, len(own) + 1, known_words, n, float(plain[own].sum()) + math.log10(end_known + 1) - norm, score))
+        for key, flag, own, score in zip(ids.tolist(), flags.tolist(), places, scores.tolist()):
+            known_words = int(np.count_nonzero(counts[own])) + (n_ends > 0)
+            base = float(plain[own].sum()) + math.log10(n_ends + 1) - norm
+            out.append((None if flag & _NO_ID else key, bool(flag & _HELD_OUT), len(own) + 1, known_words, n, base, score))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCORES.split(", ")]).astype({"doc_id": "Int64"})
 
-    return answered.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInPandas(summed, SCORES)
-
-
-def score_stream(flat: np.ndarray, depth: int, buckets: int, logs: np.ndarray, texts: int) -> np.ndarray:
-    """log2 probability of each text of a stream; ``logs`` are those of its distinct grams, bucket after bucket."""
-    grams, _ = count_grams(flat, depth, np.zeros(texts, bool))
-    value = np.empty(len(grams), np.float64)
-    value[np.argsort(bucket_of(grams, depth, buckets), kind="stable")] = logs
-    out, text = np.zeros(texts), 0
-    for begin, stop in _slices(len(flat)):
-        ends = flat[begin:stop] == _END
-        own = text + np.cumsum(ends) - ends
-        text += int(ends.sum())
-        asked = stream_grams(flat, depth, begin, stop)
-        order = np.argsort(asked)  # searched in order: neighbours are near in memory
-        out += np.bincount(own[order], weights=value[np.searchsorted(grams, asked[order])], minlength=texts)
-    return out
+    return answers.groupBy("chunk").cogroup(texts.select("chunk", "text", "ids", "flags").groupBy("chunk")).applyInPandas(summed, SCORES)

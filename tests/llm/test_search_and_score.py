@@ -100,87 +100,106 @@ def test_odd_documents_and_items(spark, index_items):
 
 # --- context trees
 
-WORDS = [b"the", b"then", b"a", b"that", b"xq", b"\xc3\xa9t\xc3\xa9"]
-COUNTS = np.array([50, 20, 30, 10, 0, 4])
-
-
-def tree_and_truth(depth, least, ends=7):
-    """The tree, and each row's log2 probability by the recursive definition."""
-    grams, lengths = ct.word_grams(WORDS, depth)
-    weights = np.repeat(COUNTS, lengths)
-    start = int(ct.end_gram(depth)[0]) >> 8
-    total = Counter()
-    for g, c in zip(grams.tolist(), weights.tolist()):
-        for d in range(depth + 1):
-            total[d, g >> 8 & (1 << 8 * d) - 1] += c
-    kept = tuple(np.array(sorted({k for (e, k), v in total.items() if e == d and v >= least} | {start & (1 << 8 * d) - 1}), np.uint64) for d in range(depth + 1))
-    keys, n = ct._summed(np.append(ct.reduced(grams, kept, depth), ct.reduced(ct.end_gram(depth), kept, depth)), np.append(weights, ends))
-    tree = ct.ContextTree(depth, kept, keys, ct.weigh(keys, n, depth))
-
-    rows = [*zip(grams.tolist(), weights.tolist()), (int(ct.end_gram(depth)[0]), ends)]
-    known = [set(k.tolist()) for k in kept]
-
-    def path(g):
-        out = [("root", 0, 0)]
-        for d in range(1, depth + 1):
-            c = g >> 8 & (1 << 8 * d) - 1
-            if c not in known[d]:
-                return [*out, ("pooled", d, g >> 8 & (1 << 8 * (d - 1)) - 1)]
-            out.append(("node", d, c))
-        return out
+TEXTS = ["the then that", "a that", "", "the a the a", "xq", "été then", "that the then a that xq the the", "ab ab ab ab ab ab ab"]
 
+
+def streams(texts):
+    return np.frombuffer(b"".join(ct.stream(tokens(t)) for t in texts), np.uint8)
+
+
+def in_memory(grams, counts, depth, plan):
+    """log2 probability of each gram, by buckets as a job would."""
+    edges = np.append(np.searchsorted(grams, plan.lows), len(grams))
+    parts, told = [], {}
+    for b, root in enumerate(plan.roots.tolist()):
+        own = slice(edges[b], edges[b + 1])
+        parts.append((root, grams[own], counts[own]))
+        if edges[b] < edges[b + 1]:
+            told.setdefault(root, []).append(ct.subtree_products(grams[own], counts[own], depth, root))
+    tops = ct.weigh_top({r: tuple(np.concatenate(c, axis=-1) for c in zip(*p)) for r, p in told.items()})
+    return np.concatenate([ct.weigh_bucket(g, c, depth, r, *tops[r]) for r, g, c in parts if len(g)])
+
+
+def truth(grams, counts, depth):
+    """The same by the recursive definition."""
+    size = depth + 1
+    rows = [(g.to_bytes(size, "big")[:-1], g & 255, int(c)) for g, c in zip(grams.tolist(), counts.tolist())]
     seen, below = {}, {}
-    for g, c in rows:
-        nodes, byte = path(g), g & 255
+    for context, byte, c in rows:
         for k in range(8):
-            for up, node in enumerate(nodes):
-                seen.setdefault((node, k, byte >> 8 - k), [0, 0])[byte >> 7 - k & 1] += c
-                if up + 1 < len(nodes):
-                    below.setdefault((node, k, byte >> 8 - k), set()).add((nodes[up + 1], k, byte >> 8 - k))
-
-    def pe(x):
-        a, b = seen[x]
+            for d in range(size):
+                node = (context[:d], k, byte >> 8 - k)
+                seen.setdefault(node, [0, 0])[byte >> 7 - k & 1] += c
+                if d < depth:
+                    below.setdefault(node, set()).add((context[: d + 1], k, byte >> 8 - k))
+
+    def pe(node):
+        a, b = seen[node]
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
 
     @lru_cache(None)
-    def pw(x):
-        return pe(x) if x not in below else np.logaddexp(pe(x), sum(map(pw, below[x]))) - math.log(2)
+    def pw(node):
+        return pe(node) if node not in below else np.logaddexp(pe(node), sum(map(pw, below[node]))) - math.log(2)
 
-    def truth(g):
-        out = 0.0
+    out = []
+    for context, byte, _ in rows:
+        total = 0.0
         for k in range(8):
-            p, bit, prefix = None, (g & 255) >> 7 - k & 1, (g & 255) >> 8 - k
-            for node in reversed(path(g)):
-                c = seen.get((node, k, prefix), (0, 0))
+            p = None
+            for d in range(depth, -1, -1):
+                node = (context[:d], k, byte >> 8 - k)
+                c = seen[node]
                 if sum(c):
-                    kt = (c[bit] + 0.5) / (sum(c) + 1)
-                    own = 1 / (1 + math.exp(sum(map(pw, below[node, k, prefix])) - pe((node, k, prefix)))) if p is not None else 1
+                    kt = (c[byte >> 7 - k & 1] + 0.5) / (sum(c) + 1)
+                    own = 1 if p is None else 1 / (1 + math.exp(sum(map(pw, below[node])) - pe(node)))
                     p = kt if p is None else own * kt + (1 - own) * p
-            out += math.log2(p or 0.5)
-        return out
-
-    return tree, keys, kept, [(g, truth(g)) for g, _ in rows]
+            total += math.log2(p or 0.5)
+        out.append(total)
+    return out
 
 
-@pytest.mark.parametrize("least", [1, 15, 1000])
-@pytest.mark.parametrize("depth", [0, 1, 3, 6])
-def test_tree_is_context_tree_weighting(depth, least):
-    tree, keys, kept, truth = tree_and_truth(depth, least)
-    grams = np.array([g for g, _ in truth], np.uint64)
-    got = tree.log2p[np.searchsorted(keys, ct.reduced(grams, kept, depth))]
-    assert got == pytest.approx([p for _, p in truth], abs=1e-9)
+@pytest.mark.parametrize("most", [1e9, 6, 1])
+@pytest.mark.parametrize("depth", [1, 2, 3, 6, 7])
+def test_tree_is_context_tree_weighting(depth, most):
+    flat = streams(TEXTS * 3)
+    train = np.array([i % len(TEXTS) != 5 for i in range(len(TEXTS) * 3)])
+    grams, counts = ct.count_grams(flat, depth, train)
+    plan = ct.plan_buckets(np.sort(ct.stream_grams(flat, depth, 0, len(flat))), depth, most)
+    assert (counts == 0).any() and (most > 6 or depth < 3 or len(set(plan.roots.tolist())) > 1)
+    assert in_memory(grams, counts, depth, plan) == pytest.approx(truth(grams, counts, depth), abs=1e-5)
 
 
 def test_decisions_are_a_distribution():
     depth = 3
-    grams, lengths = ct.word_grams(WORDS, depth)
-    context = int(grams[1]) & ~255
+    grams, counts = ct.count_grams(streams(TEXTS), depth, np.ones(len(TEXTS), bool))
+    context = int(grams[len(grams) // 2]) & ~255
     every = np.array([context | b for b in range(256)], np.uint64)
-    kept = tuple(np.unique(np.append(grams >> np.uint64(8), ct.end_gram(depth) >> np.uint64(8)) & ct._mask(d)) for d in range(depth + 1))
-    rows = np.concatenate([ct.reduced(grams, kept, depth), ct.reduced(every, kept, depth)])
-    keys, n = ct._summed(rows, np.append(np.repeat(COUNTS, lengths), np.zeros(256)))
-    p = ct.weigh(keys, n, depth)[np.searchsorted(keys, ct.reduced(every, kept, depth))]
-    assert (2.0**p).sum() == pytest.approx(1)
+    both, n = ct._collapse([(grams, counts), (every, np.zeros(256, np.int64))])
+    p = in_memory(both, n, depth, ct.plan_buckets(grams, depth, 4))[np.searchsorted(both, every)]
+    assert (2.0**p).sum() == pytest.approx(1, abs=1e-5)
+
+
+@pytest.mark.parametrize("most", [0.5, 3, 40, 1000])
+@pytest.mark.parametrize("depth", [2, 4, 6])
+def test_buckets_are_bounded_subtrees(depth, most):
+    rng = random.Random(depth)
+    flat = streams([" ".join("".join(rng.choice("aaaaab") for _ in range(rng.randint(1, 9))) for _ in range(200))] * 3)
+    grams = np.sort(ct.stream_grams(flat, depth, 0, len(flat)))
+    plan = ct.plan_buckets(grams, depth, most)
+    edges = np.append(np.searchsorted(grams, plan.lows), len(grams))
+    assert plan.lows[0] == 0 and (np.diff(plan.lows.astype(object)) > 0).all() and 1 <= plan.roots.min() <= plan.roots.max() < depth
+    subtrees = []
+    for b, root in enumerate(plan.roots.tolist()):
+        own = [g.to_bytes(depth + 1, "big") for g in grams[edges[b] : edges[b + 1]].tolist()]
+        assert len({g[: root - 1] for g in own}) <= 1
+        assert len(own) <= most or len({g[:root] for g in own}) == 1 and root == depth - 1
+        subtrees += [(b, g[:root]) for g in set(own)]
+    assert len(set(subtrees)) == len({root for _, root in subtrees})
+
+
+def test_no_bucket_is_without_sample():
+    plan = ct.plan_buckets(np.zeros(0, np.uint64), 6, 0.0)
+    assert plan.lows.tolist() == [0] and plan.roots.tolist() == [1]
 
 
 def base(rows, held):
@@ -221,12 +240,12 @@ def test_odd_texts(spark):
 
 def whole_tree(texts, depth):
     """log10 of each text when every context of the texts has a node, weighed in one piece."""
-    flat = np.frombuffer(b"".join(ct.stream(tokens(t)) for t in texts), np.uint8)
-    grams = ct.stream_grams(flat, depth, 0, len(flat))
-    keys, counts = ct._summed(grams | np.uint64(depth) << np.uint64(8 * (depth + 1)), np.ones(len(grams)))
-    logs = ct.weigh(keys, counts, depth)[np.searchsorted(keys & ct._mask(depth + 1), grams)]
+    flat = streams(texts)
+    grams, counts = ct.count_grams(flat, depth, np.ones(len(texts), bool))
+    logs = in_memory(grams, counts, depth, ct.plan_buckets(grams[:0], depth, 0.0))
+    each = logs[np.searchsorted(grams, ct.stream_grams(flat, depth, 0, len(flat)))]
     ends = np.flatnonzero(flat == 10)
-    return np.add.reduceat(logs, np.append(0, ends[:-1] + 1)) * math.log10(2)
+    return np.add.reduceat(each, np.append(0, ends[:-1] + 1)) * math.log10(2)
 
 
 @pytest.mark.parametrize("chunk", [32_000_000, 1000])
@@ -234,6 +253,8 @@ def whole_tree(texts, depth):
 def test_rare_contexts_have_nodes_in_a_large_corpus(spark, chunk, depth, monkeypatch):
     monkeypatch.setattr(ct, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(ct, "SLICE", 7_001)
+    monkeypatch.setattr(ct, "SMALL_BUCKET_BYTES", 3_000)
+    monkeypatch.setattr(ct, "SAMPLE_STEP", 16)
     rng = random.Random(1)
     rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 8))) for _ in range(300)), False) for i in range(150)]
     docs = spark.createDataFrame([*rows, (150, "", False)], "doc_id int, text string, held_out boolean")
@@ -247,7 +268,8 @@ def test_contexts_reach_across_words(spark):
     flat = np.frombuffer(b"ab cd\nef\n", np.uint8)
     parts = [ct.stream_grams(flat, 6, a, b) for a, b in [(0, 2), (2, 4), (4, 9)]]
     wanted = [b"      a", b"     ab", b"    ab ", b"   ab c", b"  ab cd", b" ab cd\n", b"      e", b"     ef", b"    ef\n"]
-    assert [g.to_bytes(7, "big") for g in np.concatenate(parts).tolist()] == wanted
+    assert [g.to_bytes(7, "big") for g in np.concatenate(parts).tolist()] == [w[-2::-1] + w[-1:] for w in wanted]
+    assert ct.grams_at(flat, 6, np.array([1, 3, 7])).tolist() == np.concatenate(parts)[[1, 3, 7]].tolist()
     rows = [(i, "red sky and blue sea", False) for i in range(40)] + [(40, "red sky and blue sea", True), (41, "sea blue red and sky", True)]
     got = {r.doc_id: r for r in ct.score_documents(spark.createDataFrame(rows, "doc_id int, text string, held_out boolean")).collect()}
     assert got[40].base_score == pytest.approx(got[41].base_score) and got[40].score > got[41].score + 3
