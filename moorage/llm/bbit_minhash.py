@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moorage.llm.base import map_rows, may_hold, settle, settled_for_now, worker_cache
+from moorage.llm.base import map_rows, may_hold, settle, settled_for_now, sorted_distinct, worker_cache
 from moorage.llm.components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -86,7 +86,7 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     out = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
         out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + digests[k : len(words) - size + 1 + k])
-    return np.unique(out)
+    return sorted_distinct(out)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

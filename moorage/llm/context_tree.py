@@ -24,6 +24,7 @@ import math
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moorage.llm.base import map_rows, settle, small_batches, to_arrow
+from moorage.llm.base import map_rows, settle, small_batches, sorted_distinct, to_arrow
 from moorage.llm.bbit_minhash import tokens
 
 #: Bytes of text in one chunk; a longer document is a chunk of its own.
@@ -40,7 +41,7 @@ CHUNK_BYTES = 8_000_000
 #: Positions of a stream that are looked at together.
 SLICE = 2_000_000
 #: Bytes of text whose grams share a bucket: at most, at least, and the buckets of a small corpus.
-BUCKET_BYTES, SMALL_BUCKET_BYTES, FEW_BUCKETS = 8_000_000, 250_000, 64
+BUCKET_BYTES, SMALL_BUCKET_BYTES, FEW_BUCKETS = 4_000_000, 250_000, 64
 #: One in so many positions is a sample for the cut into buckets; it comes from so many chunks at most.
 SAMPLE_STEP, SAMPLE_CHUNKS = 4096, 2000
 _SPACE, _END = 0x20, 0x0A
@@ -54,6 +55,10 @@ def _expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(bytes(data))
 
 
+#: Counts up to which ln Gamma is looked up.
+_TABLED = 1 << 14
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma for x >= 1/2: Stirling's series eight further on."""
     y = x + 8.0
@@ -64,12 +69,22 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return out - np.log(product)
 
 
-def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - math.log(math.pi) - _log_gamma(zeros + ones + 1.0)
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    counts = np.arange(_TABLED, dtype=np.float64)
+    return _log_gamma(counts + 0.5), _log_gamma(counts + 1.0)
 
 
-def _estimate(total: np.ndarray, ones: np.ndarray, inverse: np.ndarray, value: np.ndarray) -> np.ndarray:
-    return (np.where(value == 1, ones[inverse], (total - ones)[inverse]) + 0.5) / (total[inverse] + 1)
+def _looked_up(counts: np.ndarray, which: int) -> np.ndarray:
+    """ln Gamma of the counts and 1/2, or 1."""
+    out = _tables()[which][np.minimum(counts, _TABLED - 1)]
+    large = np.flatnonzero(counts >= _TABLED)
+    out[large] = _log_gamma(counts[large] + (0.5, 1.0)[which])
+    return out
+
+
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _looked_up(zeros, 0) + _looked_up(ones, 0) - math.log(math.pi) - _looked_up(zeros + ones, 1)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -166,11 +181,10 @@ def count_grams(flat: np.ndarray, depth: int, train: np.ndarray) -> tuple[np.nda
             ends = flat[begin:stop] == _END
             learned = train[np.minimum(text + np.cumsum(ends) - ends, len(train) - 1)]
             text += int(ends.sum())
-            grams = stream_grams(flat, depth, begin, stop)
-            order = np.argsort(grams)
-            grams = grams[order]
+            marked = np.sort(stream_grams(flat, depth, begin, stop) << np.uint64(1) | learned)
+            grams = marked >> np.uint64(1)
             first = _starts(grams)
-            yield grams[first], np.add.reduceat(learned[order].astype(np.int64), first)
+            yield grams[first], np.add.reduceat(marked & np.uint64(1), first).astype(np.int64)
 
     return _counted(parts())
 
@@ -184,7 +198,7 @@ def score_stream(flat: np.ndarray, depth: int, logs: np.ndarray) -> np.ndarray:
         grams = grams[order]
         first = _starts(grams)
         sliced.append((order.astype(np.int32), first, grams[first]))
-    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(g for _, _, g in sliced)])) if len(sliced) != 1 else sliced[0][2]
+    known = sorted_distinct(np.concatenate([np.zeros(0, np.uint64), *(g for _, _, g in sliced)]))
     value = np.empty(len(flat), np.float64)
     for (begin, stop), (order, first, grams) in zip(_slices(len(flat)), sliced):
         value[begin:stop][order] = np.repeat(logs[np.searchsorted(known, grams)], np.diff(first, append=stop - begin))
@@ -254,54 +268,82 @@ def _levels(grams: np.ndarray, counts: np.ndarray, depth: int, least: int) -> li
     return [*levels, Level(grams, counts)]
 
 
-def decide(levels: list[Level], above: np.ndarray | None) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """For each of the eight decisions: ln of the children's Pw product at the last level, and the mixtures at each level.
+def products(levels: list[Level]) -> Iterator[np.ndarray]:
+    """For each of the eight decisions, ln of the children's Pw product at the last level, which is not weighed itself."""
+    for bit in range(8):
+        product = None
+        for level, after in zip(levels, levels[1:]):
+            product = _passed_on(level, after, bit, *_node(level, bit, product)[:2])
+        yield product
+
+
+def _node(level: Level, bit: int, product: np.ndarray | None) -> tuple:
+    """Of a level's nodes for a decision: first rows, ln Pw; and of its rows: estimate, weight, whether any byte was seen."""
+    if level.given is not None:
+        rows, given = level.given
+        product = np.zeros(len(level.grams)) if product is None else product
+        product[rows] = given[bit]
+    node = level.grams >> np.uint64(8 - bit)
+    first = _starts(node)
+    value = level.grams >> np.uint64(7 - bit) & np.uint64(1)
+    total, ones = (np.add.reduceat(c, first) if len(first) else np.zeros(0, np.int64) for c in (level.counts, np.where(value, level.counts, 0)))
+    log_pe = _log_kt(total - ones, ones)
+    if product is None:
+        log_pw, weight = log_pe, np.ones(len(first))
+    else:
+        children = product[first]
+        log_pw = np.logaddexp(log_pe, children) - math.log(2)
+        weight = 1 / (1 + np.exp(np.clip(children - log_pe, -500, 500)))
+    return first, log_pw, weight, total, ones, value
+
+
+def decide(levels: list[Level], above: np.ndarray | None, every: bool) -> Iterator[list[np.ndarray]]:
+    """For each of the eight decisions the mixtures at ``every`` level, or the last part of the first level's alone.
 
     The first level has the leaves, but for rows with ``given`` products. ``above`` (8, 3, rows): the mixture at the last
     level from the contexts before it; the last level is then weighed there, not here. The mixture has
     three parts: what the estimates down to here bring, the weight left for deeper ones, and the probability where no
     deeper context has a training byte.
     """
+    weighed = levels if above is None else levels[:-1]
     for bit in range(8):
         nodes, product = [], None
-        for level in levels if above is None else levels[:-1]:
-            if level.given is not None:
-                rows, products = level.given
-                product = np.zeros(len(level.grams)) if product is None else product
-                product[rows] = products[bit]
-            node = level.grams >> np.uint64(8 - bit)
-            first = _starts(node)
-            own = np.repeat(np.arange(len(first)), np.diff(first, append=len(node)))
-            value = (level.grams >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
-            total, ones = (np.add.reduceat(c, first).astype(np.float64) if len(first) else np.zeros(0) for c in (level.counts, level.counts * value))
-            log_pe = _log_kt(total - ones, ones)
-            if product is None:
-                log_pw, weight = log_pe, np.ones(len(first))
-            else:
-                children = product[first]
-                log_pw = np.logaddexp(log_pe, children) - math.log(2)
-                weight = 1 / (1 + np.exp(np.clip(children - log_pe, -500, 500)))
-            nodes.append((_estimate(total, ones, own, value), weight[own], total[own] > 0))
-            if level.up is not None:
-                prefix = levels[len(nodes)].grams >> np.uint64(8 - bit)
-                starts = _starts(prefix)
-                group = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(prefix)))
-                product = np.bincount(group[level.up[first]], weights=log_pw, minlength=len(starts))[group]
+        for k, level in enumerate(weighed):
+            first, log_pw, weight, total, ones, value = _node(level, bit, product)
+            own = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(level.grams)))
+            estimate = (np.where(value, ones[own], (total - ones)[own]) + 0.5) / (total + 1.0)[own]
+            nodes.append((estimate, weight[own], (total > 0)[own]))
+            if k + 1 < len(levels):
+                product = _passed_on(level, levels[k + 1], bit, first, log_pw)
         last = len(levels[-1].grams)
         mixed = np.stack([np.zeros(last), np.ones(last), np.full(last, 0.5)]) if above is None else above[bit].astype(np.float64)
         mixtures = []
-        for (estimate, weight, seen), level in zip(reversed(nodes), reversed(levels if above is None else levels[:-1])):
+        for level in reversed(weighed):
+            estimate, weight, seen = nodes.pop()
             brought, left, stop = mixed if level.up is None else mixed[:, level.up]
-            mixed = np.stack([brought + left * weight * estimate, left * (1 - weight), np.where(seen, brought + left * estimate, stop)])
+            own = left * estimate
+            stop = np.where(seen, brought + own, stop)
+            if not every and not nodes:
+                yield [stop]
+                break
+            mixed = np.stack([brought + own * weight, left * (1 - weight), stop])
             mixtures.append(mixed)
-        yield product, mixtures[::-1]
+        else:
+            yield mixtures[::-1]
+
+
+def _passed_on(level: Level, after: Level, bit: int, first: np.ndarray, log_pw: np.ndarray) -> np.ndarray:
+    """For each row of the level after, the sum of ln Pw of its node's children."""
+    prefix = after.grams >> np.uint64(8 - bit)
+    starts = _starts(prefix)
+    group = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(prefix)))
+    return np.bincount(group[level.up[first]], weights=log_pw, minlength=len(starts))[group]
 
 
 def subtree_products(grams: np.ndarray, counts: np.ndarray, depth: int, root: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What the nodes above a bucket need of it: its grams with ``root`` bytes of context, counts, products of Pw (8, rows)."""
     levels = _levels(grams, counts, depth, root)
-    unweighed = np.zeros((8, 3, len(levels[-1].grams)))
-    return levels[-1].grams, levels[-1].counts, np.stack([product for product, _ in decide(levels, unweighed)])
+    return levels[-1].grams, levels[-1].counts, np.stack(list(products(levels)))
 
 
 def weigh_top(tops: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -320,7 +362,7 @@ def weigh_top(tops: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dic
         if length:
             grams, level.up = np.unique(_shorter(level.grams), return_inverse=True)
             counts = np.bincount(level.up, weights=level.counts, minlength=len(grams)).astype(np.int64)
-    mixtures = [m for _, m in decide(levels, None)]
+    mixtures = list(decide(levels, None, True))
     out = {}
     for k, level in enumerate(levels):
         rows = level.given[0]
@@ -333,7 +375,7 @@ def weigh_bucket(grams: np.ndarray, counts: np.ndarray, depth: int, root: int, t
     """log2 probability of each of a bucket's grams."""
     levels = _levels(grams, counts, depth, root)
     above = top[:, :, np.searchsorted(top_grams, levels[-1].grams)]
-    return sum(np.log2(mixtures[0][2]) for _, mixtures in decide(levels, above))
+    return sum(np.log2(stop) for stop, in decide(levels, above, False))
 
 
 TEXTS = "chunk bigint, bytes bigint, n_learned bigint, text binary, ids binary, flags binary, sample binary"
@@ -371,20 +413,25 @@ def _chunks(docs: DataFrame, depth: int) -> DataFrame:
     return map_rows(docs, rows, TEXTS)
 
 
-def _numbered(texts: Iterable[list[bytes]], buckets: int) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
-    """Distinct words by bucket, each text's words by their places among them, and where buckets begin."""
-    vocabulary: dict[bytes, int] = {}
-    numbers = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.uint32, len(words)) for words in texts]
-    words = list(vocabulary)
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+class _Numbers(dict):
+    """word -> its number in the order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def _numbered(whole: bytes, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of a stream by bucket, its words by their places among them, words of each text, and where buckets begin."""
+    sizes = np.array([text.count(b" ") + 1 if text else 0 for text in whole[:-1].split(b"\n")], np.int64)
+    numbers = _Numbers()
+    flat = np.fromiter(map(numbers.__getitem__, whole.split()), np.uint32, int(sizes.sum()))
+    words = list(numbers)
+    bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(words), np.uint32)
     place[order] = np.arange(len(words))
-    return [words[i] for i in order.tolist()], [place[n] for n in numbers], np.searchsorted(bucket[order], np.arange(buckets + 1))
-
-
-def _texts_of(whole: bytes) -> Iterator[list[bytes]]:
-    return (text.split() for text in whole[:-1].split(b"\n"))
+    return [words[i] for i in order.tolist()], place[flat], sizes, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 PIECES = "kind int, bucket int, chunk bigint, asked binary, counts binary"
@@ -401,8 +448,8 @@ def _pieces(texts: DataFrame, plan: Plan, depth: int) -> DataFrame:
             for chunk, text, flags in zip(*(batch.column(c).to_pylist() for c in ("chunk", "text", "flags"))):
                 whole = _expand(text)
                 train = np.frombuffer(flags, np.uint8) & _HELD_OUT == 0
-                words, places, edges = _numbered(_texts_of(whole), buckets)
-                counts = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(p for p, t in zip(places, train) if t)]), minlength=len(words))
+                words, places, sizes, edges = _numbered(whole, buckets)
+                counts = np.bincount(places[np.repeat(train, sizes)], minlength=len(words))
                 rows = []
                 for b in np.flatnonzero(np.diff(edges)).tolist():
                     own = slice(edges[b], edges[b + 1])
@@ -478,11 +525,11 @@ def score_documents(docs: DataFrame, *, depth: int = 6) -> DataFrame:
 
     Learns from rows that are not held out, counting every byte of every text. A null text is empty and has the
     end alone. Equal rows each get their row; null ids stay. Where nothing is learned from, every count is zero and all
-    decisions have probability 1/2. An empty table gives an empty result. A gram is one 64-bit number, so contexts
-    have 7 bytes at most.
+    decisions have probability 1/2. An empty table gives an empty result. A gram and a mark are one 64-bit number, so
+    contexts have 6 bytes at most.
     """
-    if not 1 <= depth <= 7:
-        raise ValueError("a depth of 1 to 7 bytes")
+    if not 1 <= depth <= 6:
+        raise ValueError("a depth of 1 to 6 bytes")
     rows_in = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     texts = settle(_chunks(rows_in, depth))
     size, n_ends = texts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "n_learned"))).first()
@@ -511,12 +558,13 @@ def score_documents(docs: DataFrame, *, depth: int = 6) -> DataFrame:
         logs = np.concatenate([np.zeros(0, "<f4"), *(_unpack(x, "<f4") for x in found.loc[found["kind"] == _GRAMS, "answer"])])
         scores = score_stream(np.frombuffer(whole, np.uint8), depth, logs) * math.log10(2)
         plain = np.log10(counts + 1.0) - norm
-        _, places, _ = _numbered(_texts_of(whole), word_buckets)
+        _, places, sizes, _ = _numbered(whole, word_buckets)
+        ends = np.append(0, np.cumsum(sizes))
+        known_words = np.diff(np.append(0, np.cumsum(counts[places] > 0))[ends]) + (n_ends > 0)
         out = []
-        for key, flag, own, score in zip(ids.tolist(), flags.tolist(), places, scores.tolist()):
-            known_words = int(np.count_nonzero(counts[own])) + (n_ends > 0)
-            base = float(plain[own].sum()) + math.log10(n_ends + 1) - norm
-            out.append((None if flag & _NO_ID else key, bool(flag & _HELD_OUT), len(own) + 1, known_words, n, base, score))
+        for k, (key, flag, score) in enumerate(zip(ids.tolist(), flags.tolist(), scores.tolist())):
+            base = float(plain[places[ends[k] : ends[k + 1]]].sum()) + math.log10(n_ends + 1) - norm
+            out.append((None if flag & _NO_ID else key, bool(flag & _HELD_OUT), int(sizes[k]) + 1, int(known_words[k]), n, base, score))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCORES.split(", ")]).astype({"doc_id": "Int64"})
 
     return answers.groupBy("chunk").cogroup(texts.select("chunk", "text", "ids", "flags").groupBy("chunk")).applyInPandas(summed, SCORES)
