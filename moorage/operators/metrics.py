@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,15 +83,16 @@ def class_report(df: DataFrame, *, label: str = "y", predicted: str = "y_hat") -
     return of_class.select(F.inline(rows))
 
 
-def regression_metrics(df: DataFrame, *, label: str = "y", predicted: str = "y_hat") -> DataFrame:
-    """mse, rmse, mae and r2; r2 is null when the label is constant."""
+def regression_metrics(df: DataFrame, *, label: str = "y", predicted: str = "y_hat", by: Sequence[str] = ()) -> DataFrame:
+    """mse, rmse, mae and r2, of each group of ``by``; r2 is null when the label is constant."""
     error = F.col(label) - F.col(predicted)
-    sums = df.agg(
+    sums = df.groupBy(*by).agg(
         F.avg(error * error).alias("mse"),
         F.avg(F.abs(error)).alias("mae"),
         F.var_pop(F.col(label)).alias("spread"),
     )
     return sums.select(
+        *by,
         "mse",
         F.sqrt("mse").alias("rmse"),
         "mae",

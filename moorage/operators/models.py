@@ -11,12 +11,14 @@ from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from moorage.operators import metrics
+from moorage.operators.closed_form import CLOSED_FORMS, ClosedForm, Formula, scaled_moments
 from moorage.operators.sampling import SEED, with_folds
-from moorage.operators.scaling import fit_scaler, scaled_name, scaler_stage
+from moorage.operators.scaling import Scaler, fit_scaler, scaled, scaled_name, scaler_stage
 from moorage.settle import settle
 
 CLASSIFIER, REGRESSOR = "classifier", "regressor"
@@ -30,7 +32,8 @@ class Learner:
     """How a well-known estimator name maps to a Spark ML class.
 
     ``renamed`` maps the usual parameter names to Spark's; ``fixed`` are starting values that give
-    the customary defaults; ``derived`` computes Spark parameters that need the training size.
+    the customary defaults; ``derived`` computes Spark parameters that need the training size, from the parameters
+    in ``derived_from``.
     """
 
     kind: str
@@ -38,6 +41,7 @@ class Learner:
     renamed: dict[str, str] = field(default_factory=dict)
     fixed: dict[str, Any] = field(default_factory=dict)
     derived: Callable[[dict, int, int], dict] | None = None
+    derived_from: tuple[str, ...] = ()
 
 
 def _depth(value) -> int:
@@ -49,7 +53,10 @@ def _depth(value) -> int:
 
 def recorded_params(name: str, params: dict, kind: str) -> dict:
     """The given parameters with the depth that is really used, for the registry."""
-    deep = learner(name, kind).renamed.get("max_depth") == "maxDepth"
+    entry = learner(name, kind)
+    if isinstance(entry, ClosedForm):
+        return {**entry.defaults, **params}
+    deep = entry.renamed.get("max_depth") == "maxDepth"
     return {**params, "max_depth": _depth(params["max_depth"])} if deep and "max_depth" in params else dict(params)
 
 
@@ -72,18 +79,14 @@ def _inverse_strength(given: dict, rows: int, width: int) -> dict:
     penalty = given.get("penalty", "l2")
     if penalty is None:
         return {"regParam": 0.0}
-    if penalty == "elasticnet" and given.get("l1_ratio") is None:
-        raise ValueError("penalty 'elasticnet' needs l1_ratio")
+    if (penalty == "elasticnet") != (given.get("l1_ratio") is not None):
+        raise ValueError("penalty 'elasticnet' needs l1_ratio, and no other penalty takes it")
     shares = {"l2": 0.0, "l1": 1.0, "elasticnet": given.get("l1_ratio")}
     if penalty not in shares:
         raise ValueError(f"penalty {penalty!r} is not known; known: {sorted(shares)} and None")
     return {"regParam": 1.0 / (float(given.get("C", 1.0)) * rows), "elasticNetParam": float(shares[penalty])}
 
 
-def _ridge_strength(given: dict, rows: int, width: int) -> dict:
-    return {"regParam": float(given.get("alpha", 1.0)) / rows}
-
-
 def _lasso_strength(given: dict, rows: int, width: int) -> dict:
     return {"regParam": float(given.get("alpha", 1.0)), "elasticNetParam": 1.0}
 
@@ -129,8 +132,8 @@ LEARNERS: dict[str, Learner] = {
         _LINEAR,
         {"maxIter": 100, "standardization": False},
         _inverse_strength,
+        ("C", "penalty", "l1_ratio"),
     ),
-    "GaussianNB": Learner(CLASSIFIER, C.NaiveBayes, {}, {"modelType": "gaussian"}),
     "MultinomialNB": Learner(
         CLASSIFIER, C.NaiveBayes, {"alpha": "smoothing"}, {"modelType": "multinomial", "smoothing": 1.0}
     ),
@@ -140,6 +143,7 @@ LEARNERS: dict[str, Learner] = {
         {"max_iter": "maxIter", "tol": "tol", "random_state": "seed", "learning_rate_init": "stepSize"},
         {"maxIter": 200},
         _layers,
+        ("hidden_layer_sizes",),
     ),
     "RandomForestRegressor": Learner(
         REGRESSOR,
@@ -151,11 +155,9 @@ LEARNERS: dict[str, Learner] = {
     "GradientBoostingRegressor": Learner(
         REGRESSOR, R.GBTRegressor, _BOOSTING, {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
     ),
-    "LinearRegression": Learner(REGRESSOR, R.LinearRegression, _LINEAR, {"standardization": False}),
-    "Ridge": Learner(REGRESSOR, R.LinearRegression, _LINEAR, {"standardization": False}, _ridge_strength),
-    "Lasso": Learner(REGRESSOR, R.LinearRegression, _LINEAR, {"standardization": False}, _lasso_strength),
+    "Lasso": Learner(REGRESSOR, R.LinearRegression, _LINEAR, {"standardization": False}, _lasso_strength, ("alpha",)),
     "ElasticNet": Learner(
-        REGRESSOR, R.LinearRegression, _LINEAR, {"standardization": False}, _elastic_strength
+        REGRESSOR, R.LinearRegression, _LINEAR, {"standardization": False}, _elastic_strength, ("alpha", "l1_ratio")
     ),
     "PoissonRegressor": Learner(
         REGRESSOR,
@@ -163,6 +165,7 @@ LEARNERS: dict[str, Learner] = {
         _LINEAR,
         {"family": "poisson", "link": "log"},
         _glm_strength,
+        ("alpha",),
     ),
     "GammaRegressor": Learner(
         REGRESSOR,
@@ -170,29 +173,37 @@ LEARNERS: dict[str, Learner] = {
         _LINEAR,
         {"family": "gamma", "link": "log"},
         _glm_strength,
+        ("alpha",),
     ),
     "TweedieRegressor": Learner(
-        REGRESSOR, R.GeneralizedLinearRegression, _LINEAR, {"family": "tweedie"}, _tweedie
+        REGRESSOR, R.GeneralizedLinearRegression, _LINEAR, {"family": "tweedie"}, _tweedie, ("alpha", "power")
     ),
     "IsotonicRegression": Learner(REGRESSOR, R.IsotonicRegression, {"increasing": "isotonic"}),
 }
 _NO_PROBABILITY = ["LinearSVC"]
-_DERIVED_FROM = ["C", "penalty", "alpha", "l1_ratio", "power", "hidden_layer_sizes"]
 
 
-def learner(name: str, kind: str) -> Learner:
+def known_names() -> list[str]:
+    return sorted([*LEARNERS, *CLOSED_FORMS])
+
+
+def learner(name: str, kind: str) -> Learner | ClosedForm:
     """Look a learner up, with a clear error for unknown names, the wrong kind, or no probabilities."""
+    if name in CLOSED_FORMS:
+        if CLOSED_FORMS[name].classifies != (kind == CLASSIFIER):
+            raise TypeError(f"model {name!r} is not a {kind}")
+        return CLOSED_FORMS[name]
     if name in _NO_PROBABILITY:
         raise ValueError(f"{name} gives no class probability, which scoring and AUC need")
     if name not in LEARNERS:
-        raise ValueError(f"model {name!r} not found; known: {sorted(LEARNERS)}")
+        raise ValueError(f"model {name!r} not found; known: {known_names()}")
     if LEARNERS[name].kind != kind:
         raise TypeError(f"model {name!r} is not a {kind}")
     return LEARNERS[name]
 
 
 def estimator(name: str, params: dict, *, kind: str, label: str, rows: int, width: int):
-    """A Spark estimator for ``name`` with the given parameters, under either naming."""
+    """A Spark estimator for ``name`` with the given parameters, under either naming; other learners' are refused."""
     entry = learner(name, kind)
     if name == "IsotonicRegression" and width != 1:
         raise ValueError(f"IsotonicRegression takes exactly one feature, not {width}")
@@ -203,7 +214,7 @@ def estimator(name: str, params: dict, *, kind: str, label: str, rows: int, widt
     if stage.hasParam("seed"):
         settings["seed"] = SEED
     for given, value in params.items():
-        if entry.derived is not None and given in _DERIVED_FROM:
+        if given in entry.derived_from:
             continue
         spark_name = entry.renamed.get(given, given)
         if not stage.hasParam(spark_name):
@@ -229,6 +240,8 @@ class Fitted:
     features: list[str]
     label: str
     pipeline: PipelineModel
+    #: Of a closed-form learner: the function of the features that the pipeline's last stage computes.
+    formula: Formula | None = None
 
     @property
     def model(self):
@@ -258,23 +271,43 @@ def fit(
     scale: bool = False,
     stages: list | None = None,
 ) -> Fitted:
+    entry = learner(name, kind)
+    if isinstance(entry, ClosedForm):
+        entry.check(name, params)
+        scaler = fit_scaler(train, features) if scale else None
+        known = entry.sums(train, features, label)
+        formula = entry.solved(_scaled(known, scaler, features), params)
+        names = [scaled_name(c) for c in features] if scale else list(features)
+        pipeline = PipelineModel([*([scaler_stage(scaler)] if scale else []), formula.stage(names)])
+        return Fitted(name, kind, recorded_params(name, params, kind), list(features), label, pipeline, formula)
     stages = stages or feature_stages(train, features, scale=scale)
     # Only penalties that are spread over the rows need their number.
-    rows = max(train.count(), 1) if learner(name, kind).derived else 0
+    rows = max(train.count(), 1) if entry.derived else 0
     stage = estimator(name, params, kind=kind, label=label, rows=rows, width=len(list(features)))
     pipeline = Pipeline(stages=[*stages, stage]).fit(train)
     return Fitted(name, kind, recorded_params(name, params, kind), list(features), label, pipeline)
 
 
+def _scaled(known: dict, scaler: Scaler | None, columns: Sequence[str]) -> list:
+    """Groups with the moments of scaled features; a target after them stays as it is."""
+    return [(key, scaled_moments(m, scaler, [*columns, *[""] * (len(m.mean) - len(columns))])) for key, m in known.items()]
+
+
 def predictions(fitted: Fitted, rows: DataFrame) -> DataFrame:
     """``y``, ``y_hat`` and, for classifiers, ``score`` = probability of label 1."""
     out = fitted.predict(rows)
     columns = [F.col(fitted.label).alias("y"), F.col("prediction").alias("y_hat")]
     if fitted.kind == CLASSIFIER:
-        columns.append(vector_to_array("probability")[1].alias("score"))
+        columns.append(class_probability(out, 1).alias("score"))
     return out.select(*columns)
 
 
+def class_probability(answered: DataFrame, which: int) -> Column:
+    """Probability of a class in a model's answers: Spark's are vectors, closed forms' arrays."""
+    plain = isinstance(answered.schema["probability"].dataType, ArrayType)
+    return (F.col("probability") if plain else vector_to_array("probability"))[which]
+
+
 def evaluate(fitted: Fitted, rows: DataFrame) -> dict[str, float | None]:
     """Metric name -> value.
 
@@ -317,7 +350,8 @@ def cross_validate(
     ``by`` is the row's id, whose hash deals the folds; without it the features and the label do.
 
     Folds are a column, stratified by label for classifiers.  The scaler is fitted on all rows
-    unless ``scale_inside_fold``, which keeps the validation rows out of it.
+    unless ``scale_inside_fold``, which keeps the validation rows out of it. Closed-form learners share one
+    read of sums per fold: a fold's model is that of the other folds' sums.
     """
     for name in models:
         learner(name, kind)
@@ -325,10 +359,19 @@ def cross_validate(
     folded = with_folds(
         train.select(*own, *features, label), folds, label=label if kind == CLASSIFIER else None, by=own or None, to="_fold"
     )
-    shared = None if scale_inside_fold else feature_stages(train, features, scale=scale)
+    shared, sums, scalers = None, None, None
     measure = "auc" if kind == CLASSIFIER else "r2"
     scores = []
     for name, params in models.items():
+        entry = learner(name, kind)
+        if isinstance(entry, ClosedForm):
+            entry.check(name, params)
+            sums = sums or entry.sums(folded, features, label, ["_fold"])
+            scalers = scalers or _fold_scalers(train, folded, features, folds, scale, scale_inside_fold)
+            scores += _closed_scores(folded, name, params, sums, scalers, features, label)
+            continue
+        if shared is None and not scale_inside_fold:
+            shared = feature_stages(train, features, scale=scale)
         for i in range(folds):
             learn, check = folded.where(F.col("_fold") != i), folded.where(F.col("_fold") == i)
             fitted = fit(
@@ -345,6 +388,33 @@ def cross_validate(
     return scores
 
 
+def _fold_scalers(train, folded, features, folds, scale, inside) -> list[Scaler | None]:
+    """The scaler of each fold's model."""
+    if not scale:
+        return [None] * folds
+    if not inside:
+        return [fit_scaler(train, features)] * folds
+    return [fit_scaler(folded.where(F.col("_fold") != i), features) for i in range(folds)]
+
+
+def _closed_scores(folded: DataFrame, name: str, params: dict, sums: dict, scalers: list, features: Sequence[str], label: str) -> list[FoldScore]:
+    """Each fold's rows are scored by the model of the others, all in one pass."""
+    answer = F.lit(None).cast("double")
+    for i, scaler in enumerate(scalers):
+        others = {key: m for key, m in sums.items() if key[0] != i}
+        if not others:
+            raise ValueError(f"fold {i} holds all rows")
+        formula = CLOSED_FORMS[name].solved(_scaled(others, scaler, features), params)
+        values = [scaled(c, scaler) if scaler else F.col(c) for c in features]
+        answer = F.when(F.col("_fold") == i, formula.score(values)).otherwise(answer)
+    scored = settle(folded.select("_fold", F.col(label).alias("y"), answer.alias("score")))
+    if CLOSED_FORMS[name].classifies:
+        return [FoldScore(name, i, metrics.roc_auc(scored.where(F.col("_fold") == i)).first()["auc"]) for i in range(len(scalers))]
+    parts = metrics.regression_metrics(scored, predicted="score", by=["_fold"]).collect()
+    found = {r["_fold"]: r["r2"] for r in parts}
+    return [FoldScore(name, i, found.get(i)) for i in range(len(scalers))]
+
+
 def mean_scores(spark, scores: Sequence[FoldScore]) -> DataFrame:
     """Mean and population deviation of the fold scores per model, in listed order."""
     rows = [(i, s.name, s.fold, s.score) for i, s in enumerate(scores)]

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moorage.functions.scores import duration_goodness
+from moorage.operators.models import class_probability
 from moorage.operators.requests import MESSAGE
 from moorage.schema import NO_PREDICTION, SUCCEEDED
 
@@ -21,8 +21,8 @@ def with_features(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def success_probability(rows: DataFrame, model: PipelineModel, *, to: str = "classification") -> DataFrame:
     """Probability of the 'succeeded' class from a fitted classifier pipeline."""
-    probability = vector_to_array("probability")[SUCCEEDED]
-    return model.transform(rows).select(*rows.columns, probability.alias(to))
+    answered = model.transform(rows)
+    return answered.select(*rows.columns, class_probability(answered, SUCCEEDED).alias(to))
 
 
 def expected_duration(rows: DataFrame, model: PipelineModel, *, to: str = "expected_time") -> DataFrame:

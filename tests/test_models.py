@@ -4,15 +4,20 @@ import math
 import uuid
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from moorage.operators import importance as importances
 from moorage.operators import models
-from moorage.operators.importance import importance, own_importance, shapley_importance, shapley_values
+from moorage.operators.closed_form import CLOSED_FORMS, moments
+from moorage.operators.importance import coalitions, importance, own_importance, shapley_importance, shapley_values
 from moorage.operators.registry import ModelInfo, Registry, newest_versions
 from moorage.plans.inference import ModelChoice, history_state, rank_messages, registered_scorer
 from moorage.plans.training import TrainSpec, train
-from moorage.settle import shared_folder
+from moorage.operators.sampling import with_folds
+from moorage.operators.scaling import fit_scaler, scaled_name, scaler_stage
+from moorage.settle import settle, shared_folder
 from tests.test_ranking import candidate, requests
 
 
@@ -125,9 +130,114 @@ def test_shapley_values_of_a_line_have_a_closed_form(spark, rows):
     line = fit(rows, "LinearRegression", models.REGRESSOR, "t")
     values = shapley_values(line, rows, background_rows=10**6).collect()
     means = rows.agg(*[F.avg(c).alias(c) for c in FEATURES]).first()
+    sampled = {tuple(r["x"]): r["phi"] for r in shapley_values(line, rows, background_rows=10**6, sets=coalitions(3, exact=False)).collect()}
     for r in values[:40]:
         expected = [w * (x - means[c]) for w, x, c in zip((3.0, -2.0, 0.0), r["x"], FEATURES)]
-        assert r["phi"] == pytest.approx(expected, abs=1e-5)
+        assert r["phi"][0] == pytest.approx(expected, abs=1e-5) and len(r["phi"]) == 1
+        # Any sample of coalitions is exact for an additive model.
+        assert all(part == pytest.approx(expected, abs=1e-5) for part in sampled[tuple(r["x"])])
+
+
+def test_sampled_coalitions_come_near_all(rows):
+    bayes = fit(rows, "GaussianNB", models.CLASSIFIER, "y")
+    exact = {r["feature"]: r for r in shapley_importance(bayes, rows, background_rows=10).collect()}
+    sampled = {r["feature"]: r for r in shapley_importance(bayes, rows, background_rows=10, sets=coalitions(3, exact=False)).collect()}
+    for c in FEATURES:
+        assert exact[c]["standard_error"] is None and 0 <= sampled[c]["standard_error"] < 0.05
+        assert sampled[c]["importance"] == pytest.approx(exact[c]["importance"], abs=0.02)
+    many = coalitions(12)
+    assert len(many.members) == 64 * 12 + 2 < 2**12 and (many.members[2::2] + many.members[3::2] == 2**12 - 1).all()
+
+
+def test_costly_importances_need_a_number_of_rows(rows, monkeypatch):
+    bayes = fit(rows, "GaussianNB", models.CLASSIFIER, "y")
+    monkeypatch.setattr(importances, "MOST_ANSWERS", 10_000)
+    with pytest.raises(ValueError, match="explained_rows"):
+        importance(bayes, rows)
+    assert importance(bayes, rows, explained_rows=5).count() == 3
+
+
+def test_closed_forms_follow_from_merged_sums(rows):
+    x = np.array([[r["a"], r["b"], r["c"], r["t"], r["y"]] for r in rows.collect()], float)
+    line = fit(rows.withColumn("t", F.col("t") + F.col("c") * F.col("a")), "Ridge", models.REGRESSOR, "t", alpha=2.0).formula
+    design, target = x[:, :3] - x[:, :3].mean(axis=0), x[:, 3] + x[:, 2] * x[:, 0]
+    weights = np.linalg.solve(design.T @ design + 2 * np.eye(3), design.T @ (target - target.mean()))
+    assert line.weights == pytest.approx(weights) and line.intercept == pytest.approx(target.mean() - x[:, :3].mean(axis=0) @ weights)
+    through = fit(rows, "LinearRegression", models.REGRESSOR, "t", fit_intercept=False).formula
+    assert through.intercept == 0 and through.weights == pytest.approx(np.linalg.lstsq(x[:, :3], x[:, 3], rcond=None)[0])
+
+    bayes = fit(rows, "GaussianNB", models.CLASSIFIER, "y")
+    log = np.zeros((len(x), 2))
+    for k in (0, 1):
+        own = x[x[:, 4] == k, :3]
+        var = own.var(axis=0) + 1e-9 * x[:, :3].var(axis=0).max()
+        log[:, k] = np.log(len(own) / len(x)) - 0.5 * (np.log(2 * np.pi * var) + (x[:, :3] - own.mean(axis=0)) ** 2 / var).sum(axis=1)
+    expected = 1 / (1 + np.exp(log[:, 0] - log[:, 1]))
+    got = {(r["a"], r["b"], r["c"]): r for r in bayes.predict(rows).collect()}
+    for (a, b, c, *_), p in zip(x, expected):
+        assert got[a, b, c]["probability"] == pytest.approx([1 - p, p], abs=1e-9) and got[a, b, c]["prediction"] == float(p > 0.5)
+    parts = moments(rows, FEATURES, ["y"], crossed=True)
+    whole = moments(rows, FEATURES, [], crossed=True)[()]
+    merged = parts[0,] + parts[1,]
+    assert merged.n == whole.n and merged.mean == pytest.approx(whole.mean) and merged.products == pytest.approx(whole.products)
+
+
+def test_a_constant_feature_and_a_lone_class(spark, rows):
+    flat = rows.withColumn("c", F.lit(5.0))
+    assert fit(flat, "LinearRegression", models.REGRESSOR, "t").formula.weights == pytest.approx([3.0, -2.0, 0.0])
+    lone = fit(rows.where("y = 0"), "GaussianNB", models.CLASSIFIER, "y").predict(rows)
+    assert {tuple(r["probability"]) for r in lone.collect()} == {(1.0, 0.0)}
+    with pytest.raises(ValueError, match="no value"):
+        fit(rows.withColumn("a", F.lit(float("nan"))), "Ridge", models.REGRESSOR, "t")
+
+
+@pytest.mark.parametrize("inside", [False, True])
+def test_closed_folds_are_fitted_on_the_others(spark, rows, inside):
+    how = {"kind": models.REGRESSOR, "features": FEATURES, "label": "t", "folds": 4}
+    noisy = settle(rows.withColumn("t", F.col("t") + F.pmod(F.hash("a", "b"), F.lit(17))))
+    scores = models.cross_validate(noisy, {"Ridge": {"alpha": 30.0}, "LinearRegression": {}}, scale=True, scale_inside_fold=inside, **how)
+    folded = settle(with_folds(noisy.select(*FEATURES, "t"), 4, to="_fold"))
+    for s in scores:
+        learn, check = folded.where(F.col("_fold") != s.fold), folded.where(F.col("_fold") == s.fold)
+        stages = None if inside else [scaler_stage(fit_scaler(noisy, FEATURES))]
+        fitted = models.fit(stages[0].transform(learn) if stages else learn, name=s.name, params={"alpha": 30.0} if s.name == "Ridge" else {}, kind=models.REGRESSOR,
+                            features=[scaled_name(c) for c in FEATURES] if stages else FEATURES, label="t", scale=inside)
+        assert models.evaluate(fitted, stages[0].transform(check) if stages else check)["r2"] == pytest.approx(s.score)
+
+
+FOREIGN = {"alpha": 5.0, "C": 3.0, "power": 2.0, "hidden_layer_sizes": [3], "l1_ratio": 0.5, "n_estimators": 3, "max_depth": 2, "var_smoothing": 1e-9, "penalty": "l1", "isotonic": True}
+OWN = {
+    "LogisticRegression": {"C", "penalty"},
+    "GaussianNB": {"var_smoothing"},
+    "MultinomialNB": {"alpha"},
+    "MLPClassifier": {"hidden_layer_sizes"},
+    "LinearRegression": set(),
+    "Ridge": {"alpha"},
+    "Lasso": {"alpha"},
+    "ElasticNet": {"alpha", "l1_ratio"},
+    "PoissonRegressor": {"alpha"},
+    "GammaRegressor": {"alpha"},
+    "TweedieRegressor": {"alpha", "power"},
+    "IsotonicRegression": {"isotonic"},
+    **dict.fromkeys(["RandomForestClassifier", "RandomForestRegressor", "GradientBoostingClassifier", "GradientBoostingRegressor"], {"n_estimators", "max_depth"}),
+    **dict.fromkeys(["DecisionTreeClassifier", "DecisionTreeRegressor"], {"max_depth"}),
+}
+
+
+@pytest.mark.parametrize("name", models.known_names())
+def test_parameters_of_other_learners_are_refused(spark, name):
+    kind = models.CLASSIFIER if "Classifier" in name or "NB" in name or "Logistic" in name else models.REGRESSOR
+    for given, value in FOREIGN.items():
+        def made():
+            if name in CLOSED_FORMS:
+                return CLOSED_FORMS[name].check(name, {given: value})
+            return models.estimator(name, {given: value}, kind=kind, label="y", rows=10, width=1)
+
+        if given in OWN[name]:
+            made()
+        else:
+            with pytest.raises(ValueError, match=given):
+                made()
 
 
 def test_shapley_values_add_up(rows):
