@@ -137,8 +137,7 @@ def shapley_values(
     regressor. A feature left out of a coalition takes its values from the rows of ``background`` (by default the first
     of ``train`` by hash), averaged.
 
-    Equal rows are explained once.  All coalitions of a row are unfolded and summed up in the same
-    task, so what is shuffled is one entry per distinct row.
+    Equal rows are explained once.  What is shuffled is one number per distinct row and coalition.
     """
     width = len(fitted.features)
     sets = sets or coalitions(width)
@@ -166,11 +165,13 @@ def shapley_values(
         answered = fitted.model.transform(cases.select("x", "n", "place", array_to_vector(F.array(*mixed)).alias("features")))
         answer = class_probability(answered, SUCCEEDED) if fitted.kind == CLASSIFIER else F.col("prediction")
 
+    # Averaged over the background first: a row's cases come from one task, which adds them up before its shuffle.
+    valued = answered.select("x", "n", "place", answer.alias("answer")).groupBy("x", "n", "place").agg(F.avg("answer").alias("answer"))
     # The weights as one flat constant, estimate by estimate and feature by feature within each set.
     estimates = len(sets.weights)
-    flat = _numbers((sets.weights / len(sample)).transpose(2, 0, 1).ravel().tolist(), "double")
+    flat = _numbers(sets.weights.transpose(2, 0, 1).ravel().tolist(), "double")
     weight = F.slice(flat, F.col("place") * (estimates * width) + 1, estimates * width)
-    weighed = answered.select("x", "n", answer.alias("answer"), weight.alias("w"))
+    weighed = valued.select("x", "n", "answer", weight.alias("w"))
     sums = [F.sum(F.col("answer") * F.col("w")[k]) for k in range(estimates * width)]
     rows = weighed.groupBy("x", "n").agg(F.array(*sums).alias("phi"))
     parts = F.transform(F.sequence(F.lit(0), F.lit(estimates - 1)), lambda e: F.slice("phi", e * width + 1, width))

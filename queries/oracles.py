@@ -96,7 +96,7 @@ _NEEDS = {
 }
 
 
-def _with(names: list[str], query: str) -> str:
+def with_ctes(names: list[str], query: str) -> str:
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -117,7 +117,7 @@ _BY_SCORE = "classification + regression DESC, pos"
 
 
 def _ranking(order: str, where: str = "true") -> str:
-    return _with(
+    return with_ctes(
         ["weighed"],
         f"""
 SELECT {_RANKED_COLUMNS},
@@ -168,7 +168,7 @@ SELECT '{name}' AS class, {_share(hit, f"({hit} + {wrong})")} AS precision,
 _ANSWERED_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
 
 #: The order that splits and folds follow: 60 bits of the md5 of the seed and the id.
-_HASH = "cast('0x' || substr(md5('42' || chr(31) || uuid), 1, 15) AS bigint)"
+HASH = "cast('0x' || substr(md5('42' || chr(31) || uuid), 1, 15) AS bigint)"
 _UNSCORABLE = "CASE WHEN n_instances_requ = 6 OR n_instances_requ = 5 THEN NULL ELSE classification + regression END"
 
 
@@ -180,7 +180,7 @@ FROM (SELECT *, {_UNSCORABLE} AS total FROM weighed) WHERE {where}"""
 
 
 ORACLES: dict[str, str] = {
-    "validate_requests": _with(
+    "validate_requests": with_ctes(
         ["requests"],
         """
 SELECT o_orderkey AS msg_id, CASE WHEN n = 0 THEN 'no providers' WHEN n = 1 OR o_orderkey % 5 = 4 THEN NULL
@@ -188,17 +188,17 @@ SELECT o_orderkey AS msg_id, CASE WHEN n = 0 THEN 'no providers' WHEN n = 1 OR o
   WHEN o_orderkey % 5 = 2 THEN 'missing keys: template_name' ELSE 'missing keys: exact_flavors' END AS reason
 FROM (SELECT o.o_orderkey, count(r.msg_id) AS n FROM orders o LEFT JOIN requests r ON r.msg_id = o.o_orderkey GROUP BY ALL)""",
     ),
-    "split_members": _with(
+    "split_members": with_ctes(
         ["derived"],
         f"""
-SELECT uuid, CASE WHEN row_number() OVER (ORDER BY {_HASH}) <= ceil(count(*) OVER () * 0.2E0)
+SELECT uuid, CASE WHEN row_number() OVER (ORDER BY {HASH}) <= ceil(count(*) OVER () * 0.2E0)
   THEN 'test' ELSE 'train' END AS part FROM derived""",
     ),
-    "fold_members": _with(
+    "fold_members": with_ctes(
         ["derived"],
         f"""
 , placed AS (
-  SELECT uuid, status, row_number() OVER (PARTITION BY status ORDER BY {_HASH}) AS k FROM derived),
+  SELECT uuid, status, row_number() OVER (PARTITION BY status ORDER BY {HASH}) AS k FROM derived),
 counts AS (SELECT status, count(*) AS n, sum(count(*)) OVER (ORDER BY status) AS stop FROM derived GROUP BY status),
 sizes AS (
   SELECT status, i, (stop - i + 4) // 5 - (stop - n - i + 4) // 5 AS size
@@ -206,18 +206,18 @@ sizes AS (
 ends AS (SELECT status, i, sum(size) OVER (PARTITION BY status ORDER BY i) AS reached FROM sizes)
 SELECT uuid, cast(min(i) AS integer) AS fold FROM placed JOIN ends USING (status) WHERE k <= reached GROUP BY uuid, status, k""",
     ),
-    "rank_unscorable": _with(
+    "rank_unscorable": with_ctes(
         ["weighed"],
         _unscorable("kept", f"total >= {THRESHOLD}E0") + "\nUNION ALL" + _unscorable("all", "true"),
     ),
-    "answers_round_trip": _with(
+    "answers_round_trip": with_ctes(
         ["processed"],
         """
 SELECT o.o_orderkey AS msg_id FROM orders o
 LEFT JOIN (SELECT uuid, count(*) AS answered FROM processed GROUP BY uuid) p ON p.uuid = cast(o.o_orderkey AS varchar)
 WHERE p.answered IS NULL""",
     ),
-    "history_files": _with(
+    "history_files": with_ctes(
         ["deployments"],
         """
 , texts AS (
@@ -227,46 +227,46 @@ SELECT 'csv' AS kind, * FROM texts
 UNION ALL SELECT 'csv', uuid, template_name, NULL, NULL, NULL, n_failures FROM texts
 UNION ALL SELECT 'json', * FROM texts""",
     ),
-    "clean_history": _with(
+    "clean_history": with_ctes(
         ["cleaned"],
         """
 SELECT uuid, provider_name, region_name, template_name, cast(status AS integer) AS status,
   epoch_us(timestamp) AS ts_us, deployment_time, completion_time_s,
   cast(n_failures AS integer) AS n_failures FROM cleaned""",
     ),
-    "derived_properties": _with(
+    "derived_properties": with_ctes(
         ["derived"],
         f"""
 SELECT uuid, provider, {", ".join(RESOURCE_DIFFS)}, gpu, cast(complexity AS integer) AS complexity
 FROM derived""",
     ),
-    "rolling_history_30d": _with(["rolled"], f"SELECT uuid, {_STATS} FROM rolled"),
-    "rolling_history_skew_halo": _with(["rolled"], f"SELECT uuid, {_STATS} FROM rolled"),
-    "rolling_history_events_7d": _with(
+    "rolling_history_30d": with_ctes(["rolled"], f"SELECT uuid, {_STATS} FROM rolled"),
+    "rolling_history_skew_halo": with_ctes(["rolled"], f"SELECT uuid, {_STATS} FROM rolled"),
+    "rolling_history_events_7d": with_ctes(
         ["events_history"],
         f"""
 SELECT uuid, {_stats("w")} FROM events_history
 WINDOW w AS (PARTITION BY provider, template_name ORDER BY timestamp {_frame(7)})""",
     ),
-    "latest_state": _with(
+    "latest_state": with_ctes(
         ["state"], f"SELECT provider, template_name, epoch_us(timestamp) AS ts_us, {_STATS} FROM state"
     ),
-    "resource_exactness": _with(
+    "resource_exactness": with_ctes(
         ["described"], "SELECT msg_id, cast(pos AS integer) AS pos, resource_exactness FROM described"
     ),
-    "merge_repeats": _with(
+    "merge_repeats": with_ctes(
         ["merged"],
         """
 SELECT msg_id, provider, cast(pos AS integer) AS pos, n_instances_requ, vcpus_usage, resource_exactness
 FROM merged""",
     ),
-    "enrich_requests": _with(
+    "enrich_requests": with_ctes(
         ["enriched"], f"SELECT msg_id, provider, template_name, cast(pos AS integer) AS pos, {_STATS} FROM enriched"
     ),
-    "duration_goodness": _with(
+    "duration_goodness": with_ctes(
         ["scored"], "SELECT msg_id, provider, p_success AS classification, goodness AS regression FROM scored"
     ),
-    "void_messages": _with(
+    "void_messages": with_ctes(
         ["scored"],
         """
 SELECT msg_id, provider,
@@ -277,7 +277,7 @@ FROM scored""",
     "rank_exact_precedence": _ranking(_BY_EXACTNESS),
     "rank_by_score": _ranking(_BY_SCORE),
     "rank_filtered": _ranking(_BY_EXACTNESS, f"classification + regression >= {THRESHOLD}E0"),
-    "ranked_messages": _with(
+    "ranked_messages": with_ctes(
         ["weighed"],
         f"""
 , answers AS (
@@ -291,18 +291,18 @@ FROM scored""",
   SELECT msg_id, 1, provider, -2.0E0 FROM described WHERE n_candidates = 1)
 SELECT msg_id, cast(msg_id AS varchar) AS uuid, n_ranked, ranking, total FROM answers""",
     ),
-    "route_by_provider_count": _with(
+    "route_by_provider_count": with_ctes(
         ["requests"],
         """
 SELECT o.o_orderkey AS msg_id, cast(count(r.msg_id) AS integer) AS n_providers,
   CASE WHEN count(r.msg_id) = 0 THEN 'none' WHEN count(r.msg_id) = 1 THEN 'single' ELSE 'scored' END AS route
 FROM orders o LEFT JOIN requests r ON r.msg_id = o.o_orderkey GROUP BY o.o_orderkey""",
     ),
-    "skip_processed": _with(
+    "skip_processed": with_ctes(
         ["processed"],
         "SELECT o_orderkey AS msg_id FROM orders WHERE cast(o_orderkey AS varchar) NOT IN (SELECT uuid FROM processed)",
     ),
-    "skip_processed_repeats": _with(
+    "skip_processed_repeats": with_ctes(
         ["processed"],
         f"""
 SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey FROM lineitem l
@@ -311,7 +311,7 @@ LEFT JOIN (SELECT uuid, count(*) AS answered FROM processed GROUP BY uuid) p
 QUALIFY row_number() OVER (PARTITION BY l.l_orderkey ORDER BY {_ANSWERED_ORDER}) > coalesce(max(p.answered)
   OVER (PARTITION BY l.l_orderkey), 0)""",
     ),
-    "validate_messages": _with(
+    "validate_messages": with_ctes(
         ["topic_messages"],
         f"""
 SELECT uuid, CASE
@@ -321,37 +321,37 @@ FROM (SELECT uuid, json_extract_string(value, '$.msg_version') AS version,
         list_filter(json_keys(value), lambda k: k NOT IN ('msg_version', {_ALLOWED})) AS bad
       FROM topic_messages)""",
     ),
-    "history_to_json": _with(
+    "history_to_json": with_ctes(
         ["deployments"], f"SELECT uuid, cast(json_object({_JSON_OBJECT}) AS varchar) AS value FROM deployments"
     ),
-    "history_from_messages": _with(
+    "history_from_messages": with_ctes(
         ["derived"], "SELECT uuid, provider, template_name, deployment_time, cpu_diff FROM derived"
     ),
-    "quantile_bounds": _with(
+    "quantile_bounds": with_ctes(
         ["derived"],
         f"""
 SELECT feature, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q1 - 1.5 * (q3 - q1), 6) AS lower_fence,
   round(q3 + 1.5 * (q3 - q1), 6) AS upper_fence FROM ({_quantiles(FENCED, "derived")})""",
     ),
-    "iqr_filter": _with(
+    "iqr_filter": with_ctes(
         ["derived"], f", q AS ({_quantiles(FENCED, 'derived')}) SELECT uuid FROM derived WHERE {_INSIDE}"
     ),
-    "robust_scale": _with(
+    "robust_scale": with_ctes(
         ["derived"], f", q AS ({_quantiles(SCALED, 'derived')}) SELECT uuid, {_SCALING} FROM derived"
     ),
-    "split_sizes": _with(
+    "split_sizes": with_ctes(
         ["derived"],
         """
 SELECT 'test' AS part, cast(ceil(count(*) * 0.2E0) AS bigint) AS n FROM derived
 UNION ALL SELECT 'train', count(*) - cast(ceil(count(*) * 0.2E0) AS bigint) FROM derived""",
     ),
-    "fold_sizes": _with(
+    "fold_sizes": with_ctes(
         ["derived"],
         """
 SELECT cast(status AS integer) AS status, cast(fold AS integer) AS fold, count(*) AS n
 FROM (SELECT status, (row_number() OVER (ORDER BY status) - 1) % 5 AS fold FROM derived) GROUP BY ALL""",
     ),
-    "classification_metrics": _with(
+    "classification_metrics": with_ctes(
         ["predictions"],
         f"""
 , c AS ({_COUNTS})
@@ -359,7 +359,7 @@ SELECT round({_share("tp + tn", "(tp + fp + fn + tn)")}, 6) AS accuracy,
   round({_share("tp", "(tp + fp)")}, 6) AS precision, round({_share("tp", "(tp + fn)")}, 6) AS recall,
   round({_share("2 * tp", "(2 * tp + fp + fn)")}, 6) AS f1 FROM c""",
     ),
-    "roc_auc": _with(
+    "roc_auc": with_ctes(
         ["predictions"],
         """
 , r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0E0 AS place
@@ -368,14 +368,14 @@ SELECT round((sum(place) FILTER (y = 1) - n1 * (n1 + 1) / 2.0E0) / (n1 * n0), 6)
 FROM r, (SELECT count(*) FILTER (y = 1) * 1.0E0 AS n1, count(*) FILTER (y = 0) * 1.0E0 AS n0 FROM r)
 GROUP BY n1, n0""",
     ),
-    "confusion_matrix": _with(
+    "confusion_matrix": with_ctes(
         ["predictions"],
         """
 SELECT cast(a.v AS integer) AS y, cast(b.v AS integer) AS y_hat, count(p.y) AS n
 FROM (VALUES (0), (1)) a(v) CROSS JOIN (VALUES (0), (1)) b(v)
 LEFT JOIN predictions p ON p.y = a.v AND p.y_hat = b.v GROUP BY ALL""",
     ),
-    "class_report": _with(
+    "class_report": with_ctes(
         ["predictions"],
         f"""
 , c AS ({_COUNTS}), k AS ({_class_rows("tn", "fn", "fp", "0")} UNION ALL {_class_rows("tp", "fp", "fn", "1")}),
@@ -386,20 +386,20 @@ r AS (SELECT * FROM k
 SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
   cast(support AS bigint) AS support FROM r""",
     ),
-    "regression_metrics": _with(
+    "regression_metrics": with_ctes(
         ["durations"],
         """
 SELECT round(avg((y - y_hat) * (y - y_hat)), 6) AS mse, round(sqrt(avg((y - y_hat) * (y - y_hat))), 6) AS rmse,
   round(avg(abs(y - y_hat)), 6) AS mae, round(1 - avg((y - y_hat) * (y - y_hat)) / var_pop(y), 6) AS r2
 FROM durations""",
     ),
-    "dataset_span": _with(
+    "dataset_span": with_ctes(
         ["cleaned"], "SELECT epoch_us(min(timestamp)) AS start_us, epoch_us(max(timestamp)) AS end_us FROM cleaned"
     ),
     "registry_latest": """
 SELECT o_orderpriority AS name, cast(max(o_custkey) AS integer) AS version, count(*) AS versions
 FROM orders GROUP BY o_orderpriority""",
-    "stream_rank": _with(
+    "stream_rank": with_ctes(
         ["weighed", "processed"],
         f"""
 , answers AS (

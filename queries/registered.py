@@ -14,7 +14,7 @@ from moorage.operators import metrics, models
 from moorage.operators.answered import skip_answered
 from moorage.operators.cleaning import clean, derive
 from moorage.operators.enrich import enrich
-from moorage.operators.importance import shapley_importance
+from moorage.operators.importance import first_by_hash, shapley_importance
 from moorage.operators.latest import latest_state
 from moorage.operators.outliers import iqr_fences, within_fences
 from moorage.operators.quantiles import exact_quantiles
@@ -35,6 +35,7 @@ from moorage.sources.topics import history_messages, read_history_messages, stru
 from moorage.sources.validation import with_history_reason, with_request_reason
 from moorage.streaming.ranking import rank_stream
 from queries.oracles import COMPLEX, FENCED, SCALED, THRESHOLD
+from queries.model_oracles import BACKGROUND, EXPLAINED, FOLDS, INDEPENDENT, RIDGE
 from queries.views import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -366,79 +367,71 @@ def registry_latest(spark, sf_dir):
     )
 
 
-def _training_rows(spark, sf_dir, features, target):
+def _training_rows(spark, sf_dir, features, *targets):
+    """Settled rows of the training part and of the test part, with their ids."""
     table = feature_table(deployments(spark, sf_dir), complex_templates=COMPLEX)
-    train, test = exact_split(table.select("uuid", *features, target), 0.2, by=["uuid"])
-    return train.drop("uuid"), test.drop("uuid")
+    table = settle(table.select("uuid", *features, *targets))
+    return exact_split(table, 0.2, by=["uuid"], stored=True)
 
 
 def _metric_rows(spark, values: dict) -> DataFrame:
-    return spark.createDataFrame(sorted(values.items()), "metric string, value double")
+    """Six digits of each metric."""
+    return spark.createDataFrame([(m, float(f"{v:.6g}")) for m, v in sorted(values.items())], "metric string, value double")
 
 
-def train_classifier(spark, sf_dir):
-    train, test = _training_rows(spark, sf_dir, DEFAULT_FEATURES, "status")
-    fitted = models.fit(
-        train,
-        name="RandomForestClassifier",
-        params={"n_estimators": 20, "max_depth": 6},
-        kind=models.CLASSIFIER,
-        features=DEFAULT_FEATURES,
-        label="status",
-        scale=True,
-    )
+def _trained(spark, sf_dir, kind, name, target):
+    train, test = _training_rows(spark, sf_dir, DEFAULT_FEATURES, target)
+    fitted = models.fit(train, name=name, params={}, kind=kind, features=DEFAULT_FEATURES, label=target, scale=True)
     return _metric_rows(spark, models.train_and_test_metrics(fitted, train, test))
 
 
+def train_classifier(spark, sf_dir):
+    return _trained(spark, sf_dir, models.CLASSIFIER, "GaussianNB", "status")
+
+
 def train_regressor(spark, sf_dir):
-    train, test = _training_rows(spark, sf_dir, DEFAULT_FEATURES, "deployment_time")
-    fitted = models.fit(
-        train,
-        name="RandomForestRegressor",
-        params={"n_estimators": 20, "max_depth": 6},
-        kind=models.REGRESSOR,
-        features=DEFAULT_FEATURES,
-        label="deployment_time",
-    )
-    return _metric_rows(spark, models.train_and_test_metrics(fitted, train, test))
+    return _trained(spark, sf_dir, models.REGRESSOR, "Ridge", "deployment_time")
+
+
+def train_forest(spark, sf_dir):
+    """A forest has no closed form: its rows alone are checked."""
+    return _trained(spark, sf_dir, models.CLASSIFIER, "RandomForestClassifier", "status")
 
 
 def cross_validate(spark, sf_dir):
-    train, _ = _training_rows(spark, sf_dir, DEFAULT_FEATURES, "status")
-    listed = {"LogisticRegression": {}, "DecisionTreeClassifier": {"max_depth": 5}}
-    scores = models.cross_validate(
-        train, listed, kind=models.CLASSIFIER, features=DEFAULT_FEATURES, label="status", folds=3, scale=True
-    )
-    return models.mean_scores(spark, scores).select("name", "mean_score", "std_score")
+    train, _ = _training_rows(spark, sf_dir, DEFAULT_FEATURES, "status", "deployment_time")
+    train = settle(train)
+    how = {"folds": FOLDS, "by": "uuid", "scale": True}
+    scores = models.cross_validate(train, {"GaussianNB": {}}, kind=models.CLASSIFIER, features=DEFAULT_FEATURES, label="status", **how)
+    listed = {"LinearRegression": {}, "Ridge": {"alpha": RIDGE}}
+    scores += models.cross_validate(train, listed, kind=models.REGRESSOR, features=INDEPENDENT, label="deployment_time", **how)
+    return _rounded(models.mean_scores(spark, scores).select("name", "mean_score", "std_score"), ["mean_score", "std_score"])
 
 
 def shapley_importance_query(spark, sf_dir):
-    features = ["gpu", "complexity", "floatingips_diff", "failure_percentage"]
-    train, _ = _training_rows(spark, sf_dir, features, "status")
-    fitted = models.fit(
-        train, name="GaussianNB", params={}, kind=models.CLASSIFIER, features=features, label="status"
-    )
-    return shapley_importance(fitted, train)
+    """All default features: a sample of coalitions, exact for a linear model."""
+    train, _ = _training_rows(spark, sf_dir, DEFAULT_FEATURES, "deployment_time")
+    fitted = models.fit(train, name="Ridge", params={"alpha": RIDGE}, kind=models.REGRESSOR, features=DEFAULT_FEATURES, label="deployment_time", scale=True)
+    explained, known = (first_by_hash(train, n, by=["uuid"]) for n in (EXPLAINED, BACKGROUND))
+    rows = shapley_importance(fitted, explained, background=known).collect()
+    digits = [(r["feature"], float(f"{r['importance']:.6g}"), round(r["standard_error"], 6)) for r in rows]
+    return spark.createDataFrame(digits, "feature string, importance double, standard_error double")
 
 
 def score_and_rank_models(spark, sf_dir):
     """Two fitted models score all candidates, then the ranking."""
-    features = DEFAULT_FEATURES
-    fits = {}
-    for kind, name, target in (
-        (models.CLASSIFIER, "LogisticRegression", "status"),
-        (models.REGRESSOR, "LinearRegression", "deployment_time"),
-    ):
-        train, _ = _training_rows(spark, sf_dir, features, target)
-        fits[kind] = models.fit(train, name=name, params={}, kind=kind, features=features, label=target)
+    train, _ = _training_rows(spark, sf_dir, DEFAULT_FEATURES, "status", "deployment_time")
+    classifier = models.fit(train, name="GaussianNB", params={}, kind=models.CLASSIFIER, features=DEFAULT_FEATURES, label="status")
+    regressor = models.fit(train, name="Ridge", params={"alpha": RIDGE}, kind=models.REGRESSOR, features=DEFAULT_FEATURES, label="deployment_time", scale=True)
     rows = model_scores(
         enriched(spark, sf_dir),
-        classifier=fits[models.CLASSIFIER].pipeline,
-        regressor=fits[models.REGRESSOR].pipeline,
-        class_features=features,
-        duration_features=features,
+        classifier=classifier.pipeline,
+        regressor=regressor.pipeline,
+        class_features=DEFAULT_FEATURES,
+        duration_features=DEFAULT_FEATURES,
     )
-    return rank_candidates(rows).select("msg_id", "provider", "classification", "regression", "rank")
+    ranked = rank_candidates(rows).select("msg_id", "provider", "classification", "regression", "rank")
+    return _rounded(ranked, ["classification", "regression"])
 
 
 def stream_rank(spark, sf_dir):
@@ -517,6 +510,7 @@ QUERIES: dict[str, Query] = {
     "registry_latest": registry_latest,
     "train_classifier": train_classifier,
     "train_regressor": train_regressor,
+    "train_forest": train_forest,
     "cross_validate": cross_validate,
     "shapley_importance": shapley_importance_query,
     "score_and_rank_models": score_and_rank_models,
