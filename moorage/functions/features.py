@@ -23,7 +23,9 @@ def parsed_time(text: Column, formats: Sequence[str] = ()) -> Column:
 
     Text with an offset (or ``Z``) names an instant and becomes its UTC time; text without one stays as written.
     """
-    with_offset = text.rlike(r"(?i)[0-9](z|utc|gmt|[+-][0-9]{1,2}(:?[0-9]{2})?)\s*$") & text.rlike("[0-9]:[0-9]|[Tt][0-9]")
+    # Most texts are dates or end in digits alone: only those with a time of day go through an expression.
+    timed = F.contains(text, F.lit(":")) | F.contains(text, F.lit("T")) | F.contains(text, F.lit("t"))
+    with_offset = timed & text.rlike(r"(?i)[0-9](z|utc|gmt|[+-][0-9]{1,2}(:?[0-9]{2})?)\s*$") & text.rlike("[0-9]:[0-9]|[Tt][0-9]")
     instant = F.convert_timezone(F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))
     tries = [F.when(with_offset, instant).otherwise(text.try_cast("timestamp_ntz"))]
     tries += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]

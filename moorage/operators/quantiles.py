@@ -14,8 +14,7 @@ from moorage.settle import settle
 
 #: Distinct values that may be put in order inside one task.
 IN_ONE_TASK = 1_000_000
-#: Rows the first guess of a quantile's surroundings is made from.
-GUESS_ROWS = 10_000_000
+#: The approximate aggregate's ranks are off by less than this share of the rows.
 _ACCURACY = 10_000
 _BINS = 4096
 _LARGEST = sys.float_info.max
@@ -27,41 +26,30 @@ def exact_quantiles(
     probabilities: Sequence[float],
     *,
     in_one_task: int = IN_ONE_TASK,
-    guess_rows: int = GUESS_ROWS,
 ) -> dict[str, list[float | None]]:
     """Column -> its quantiles, null and NaN left out; None for a column without values.
 
     The result is one number per (column, probability), so it is returned, not left in a table.
-    ``df`` is read two or three times: settle it first when it is costly to compute.
+    ``df`` is read twice: settle it first when it is costly to compute.
+
+    One aggregation over all columns gives counts, ends, and from a mergeable sketch with a bound on its rank error a
+    bracket around each wanted rank. A second pass counts what lies below the brackets and the distinct values inside,
+    which are a few of ten thousand rows, and puts those in order. Where even they are too many for one task they are
+    narrowed by histogram first.
     """
     columns, probabilities = list(columns), [float(p) for p in probabilities]
     if not columns:
         return {}
     numbers = df.select(*[number_or_null(F.col(c)).alias(c) for c in columns])
-    return _searched(numbers, columns, probabilities, in_one_task, min(1.0, guess_rows / max(1, numbers.count())))
-
-
-def _searched(numbers, columns, probabilities, in_one_task, guess_share):
-    """Quantiles from order statistics found by narrowing.
-
-    A sample gives a guess of the surroundings of each wanted rank.  The next pass counts, over all
-    rows, what lies below them and keeps the counted distinct values inside; where the guess turns
-    out to miss its rank, the pass is repeated over the column's whole range.  The counted values
-    are narrowed further by histogram until they fit one task.
-    """
-    slots, ranges, brackets = _guesses(numbers, columns, probabilities, guess_share)
-    found, pending = {}, brackets
-    while pending:
-        counted, below, inside = _counted(numbers, pending)
-        wanted = {}
-        for slot in pending:
-            _, _, rank, fraction = slots[slot]
-            first = rank - below.get(slot, 0)
-            ranks = [first, first + 1] if fraction > 0 else [first]
-            if first >= 0 and ranks[-1] < inside.get(slot, 0):
-                wanted[slot] = ranks
-        found.update(_ranked_values(counted, wanted, in_one_task))
-        pending = {s: (c, *ranges[c]) for s, (c, _, _) in pending.items() if s not in wanted}
+    slots, brackets, rows = _brackets(numbers, columns, probabilities)
+    found = {}
+    # Rows between the ends of a bracket; copies of the ends count once each.
+    inside = rows if rows <= _ACCURACY else 6 * rows / _ACCURACY + 2
+    if brackets and inside <= in_one_task:
+        found = _ordered_inside(numbers, slots, brackets)
+    missing = {s: brackets[s] for s in brackets if s not in found}
+    if missing:
+        found.update(_narrowed(numbers, slots, missing, in_one_task))
 
     result = {c: [None] * len(probabilities) for c in columns}
     for slot, (c, i, _, fraction) in slots.items():
@@ -70,48 +58,46 @@ def _searched(numbers, columns, probabilities, in_one_task, guess_share):
     return result
 
 
-def _between(low: float, high: float, fraction: float) -> float:
-    """The point between two neighbours; equal ones (infinite ones too) are their own."""
-    return low if low == high else (1 - fraction) * low + fraction * high
+def _ranks(slot: tuple) -> list[int]:
+    _, _, rank, fraction = slot
+    return [rank, rank + 1] if fraction > 0 else [rank]
 
 
-def _guesses(numbers, columns, probabilities, share):
-    """Slots (one per column and probability), column ranges, and where to look for each slot.
+def _brackets(numbers, columns, probabilities):
+    """Slots (one per column and probability), where to look for each, and the rows of the fullest column.
 
     A slot is ``(column, index, 0-based rank, fraction towards the next rank)``.
     """
+    # Twice the error, and a rank for rounding, to either side.
+    around = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-2 / _ACCURACY, 2 / _ACCURACY)]
+    near = F.array(*[F.lit(p) for p in around])
     facts = numbers.agg(
         *[F.count(c).alias(f"n_{c}") for c in columns],
         *[F.min(c).alias(f"lo_{c}") for c in columns],
         *[F.max(c).alias(f"hi_{c}") for c in columns],
+        *[F.percentile_approx(c, near, F.lit(_ACCURACY)).alias(f"near_{c}") for c in columns],
     ).first()
-    sample = numbers.sample(share, seed=1) if share < 1 else numbers
-    seen = max(1.0, share * max(facts[f"n_{c}"] for c in columns))
-    # Six deviations of a sampled share, and the error of the approximate aggregate.
-    slack = 2.0 / _ACCURACY + (3.0 / math.sqrt(seen) if share < 1 else 0.0)
-    around = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)]
-    near = F.array(*[F.lit(p) for p in around])
-    guess = sample.agg(*[F.percentile_approx(c, near, F.lit(_ACCURACY)).alias(c) for c in columns]).first()
-
-    slots, ranges, brackets = {}, {}, {}
+    slots, brackets = {}, {}
     for c in columns:
-        ranges[c] = (facts[f"lo_{c}"], facts[f"hi_{c}"])
+        n, low, high, guess = (facts[f"{k}_{c}"] for k in ("n", "lo", "hi", "near"))
         for i, p in enumerate(probabilities):
-            if not facts[f"n_{c}"]:
+            if not n:
                 continue
-            place = (facts[f"n_{c}"] - 1) * p
+            place = (n - 1) * p
             slot, rank = f"{c}#{i}", math.floor(place)
             slots[slot] = (c, i, rank, place - rank)
-            low, high = ranges[c]
-            if guess[c] is not None:
-                low = guess[c][2 * i] if around[2 * i] > 0 else low
-                high = guess[c][2 * i + 1] if around[2 * i + 1] < 1 else high
-            brackets[slot] = (c, low, high)
-    return slots, ranges, brackets
+            # Few rows are within the error altogether: then the bracket is the column's whole range.
+            sure = guess is not None and n > _ACCURACY
+            brackets[slot] = (
+                c,
+                guess[2 * i] if sure and around[2 * i] > 0 else low,
+                guess[2 * i + 1] if sure and around[2 * i + 1] < 1 else high,
+            )
+    return slots, brackets, max(facts[f"n_{c}"] for c in columns)
 
 
-def _counted(numbers, brackets):
-    """Counted distinct values inside the brackets; rows below and inside per slot."""
+def _entries(numbers: DataFrame, brackets: dict) -> DataFrame:
+    """(slot, value, n): counted distinct values inside each bracket; a null value stands for all rows below it."""
     entries = [
         F.when(
             F.col(c) <= F.lit(high),
@@ -120,15 +106,43 @@ def _counted(numbers, brackets):
         for slot, (c, low, high) in brackets.items()
     ]
     entry = F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")
-    # A null value stands for "below the bracket": one counted entry per slot and task.
-    counted = settle(
-        numbers.select(entry).groupBy("e.slot", "e.value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    sizes = counted.groupBy("slot", F.col("value").isNull().alias("outside")).agg(F.sum("n").alias("n"))
-    below, inside = {}, {}
-    for r in sizes.collect():
-        (below if r["outside"] else inside)[r["slot"]] = r["n"]
-    return counted.where(F.col("value").isNotNull()), below, inside
+    return numbers.select(entry).groupBy("e.slot", "e.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ordered_inside(numbers: DataFrame, slots: dict, brackets: dict) -> dict[str, list[float]]:
+    """slot -> values at its ranks; slots whose bracket misses a rank are left out."""
+    upto = F.sum("n").over(Window.partitionBy("slot").orderBy(F.asc_nulls_first("value")))
+    wanted = F.array(*[F.struct(F.lit(s).alias("slot"), F.array(*map(F.lit, _ranks(slots[s]))).alias("ranks")) for s in brackets])
+    ranks = F.map_from_entries(wanted)[F.col("slot")]
+    placed = _entries(numbers, brackets).withColumn("upto", upto).withColumn("ranks", ranks)
+    held = F.filter("ranks", lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto")))
+    values: dict[str, dict[int, float]] = {}
+    for r in placed.where(F.col("value").isNotNull()).select("slot", "value", held.alias("held")).where(F.size("held") > 0).collect():
+        values.setdefault(r["slot"], {}).update(dict.fromkeys(r["held"], r["value"]))
+    return {s: [v[k] for k in _ranks(slots[s])] for s, v in values.items() if len(v) == len(_ranks(slots[s]))}
+
+
+def _narrowed(numbers: DataFrame, slots: dict, brackets: dict, in_one_task: int) -> dict[str, list[float]]:
+    """The same for brackets with too many distinct values; a bracket that misses a rank is widened to all values."""
+    found, pending = {}, brackets
+    while pending:
+        counted = settle(_entries(numbers, pending))
+        below, inside = {}, {}
+        for r in counted.groupBy("slot", F.col("value").isNull().alias("outside")).agg(F.sum("n").alias("n")).collect():
+            (below if r["outside"] else inside)[r["slot"]] = r["n"]
+        wanted = {}
+        for slot in pending:
+            ranks = [k - below.get(slot, 0) for k in _ranks(slots[slot])]
+            if ranks[0] >= 0 and ranks[-1] < inside.get(slot, 0):
+                wanted[slot] = ranks
+        found.update(_ranked_values(counted.where(F.col("value").isNotNull()), wanted, in_one_task))
+        pending = {s: (c, float("-inf"), float("inf")) for s, (c, _, _) in pending.items() if s not in wanted}
+    return found
+
+
+def _between(low: float, high: float, fraction: float) -> float:
+    """The point between two neighbours; equal ones (infinite ones too) are their own."""
+    return low if low == high else (1 - fraction) * low + fraction * high
 
 
 def _ranked_values(values: DataFrame, wanted: dict[str, list[int]], in_one_task: int):

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from moorage.functions.clock import micros, to_micros
 from moorage.schema import FAILED, HISTORY_KEYS, HISTORY_STATS, SUCCEEDED
+from moorage.settle import settle
 
 FRAME = timedelta(days=30)
 
@@ -118,7 +119,8 @@ def rolling_stats(
         raise ValueError(f"a frame of {frame} cannot be cut into {grains} equal slices")
     width = span // grains
 
-    instants = (
+    # Settled, as slices, shifted copies and slice totals all come from it: the rows behind it are read once.
+    instants = settle(
         rows.groupBy(*keys, time)
         .agg(*aliased(partial_stats()))
         .withColumn("at", micros(rows, time))

@@ -7,11 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from moorage.operators import metrics
+from moorage.operators import metrics, quantiles
 from moorage.operators.outliers import iqr_filter
 from moorage.operators.quantiles import exact_quantiles
 from moorage.operators.sampling import exact_split, fold_sizes, with_folds, with_parts
 from moorage.operators.scaling import fit_scaler, robust_scale, scaled_name, scaler_stage
+from moorage.settle import settle
 
 
 def frame(spark, **columns):
@@ -46,12 +47,29 @@ def test_searched_quantiles_are_exact(spark, kind, in_one_task):
         assert whole[name] == searched[name]
 
 
-@pytest.mark.parametrize("guess_rows", [1, 40])
-def test_a_wrong_guess_is_noticed(spark, guess_rows):
+@pytest.mark.parametrize("in_one_task", [100, 10**6])
+def test_a_wrong_bracket_is_noticed(spark, monkeypatch, in_one_task):
     values = draws("even")
-    df = frame(spark, a=values)
-    found = exact_quantiles(df, ["a"], PROBABILITIES, in_one_task=100, guess_rows=guess_rows)
-    assert found["a"] == pytest.approx(np.quantile(values, PROBABILITIES).tolist(), rel=1e-12)
+    found = quantiles._brackets
+
+    def wrong(*args):
+        slots, brackets, rows = found(*args)
+        return slots, {s: (c, 0.3, 0.31 + k / 100) for k, (s, (c, _, _)) in enumerate(brackets.items())}, rows
+
+    monkeypatch.setattr(quantiles, "_brackets", wrong)
+    got = exact_quantiles(frame(spark, a=values), ["a"], PROBABILITIES, in_one_task=in_one_task)
+    assert got["a"] == pytest.approx(np.quantile(values, PROBABILITIES).tolist(), rel=1e-12)
+
+
+def test_brackets_of_many_rows_hold_their_ranks(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(0, 1, 30_000), np.full(12_345, 0.25), rng.pareto(0.4, 9_000)])
+    df = settle(spark.createDataFrame([(float(v), float(-v)) for v in values], "a double, b double").repartition(7))
+    slots, brackets, rows = quantiles._brackets(df, ["a", "b"], PROBABILITIES)
+    assert rows == len(values) and set(quantiles._ordered_inside(df, slots, brackets)) == set(slots)
+    got = exact_quantiles(df, ["a", "b"], PROBABILITIES)
+    assert got["a"] == pytest.approx(np.quantile(values, PROBABILITIES).tolist(), rel=1e-12)
+    assert got["b"] == pytest.approx(np.quantile(-values, PROBABILITIES).tolist(), rel=1e-12)
 
 
 @pytest.mark.parametrize("in_one_task", [1, 1000])
@@ -70,28 +88,30 @@ def test_quantiles_skip_null_and_nan(spark):
     assert found == {"a": [2.0], "b": [None]}
 
 
-A = [1, -10, 3, 4, 5, 100]
-B = [10, 20, 30, 40, 50, 200]
-C = [100, 200, 300, 400, 500, 600]
+def columns_of(seed, names, n):
+    """Mostly close values, some far off on either side, some columns flat."""
+    rng = random.Random(seed)
+    return {c: [rng.choice([7.0, 7.5, 8.25]) if k % 3 else rng.gauss(40, 6) * rng.choice([1] * 12 + [-9, 25]) for _ in range(n)] for k, c in enumerate(names)}
 
 
-@pytest.mark.parametrize(
-    "columns, arguments, rows",
-    [
-        ({"A": A, "B": B, "C": C}, {}, 4),
-        ({"A": range(10, 21), "B": range(5, 16)}, {}, 11),
-        ({"A": [1] * 5, "B": [2] * 5}, {}, 5),
-        ({"A": [1, 1, 1, 1, 1000], "B": [2] * 5}, {}, 4),
-        ({"A": [1, 2, 3, 4, 5, 100]}, {"k": 1}, 5),
-        ({"A": [1, 2, 3, 4, 5, 100]}, {"q1": 0.4, "q3": 0.6, "k": 1}, 4),
-        ({"A": [1, 2, 3, 4, 5, 100]}, {"k": 100}, 6),
-        ({"A": [-100, -10, 0, 10, 20, 200]}, {}, 4),
-        ({"A": [1, 2, 3, 4, 5], "y": [10, 20, 30, 40, 9999]}, {}, 4),
-    ],
-)
-def test_outliers(spark, columns, arguments, rows):
+@pytest.mark.parametrize("arguments", [{}, {"k": 0.5}, {"q1": 0.35, "q3": 0.65, "k": 2}, {"k": 1000}])
+@pytest.mark.parametrize("seed, names, n", [(1, "u", 9), (2, "uv", 31), (3, "uvw", 64), (4, "uvwx", 200)])
+def test_outliers(spark, seed, names, n, arguments):
+    columns = columns_of(seed, names, n)
+    kept = np.ones(n, bool)
+    for values in map(np.array, columns.values()):
+        low, high = np.quantile(values, [arguments.get("q1", 0.25), arguments.get("q3", 0.75)])
+        reach = arguments.get("k", 1.5) * (high - low)
+        kept &= (values >= low - reach) & (values <= high + reach)
     df = frame(spark, **columns)
-    assert iqr_filter(df, df.columns, **arguments).count() == rows
+    got = sorted(tuple(r) for r in iqr_filter(df, df.columns, **arguments).collect())
+    assert got == sorted(r for r, k in zip(zip(*columns.values()), kept) if k)
+
+
+def test_flat_columns_have_no_outliers_but_other_values(spark):
+    df = frame(spark, a=[3, 3, 3, 3], b=[9, 9, 9, 9])
+    assert iqr_filter(df, ["a", "b"]).count() == 4
+    assert iqr_filter(frame(spark, a=[3, 3, 3, 3, 3, 4], b=[9, 9, 9, 9, 8, 9]), ["a", "b"]).count() == 4
 
 
 def test_nan_and_null_are_no_outliers(spark):
