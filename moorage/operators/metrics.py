@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that bucket edges are estimated from.
-_EDGE_ROWS = 2_000_000
+from moorage.settle import settle
+
+#: Distinct scores that one task puts in order.
+_TASK_SCORES = 1_000_000
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -100,54 +101,33 @@ def regression_metrics(df: DataFrame, *, label: str = "y", predicted: str = "y_h
     )
 
 
-def roc_auc(df: DataFrame, *, label: str = "y", score: str = "score", buckets: int = 256) -> DataFrame:
+def roc_auc(df: DataFrame, *, label: str = "y", score: str = "score", task_scores: int = _TASK_SCORES) -> DataFrame:
     """Area under the ROC curve, exact with ties: the share of (1, 0) pairs in the right order.
 
-    Rows are pre-aggregated per distinct score.  The running count of zeros is taken in score
-    buckets of even weight, each added to the zeros of the buckets before it, so the global
-    order never passes through one task.  Null when a class is missing.
+    Rows are pre-aggregated per distinct score and settled, so ``df`` is read once. The running count of zeros has two levels:
+    inside ranges of about ``task_scores`` distinct scores each, and over the ranges, so the global order never
+    passes through one task.  Null when a class is missing.
     """
-    per_score = df.groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).cast("double").alias("ones"),
-        F.count_if(F.col(label) == 0).cast("double").alias("zeros"),
+    per_score = settle(
+        df.groupBy(F.col(score).cast("double").alias("score")).agg(
+            F.count_if(F.col(label) == 1).cast("double").alias("ones"),
+            F.count_if(F.col(label) == 0).cast("double").alias("zeros"),
+        )
     )
-    placed = _with_score_bucket(per_score, df, score, buckets)
-    within = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    # Pairs won inside the bucket; each 1 also wins against all zeros of earlier buckets.
+    ranges = max(1, -(-per_score.count() // task_scores))
+    placed = per_score.repartitionByRange(ranges, "score").withColumn("part", F.spark_partition_id())
+    if ranges > 1:
+        placed = settle(placed)  # range ends come from a sample: they must hold for both levels
+    within = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    # Pairs won inside the range; each 1 also wins against all zeros of earlier ranges.
     wins = placed.withColumn("below", F.sum("zeros").over(within) - F.col("zeros") / 2)
-    per_bucket = wins.groupBy("bucket").agg(
+    per_part = wins.groupBy("part").agg(
         F.sum("ones").alias("ones"),
         F.sum("zeros").alias("zeros"),
         F.sum(F.col("ones") * F.col("below")).alias("won"),
     )
-    # At most one row per bucket from here on.
-    ordered = F.array_sort(F.collect_list(F.struct("bucket", "ones", "zeros", "won")))
-    start = F.struct(F.lit(0.0).alias("ones"), F.lit(0.0).alias("zeros"), F.lit(0.0).alias("won"))
-    folded = F.aggregate(
-        ordered,
-        start,
-        lambda acc, b: F.struct(
-            (acc["ones"] + b["ones"]).alias("ones"),
-            (acc["zeros"] + b["zeros"]).alias("zeros"),
-            (acc["won"] + b["won"] + b["ones"] * acc["zeros"]).alias("won"),
-        ),
-    )
-    total = per_bucket.agg(folded.alias("t"))
-    return total.select(F.try_divide(F.col("t.won"), F.col("t.ones") * F.col("t.zeros")).alias("auc"))
-
-
-def _with_score_bucket(per_score: DataFrame, df: DataFrame, score: str, buckets: int) -> DataFrame:
-    """Add a bucket number that grows with the score.
-
-    The edges are approximate quantiles of a sample: they balance the buckets and have no say in
-    the result.
-    """
-    shares = [i / buckets for i in range(1, buckets)]
-    share = _EDGE_ROWS / max(df.count(), 1)
-    sample = df.sample(share, seed=1) if share < 1 else df
-    edges = sample.agg(F.percentile_approx(F.col(score).cast("double"), shares, 10 * buckets)).first()[0]
-    inner = sorted(set(edges or []))
-    if not inner:
-        return per_score.withColumn("bucket", F.lit(0.0))
-    splits = [float("-inf"), *inner, float("inf")]
-    return Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(per_score)
+    # One row per range from here on.
+    before = F.coalesce(F.sum("zeros").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    total = per_part.withColumn("won", F.col("won") + F.col("ones") * before)
+    sums = total.agg(F.sum("won").alias("won"), F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    return sums.select(F.try_divide(F.col("won"), F.col("ones") * F.col("zeros")).alias("auc"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +43,44 @@ def newest_versions(models: DataFrame) -> DataFrame:
     return models.groupBy("name").agg(F.max(number).alias("version"), F.count(F.lit(1)).alias("versions"))
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    path, files = _file_system(spark, folder)
+    if not files.exists(path):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(path)]
+    return [n for n in names if not n.startswith(".")]
+
+
+def _made(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; false where it was there already. Of several that try, one makes it."""
+    hadoop, files = _file_system(spark, path)
+    files.mkdirs(hadoop.getParent())
+    if files.getUri().getScheme() == "file":
+        # Hadoop's local file system looks first and writes then; the operating system does both at once.
+        try:
+            os.close(os.open(hadoop.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        files.create(hadoop, False).close()
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in str(error.java_exception):
+            raise
+        return False
+    return True
+
+
 class Registry:
     """Tables and model files under one folder all executors see.
 
-    The row in ``models`` is written last: a version without it does not exist.  One training job
-    per model name writes at a time.
+    The row in ``models`` is written last: a version without it does not exist.  Several jobs may write at a time, also
+    under one name: a job claims the version it writes by making a file that nobody made before.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -53,8 +88,7 @@ class Registry:
 
     def _table(self, name: str, schema: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        hadoop, files = _file_system(self.spark, path)
         if not files.exists(hadoop):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
@@ -68,15 +102,25 @@ class Registry:
     def importances(self) -> DataFrame:
         return self._table("importances", _IMPORTANCES)
 
+    def _claim(self, name: str) -> int:
+        """The next version of a name, which no other writer has or will get.
+
+        Claims of jobs that died are not given again, so version numbers may have gaps.
+        """
+        folder = f"{self.root}/claims/{name}"
+        known = newest_versions(self.models().where(F.col("name") == name)).first()
+        version = 1 + max([known["version"] if known else 0, *map(int, _names(self.spark, folder))])
+        while not _made(self.spark, f"{folder}/{version}"):
+            version += 1
+        return version
+
     def append(
         self, fitted: Fitted, *, info: ModelInfo, metrics: dict[str, float | None], importances: DataFrame
     ) -> int:
         """Store a fitted pipeline, scaler included, as the next version of its name."""
-        last = self.models().where(F.col("name") == fitted.name).agg(F.max("version")).first()[0]
-        version = (last or 0) + 1
+        version = self._claim(fitted.name)
         path = f"{self.root}/artifacts/{fitted.name}/{version}"
-        # Leftovers of a run that died before its models row are replaced.
-        fitted.pipeline.write().overwrite().save(path)
+        fitted.pipeline.write().save(path)
         values = [(fitted.name, version, m, v) for m, v in metrics.items()]
         self._put("metrics", fitted.name, version, self.spark.createDataFrame(values, _METRICS))
         self._put("importances", fitted.name, version, importances)
@@ -110,16 +154,14 @@ class Registry:
         which may come as text.
         """
         rows = self.models().where(F.col("name") == name)
-        known = [r["version"] for r in rows.select("version").collect()]
-        if not known:
+        known = newest_versions(rows).first()
+        if known is None:
             raise ValueError(f"model {name!r} not found")
-        if len(known) == 1:
-            wanted = known[0]
-        else:
-            wanted = max(known) if version == "latest" else int(version)
-        if wanted not in known:
+        wanted = known["version"] if known["versions"] == 1 or version == "latest" else int(version)
+        found = rows.where(F.col("version") == wanted).first()
+        if found is None:
             raise ValueError(f"version {version} of model {name!r} not found")
-        return rows.where(F.col("version") == wanted).first()
+        return found
 
     def load(self, name: str, version: str | int = "latest") -> tuple[PipelineModel, list[str]]:
         """(pipeline, features in training order)."""

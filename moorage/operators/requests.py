@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from moorage.functions import features as feat
 from moorage.operators.cleaning import derive
+from moorage.schema import AS_SENT
 
 #: Messages are told apart by where they stand in the source; a uuid may come twice.
 MESSAGE = "msg_id"
@@ -37,7 +38,7 @@ def unfold(messages: DataFrame) -> DataFrame:
         (F.col("_pos") + 1).alias("pos"),
         "request",
         F.col("_template").alias("template_name"),
-        *[F.col(f"request.{f}").alias(f) for f in fields if f not in ("template_name", "uuid")],
+        *[F.col(f"request.{f}").alias(f) for f in fields if f not in ("template_name", "uuid", AS_SENT)],
     )
 
 

@@ -36,8 +36,8 @@ from moorage.settle import settle
 
 FRAME = timedelta(days=30)
 
-# Partials and how two of them are merged.
-_MERGE = {
+#: Partials and how two of them are merged.
+MERGE = {
     "n_failed": F.sum,
     "n_ok": F.sum,
     "time_failed": F.sum,
@@ -86,12 +86,12 @@ def finished_stats(part=F.col) -> dict[str, Column]:
 def _merged(names_to: str, window, only: Column | None = None) -> dict[str, Column]:
     """Running merge of all partials over ``window``, restricted to rows where ``only`` holds."""
     pick = (lambda c: F.when(only, F.col(c))) if only is not None else F.col
-    return {f"{names_to}_{c}": merge(pick(c)).over(window) for c, merge in _MERGE.items()}
+    return {f"{names_to}_{c}": merge(pick(c)).over(window) for c, merge in MERGE.items()}
 
 
 def _joined(name: str, parts: Sequence[str]) -> Column:
     cols = [F.col(f"{p}_{name}") for p in parts]
-    merge = _MERGE[name]
+    merge = MERGE[name]
     if merge is F.sum:
         # A part that saw no row adds nothing; min and max skip nulls by themselves.
         return reduce(add, [F.coalesce(c, F.lit(0)) for c in cols])
@@ -138,15 +138,15 @@ def rolling_stats(
                 ),
             )
         ),
-    ).select(*keys, time, *_MERGE, "place.role", "place.grain", "place.at")
+    ).select(*keys, time, *MERGE, "place.role", "place.grain", "place.at")
 
     if grains > 1:
         between = Window.partitionBy(*keys).orderBy("grain").rangeBetween(-(grains - 1), -1)
-        totals = instants.groupBy(*keys, "grain").agg(*[m(c).alias(c) for c, m in _MERGE.items()])
+        totals = instants.groupBy(*keys, "grain").agg(*[m(c).alias(c) for c, m in MERGE.items()])
         middles = totals.select(
             *keys,
             F.lit(None).cast(rows.schema[time].dataType).alias(time),
-            *[m(c).over(between).alias(c) for c, m in _MERGE.items()],
+            *[m(c).over(between).alias(c) for c, m in MERGE.items()],
             F.lit(_MIDDLE).alias("role"),
             "grain",
             # Just before the slice starts, so that every instant of the slice sees it.
@@ -164,7 +164,7 @@ def rolling_stats(
             **_merged("tail", tail, F.col("role") == _TAIL),
         }
     ).where(F.col("role") == _HOME)
-    whole = framed.select(*keys, time, *[_joined(c, ["head", "tail"]).alias(c) for c in _MERGE])
+    whole = framed.select(*keys, time, *[_joined(c, ["head", "tail"]).alias(c) for c in MERGE])
     return whole.select(*keys, time, *aliased(finished_stats()))
 
 

@@ -100,6 +100,9 @@ DEFAULT_FEATURES = [
 CLASS_TARGET = "status"
 DURATION_TARGET = "deployment_time"
 
+#: Beside the typed fields of a candidate that came as text: the whole entry as it was sent.
+AS_SENT = "sent"
+
 NO_PREDICTION = -1.0
 SCORE_FIELDS = ["classification", "regression", "resource_exactness"]
 

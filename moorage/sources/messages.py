@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from moorage.schema import CANDIDATE_FIELDS
 from moorage.sources.jsonfiles import holds_documents, json_reader
-from moorage.sources.topics import Topic, parse_requests, struct_messages
+from moorage.sources.topics import Topic, answer_messages, parse_requests, request_texts
 from moorage.sources.validation import NO_PROVIDERS, raise_refusals, refusals, with_request_reason
 
 
@@ -46,6 +46,39 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return json_reader(spark, path).schema("uuid string").json(path)
 
 
+@dataclass(frozen=True)
+class MessageSource:
+    """Where requests or answers come from: a JSON file or folder, or a topic."""
+
+    path: str | None = None
+    topic: Topic | None = None
+
+    def __post_init__(self):
+        if (self.path is None) == (self.topic is None):
+            raise ValueError("give either a path or a topic")
+
+
+def open_sources(spark: SparkSession, requests: MessageSource, answers: MessageSource) -> tuple[DataFrame, DataFrame]:
+    """(request messages, uuids of past answers), each from a file or a topic.
+
+    Requests of a topic that waits for messages are a stream, any others a table; both have the text in ``value``.
+    Answers are always a table, as they are counted once at the start.
+    """
+    if requests.path is not None:
+        asked = request_messages(spark, requests.path)
+    else:
+        asked = requests.topic.read_stream(spark) if requests.topic.timeout_ms == 0 else requests.topic.read(spark)
+    if answers.path is not None:
+        return asked, read_answers(spark, answers.path)
+    return asked, answer_uuids(answers.topic.read(spark))
+
+
+def answer_uuids(messages: DataFrame) -> DataFrame:
+    """The uuids of answer messages; a message without one cancels nothing."""
+    uuid = F.get_json_object(F.col("value").cast("string"), "$.uuid")
+    return messages.select(uuid.alias("uuid")).where("uuid IS NOT NULL")
+
+
 @dataclass(frozen=True)
 class AnswerSink:
     """Either a folder of JSON lines or a topic."""
@@ -64,7 +97,7 @@ def write_answers(answers: DataFrame, sink: AnswerSink, *, batch: int | None = N
     To a folder they are appended; a numbered stream batch has its own sub-folder, which a replay
     overwrites.  A topic receives a replayed batch again.
     """
-    messages = struct_messages(answers.select("uuid", "ranked_providers"))
+    messages = answer_messages(answers)
     if sink.topic is not None:
         sink.topic.write(messages)
     elif batch is None:
@@ -75,4 +108,4 @@ def write_answers(answers: DataFrame, sink: AnswerSink, *, batch: int | None = N
 
 def publish_requests(requests: DataFrame, topic: Topic) -> None:
     """Send all requests to their topic."""
-    topic.write(struct_messages(requests.select("uuid", "msg_version", "template_name", "providers")))
+    topic.write(request_texts(requests))

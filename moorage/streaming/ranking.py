@@ -25,55 +25,54 @@ class AnswerLedger:
 
     Answers are counted once, when a stream first starts; answers given later, also the stream's
     own, do not count.  Every batch notes the cancellations it used, in a folder of its own, and a
-    batch looks only at the notes of earlier ones, so that replaying it changes nothing.  Every
-    ``summed_every`` batches what is left is written as a table of its own, from which later batches go on,
-    so a batch reads a bounded number of notes however long the stream runs.
+    batch looks only at the notes of earlier ones, so that replaying it changes nothing.  At every
+    ``summed_every``-th batch what is left is written as a table, from which the batches after it go on.
+
+    Batches are numbered without gaps, so folders are named by number and none is ever listed: a batch costs the same
+    however long the stream runs. Notes and sums older than one whole round are deleted, as only the last batch can be replayed.
     """
 
     def __init__(self, spark: SparkSession, folder: str, *, summed_every: int = 64):
         self.spark, self.folder, self.summed_every = spark, folder.rstrip("/"), summed_every
 
-    def _exists(self, name: str) -> bool:
+    def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        path, files = self._path(name)
+        return files.exists(path)
 
     def freeze(self, answers: DataFrame) -> None:
         """Count the answers, unless an earlier start already did."""
         if not self._exists("answers/_SUCCESS"):
             answer_counts(answers).write.mode("overwrite").parquet(f"{self.folder}/answers")
 
-    def _sums(self) -> list[int]:
-        """The batches before which what is left was written in full."""
-        if not self._exists("left"):
-            return []
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/left")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
-        names = [f.getPath().getName() for f in found]
-        return [int(n.split("=")[1]) for n in names if "=" in n and self._exists(f"left/{n}/_SUCCESS")]
-
     def remaining(self, batch_id: int) -> DataFrame:
         """(uuid, answered): answers not used up before batch ``batch_id``."""
-        base = max((b for b in self._sums() if b <= batch_id), default=0)
-        if batch_id - base >= self.summed_every:
-            self._left(base, batch_id).write.mode("overwrite").parquet(f"{self.folder}/left/before={batch_id}")
-            base = batch_id
+        base = batch_id - batch_id % self.summed_every
+        if base == batch_id and batch_id and not self._exists(f"left/before={base}/_SUCCESS"):
+            self._left(base - self.summed_every, base).write.mode("overwrite").parquet(f"{self.folder}/left/before={base}")
+            self._forget(base - self.summed_every)
         return self._left(base, batch_id)
 
     def _left(self, base: int, batch_id: int) -> DataFrame:
         start = f"left/before={base}" if base else "answers"
         counts = self.spark.read.schema("uuid string, answered bigint").parquet(f"{self.folder}/{start}")
-        if base == batch_id or not self._exists("used"):
+        if base == batch_id:
             return counts
-        used = (
-            self.spark.read.schema("uuid string, used bigint, batch_id bigint")
-            .parquet(f"{self.folder}/used")
-            .where((F.col("batch_id") >= base) & (F.col("batch_id") < batch_id))
-            .groupBy("uuid")
-            .agg(F.sum("used").alias("used"))
-        )
+        notes = [f"{self.folder}/used/batch_id={b}" for b in range(base, batch_id)]
+        used = self.spark.read.schema("uuid string, used bigint").parquet(*notes).groupBy("uuid").agg(F.sum("used").alias("used"))
         left = F.col("answered") - F.coalesce(F.col("used"), F.lit(0))
         return counts.join(used, "uuid", "left").select("uuid", left.alias("answered")).where("answered > 0")
 
+    def _forget(self, batch_id: int) -> None:
+        """Delete the round of notes before a sum, and the sum that they go on from."""
+        first = batch_id - self.summed_every
+        for name in (f"left/before={first}", *(f"used/batch_id={b}" for b in range(max(0, first), batch_id))):
+            path, files = self._path(name)
+            files.delete(path, True)
+
     def note(self, batch_id: int, used: DataFrame) -> None:
         used.write.mode("overwrite").parquet(f"{self.folder}/used/batch_id={batch_id}")
 

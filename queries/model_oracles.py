@@ -209,10 +209,23 @@ FROM both_ways""",
     )
 
 
+def _round_trip() -> str:
+    values = ", ".join(f"{_significant(m)} AS {m}" for m in ("mse", "mae", "r2"))
+    return with_ctes(
+        ["rolled"],
+        f"""{_PARTS}{_scaled("parts", "scaled", DEFAULT_FEATURES, "is_test, deployment_time")}
+, learn AS (SELECT * FROM scaled WHERE NOT is_test){_line("line", "learn", _WIDTH, RIDGE)}
+, s AS (SELECT deployment_time AS y, {_value(_WIDTH)} AS y_hat FROM scaled, line WHERE is_test)
+SELECT 'Ridge' AS name, 2 AS version, cast(2 AS bigint) AS stored_versions, {RIDGE}E0 AS alpha, {values}
+FROM (SELECT {", ".join(f"{sql} AS {m}" for m, sql in _ERRORS.items())} FROM s)""",
+    )
+
+
 MODEL_ORACLES: dict[str, str] = {
     "train_classifier": _classifier(),
     "train_regressor": _regressor(),
     "cross_validate": _cross_validation(),
     "shapley_importance": _importances(),
     "score_and_rank_models": _ranking(),
+    "registry_round_trip": _round_trip(),
 }

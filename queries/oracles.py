@@ -171,6 +171,11 @@ _ANSWERED_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipda
 HASH = "cast('0x' || substr(md5('42' || chr(31) || uuid), 1, 15) AS bigint)"
 _UNSCORABLE = "CASE WHEN n_instances_requ = 6 OR n_instances_requ = 5 THEN NULL ELSE classification + regression END"
 
+#: A request's only candidate as text: a nested field, an explicit null, and at times a field of a score's name.
+LONE_ENTRY = """concat('{{"provider_name":"', provider_name, '","hobby":{{"a":[1,2,null],"b":"x y"}},"exact_flavors":',
+  cast(cast(exact_flavors AS int) AS {S}), ',"n_instances_requ":4,"gpus_requ":null,"region_name":"', region_name, '"',
+  CASE WHEN msg_id % 3 = 0 THEN ',"classification":"mine"' ELSE '' END, '}}')"""
+
 
 def _unscorable(mode: str, where: str) -> str:
     return f"""
@@ -187,6 +192,25 @@ SELECT o_orderkey AS msg_id, CASE WHEN n = 0 THEN 'no providers' WHEN n = 1 OR o
   WHEN o_orderkey % 5 = 0 THEN 'unsupported version: 9.9' WHEN o_orderkey % 5 = 1 THEN 'invalid keys: hobby'
   WHEN o_orderkey % 5 = 2 THEN 'missing keys: template_name' ELSE 'missing keys: exact_flavors' END AS reason
 FROM (SELECT o.o_orderkey, count(r.msg_id) AS n FROM orders o LEFT JOIN requests r ON r.msg_id = o.o_orderkey GROUP BY ALL)""",
+    ),
+    "lone_candidate_echo": with_ctes(
+        ["requests"],
+        f"""
+SELECT cast(msg_id AS varchar) AS uuid, concat('{{"ranked_providers":[{{', CASE WHEN msg_id % 3 = 0 THEN '' ELSE '"classification":-1.0,' END,
+  '"regression":-1.0,"resource_exactness":', cast(exact_flavors / 4 AS varchar), ',', substr({LONE_ENTRY.format(S="varchar")}, 2),
+  '],"uuid":"', cast(msg_id AS varchar), '"}}') AS value
+FROM requests WHERE pos = 1""",
+    ),
+    "ingest_stream": with_ctes(
+        ["topic_messages"],
+        f"""
+SELECT json_extract_string(value, '$.uuid') AS uuid, cast(json_extract_string(value, '$.n_failures') AS integer) AS n_failures,
+  cast(NULL AS varchar) AS reason FROM topic_messages
+WHERE json_extract_string(value, '$.msg_version') = '1.1.0' AND len(list_filter(json_keys(value), lambda k: k NOT IN ('msg_version', {_ALLOWED}))) = 0
+UNION ALL SELECT json_extract_string(value, '$.uuid'), NULL, CASE
+  WHEN json_extract_string(value, '$.msg_version') <> '1.1.0' THEN concat('unsupported version: ', json_extract_string(value, '$.msg_version'))
+  ELSE 'invalid keys: colour,shape' END FROM topic_messages
+WHERE json_extract_string(value, '$.msg_version') <> '1.1.0' OR len(list_filter(json_keys(value), lambda k: k NOT IN ('msg_version', {_ALLOWED}))) > 0""",
     ),
     "split_members": with_ctes(
         ["derived"],
@@ -411,3 +435,21 @@ SELECT cast(msg_id AS varchar) AS uuid, n_ranked, ranking FROM answers
 WHERE cast(msg_id AS varchar) NOT IN (SELECT uuid FROM processed)""",
     ),
 }
+
+ORACLES["latest_state_incremental"] = ORACLES["latest_state"]
+ORACLES["dead_letters"] = f"SELECT msg_id, reason FROM ({ORACLES['validate_requests']}) WHERE reason IS NOT NULL"
+ORACLES["stream_rank_batches"] = with_ctes(
+    ["weighed", "processed"],
+    f"""
+, asked AS (SELECT o_orderkey AS msg_id, 0 AS batch FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 1 FROM orders),
+cancelled AS (SELECT uuid, count(*) AS answered FROM processed GROUP BY uuid),
+still_open AS (
+  SELECT msg_id, batch FROM asked LEFT JOIN cancelled ON uuid = cast(msg_id AS varchar)
+  QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY batch) > coalesce(max(answered) OVER (PARTITION BY msg_id), 0)),
+answers AS (
+  SELECT msg_id, 0 AS batch, cast(count(*) AS integer) AS n_ranked, string_agg(provider, '>' ORDER BY resource_exactness DESC, pos) AS ranking
+  FROM weighed GROUP BY msg_id
+  UNION ALL SELECT msg_id, 1, cast(count(*) AS integer), string_agg(provider, '>' ORDER BY {_BY_EXACTNESS}) FROM weighed GROUP BY msg_id
+  UNION ALL SELECT msg_id, batch, 1, provider FROM described, (SELECT unnest([0, 1]) AS batch) WHERE n_candidates = 1)
+SELECT cast(msg_id AS varchar) AS uuid, batch, n_ranked, ranking FROM answers JOIN still_open USING (msg_id, batch)""",
+)

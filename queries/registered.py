@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from moorage.operators.latest import latest_state
 from moorage.operators.outliers import iqr_fences, within_fences
 from moorage.operators.quantiles import exact_quantiles
 from moorage.operators.ranking import RankSpec, rank_candidates
-from moorage.operators.registry import newest_versions
+from moorage.operators.registry import ModelInfo, Registry, newest_versions
 from moorage.operators.requests import describe, merge_repeats, route
 from moorage.operators.rolling import rolling_history
 from moorage.operators.sampling import exact_split, with_folds
@@ -31,11 +31,12 @@ from moorage.schema import CANDIDATE_FIELDS, DEFAULT_FEATURES, HISTORY_SCHEMAS,
 from moorage.settle import settle, shared_folder
 from moorage.sources.history import read_history_files
 from moorage.sources.messages import AnswerSink, read_answers, write_answers
-from moorage.sources.topics import history_messages, read_history_messages, struct_messages
+from moorage.sources.topics import answer_messages, history_messages, parse_requests, read_history_messages, struct_messages
 from moorage.sources.validation import with_history_reason, with_request_reason
+from moorage.streaming.ingest import append_history, current_state, ingest_history
 from moorage.streaming.ranking import rank_stream
-from queries.oracles import COMPLEX, FENCED, SCALED, THRESHOLD
 from queries.model_oracles import BACKGROUND, EXPLAINED, FOLDS, INDEPENDENT, RIDGE
+from queries.oracles import COMPLEX, FENCED, LONE_ENTRY, SCALED, THRESHOLD
 from queries.views import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,7 +222,7 @@ def validate_messages(spark, sf_dir):
     return with_history_reason(view(spark, sf_dir, "topic_messages")).select("uuid", "reason")
 
 
-def validate_requests(spark, sf_dir):
+def _broken_requests(spark, sf_dir):
     """Requests with a defect each, by the order's number: version, foreign field, no template, no flavours."""
     rows = messages(spark, sf_dir).select("uuid", "msg_version", "template_name", "providers")
     text, number = F.col("value"), F.get_json_object("value", "$.uuid").cast("bigint")
@@ -232,8 +233,84 @@ def validate_requests(spark, sf_dir):
         .when(number % 5 == 3, F.regexp_replace(text, '"exact_flavors":[^,}]*,', ""))
         .otherwise(text)
     )
-    sent = struct_messages(rows).select(number.alias("msg_id"), broken.alias("value"))
-    return with_request_reason(sent, required=CANDIDATE_FIELDS).select("msg_id", "reason")
+    return struct_messages(rows).select(number.alias("msg_id"), broken.alias("value"))
+
+
+def validate_requests(spark, sf_dir):
+    return with_request_reason(_broken_requests(spark, sf_dir), required=CANDIDATE_FIELDS).select("msg_id", "reason")
+
+
+def dead_letters(spark, sf_dir):
+    """What the request stream puts aside."""
+    folder = f"{shared_folder(spark)}/refused-{uuid.uuid4().hex}"
+    topic, source = _topic(_broken_requests(spark, sf_dir), F.col("msg_id"))
+    no_answers = spark.createDataFrame([], "uuid string")
+    known = state(spark, sf_dir)
+    rank_stream(
+        spark.readStream.schema(topic.schema).parquet(source),
+        answers=no_answers,
+        state=lambda _: known,
+        sink=AnswerSink(path=f"{folder}/answers"),
+        dead_letters=f"{folder}/refused",
+        ledger=f"{folder}/ledger",
+        checkpoint=f"{folder}/checkpoint",
+        job=RankJob(complex_templates=COMPLEX),
+        required=CANDIDATE_FIELDS,
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/refused").select(F.col("offset").alias("msg_id"), "reason")
+
+
+def lone_candidate_echo(spark, sf_dir):
+    """A request's only candidate goes out as its text, with the scores it has not got."""
+    view(spark, sf_dir, "requests").createOrReplaceTempView("all_requests")
+    entries = spark.sql(f"SELECT msg_id, {LONE_ENTRY.format(S='STRING')} AS entry FROM all_requests WHERE pos = 1")
+    text = F.concat(F.lit('{"uuid":"'), F.col("msg_id").cast("string"), F.lit('","msg_version":"1.1.0","template_name":"t","providers":['), "entry", F.lit("]}"))
+    requests = parse_requests(entries.select("msg_id", text.alias("value")))
+    no_state = state(spark, sf_dir).limit(0)
+    answers = rank_messages(requests, no_state, job=RankJob(complex_templates=COMPLEX))
+    return answer_messages(answers).select(F.get_json_object("value", "$.uuid").alias("uuid"), "value")
+
+
+def ingest_stream(spark, sf_dir):
+    """History messages through the ingestion stream: stored rows and refused messages."""
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    topic, source = _topic(view(spark, sf_dir, "topic_messages"), F.lit(0))
+    ingest_history(
+        spark.readStream.schema(topic.schema).option("maxFilesPerTrigger", 4).parquet(source),
+        table=f"{folder}/history",
+        dead_letters=f"{folder}/refused",
+        checkpoint=f"{folder}/checkpoint",
+    ).awaitTermination()
+    stored = spark.read.parquet(f"{folder}/history").select("uuid", "n_failures", F.lit(None).cast("string").alias("reason"))
+    refused = spark.read.parquet(f"{folder}/refused")
+    return stored.unionByName(refused.select(F.get_json_object("value", "$.uuid").alias("uuid"), F.lit(None).cast("int").alias("n_failures"), "reason"))
+
+
+def latest_state_incremental(spark, sf_dir):
+    """The newest state from daily partials of four batches that each hold rows of all days."""
+    folder = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
+    rows = settle(deployments(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("uuid"), F.lit(4))))
+    for batch in range(4):
+        append_history(rows.where(F.col("part") == batch).drop("part"), f"{folder}/history", batch, partials=f"{folder}/days")
+    found = current_state(spark, f"{folder}/history", f"{folder}/days", complex_templates=COMPLEX)
+    return found.select("provider", "template_name", micros(found, "timestamp").alias("ts_us"), *HISTORY_STATS)
+
+
+def _topic(rows: DataFrame, offset: Column) -> tuple[DataFrame, str]:
+    """``rows`` (value) settled in the shape of a topic, and their folder."""
+    topic = settle(_shaped(rows, offset))
+    return topic, topic.inputFiles()[0].rsplit("/", 1)[0]
+
+
+def _shaped(rows: DataFrame, offset: Column) -> DataFrame:
+    return rows.select(
+        F.lit(None).cast("string").alias("key"),
+        "value",
+        F.lit("t").alias("topic"),
+        F.lit(0).alias("partition"),
+        offset.cast("bigint").alias("offset"),
+        F.lit(0).cast("timestamp").alias("timestamp"),
+    )
 
 
 def history_to_json(spark, sf_dir):
@@ -434,23 +511,55 @@ def score_and_rank_models(spark, sf_dir):
     return _rounded(ranked, ["classification", "regression"])
 
 
+def registry_round_trip(spark, sf_dir):
+    """A model stored twice, its newest version found among the versions, loaded, and its answers for the test part measured."""
+    train, test = _training_rows(spark, sf_dir, DEFAULT_FEATURES, "deployment_time")
+    how = {"kind": models.REGRESSOR, "features": DEFAULT_FEATURES, "label": "deployment_time", "scale": True}
+    registry = Registry(spark, f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}")
+    info = ModelInfo(datetime(2024, 1, 1), datetime(2024, 2, 1), [*DEFAULT_FEATURES, "deployment_time"], scaling=True)
+    none = spark.createDataFrame([], "feature string, importance double")
+    for alpha in (100.0, RIDGE):
+        fitted = models.fit(train, name="Ridge", params={"alpha": alpha}, **how)
+        registry.append(fitted, info=info, metrics={"alpha": alpha}, importances=none)
+    newest = newest_versions(registry.models())
+    pipeline, _ = registry.load("Ridge", str(newest.first()["version"]))
+    answered = pipeline.transform(test).select(F.col("deployment_time").alias("y"), F.col("prediction").alias("y_hat"))
+    errors = metrics.regression_metrics(answered).first()
+    values = [float(f"{errors[m]:.6g}") for m in ("mse", "mae", "r2")]
+    stored = registry.metrics().join(newest.withColumnRenamed("versions", "stored_versions"), ["name", "version"])
+    return stored.select("name", "version", "stored_versions", F.col("value").alias("alpha"), *(F.lit(v).alias(m) for m, v in zip(("mse", "mae", "r2"), values)))
+
+
+def stream_rank_batches(spark, sf_dir):
+    """Two micro-batches: even orders before there is any history, then all orders, with past answers cancelling the first requests."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    requests = struct_messages(messages(spark, sf_dir).select("uuid", "msg_version", "template_name", "providers"))
+    number = F.get_json_object("value", "$.uuid").cast("bigint")
+    _shaped(requests.where(number % 2 == 0), number).coalesce(1).write.parquet(f"{folder}/topic")
+    _shaped(requests, number + 1_000_000_000).coalesce(1).write.mode("append").parquet(f"{folder}/topic")
+    known = state(spark, sf_dir)
+    states = iter([known.limit(0), known])
+    rank_stream(
+        spark.readStream.schema(spark.read.parquet(f"{folder}/topic").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/topic"),
+        answers=view(spark, sf_dir, "processed"),
+        state=lambda _: next(states),
+        sink=AnswerSink(path=f"{folder}/answers"),
+        dead_letters=f"{folder}/refused",
+        ledger=f"{folder}/ledger",
+        checkpoint=f"{folder}/checkpoint",
+        job=RankJob(complex_templates=COMPLEX),
+        required=CANDIDATE_FIELDS,
+    ).awaitTermination()
+    entry = "uuid string, ranked_providers array<struct<provider_name string, region_name string>>, batch_id int"
+    answers = spark.read.schema(entry).json(f"{folder}/answers")
+    return answers.select("uuid", F.col("batch_id").alias("batch"), F.size("ranked_providers").alias("n_ranked"), _ranking_text())
+
+
 def stream_rank(spark, sf_dir):
     """The request stream over a topic-shaped folder of all requests, with past answers cancelled."""
-    requests = messages(spark, sf_dir)
-    value = struct_messages(requests.select("uuid", "msg_version", "template_name", "providers"))
-    key = F.get_json_object("value", "$.uuid")
-    topic = settle(
-        value.select(
-            key.alias("key"),
-            "value",
-            F.lit("requests").alias("topic"),
-            F.lit(0).alias("partition"),
-            key.cast("bigint").alias("offset"),
-            F.lit(0).cast("timestamp").alias("timestamp"),
-        )
-    )
+    requests = struct_messages(messages(spark, sf_dir).select("uuid", "msg_version", "template_name", "providers"))
+    topic, source = _topic(requests, F.get_json_object("value", "$.uuid"))
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    source = topic.inputFiles()[0].rsplit("/", 1)[0]
     known = state(spark, sf_dir)
     rank_stream(
         spark.readStream.schema(topic.schema).parquet(source),
@@ -470,6 +579,10 @@ def stream_rank(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "validate_requests": validate_requests,
+    "dead_letters": dead_letters,
+    "lone_candidate_echo": lone_candidate_echo,
+    "ingest_stream": ingest_stream,
+    "latest_state_incremental": latest_state_incremental,
     "split_members": split_members,
     "fold_members": fold_members,
     "rank_unscorable": rank_unscorable,
@@ -514,5 +627,7 @@ QUERIES: dict[str, Query] = {
     "cross_validate": cross_validate,
     "shapley_importance": shapley_importance_query,
     "score_and_rank_models": score_and_rank_models,
+    "registry_round_trip": registry_round_trip,
     "stream_rank": stream_rank,
+    "stream_rank_batches": stream_rank_batches,
 }

@@ -2,6 +2,7 @@
 
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import numpy as np
@@ -12,7 +13,7 @@ from moorage.operators import importance as importances
 from moorage.operators import models
 from moorage.operators.closed_form import CLOSED_FORMS, moments
 from moorage.operators.importance import coalitions, importance, own_importance, shapley_importance, shapley_values
-from moorage.operators.registry import ModelInfo, Registry, newest_versions
+from moorage.operators.registry import ModelInfo, Registry, _made, newest_versions
 from moorage.plans.inference import ModelChoice, history_state, rank_messages, registered_scorer
 from moorage.plans.training import TrainSpec, train
 from moorage.operators.sampling import with_folds
@@ -283,6 +284,30 @@ def test_registry(spark, rows, registry):
     assert pipeline.transform(rows).count() == rows.count()
 
 
+def test_writers_at_the_same_time_get_versions_of_their_own(spark, rows, registry):
+    fitted = fit(rows, "Ridge", models.REGRESSOR, "t")
+    info = ModelInfo(datetime(2024, 1, 1), datetime(2024, 2, 1), [*FEATURES, "t"])
+    given = importance(fitted, rows)
+
+    def write(k):
+        return registry.append(fitted, info=info, metrics={"k": float(k)}, importances=given)
+
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(write, range(8)))
+    assert sorted(versions) == list(range(1, 9))
+    stored = {r["version"]: r["value"] for r in registry.metrics().collect()}
+    assert stored == {v: float(k) for k, v in enumerate(versions)}
+    assert registry.find("Ridge")["version"] == 8 and registry.load("Ridge", "3")[1] == FEATURES
+    # A job that died after its claim leaves a gap.
+    assert registry._claim("Ridge") == 9 and write(9) == 10 and registry.find("Ridge")["version"] == 10
+
+
+def test_a_file_is_made_once(spark):
+    path = f"{shared_folder(spark)}/claim-{uuid.uuid4().hex}/1"
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda _: _made(spark, path), range(32))) == 1
+
+
 def test_train_and_rank_with_registered_models(spark, make_history, registry):
     history = make_history(
         *[

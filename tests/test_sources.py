@@ -1,20 +1,35 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from moorage.schema import CANDIDATE_FIELDS, TOPIC_SCHEMA, history_schema
+from moorage.plans.inference import rank_messages
+from moorage.schema import CANDIDATE_FIELDS, HISTORY_STATS, TOPIC_SCHEMA, history_schema
 from moorage.sources.history import HistorySource, read_history, read_history_files
-from moorage.sources.messages import AnswerSink, read_answers, read_requests, request_messages, write_answers
+from moorage.sources.messages import (
+    AnswerSink,
+    MessageSource,
+    open_sources,
+    publish_requests,
+    read_answers,
+    read_requests,
+    request_messages,
+    write_answers,
+)
 from moorage.sources.topics import (
     Tls,
     Topic,
+    answer_messages,
     dump,
     history_messages,
     parse_requests,
     read_history_messages,
+    read_ranges,
 )
 from moorage.sources.validation import accepted, check_columns, refused, with_history_reason, with_request_reason
 
+STATE = "provider string, template_name string, timestamp timestamp_ntz, " + ", ".join(f"{c} double" for c in HISTORY_STATS)
+
 
 def write(path, content):
     path.write_text(content if isinstance(content, str) else json.dumps(content))
@@ -168,6 +183,65 @@ def test_topic_options():
         Topic("t", partition=-1)
 
 
+def test_ends_of_topics(spark):
+    assert "endingOffsets" not in Topic("t").batch_options()
+    part = Topic("t", partition=2, offset=7, end=9)
+    assert json.loads(part.batch_options()["endingOffsets"]) == {"t": {"2": 9}} and "endingOffsets" not in part.read_options()
+    messages = spark.createDataFrame([(0, 5), (0, 9), (3, 0)], "partition int, offset bigint")
+    again = Topic("t", ranges=read_ranges(messages)).batch_options()
+    assert json.loads(again["assign"]) == {"t": [0, 3]}
+    assert json.loads(again["startingOffsets"]) == {"t": {"0": 5, "3": 0}} and json.loads(again["endingOffsets"]) == {"t": {"0": 10, "3": 1}}
+    for wrong in ({"end": 3}, {"partition": 0, "offset": 4, "end": 3}, {"ranges": {0: (2, 1)}}, {"partition": 0, "ranges": {0: (0, 1)}}):
+        with pytest.raises(ValueError):
+            Topic("t", **wrong)
+    with pytest.raises(ValueError, match="no end"):
+        part.stream_options()
+
+
+def test_opening_requests_and_answers(spark, tmp_path, monkeypatch):
+    asked = write(tmp_path / "asked.json", [{"uuid": "a", "providers": [{"gpus_requ": 1}]}])
+    given = write(tmp_path / "given.json", [{"uuid": "a"}, {"uuid": "b"}])
+    opened = []
+    monkeypatch.setattr(Topic, "read", lambda self, _: opened.append(("read", self.name)) or topic(spark, {"uuid": "z"}, {"no": 1}))
+    monkeypatch.setattr(Topic, "read_stream", lambda self, _: opened.append(("stream", self.name)) or topic(spark, {"uuid": "y"}))
+
+    def both(requests, answers):
+        opened.clear()
+        q, a = open_sources(spark, MessageSource(**requests), MessageSource(**answers))
+        return sorted(json.loads(r["value"])["uuid"] for r in q.collect() if "uuid" in r["value"]), sorted(r["uuid"] for r in a.collect())
+
+    assert both({"path": asked}, {"path": given}) == (["a"], ["a", "b"]) and opened == []
+    assert both({"topic": Topic("q")}, {"topic": Topic("a")}) == (["y"], ["z"]) and opened == [("stream", "q"), ("read", "a")]
+    assert both({"topic": Topic("q", timeout_ms=5)}, {"path": given}) == (["z"], ["a", "b"]) and opened == [("read", "q")]
+    assert both({"path": asked}, {"topic": Topic("a")}) == (["a"], ["z"]) and opened == [("read", "a")]
+    for wrong in ({}, {"path": "p", "topic": Topic("t")}):
+        with pytest.raises(ValueError):
+            MessageSource(**wrong)
+
+
+def test_published_requests_are_read_back(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(Topic, "write", lambda self, messages: sent.append((self.name, messages)))
+    text = {"uuid": "u", "msg_version": "1.1.0", "template_name": "t", "providers": [{"provider_name": "p", "gpus_requ": 1}, {"provider_name": "q"}]}
+    publish_requests(parse_requests(topic(spark, text)), Topic("asked"))
+    assert sent[0][0] == "asked"
+    row = parse_requests(sent[0][1]).first()
+    assert (row["uuid"], row["template_name"], [p["provider_name"] for p in row["providers"]], row["providers"][0]["gpus_requ"]) == ("u", "t", ["p", "q"], 1.0)
+
+
+def test_entries_go_out_as_they_came(spark):
+    entry = {"provider_name": "p", "region_name": "r", "hobby": {"b": [1, None, {"c": "x,\"y"}]}, "gpus_requ": None, "vcpus_usage": 1.5}
+    odd = {"regression": "mine", "classification": [1], "resource_exactness": {"a": 1}}
+    messages = [{"uuid": f"u{i}", "msg_version": "1.1.0", "template_name": "t", "providers": p} for i, p in enumerate([[entry], [odd], [{}], [entry, {**entry, "provider_name": "q"}]])]
+    answers = rank_messages(parse_requests(topic(spark, *messages)).withColumn("msg_id", F.col("offset")), spark.createDataFrame([], STATE))
+    got = {m["uuid"]: m["ranked_providers"] for m in (json.loads(r["value"]) for r in answer_messages(answers).collect())}
+    scores = {"classification": -1.0, "regression": -1.0, "resource_exactness": 0.0}
+    assert got["u0"] == [{**scores, **entry}] and got["u1"] == [odd] and got["u2"] == [scores]
+    assert [list(p) for p in got["u0"]] == [[*scores, *entry]]
+    assert [{k: p[k] for k in entry} for p in got["u3"]] == [entry, {**entry, "provider_name": "q"}]
+    assert all(p["classification"] == 0.75 and p["regression"] == 0.25 for p in got["u3"])
+
+
 def test_tls_options():
     with pytest.raises(ValueError, match="password"):
         Topic("t", tls=Tls(ca="ca.pem")).read_options()

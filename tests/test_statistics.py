@@ -213,13 +213,13 @@ def test_class_report(spark):
     assert rows["weighted avg"]["recall"] == pytest.approx(2 / 3) and rows["weighted avg"]["support"] == 3
 
 
-@pytest.mark.parametrize("buckets", [1, 4, 256])
-def test_auc_with_ties(spark, buckets):
+@pytest.mark.parametrize("task_scores", [1, 9, 1_000_000])
+def test_auc_with_ties(spark, task_scores):
     rng = random.Random(3)
     rows = [(rng.randint(0, 1), 0, rng.choice([0.1, 0.2, 0.5, rng.random()])) for _ in range(400)]
     pairs = [(a[2], b[2]) for a in rows for b in rows if a[0] == 1 and b[0] == 0]
     expected = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a, b in pairs) / len(pairs)
-    assert metrics.roc_auc(labelled(spark, rows), buckets=buckets).first()[0] == pytest.approx(expected)
+    assert metrics.roc_auc(labelled(spark, rows), task_scores=task_scores).first()[0] == pytest.approx(expected)
 
 
 def test_auc_of_one_class(spark):

@@ -1,15 +1,19 @@
 import json
+import os
+import random
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
-from moorage.operators.cleaning import clean
+from moorage.operators.cleaning import clean, derive
+from moorage.operators.latest import latest_state
 from moorage.plans.inference import history_state
 from moorage.schema import TOPIC_SCHEMA
 from moorage.settle import shared_folder
 from moorage.sources.history import read_history_files
 from moorage.sources.messages import AnswerSink
-from moorage.streaming.ingest import ingest_history
+from moorage.streaming.ingest import append_history, current_state, ingest_history
 from moorage.streaming.ranking import AnswerLedger, rank_stream
 from tests.test_ranking import candidate
 
@@ -122,8 +126,6 @@ def test_ledger_ignores_the_batch_itself_and_later_ones(spark, folder):
 
 def test_history_is_refreshed_for_every_batch(spark, folder, make_history):
     """Two micro-batches between which the better provider changes; nothing that they settle stays."""
-    import os
-
     better = iter(["good", "bad"])
 
     def state(_):
@@ -160,14 +162,102 @@ def test_history_is_refreshed_for_every_batch(spark, folder, make_history):
 
 
 def test_summed_ledger_equals_all_notes(spark, folder):
-    plain, summed = AnswerLedger(spark, f"{folder}/a"), AnswerLedger(spark, f"{folder}/b", summed_every=2)
+    plain, summed = AnswerLedger(spark, f"{folder}/a", summed_every=1000), AnswerLedger(spark, f"{folder}/b", summed_every=2)
     answers = spark.createDataFrame([(f"u{i % 5}",) for i in range(40)], "uuid string")
+
+    def left(book, batch):
+        return sorted(map(tuple, book.remaining(batch).collect()))
+
     for book in (plain, summed):
         book.freeze(answers)
-        for batch in range(7):
-            left = sorted(map(tuple, book.remaining(batch).collect()))
-            assert left == sorted(map(tuple, book.remaining(batch).collect()))
+    for batch in range(9):
+        assert left(plain, batch) == left(summed, batch) == left(summed, batch)
+        for book in (plain, summed):
             book.note(batch, spark.createDataFrame([(f"u{batch % 5}", 2), ("u1", 1)], "uuid string, used bigint"))
-    assert summed._sums() and not plain._sums()
-    assert sorted(map(tuple, plain.remaining(7).collect())) == sorted(map(tuple, summed.remaining(7).collect()))
-    assert sorted(map(tuple, plain.remaining(3).collect())) == sorted(map(tuple, summed.remaining(3).collect()))
+        # The last batch may be replayed.
+        assert left(plain, batch) == left(summed, batch)
+    at = f"{folder}/b".removeprefix("file:")
+    assert len(os.listdir(f"{at}/used")) <= 2 * 2 + 1 and len(os.listdir(f"{at}/left")) <= 2
+
+
+def test_a_late_batch_reads_no_more_than_an_early_one(spark, folder, monkeypatch):
+    """Batch 500 looks at as many folders as batch 100."""
+    book = AnswerLedger(spark, folder, summed_every=8)
+    book.freeze(spark.createDataFrame([("a",)] * 9, "uuid string"))
+    written, read = {"answers/_SUCCESS"}, []
+    monkeypatch.setattr(book, "_exists", lambda name: name.removesuffix("/_SUCCESS") in written)
+    monkeypatch.setattr(book, "_forget", lambda before: None)
+
+    class Counts:
+        def __getattr__(self, _):
+            return lambda *a, **k: self
+
+    monkeypatch.setattr(book, "_left", lambda base, batch: read.append(batch - base) or Counts())
+    looked = {}
+    for batch in range(505):
+        if batch and batch % 8 == 0:
+            written.add(f"left/before={batch}")
+        read.clear()
+        book.remaining(batch)
+        looked[batch] = sum(read)
+    assert looked[500] == looked[100] == 4 and max(looked.values()) == 7
+
+
+@pytest.mark.parametrize("within", [None, "10 minutes"])
+def test_repeats_within_across_and_after_the_watermark(spark, folder, history_row, within):
+    def put(start, *rows):
+        topic = [(None, json.dumps({"msg_version": v, **history_row, "uuid": u}), "t", 0, start + i, t) for i, (u, v, t) in enumerate(rows)]
+        times = spark.createDataFrame(topic, "key string, value string, topic string, partition int, offset bigint, timestamp string")
+        times.withColumn("timestamp", times["timestamp"].cast("timestamp")).coalesce(1).write.mode("append").json(f"{folder}/topic")
+
+    def run():
+        ingest_history(
+            spark.readStream.schema(TOPIC_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{folder}/topic"),
+            table=f"{folder}/history.parquet",
+            dead_letters=f"{folder}/refused",
+            checkpoint=f"{folder}/checkpoint",
+            repeats_within=within,
+        ).awaitTermination()
+        return sorted(r["uuid"] for r in spark.read.parquet(f"{folder}/history.parquet").collect())
+
+    def at(minute):
+        return f"2024-01-01 {10 + minute // 60}:{minute % 60:02d}:00"
+
+    # Within one batch, refused ones too; across batches; and after a restart.
+    put(0, ("a", "1.1.0", at(0)), ("a", "1.1.0", at(1)), ("b", "1.1.0", at(2)), ("x", "0", at(2)), ("x", "0", at(2)))
+    put(5, ("a", "1.1.0", at(6)), ("c", "1.1.0", at(7)))
+    first = run()
+    assert first == (["a", "a", "a", "b", "c"] if within is None else ["a", "b", "c"])
+    put(7, ("c", "1.1.0", at(9)), ("d", "1.1.0", at(40)))
+    assert run() == sorted(first + (["c", "d"] if within is None else ["d"]))
+    # The watermark is beyond a by now: it is forgotten, and a new one is stored again.
+    put(9, ("a", "1.1.0", at(41)), ("e", "1.1.0", at(41)))
+    assert run() == sorted(first + (["a", "c", "d", "e"] if within is None else ["a", "d", "e"]))
+    assert [r["reason"] for r in spark.read.parquet(f"{folder}/refused").collect()] == ["unsupported version: 0"] * 2
+
+
+def test_state_of_days_is_that_of_all_rows(spark, folder, make_history):
+    rng = random.Random(3)
+    changes = []
+    for i in range(400):
+        day, key = rng.randint(0, 70), rng.randint(0, 4)
+        time = f"2024-{1 + day // 31:02d}-{1 + day % 28:02d} {rng.randint(0, 23):02d}:{rng.randint(0, 59):02d}:00"
+        status = rng.choice(["CREATE_FAILED", "CREATE_COMPLETE", "CREATE_IN_PROGRESS"])
+        changes.append({"provider_name": f"p{key}", "submission_time": rng.choice([time, time, "never"]), "status": status, "completion_time_s": float(rng.randint(0, 9))})
+    # A frame that begins at a row's instant, and one key with a single row.
+    changes += [{"provider_name": "edge", "submission_time": t, "completion_time_s": 5.0} for t in ("2024-01-05 10:00:00", "2024-01-05 10:00:01", "2024-02-04 10:00:00")]
+    changes += [{"provider_name": "lone", "submission_time": "2024-01-31 00:00:00"}]
+    history = make_history(*changes)
+    for batch in range(3):
+        append_history(history.where(F.pmod(F.xxhash64("uuid"), F.lit(3)) == batch), f"{folder}/history", batch, partials=f"{folder}/days")
+    append_history(history.where("uuid = 'u0'"), f"{folder}/history", 3, partials=f"{folder}/days")
+    append_history(history.where("false"), f"{folder}/history", 3, partials=f"{folder}/days")  # a replay replaces
+    found = current_state(spark, f"{folder}/history", f"{folder}/days")
+    order = ["provider", "template_name"]
+    wanted = latest_state(derive(clean(history))).select(*found.columns).orderBy(order).collect()
+    got = found.orderBy(order).collect()
+    assert len(got) == 7 and [tuple(r)[:3] for r in got] == [tuple(r)[:3] for r in wanted]
+    for a, b in zip(got, wanted):
+        assert tuple(a)[3:] == pytest.approx(tuple(b)[3:])
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "month" in plan.split("PartitionFilters", 1)[1]
