@@ -18,13 +18,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from moorage.llm.base import map_rows
+from moorage.llm.base import map_rows, map_texts, settle
 
 #: ASCII letters in lower case, digits and all bytes of other characters stay; the rest of ASCII separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -78,7 +76,7 @@ class ItemIndex:
                 weights.setdefault(term, []).append((len(self.items), weight / whole))
             self.items.append((key, *question_and_answer(text)))
             longest = max(longest, len(words))
-        #: Half a passage: passages are twice as long as the longest item's words at least, and overlap by half.
+        #: Half a passage: passages are as long as the longest item's words at least, and overlap by half.
         self.half = max(32, -(-longest // 2))
         self.terms = {t: n for n, t in enumerate(weights)}
         self.postings = [[i for i, _ in p] for p in weights.values()]
@@ -183,12 +181,11 @@ class ItemIndex:
                 entry[0] = own[entry[1]] if entry[1] < len(own) else -1
         lists[:] = [e for e in lists if e[0] >= 0]
 
-    def matches(self, text: str | None) -> list[tuple[int, float, int, float, float]]:
-        """Verified items of a text: item id, score of its best verified passage, that passage's first word, overlaps.
+    def matches(self, words: list[bytes]) -> list[tuple[int, float, int, float, float]]:
+        """Verified items of a text's words: item id, score of its best verified passage, that passage's first word, overlaps.
 
         Every retrieved passage is verified, the best first, until one of the item's passes.
         """
-        words = words_of(text)
         retrieved: dict[int, list[tuple[float, int]]] = {}
         for first, terms in self.passages(words):
             for item, score in self.search(terms, self.spec.least_score):
@@ -208,6 +205,11 @@ class ItemIndex:
         return out
 
 
+def all_matches(indexes: list[ItemIndex], text: str | None) -> list[tuple[int, float, int, float, float]]:
+    words = words_of(text)
+    return [match for index in indexes for match in index.matches(words)]
+
+
 def overlap(part: list[bytes], words: list[bytes], run: int) -> float:
     """Share of the part's runs of ``run`` words (of all its words, where it is shorter) that the words hold; 1 for none."""
     if not part:
@@ -221,36 +223,50 @@ def overlap(part: list[bytes], words: list[bytes], run: int) -> float:
 def find_contamination(docs: DataFrame, items: DataFrame, spec: SearchSpec = SearchSpec(), *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item found in it: :data:`MATCHES`. Clean documents have none.
 
-    Whole texts are searched where they are read, without shuffle. Items are indexed ``index_items`` at a time and each
-    index is broadcast, so what is broadcast is bounded; document frequencies are those of all items. Null and empty
-    texts and items match nothing; equal rows match alike, each on its own; a null id stays null.
+    Whole texts are searched where they are read, without shuffle. Items are indexed ``index_items`` at a time; an
+    index is built, broadcast, searched by all documents and dropped before the next, so driver and workers hold one;
+    document frequencies are those of all items. Null and empty texts and items match nothing; equal rows match
+    alike, each on its own; a null id stays null. Empty tables give an empty result.
     """
     rows_in = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     known = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    found = [_search_all(rows_in, index) for index in indexes(known, spec)]
+    found = []
+    for indexes in index_parts(known, spec):
+        sent = docs.sparkSession.sparkContext.broadcast(indexes)
+        found.append(settle(_search_all(rows_in, sent)))
+        sent.destroy()
     return reduce(DataFrame.union, found)
 
 
 def clean(docs: DataFrame, items: DataFrame, spec: SearchSpec = SearchSpec(), *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in whose text no item is found, all columns as they are. No shuffle."""
+    """The rows of ``docs`` in whose text no item is found, all columns as they are. No shuffle.
+
+    A null or empty text holds nothing and stays; equal rows stay or go alike. Up to ``index_items`` items are
+    one filter; more are as many passes, each over what the one before left, settled.
+    """
     known = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    for index in indexes(known, spec):
-        docs = docs.where(~_holder(docs.sparkSession.sparkContext.broadcast(index))(F.col(text)))
+    sent = None
+    for indexes in index_parts(known, spec):
+        if sent is not None:
+            docs = settle(docs)
+            sent.destroy()
+        sent = docs.sparkSession.sparkContext.broadcast(indexes)
+        docs = docs.where(~_holder(sent)(F.col(text)))
     return docs
 
 
 def _holder(sent: Broadcast) -> Callable[[Column], Column]:
-    @pandas_udf("boolean")
-    def holds(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(sent.value.matches(t)) for t in texts], dtype=bool)
+    return map_texts(lambda texts: [bool(all_matches(sent.value, t)) for t in texts], "boolean")
 
-    return holds
 
+def index_parts(items: DataFrame, spec: SearchSpec) -> Iterator[list[ItemIndex]]:
+    """The items (item_id, text) about ``index_items`` at a time, one part at least; null texts are left out.
 
-def indexes(items: DataFrame, spec: SearchSpec) -> list[ItemIndex]:
-    """The items (item_id, text) in indexes of about ``index_items``, one at least; null texts are left out."""
+    Items of a part whose lengths differ by more than four times are indexed apart, so that a long item does not
+    widen the passages that short ones are looked for in.
+    """
     spark = items.sparkSession
-    known = items.select(F.col("item_id").cast("bigint"), "text").where("text IS NOT NULL")
+    known = settle(items.select(F.col("item_id").cast("bigint"), "text").where("text IS NOT NULL"))
 
     def facts(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -259,29 +275,33 @@ def indexes(items: DataFrame, spec: SearchSpec) -> list[ItemIndex]:
                 terms = list(set(words))
                 yield {"term": [*terms, b""], "df": [*[1] * len(terms), len(words)]}
 
-    counted = map_rows(known.select("text"), facts, "term binary, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = settle(map_rows(known.select("text"), facts, "term binary, df bigint").groupBy("term").agg(F.sum("df").alias("df")))
     n_items = known.count()
     parts = max(1, -(-n_items // spec.index_items))
-    out = []
     for part in range(parts):
         own = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         rows = sorted((r.item_id is None, r.item_id or 0, r.text) for r in own.collect())
         terms = {t for _, _, content in rows for t in words_of(content)} | {b""}
         asked = spark.createDataFrame([(bytearray(t),) for t in sorted(terms)], "wanted binary")
         frequencies = Counter({bytes(r.term): r.df for r in counted.join(asked, F.col("term") == F.col("wanted"), "left_semi").collect()})
-        keyed = [(None if null else key, content) for null, key, content in rows]
-        out.append(ItemIndex(keyed, spec, frequencies, n_items, max(1.0, frequencies[b""] / max(1, n_items))))
-    return out
+        bands: dict[int, list[tuple[int | None, str]]] = {}
+        for null, key, content in rows:
+            bands.setdefault(length_band(len(words_of(content))), []).append((None if null else key, content))
+        mean = max(1.0, frequencies[b""] / max(1, n_items))
+        yield [ItemIndex(bands[b], spec, frequencies, n_items, mean) for b in sorted(bands)]
+
 
+def length_band(words: int) -> int:
+    """0 for up to 64 words, 1 for up to 256, and so on."""
+    return max(0, ((words - 1).bit_length() - 5) // 2) if words else 0
 
-def _search_all(docs: DataFrame, index: ItemIndex) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(index)
 
+def _search_all(docs: DataFrame, sent: Broadcast) -> DataFrame:
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             out: dict[str, list] = {name: [] for name in _NAMES}
             for key, content in zip(batch["doc_id"], batch["text"]):
-                for match in sent.value.matches(content):
+                for match in all_matches(sent.value, content):
                     for name, value in zip(_NAMES, (key, *match)):
                         out[name].append(value)
             yield out

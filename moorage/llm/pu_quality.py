@@ -17,13 +17,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from moorage.llm.adaptive_rules import WORD, repeated_words
-from moorage.llm.base import map_rows
+from moorage.llm.base import map_rows, map_texts, reachable_by_workers
 
 _CLASS_OF = np.full(256, 11, np.uint8)  # 11: bytes of characters beyond ASCII
 for _n, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", "\t\v\f", ".,", ";:?'\"()-", "!", "|", "#*$%&<>")):
@@ -83,21 +81,30 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -80, 80)))
 
 
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """The unbiased risk's two parts, of scores before the sigmoid: on positives, and on negatives, which may not count below zero."""
+    return prior * float(np.logaddexp(0, -positive).mean()), float(np.logaddexp(0, unlabelled).mean() - prior * np.logaddexp(0, positive).mean())
+
+
+def slopes(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of what is stepped down, by each score: the risk, or, where that on negatives has fallen below zero, its rise.
+
+    ``prior`` None: of the plain logistic loss of positives against unlabelled.
+    """
+    up, uu = _sigmoid(positive), _sigmoid(unlabelled)  # d l(-f) / df; that of l(f) is up - 1
+    if prior is None:
+        return (up - 1) / len(up), uu / len(uu)
+    if risk(positive, unlabelled, prior)[1] >= 0:
+        return prior * ((up - 1) - up) / len(up), uu / len(uu)
+    return prior * up / len(up), -uu / len(uu)
+
+
 def _descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int, decay: float) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative risk; ``prior`` None: plain positive-against-unlabelled logistic loss."""
+    """Adam along :func:`slopes`."""
     w, b = np.zeros(positive.shape[1], np.float32), np.float32(0)
     first, second = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     for step in range(1, steps + 1):
-        fp, fu = positive @ w + b, unlabelled @ w + b
-        up, uu = _sigmoid(fp), _sigmoid(fu)  # d l(-f) / df; that of l(f) is up - 1
-        if prior is None:
-            gp, gu = (up - 1) / len(up), uu / len(uu)
-        else:
-            on_negatives = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            if on_negatives >= 0:
-                gp, gu = prior * ((up - 1) - up) / len(up), uu / len(uu)
-            else:  # the risk on negatives has fallen below zero: step back up
-                gp, gu = prior * up / len(up), -uu / len(uu)
+        gp, gu = slopes(positive @ w + b, unlabelled @ w + b, prior)
         gradient = np.append(positive.T @ gp + unlabelled.T @ gu + decay * w, gp.sum() + gu.sum())
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
@@ -177,14 +184,14 @@ def train(docs: DataFrame, positives: DataFrame, *, most_positive: int = 6_000,
 
 def scorer(spark: SparkSession, model: PuModel) -> Callable[[Column], Column]:
     """The score of a column of whole texts; null text is empty."""
+    reachable_by_workers(spark)
     sent = spark.sparkContext.broadcast(model)
 
-    @pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        rows = np.stack([features(t) for t in texts]) if len(texts) else np.zeros((0, N_FEATURES), np.float32)
-        return pd.Series(sent.value.score(rows), dtype=float)
+    def scored(texts: list[str | None]) -> list[float]:
+        rows = np.stack([features(t) for t in texts]) if texts else np.zeros((0, N_FEATURES), np.float32)
+        return sent.value.score(rows).tolist()
 
-    return scored
+    return map_texts(scored, "double")
 
 
 def score(docs: DataFrame, model: PuModel, *, text: str = "text") -> DataFrame:

@@ -15,12 +15,10 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from moorage.llm.base import map_rows, settle
+from moorage.llm.base import map_rows, map_texts, reachable_by_workers, settle
 
 TOKEN = re.compile(r"\w+")
 #: Letters of the stems that lend a word their odds, shortest first.
@@ -107,12 +105,15 @@ class ToxicModel:
         exp(-x) is the number of segments so good that clean text of this length has by chance. The best passage
         decides: many weak segments are what long clean texts have.
         """
+        return self.weigh(*self.best(text))
+
+    def best(self, text: str | None) -> tuple[int, float]:
+        """Number of tokens and the best segment's score, 0 for none."""
         n, found = self.segments(text or "")
-        return self.weigh(n, [s for s, _, _ in found])
+        return n, max((s for s, _, _ in found), default=0.0)
 
-    def weigh(self, n: int, scores: list[float]) -> float:
-        chance = np.log(max(1.0, self.density * n))
-        return float(np.log1p(max(0.0, self.decay * max(scores, default=0.0) - chance)))
+    def weigh(self, n: int, best: float) -> float:
+        return float(np.log1p(max(0.0, self.decay * best - np.log(max(1.0, self.density * n)))))
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.intercept + self.slope * self.evidence(text), -500, 500))))
@@ -203,13 +204,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 60_000, most_keys: int = 200_000, doc_id: str = "doc_id", text: str = "text") -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 60_000, doc_id: str = "doc_id", text: str = "text") -> ToxicModel:
     """Fit on a bounded sample of labelled rows (``labels``: doc_id, toxic); null labels are left out.
 
     The sample is the ``most_labelled`` rows with the lowest hash of their id; an id with both labels counts
     as toxic. Of its words and stems those count whose toxic share is away from the base share by more than chance
-    among as many keys allows; ``most_keys`` bounds the model, strongest first. Without any toxic or any
-    clean row the model scores every text with the base share.
+    among as many keys allows, so the model is bounded by the sample. Without any toxic or any clean row the model scores every text with the base share.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 60_000, mo
         base = totals.toxic / (totals.toxic + totals.clean)
         n = F.col("toxic") + F.col("clean")
         z = F.abs(F.col("toxic") - n * base) / F.sqrt(n * base * (1 - base))
-        strong = counted.where(z >= float(np.sqrt(2 * np.log(max(3, totals["keys"]))))).orderBy(z.desc(), "key").limit(most_keys).collect()
+        strong = counted.where(z >= float(np.sqrt(2 * np.log(max(3, totals["keys"]))))).collect()
     finally:
         counted.unpersist()
     return calibrate(labelled, ToxicModel({r.key: (r.toxic, r.clean) for r in strong}, base))
@@ -235,29 +235,29 @@ def calibrate(labelled: DataFrame, model: ToxicModel) -> ToxicModel:
 
     def rows(batches):
         for batch in batches:
-            out = {"toxic": batch["toxic"], "n": [], "segments": [], "scores": [], "times": []}
+            out = {"toxic": batch["toxic"], "n": [], "best": [], "scores": [], "times": []}
             for text in batch["text"]:
                 words = TOKEN.findall((text or "").lower())
                 seen = Counter(round(_PER_UNIT * s) for s in map(sent.value.token_score, words))
                 out["n"].append(len(words))
-                out["segments"].append([s for s, _, _ in sent.value.segments(text or "")[1]])
+                out["best"].append(sent.value.best(text)[1])
                 out["scores"].append(list(seen.keys()))
                 out["times"].append(list(seen.values()))
             yield out
 
-    schema = "toxic int, n int, segments array<double>, scores array<int>, times array<int>"
+    schema = "toxic int, n int, best double, scores array<int>, times array<int>"
     found = settle(map_rows(labelled.select("text", F.col("toxic").cast("int").alias("toxic")), rows, schema))
     pairs = found.where("toxic = 0").select(F.explode(F.arrays_zip("scores", "times")).alias("p"))
     tokens = pairs.groupBy("p.scores").agg(F.sum("p.times").alias("times")).orderBy("scores").collect()
     weights = np.array([r.times for r in tokens], float)
     decay = _root(np.array([r.scores for r in tokens], float) / _PER_UNIT, weights / max(1.0, weights.sum()))
 
-    got = found.select("toxic", "n", "segments").collect()
+    got = found.select("toxic", "n", "best").collect()  # three numbers a row of the bounded sample
     clean = [r for r in got if not r.toxic]
-    chance = float(sum(r.n * np.exp(-decay * max(r.segments, default=0.0)) for r in clean))
+    chance = float(sum(r.n * np.exp(-decay * r.best) for r in clean))
     density = len(clean) / chance if chance > 0 else 1.0
     fitted = replace(model, decay=decay, density=density)
-    pairs = sorted((r.toxic, fitted.weigh(r.n, r.segments)) for r in got)  # the same sums on every run
+    pairs = sorted((r.toxic, fitted.weigh(r.n, r.best)) for r in got)  # the same sums on every run
     intercept, slope = _logistic(np.array([e for _, e in pairs]), np.array([t for t, _ in pairs], float))
     return replace(fitted, intercept=intercept, slope=slope)
 
@@ -296,14 +296,10 @@ def _passages(text: str, model: ToxicModel, most: float) -> Iterable[tuple[int,
 
 
 def scorer(spark: SparkSession, model: ToxicModel) -> Callable[[Column], Column]:
-    """The score of a column of whole texts; null text is empty."""
+    """The score of a column of whole texts; null text is empty. Equal texts score alike, and each row gets its score."""
+    reachable_by_workers(spark)
     sent = spark.sparkContext.broadcast(model)
-
-    @pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(t) for t in texts], dtype=float)
-
-    return scored
+    return map_texts(lambda texts: [sent.value.score(t) for t in texts], "double")
 
 
 def score(docs: DataFrame, model: ToxicModel, *, text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from moorage.llm import context_tree as ct
 from moorage.llm import queries
 from moorage.llm.bbit_minhash import tokens
-from moorage.llm.decontaminate import ItemIndex, SearchSpec, clean, find_contamination, question_and_answer, words_of
+from moorage.llm.decontaminate import ItemIndex, SearchSpec, clean, find_contamination, index_parts, length_band, question_and_answer, words_of
 from tests.llm.fixtures import no_documents, odd_documents
 
 # --- benchmark search
@@ -65,9 +65,24 @@ def test_a_copy_after_shuffled_words_is_found():
     index = an_index([(1, item), (2, " ".join(f"f{i}" for i in range(0, 400, 40)))])
     copy = [*other[:128], *item.split(), *other[128:256]]
     text = " ".join([*shuffled, *other[256:], *copy])
-    found = [m for m in index.matches(text) if m[0] == 1]
+    found = [m for m in index.matches(words_of(text)) if m[0] == 1]
     assert len(found) == 1 and found[0][2] >= 200 and found[0][3:] == (1.0, 1.0)
-    assert [m for m in index.matches(" ".join([*shuffled, *other])) if m[0] == 1] == []
+    assert [m for m in index.matches(words_of(" ".join([*shuffled, *other]))) if m[0] == 1] == []
+
+
+def test_a_long_item_does_not_widen_the_passages_of_short_ones(spark):
+    short = [(i, " ".join(f"s{i}x{k}" for k in range(20))) for i in range(5)]
+    long = (9, " ".join(f"l{k}" for k in range(900)))
+    items = spark.createDataFrame([*short, long], "item_id bigint, text string")
+    parts = list(index_parts(items, SearchSpec()))
+    assert [[index.half for index in part] for part in parts] == [[32, 450]]
+    # The halves of a short item far apart are no match; together, or the long item, they are.
+    ends = short[0][1].split()
+    rows = [(1, " ".join(ends[:10] + ["w"] * 300 + ends[10:])), (2, "w " * 300 + short[0][1]), (3, "w " * 40 + long[1]), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in find_contamination(docs, items).collect()} == {(2, 0), (3, 9)}
+    assert sorted(r.doc_id for r in clean(docs, items).collect()) == [1, 4]
+    assert [length_band(n) for n in (0, 1, 64, 65, 256, 257, 1024, 1025)] == [0, 0, 0, 1, 1, 2, 2, 3]
 
 
 def test_questions_and_answers():
