@@ -249,7 +249,7 @@ WHERE p.answered IS NULL""",
     vcpus_quota, vcpus_usage, cast(n_failures AS integer) AS n_failures FROM deployments)
 SELECT 'csv' AS kind, * FROM texts
 UNION ALL SELECT 'csv', uuid, template_name, NULL, NULL, NULL, n_failures FROM texts
-UNION ALL SELECT 'json', * FROM texts""",
+UNION ALL SELECT 'json', * FROM texts UNION ALL SELECT 'array', * FROM texts UNION ALL SELECT 'labels', * FROM texts""",
     ),
     "clean_history": with_ctes(
         ["cleaned"],

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -394,16 +395,23 @@ def answers_round_trip(spark, sf_dir):
 
 
 def history_files(spark, sf_dir):
-    """The history written as CSV and as JSON lines, with quotes and newlines in a text, and read back."""
+    """The history as CSV, as JSON lines, as a JSON array and as labelled values per column, with quotes and newlines in a text."""
     rows = deployments(spark, sf_dir).select("uuid", "template_name", "vcpus_quota", "vcpus_usage", "n_failures")
-    rows = rows.withColumn("status_reason", F.concat(F.lit('said "no",\n'), "template_name"))
+    rows = settle(rows.withColumn("status_reason", F.concat(F.lit('said "no",\n'), "template_name")))
     folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
     rows.write.option("header", True).option("escape", '"').csv(f"{folder}/rows.csv")
     rows.select("uuid", "n_failures", "template_name").write.option("header", True).mode("append").csv(f"{folder}/rows.csv")
     rows.write.json(f"{folder}/rows.json")
-    parts = [read_history_files(spark, f"{folder}/rows.{kind}").withColumn("kind", F.lit(kind)) for kind in ("csv", "json")]
-    names = ["kind", "uuid", "template_name", "status_reason", "vcpus_quota", "vcpus_usage", "n_failures"]
-    return parts[0].select(*names).unionByName(parts[1].select(*names))
+    # One document per supplier: the format has a document in one task.
+    supplier = F.substring_index("uuid", "-", -1)
+    maps = [F.map_from_entries(F.collect_list(F.struct("uuid", c))).alias(c) for c in rows.columns]
+    for name, document in (("array", F.collect_list(F.struct(*rows.columns))), ("labels", F.struct(*maps))):
+        texts = rows.groupBy(supplier).agg(F.to_json(document).alias("value")).select("value")
+        texts.write.option("maxRecordsPerFile", 1).text(f"{folder}/{name}.json")
+    kinds = {"csv": "rows.csv", "json": "rows.json", "array": "array.json", "labels": "labels.json"}
+    names = ["uuid", "template_name", "status_reason", "vcpus_quota", "vcpus_usage", "n_failures"]
+    parts = [read_history_files(spark, f"{folder}/{name}").select(F.lit(kind).alias("kind"), *names) for kind, name in kinds.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _rounded(df: DataFrame, columns: list[str]) -> DataFrame:
