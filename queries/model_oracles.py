@@ -188,6 +188,15 @@ SELECT feature, {_significant("value")} AS importance, 0.0E0 AS standard_error F
     )
 
 
+def _weights() -> str:
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, w{i} AS value FROM line" for i, c in enumerate(DEFAULT_FEATURES))
+    return with_ctes(
+        ["rolled"],
+        f"""{_PARTS}{_scaled("train", "scaled", DEFAULT_FEATURES, "deployment_time")}{_line("line", "scaled", _WIDTH, RIDGE)}
+SELECT cast(row_number() OVER (ORDER BY value DESC) AS integer) AS place, feature, {_significant("value")} AS importance FROM ({rows})""",
+    )
+
+
 def _ranking() -> str:
     """Both models' answers for all candidates, weighed and ranked."""
     kept = "msg_id, provider, pos, resource_exactness, min_success_time, max_success_time"
@@ -228,4 +237,5 @@ MODEL_ORACLES: dict[str, str] = {
     "shapley_importance": _importances(),
     "score_and_rank_models": _ranking(),
     "registry_round_trip": _round_trip(),
+    "coefficient_importance": _weights(),
 }

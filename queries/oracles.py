@@ -453,3 +453,11 @@ answers AS (
   UNION ALL SELECT msg_id, batch, 1, provider FROM described, (SELECT unnest([0, 1]) AS batch) WHERE n_candidates = 1)
 SELECT cast(msg_id AS varchar) AS uuid, batch, n_ranked, ranking FROM answers JOIN still_open USING (msg_id, batch)""",
 )
+ORACLES["topic_dump"] = with_ctes(
+    ["topic_messages"],
+    "SELECT value, 0 AS partition, cast(json_extract_string(value, '$.uuid') AS bigint) AS offset FROM topic_messages",
+)
+ORACLES["published_requests"] = with_ctes(
+    ["requests"],
+    "SELECT uuid, template_name, cast(pos AS integer) AS pos, provider_name, region_name, n_instances_requ, vcpus_usage FROM requests",
+)

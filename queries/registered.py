@@ -15,7 +15,7 @@ from moorage.operators import metrics, models
 from moorage.operators.answered import skip_answered
 from moorage.operators.cleaning import clean, derive
 from moorage.operators.enrich import enrich
-from moorage.operators.importance import first_by_hash, shapley_importance
+from moorage.operators.importance import first_by_hash, importance, shapley_importance
 from moorage.operators.latest import latest_state
 from moorage.operators.outliers import iqr_fences, within_fences
 from moorage.operators.quantiles import exact_quantiles
@@ -32,7 +32,7 @@ from moorage.schema import CANDIDATE_FIELDS, DEFAULT_FEATURES, HISTORY_SCHEMAS,
 from moorage.settle import settle, shared_folder
 from moorage.sources.history import read_history_files
 from moorage.sources.messages import AnswerSink, read_answers, write_answers
-from moorage.sources.topics import answer_messages, history_messages, parse_requests, read_history_messages, struct_messages
+from moorage.sources.topics import answer_messages, dump, history_messages, parse_requests, read_history_messages, request_texts, struct_messages
 from moorage.sources.validation import with_history_reason, with_request_reason
 from moorage.streaming.ingest import append_history, current_state, ingest_history
 from moorage.streaming.ranking import rank_stream
@@ -519,6 +519,29 @@ def score_and_rank_models(spark, sf_dir):
     return _rounded(ranked, ["classification", "regression"])
 
 
+def coefficient_importance(spark, sf_dir):
+    """A line's own importances: its signed weights, largest first."""
+    train, _ = _training_rows(spark, sf_dir, DEFAULT_FEATURES, "deployment_time")
+    how = {"kind": models.REGRESSOR, "features": DEFAULT_FEATURES, "label": "deployment_time", "scale": True}
+    fitted = models.fit(train, name="Ridge", params={"alpha": RIDGE}, **how)
+    rows = importance(fitted, train).collect()
+    digits = [(k, r["feature"], float(f"{r['importance']:.6g}")) for k, r in enumerate(rows, 1)]
+    return spark.createDataFrame(digits, "place int, feature string, importance double")
+
+
+def topic_dump(spark, sf_dir):
+    return dump(_shaped(view(spark, sf_dir, "topic_messages"), F.get_json_object("value", "$.uuid"))).select("value", "partition", "offset")
+
+
+def published_requests(spark, sf_dir):
+    """Requests as they are sent to their topic, parsed from it, sent on, and parsed again."""
+    sent = struct_messages(messages(spark, sf_dir).select("uuid", "msg_version", "template_name", "providers"))
+    again = parse_requests(request_texts(parse_requests(sent)))
+    entries = again.select("uuid", "template_name", F.posexplode("providers").alias("pos", "p"))
+    fields = ["provider_name", "region_name", "n_instances_requ", "vcpus_usage"]
+    return entries.select("uuid", "template_name", (F.col("pos") + 1).alias("pos"), *(F.col(f"p.{c}") for c in fields))
+
+
 def registry_round_trip(spark, sf_dir):
     """A model stored twice, its newest version found among the versions, loaded, and its answers for the test part measured."""
     train, test = _training_rows(spark, sf_dir, DEFAULT_FEATURES, "deployment_time")
@@ -635,6 +658,9 @@ QUERIES: dict[str, Query] = {
     "cross_validate": cross_validate,
     "shapley_importance": shapley_importance_query,
     "score_and_rank_models": score_and_rank_models,
+    "coefficient_importance": coefficient_importance,
+    "topic_dump": topic_dump,
+    "published_requests": published_requests,
     "registry_round_trip": registry_round_trip,
     "stream_rank": stream_rank,
     "stream_rank_batches": stream_rank_batches,
