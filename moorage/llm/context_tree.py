@@ -13,7 +13,8 @@ every depth: the tree grows with the corpus and stays in tables.
 A gram is a byte with the context before it, written nearest byte first, so that a subtree is a range of grams. Buckets are
 such ranges, with about as many bytes of text each: where many bytes follow one context, it is cut by the byte before it, and
 so on. A task counts the grams of its chunk and sends them in one piece per bucket. A bucket adds up its pieces and
-weighs its subtrees from the leaves up; the few nodes above the buckets are weighed on the driver. Then buckets
+weighs its subtrees from the leaves up; the nodes above the buckets are weighed by groups with the same last two bytes, and the
+few nodes above those on the driver. Then buckets
 answer every piece with its grams' log-probabilities in the same order, and chunks sum them per text. Words are
 counted the same way for the unigram base.
 """
@@ -346,25 +347,39 @@ def subtree_products(grams: np.ndarray, counts: np.ndarray, depth: int, root: in
     return levels[-1].grams, levels[-1].counts, np.stack(list(products(levels)))
 
 
-def weigh_top(tops: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Sorted grams and mixtures (8, 3, rows) at the buckets' roots, by the length of these, from what buckets tell of theirs."""
+#: What buckets tell of their roots, by the length of these: grams, counts, products of Pw.
+Tops = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def given_levels(tops: Tops, least: int) -> list[Level]:
+    """Levels from the longest roots to contexts of ``least`` bytes, with what buckets tell at each."""
     levels: list[Level] = []
     grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for length in range(max(tops), -1, -1):
-        own, own_counts, products = tops.get(length, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((8, 0))))
+    for length in range(max(tops), least - 1, -1):
+        own, own_counts, told = tops.get(length, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((8, 0))))
         both = np.concatenate([grams, own])
         order = np.argsort(both)
         if levels:
             levels[-1].up = np.argsort(order)[levels[-1].up]
         rows = np.flatnonzero(order >= len(grams))
-        level = Level(both[order], np.concatenate([counts, own_counts])[order], given=(rows, products[:, order[rows] - len(grams)]))
+        level = Level(both[order], np.concatenate([counts, own_counts])[order], given=(rows, told[:, order[rows] - len(grams)]))
         levels.append(level)
-        if length:
+        if length > least:
             grams, level.up = np.unique(_shorter(level.grams), return_inverse=True)
             counts = np.bincount(level.up, weights=level.counts, minlength=len(grams)).astype(np.int64)
-    mixtures = list(decide(levels, None, True))
+    return levels
+
+
+def weigh_top(tops: Tops, above: tuple[np.ndarray, np.ndarray] | None = None, least: int = 0) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sorted grams and mixtures (8, 3, rows) at the buckets' roots, by the length of these.
+
+    ``above``: grams and mixtures at contexts of ``least`` bytes, where the nodes above those were weighed elsewhere.
+    """
+    levels = given_levels(tops, least)
+    begun = None if above is None else above[1][:, :, np.searchsorted(above[0], levels[-1].grams)]
+    mixtures = list(decide(levels, begun, True))
     out = {}
-    for k, level in enumerate(levels):
+    for k, level in enumerate(levels if above is None else levels[:-1]):
         rows = level.given[0]
         if len(rows):
             out[max(tops) - k] = level.grams[rows], np.stack([m[k][:, rows] for m in mixtures]).astype(np.float32)
@@ -483,24 +498,78 @@ def _summed(frame: pd.DataFrame, plan: Plan, depth: int) -> pd.DataFrame:
         row = (kind, bucket, int(sums.sum()), int((sums > 0).sum()), _squeeze(b"\n".join(total)), _pack(sums.astype("<i8")), None, None, None, *asked)
     else:
         own, counts = _counted((_unpack_grams(a), _unpack(b, "<u4").astype(np.int64)) for a, b in zip(frame["asked"], frame["counts"]))
-        top, top_counts, products = subtree_products(own, counts, depth, int(plan.roots[bucket]))
-        told = (_pack_grams(top), _pack(top_counts.astype("<i8")), _pack(np.ascontiguousarray(products.T).astype("<f8").ravel()))
-        row = (kind, bucket, None, None, _pack_grams(own), _pack(counts.astype("<i8")), *told, *asked)
+        top, top_counts, told = subtree_products(own, counts, depth, int(plan.roots[bucket]))
+        row = (kind, bucket, None, None, _pack_grams(own), _pack(counts.astype("<i8")), *_packed_top(top, top_counts, told), *asked)
     return pd.DataFrame([row], columns=[c.split()[0] for c in BUCKETS.split(", ")]).astype({"n": "Int64", "v": "Int64"})
 
 
-def _tops(buckets: DataFrame, plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Mixtures at the roots of all buckets: one row per byte and root context reaches the driver."""
-    told: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for r in buckets.where(F.col("kind") == _GRAMS).select("bucket", "top", "top_counts", "products").collect():
-        part = (_unpack_grams(r.top), _unpack(r.top_counts, "<i8"), _unpack(r.products, "<f8").reshape(-1, 8).T)
-        told.setdefault(int(plan.roots[r.bucket]), []).append(part)
-    return weigh_top({k: tuple(np.concatenate(c, axis=-1) for c in zip(*parts)) for k, parts in told.items()}) if told else {}
+#: Bytes of context at which the nodes of one group end that is weighed in a task; the driver weighs those above.
+MIDDLE = 2
+#: Bytes of mixtures at the roots of deeper buckets up to which they are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 64 << 20
+_TOLD = ["bucket", "top", "top_counts", "products"]
+
 
+def _told(rows: Iterable, plan: Plan) -> Tops:
+    parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for bucket, top, counts, products_ in rows:
+        length = MIDDLE if bucket is None else int(plan.roots[bucket])
+        parts.setdefault(length, []).append((_unpack_grams(top), _unpack(counts, "<i8"), _unpack(products_, "<f8").reshape(-1, 8).T))
+    return {length: tuple(np.concatenate(c, axis=-1) for c in zip(*own)) for length, own in parts.items()}
 
-def _answers(buckets: DataFrame, tops: dict[int, tuple[np.ndarray, np.ndarray]], plan: Plan, depth: int) -> DataFrame:
-    """To each piece, its words' training counts or its grams' log2 probabilities, in the piece's order. No shuffle."""
-    kind, sent = to_arrow(ANSWERS), buckets.sparkSession.sparkContext.broadcast(tops)
+
+def _packed_top(grams: np.ndarray, counts: np.ndarray, products_: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return _pack_grams(grams), _pack(counts.astype("<i8")), _pack(np.ascontiguousarray(products_.T).astype("<f8").ravel())
+
+
+def _mixtures(buckets: DataFrame, plan: Plan, depth: int) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], DataFrame | None]:
+    """Mixtures at the roots of all buckets: those of short roots, and a table (of_bucket, roots, mixture) of longer ones' or none.
+
+    Longer roots are weighed in groups with the same last ``MIDDLE`` bytes. What reaches the driver is a row per byte and
+    context of that many bytes, which the alphabet bounds and not the corpus.
+    """
+    told = buckets.where(F.col("kind") == _GRAMS).select(*_TOLD)
+    deep = np.flatnonzero(plan.roots > MIDDLE)
+    rows = [tuple(r) for r in told.where(~F.col("bucket").isin(deep.tolist())).collect()] if len(deep) else [tuple(r) for r in told.collect()]
+    if not len(deep):
+        return (weigh_top(_told(rows, plan)) if rows else {}), None
+    shift = 8 * (depth + 1 - MIDDLE)
+    groups = buckets.sparkSession.createDataFrame([(int(b), int(plan.lows[b]) >> shift) for b in deep.tolist()], "of int, shared int")
+    grouped = settle(told.join(groups, F.col("bucket") == F.col("of")).select("shared", *_TOLD)).groupBy("shared")
+
+    def middle(frame: pd.DataFrame) -> pd.DataFrame:
+        levels = given_levels(_told(frame[_TOLD].itertuples(index=False), plan), MIDDLE)
+        row = _packed_top(levels[-1].grams, levels[-1].counts, np.stack(list(products(levels))))
+        return pd.DataFrame([row], columns=_TOLD[1:])
+
+    rows += [(None, *r) for r in grouped.applyInPandas(middle, "top binary, top_counts binary, products binary").collect()]
+    short = weigh_top(_told(rows, plan))
+    sent = buckets.sparkSession.sparkContext.broadcast(short[MIDDLE])
+
+    def downwards(frame: pd.DataFrame) -> pd.DataFrame:
+        own = [tuple(r) for r in frame[_TOLD].itertuples(index=False)]
+        found = weigh_top(_told(own, plan), sent.value, MIDDLE)
+        out = []
+        for bucket, top, _, _ in own:
+            grams, mixed = found[int(plan.roots[bucket])]
+            mine = mixed[:, :, np.searchsorted(grams, _unpack_grams(top))]
+            out.append((bucket, top, _pack(np.ascontiguousarray(mine).astype("<f4").ravel())))
+        return pd.DataFrame(out, columns=["of_bucket", "roots", "mixture"])
+
+    return short, settle(grouped.applyInPandas(downwards, "of_bucket int, roots binary, mixture binary"))
+
+
+def _answers(buckets: DataFrame, plan: Plan, depth: int) -> DataFrame:
+    """To each piece, its words' training counts or its grams' log2 probabilities, in the piece's order."""
+    short, long = _mixtures(buckets, plan, depth)
+    kind, sent = to_arrow(ANSWERS), buckets.sparkSession.sparkContext.broadcast(short)
+    asked = buckets.select("kind", "bucket", "keys", "counts", "chunks", "asked")
+    if long is None:
+        asked = asked.withColumns({"roots": F.lit(None).cast("binary"), "mixture": F.lit(None).cast("binary")})
+    else:
+        size = long.agg(F.sum(F.octet_length("roots") + F.octet_length("mixture"))).first()[0]
+        own = (F.col("bucket") == F.col("of_bucket")) & (F.col("kind") == _GRAMS)
+        asked = asked.join(F.broadcast(long) if size <= MOST_BROADCAST else long, own, "left").drop("of_bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -511,13 +580,18 @@ def _answers(buckets: DataFrame, tops: dict[int, tuple[np.ndarray, np.ndarray]],
                     out = [_pack(np.array([total[w] for w in _expand(a).split(b"\n")], "<i8")) for a in row["asked"]]
                 else:
                     own, root = _unpack_grams(row["keys"]), int(plan.roots[row["bucket"]])
-                    logs = weigh_bucket(own, counts, depth, root, *sent.value[root]).astype("<f4")
+                    if row["roots"] is None:
+                        roots, mixture = sent.value[root]
+                    else:
+                        roots = _unpack_grams(row["roots"])
+                        mixture = _unpack(row["mixture"], "<f4").reshape(8, 3, -1)
+                    logs = weigh_bucket(own, counts, depth, root, roots, mixture).astype("<f4")
                     out = [_pack(logs[np.searchsorted(own, _unpack_grams(a))]) for a in row["asked"]]
                 n = len(out)
                 columns = (row["chunks"], [row["kind"]] * n, [row["bucket"]] * n, out)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kind.types)], schema=kind)
 
-    return buckets.select("kind", "bucket", "keys", "counts", "chunks", "asked").mapInArrow(run, ANSWERS)
+    return asked.mapInArrow(run, ANSWERS)
 
 
 def score_documents(docs: DataFrame, *, depth: int = 6) -> DataFrame:
@@ -546,7 +620,7 @@ def score_documents(docs: DataFrame, *, depth: int = 6) -> DataFrame:
     buckets = settle(dealt.groupBy("kind", "bucket").applyInPandas(summed_bucket, BUCKETS))
     seen = buckets.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v"))).first()
     n, v = seen.n + n_ends, seen.v + (n_ends > 0)
-    answers = _answers(buckets, _tops(buckets, plan), plan, depth)
+    answers = _answers(buckets, plan, depth)
     norm, word_buckets = math.log10(n + v + 1), len(plan.lows)
 
     def summed(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:

@@ -131,7 +131,19 @@ def in_memory(grams, counts, depth, plan):
         parts.append((root, grams[own], counts[own]))
         if edges[b] < edges[b + 1]:
             told.setdefault(root, []).append(ct.subtree_products(grams[own], counts[own], depth, root))
-    tops = ct.weigh_top({r: tuple(np.concatenate(c, axis=-1) for c in zip(*p)) for r, p in told.items()})
+    told = {r: tuple(np.concatenate(c, axis=-1) for c in zip(*p)) for r, p in told.items()}
+    tops = ct.weigh_top(told)
+    if max(told) > ct.MIDDLE:  # the same in two steps, as a job does it where roots are long
+        deep, short = {r: t for r, t in told.items() if r > ct.MIDDLE}, {r: t for r, t in told.items() if r <= ct.MIDDLE}
+        levels = ct.given_levels(deep, ct.MIDDLE)
+        middle = (levels[-1].grams, levels[-1].counts, np.stack(list(ct.products(levels))))
+        order = np.argsort(np.concatenate([short[ct.MIDDLE][0], middle[0]])) if ct.MIDDLE in short else slice(None)
+        both = [np.concatenate([a, b], axis=-1)[..., order] for a, b in zip(short[ct.MIDDLE], middle)] if ct.MIDDLE in short else middle
+        above = ct.weigh_top({**short, ct.MIDDLE: tuple(both)})
+        found = {**above, **ct.weigh_top(deep, above[ct.MIDDLE], ct.MIDDLE)}
+        for r, (grams, mixed) in tops.items():
+            at = np.searchsorted(found[r][0], grams)
+            assert (found[r][0][at] == grams).all() and found[r][1][:, :, at] == pytest.approx(mixed, abs=1e-5)
     return np.concatenate([ct.weigh_bucket(g, c, depth, r, *tops[r]) for r, g, c in parts if len(g)])
 
 
@@ -263,10 +275,11 @@ def whole_tree(texts, depth):
     return np.add.reduceat(each, np.append(0, ends[:-1] + 1)) * math.log10(2)
 
 
-@pytest.mark.parametrize("chunk", [32_000_000, 1000])
+@pytest.mark.parametrize("chunk, broadcast", [(32_000_000, 1 << 20), (1000, 0)])
 @pytest.mark.parametrize("depth", [1, 2, 6])
-def test_rare_contexts_have_nodes_in_a_large_corpus(spark, chunk, depth, monkeypatch):
+def test_rare_contexts_have_nodes_in_a_large_corpus(spark, chunk, broadcast, depth, monkeypatch):
     monkeypatch.setattr(ct, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(ct, "MOST_BROADCAST", broadcast)
     monkeypatch.setattr(ct, "SLICE", 7_001)
     monkeypatch.setattr(ct, "SMALL_BUCKET_BYTES", 3_000)
     monkeypatch.setattr(ct, "SAMPLE_STEP", 16)
