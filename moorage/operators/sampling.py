@@ -18,8 +18,11 @@ from pyspark.sql import types as T
 from moorage.settle import settle
 
 SEED = 42
-_PREFIX_BITS = 14
 _COPIES_PER_TASK = 1_000_000
+#: Rows with one hash prefix, which are put in order in one task where a part ends in them, and bounds of the prefix's bits.
+_PREFIX_ROWS, _LEAST_BITS, _MOST_BITS = 100_000, 6, 22
+#: Values a stratum may have: the counts per prefix of each are collected.
+_MOST_STRATA = 200
 
 #: Row count per stratum -> sizes of the parts per stratum.
 Sizes = Callable[[dict], dict]
@@ -50,14 +53,18 @@ def with_parts(
     ``by`` names the columns whose hash orders the rows: a row's id, so that the last digit of some average
     does not move it to another part. Without it all columns count.
 
-    ``stratum`` is a column of few values, such as a class label.  Range ends found in one pass must
+    ``stratum`` is a column of few values, such as a class label; more than some hundred are refused.  Range ends found in one pass must
     hold in the next, so the rows are settled first, unless they already are (``stored``).
     """
     if not stored:
         df = settle(df)
     key = F.col(stratum) if stratum else F.lit(0)
     keyed = df.withColumns({"_stratum": key, "_hash": row_hash(by or df.columns, seed)})
-    prefix = F.shiftright("_hash", _HASH_BITS - _PREFIX_BITS)
+    facts = keyed.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("_stratum").alias("strata")).first()
+    if facts["strata"] > _MOST_STRATA:
+        raise ValueError(f"a stratum of about {facts['strata']} values: at most {_MOST_STRATA} are dealt")
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (facts["rows"] // _PREFIX_ROWS).bit_length()))
+    prefix = F.shiftright("_hash", _HASH_BITS - bits)
     prefixes = defaultdict(dict)
     for r in keyed.groupBy("_stratum", prefix.alias("p")).count().collect():
         prefixes[r["_stratum"]][r["p"]] = r["count"]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from moorage.operators import metrics, quantiles
+from moorage.operators import metrics, quantiles, sampling
 from moorage.operators.outliers import iqr_filter
 from moorage.operators.quantiles import exact_quantiles
 from moorage.operators.sampling import exact_split, fold_sizes, with_folds, with_parts
@@ -243,3 +243,17 @@ def test_regression_metrics(spark, pairs, mse, r2):
         assert row["r2"] is None
     else:
         assert row["r2"] < 1 if r2 is None else row["r2"] == pytest.approx(r2)
+
+
+def test_a_stratum_of_many_values_is_refused(spark):
+    with pytest.raises(ValueError, match="stratum"):
+        with_folds(spark.range(3000).withColumn("s", F.col("id") % 1000), 3, label="s")
+
+
+@pytest.mark.parametrize("rows", [40, 700])
+def test_parts_do_not_depend_on_the_prefix(spark, monkeypatch, rows):
+    df = settle(spark.range(rows).withColumn("s", F.col("id") % 3))
+    wide = sorted(map(tuple, with_folds(df, 4, label="s", by=["id"], stored=True).collect()))
+    monkeypatch.setattr(sampling, "_PREFIX_ROWS", 5)
+    monkeypatch.setattr(sampling, "_LEAST_BITS", 1)
+    assert sorted(map(tuple, with_folds(df, 4, label="s", by=["id"], stored=True).collect())) == wide
