@@ -14,13 +14,13 @@ from pyspark.sql import types as T
 
 from moorage.settle import settle, settled_for_now, shared_folder
 
-__all__ = ["documents", "fold", "fresh_folder", "map_rows", "map_texts", "may_hold", "reachable_by_workers", "settle", "settled_for_now", "small_batches", "sorted_distinct", "table", "to_arrow", "worker_cache"]
+__all__ = ["documents", "fold", "fresh_folder", "map_rows", "map_texts", "may_hold", "prepare_workers", "settle", "settled_for_now", "small_batches", "sorted_distinct", "table", "to_arrow", "worker_cache"]
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    reachable_by_workers(spark)
+    prepare_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,14 +28,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def reachable_by_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
+#: What has the C library give freed memory back, and Arrow use it. A worker lives through many stages.
+_WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+_BATCH_SETTING, _SPARKS_OWN, _BATCH_SIZE = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
-    It matters in local mode only; on a cluster the package is installed or sent with ``--py-files``.
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, and hold little memory.
+
+    The path matters in local mode only; on a cluster the package is installed or sent with ``--py-files``. Batches
+    go to workers 8 MB at a time unless the session sets another size; what the environment sets already stays.
     """
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
     if _ROOT not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, known]))
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, known]))
+    for name, value in _WORKER_MEMORY.items():
+        environment.setdefault(name, value)
+    if spark.conf.get(_BATCH_SETTING) == _SPARKS_OWN:
+        spark.conf.set(_BATCH_SETTING, _BATCH_SIZE)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -95,7 +106,7 @@ def sorted_distinct(values: np.ndarray) -> np.ndarray:
 def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
     """``mapInArrow`` over dicts of Python lists, one per batch; column types come from ``schema``."""
     kind = to_arrow(schema)
-    reachable_by_workers(df.sparkSession)
+    prepare_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in rows(batch.to_pydict() for batch in small_batches(batches)):

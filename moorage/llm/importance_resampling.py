@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moorage.llm.base import reachable_by_workers, settle, to_arrow
+from moorage.llm.base import prepare_workers, settle, to_arrow
 from moorage.llm.position_crc import crc32_of_spans
 
 #: Bytes of text whose features are hashed together.
@@ -76,7 +76,7 @@ def _sliced(texts: list[bytes], owners: list[tuple[int, int]], spec: ResamplingS
 def bucket_counts(texts: DataFrame, spec: ResamplingSpec) -> np.ndarray:
     """Features of all texts (one string column) by bucket: one short table per task, added up by Spark."""
     kind = to_arrow("bucket int, n bigint")
-    reachable_by_workers(texts.sparkSession)
+    prepare_workers(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(spec.buckets, np.int64)
@@ -102,7 +102,7 @@ def weighed(docs: DataFrame, gain: np.ndarray, spec: ResamplingSpec) -> DataFram
     """doc_id, n_words, n_features, weight of every row of ``docs`` (doc_id, text)."""
     schema = "doc_id bigint, n_words bigint, n_features bigint, weight bigint"
     kind, sent = to_arrow(schema), docs.sparkSession.sparkContext.broadcast(gain)
-    reachable_by_workers(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

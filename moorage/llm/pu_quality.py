@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moorage.llm.adaptive_rules import WORD, repeated_words
-from moorage.llm.base import map_rows, map_texts, reachable_by_workers
+from moorage.llm.base import map_rows, map_texts, prepare_workers
 
 _CLASS_OF = np.full(256, 11, np.uint8)  # 11: bytes of characters beyond ASCII
 for _n, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", "\t\v\f", ".,", ";:?'\"()-", "!", "|", "#*$%&<>")):
@@ -184,7 +184,7 @@ def train(docs: DataFrame, positives: DataFrame, *, most_positive: int = 6_000,
 
 def scorer(spark: SparkSession, model: PuModel) -> Callable[[Column], Column]:
     """The score of a column of whole texts; null text is empty."""
-    reachable_by_workers(spark)
+    prepare_workers(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def scored(texts: list[str | None]) -> list[float]:

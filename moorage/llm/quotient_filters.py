@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moorage.llm.base import may_hold, reachable_by_workers, settle, to_arrow
+from moorage.llm.base import may_hold, prepare_workers, settle, to_arrow
 
 #: Bits of a fingerprint.
 WIDTH = 48
@@ -138,7 +138,7 @@ def partition_filters(fingerprints: DataFrame, range_bits: int) -> DataFrame:
     """range, filter columns: of each partition of ``fingerprints`` (one bigint column below 2**WIDTH), without shuffle."""
     schema = f"range int, {COLUMNS}"
     kind, width = to_arrow(schema), WIDTH - range_bits
-    reachable_by_workers(fingerprints.sparkSession)
+    prepare_workers(fingerprints.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moorage.llm.base import reachable_by_workers, settle, settled_for_now, to_arrow
+from moorage.llm.base import prepare_workers, settle, settled_for_now, to_arrow
 
 #: Components may have this magnitude at most, so that squared distances fit in 64 bits.
 LARGEST = 1 << 27
@@ -122,7 +122,7 @@ def _moments(vectors: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray
     """Count, sums and summed products, exact in 64-bit floats while below 2^53 and near enough beyond."""
     schema = "row int, n double, s array<double>"
     kind = to_arrow(schema)
-    reachable_by_workers(vectors.sparkSession)
+    prepare_workers(vectors.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, np.zeros((size + 1, size))

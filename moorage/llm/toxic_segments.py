@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moorage.llm.base import map_rows, map_texts, reachable_by_workers, settle
+from moorage.llm.base import map_rows, map_texts, prepare_workers, settle
 
 TOKEN = re.compile(r"\w+")
 #: Letters of the stems that lend a word their odds, shortest first.
@@ -297,7 +297,7 @@ def _passages(text: str, model: ToxicModel, most: float) -> Iterable[tuple[int,
 
 def scorer(spark: SparkSession, model: ToxicModel) -> Callable[[Column], Column]:
     """The score of a column of whole texts; null text is empty. Equal texts score alike, and each row gets its score."""
-    reachable_by_workers(spark)
+    prepare_workers(spark)
     sent = spark.sparkContext.broadcast(model)
     return map_texts(lambda texts: [sent.value.score(t) for t in texts], "double")
 
