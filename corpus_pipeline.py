@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moorage.llm import bbit_minhash, decontaminate, packing, pu_quality, toxic_segments
-from moorage.llm.base import documents, reachable_by_workers, settle, table
+from moorage.llm.base import documents, prepare_workers, settle, table
 from moorage.llm.queries import CONTEXT, QUALITY_CUT, TOXIC_CUT, quality_model, toxic_model
 from moorage.llm.tokens import TokenizerFile
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the cut; a null or empty text is scored as empty. Repeated rows stay or go together."""
-    reachable_by_workers(spark)
+    prepare_workers(spark)
     score = pu_quality.scorer(spark, quality_model(spark, docs, sf_dir))
     return docs.where(score(F.col("text")) >= QUALITY_CUT)
 
@@ -28,7 +28,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Equal texts score alike, and repeated rows stay or go together.
     """
-    reachable_by_workers(spark)
+    prepare_workers(spark)
     score = toxic_segments.scorer(spark, toxic_model(spark, docs, sf_dir))
     return docs.where(score(F.col("text")) < TOXIC_CUT)
 
@@ -39,7 +39,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     It is the one with the least id; of rows that repeat it, one. Texts without words, null ones too, are near nothing, so one
     row of each id stays.
     """
-    reachable_by_workers(spark)
+    prepare_workers(spark)
     return bbit_minhash.first_of_each(docs, bbit_minhash.MinHashSpec())
 
 
@@ -53,7 +53,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row of a repeated document is packed.
     """
-    reachable_by_workers(spark)
+    prepare_workers(spark)
     tokenizer = TokenizerFile.read(public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack_documents(docs, tokenizer, capacity=CONTEXT, end_id=0)
 
