@@ -404,8 +404,10 @@ def history_files(spark, sf_dir):
     rows.write.json(f"{folder}/rows.json")
     # One document per supplier: the format has a document in one task.
     supplier = F.substring_index("uuid", "-", -1)
-    maps = [F.map_from_entries(F.collect_list(F.struct("uuid", c))).alias(c) for c in rows.columns]
-    for name, document in (("array", F.collect_list(F.struct(*rows.columns))), ("labels", F.struct(*maps))):
+    label = F.monotonically_increasing_id().cast("string")
+    rows = settle(rows.withColumn("label", label))  # a uuid may come twice
+    maps = [F.map_from_entries(F.collect_list(F.struct("label", c))).alias(c) for c in rows.columns if c != "label"]
+    for name, document in (("array", F.collect_list(F.struct(*rows.drop("label").columns))), ("labels", F.struct(*maps))):
         texts = rows.groupBy(supplier).agg(F.to_json(document).alias("value")).select("value")
         texts.write.option("maxRecordsPerFile", 1).text(f"{folder}/{name}.json")
     kinds = {"csv": "rows.csv", "json": "rows.json", "array": "array.json", "labels": "labels.json"}
