@@ -61,7 +61,7 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 #: Bytes of rows that are Python objects at the same time.
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 16 << 20
 _CACHES: dict[str, dict] = {}
 
 

@@ -72,14 +72,18 @@ def _round(symbols: np.ndarray, last: np.ndarray, free: int, most: int, least: i
         return symbols, last, none
     slots = ((symbols[:-1] * np.uint32(0x9E3779B1)) ^ (symbols[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(32 - _SLOT_BITS)
     slots[last[:-1]] = 1 << _SLOT_BITS
+    slots = slots.astype(np.intp)  # once, not at every use as an index
     counts = np.bincount(slots, minlength=(1 << _SLOT_BITS) + 1)
     counts[-1] = 0
     at = np.flatnonzero((counts >= least)[slots])
     slots = slots[at]
     stands = np.zeros(len(counts), np.int64)
     stands[slots] = at
-    pair = stands[slots]
-    same = (symbols[at] == symbols[pair]) & (symbols[at + 1] == symbols[pair + 1])
+    # Both symbols of a pair as one number, so that pairs are compared in one go.
+    both = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
+    standing = np.zeros(len(counts), np.uint64)
+    standing[slots] = both
+    same = both == standing[slots]
     at, slots = at[same], slots[same]
     counts = np.bincount(slots, minlength=len(counts))
     chosen = np.flatnonzero(counts >= least)

@@ -103,7 +103,9 @@ class Encoder(dict):
         self._bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I", [t.id for t in self._model.tokenize(piece.translate(self._bytes))]).tobytes()
+        # ASCII letters and digits stand for themselves in the model's alphabet of bytes.
+        shown = piece if piece.isascii() and piece.isalnum() else piece.translate(self._bytes)
+        ids = array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
         if len(piece) <= _LONG_PIECE:
             if len(self) >= KEPT_PIECES:
                 self.clear()
