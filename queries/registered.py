@@ -480,11 +480,6 @@ def train_regressor(spark, sf_dir):
     return _trained(spark, sf_dir, models.REGRESSOR, "Ridge", "deployment_time")
 
 
-def train_forest(spark, sf_dir):
-    """A forest has no closed form: its rows alone are checked."""
-    return _trained(spark, sf_dir, models.CLASSIFIER, "RandomForestClassifier", "status")
-
-
 def cross_validate(spark, sf_dir):
     train, _ = _training_rows(spark, sf_dir, DEFAULT_FEATURES, "status", "deployment_time")
     train = settle(train)
@@ -656,7 +651,6 @@ QUERIES: dict[str, Query] = {
     "registry_latest": registry_latest,
     "train_classifier": train_classifier,
     "train_regressor": train_regressor,
-    "train_forest": train_forest,
     "cross_validate": cross_validate,
     "shapley_importance": shapley_importance_query,
     "score_and_rank_models": score_and_rank_models,
