@@ -24,8 +24,11 @@ def route(messages: DataFrame) -> DataFrame:
     )
 
 
-def unfold(messages: DataFrame) -> DataFrame:
-    """One row per (message, candidate): position, the request as sent, and its fields as columns."""
+def unfold(messages: DataFrame, *, echo: Sequence[str] | None = None) -> DataFrame:
+    """One row per (message, candidate): position, the request as sent, and its fields as columns.
+
+    ``echo`` narrows the request as sent to the fields an answer is to carry; all by default.
+    """
     rows = messages.select(
         *[c for c in messages.columns if c not in ("providers", "template_name")],
         # The template is one per message and joins every candidate row.
@@ -36,7 +39,7 @@ def unfold(messages: DataFrame) -> DataFrame:
     return rows.select(
         *[c for c in rows.columns if c not in ("_pos", "request", "_template")],
         (F.col("_pos") + 1).alias("pos"),
-        "request",
+        "request" if echo is None else F.struct(*[F.col(f"request.{f}").alias(f) for f in echo]).alias("request"),
         F.col("_template").alias("template_name"),
         *[F.col(f"request.{f}").alias(f) for f in fields if f not in ("template_name", "uuid", AS_SENT)],
     )

@@ -79,21 +79,29 @@ def registered_scorer(
     return score
 
 
-def candidates(messages: DataFrame, *, complex_templates: Sequence[str] = ()) -> DataFrame:
+def candidates(messages: DataFrame, *, complex_templates: Sequence[str] = (), echo: Sequence[str] | None = None) -> DataFrame:
     """Described candidates of all messages, repeats merged."""
-    return merge_repeats(describe(unfold(messages), complex_templates=complex_templates))
+    return merge_repeats(describe(unfold(messages, echo=echo), complex_templates=complex_templates))
 
 
 def rank_messages(
-    messages: DataFrame, state: DataFrame, *, job: RankJob = RankJob(), scorer: Scorer = history_scores
+    messages: DataFrame,
+    state: DataFrame,
+    *,
+    job: RankJob = RankJob(),
+    scorer: Scorer = history_scores,
+    echo: Sequence[str] | None = None,
 ) -> DataFrame:
     """(msg_id, uuid, ranked_providers) for every message with a candidate.
 
     Several candidates are scored and ordered; a single one passes with -1 scores; a message
     without candidates gets no answer.  Single ones take the same way, so that every message is
     read and parsed once, and their scores are replaced at the end.
+
+    ``echo`` names the fields of a candidate that its answer carries beside the scores, all by default: each goes
+    through the shuffle and the sorts by message, typed fields a second time beside their columns.
     """
     asked = route(messages).where(F.col("route") != "none")
-    described = candidates(asked, complex_templates=job.complex_templates)
+    described = candidates(asked, complex_templates=job.complex_templates, echo=echo)
     ranked = pass_lone(with_rank(scorer(enrich(described, state)), job.spec))
     return fold_messages(ranked)

@@ -28,7 +28,7 @@ from moorage.operators.scaling import fit_scaler, robust_scale
 from moorage.operators.scoring import any_missing, history_scores, model_scores, void_messages
 from moorage.plans.inference import RankJob, rank_messages
 from moorage.plans.training import feature_table, time_span
-from moorage.schema import CANDIDATE_FIELDS, DEFAULT_FEATURES, HISTORY_SCHEMAS, HISTORY_STATS, RESOURCE_DIFFS
+from moorage.schema import AS_SENT, CANDIDATE_FIELDS, DEFAULT_FEATURES, HISTORY_SCHEMAS, HISTORY_STATS, RESOURCE_DIFFS
 from moorage.settle import settle, shared_folder
 from moorage.sources.history import read_history_files
 from moorage.sources.messages import AnswerSink, read_answers, write_answers
@@ -183,7 +183,7 @@ def _ranking_text() -> Column:
 def ranked_messages(spark, sf_dir):
     """The whole inference path over nested messages."""
     job = RankJob(spec=RankSpec(threshold=THRESHOLD), complex_templates=COMPLEX)
-    answers = rank_messages(messages(spark, sf_dir), state(spark, sf_dir), job=job)
+    answers = rank_messages(messages(spark, sf_dir), state(spark, sf_dir), job=job, echo=["provider_name", "region_name"])
     total = F.aggregate(
         "ranked_providers", F.lit(0.0), lambda acc, p: acc + p["classification"] + p["regression"]
     )
@@ -268,7 +268,7 @@ def lone_candidate_echo(spark, sf_dir):
     text = F.concat(F.lit('{"uuid":"'), F.col("msg_id").cast("string"), F.lit('","msg_version":"1.1.0","template_name":"t","providers":['), "entry", F.lit("]}"))
     requests = parse_requests(entries.select("msg_id", text.alias("value")))
     no_state = state(spark, sf_dir).limit(0)
-    answers = rank_messages(requests, no_state, job=RankJob(complex_templates=COMPLEX))
+    answers = rank_messages(requests, no_state, job=RankJob(complex_templates=COMPLEX), echo=[AS_SENT])
     return answer_messages(answers).select(F.get_json_object("value", "$.uuid").alias("uuid"), "value")
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moorage.sources.spread import spread
+from moorage.sources.spread import deal_by_size, spread
 
 TABLES = ["region", "nation", "supplier", "part", "orders", "lineitem", "events", "documents", "labels"]
 # Tables that grow; the others are read as they are.
@@ -112,6 +112,7 @@ def view_sql(name: str, string_type: str) -> str:
 
 
 def load_tables(spark: SparkSession, sf_dir: str) -> None:
+    deal_by_size(spark, [f"{sf_dir}/{name}.parquet" for name in TABLES])
     for name in TABLES:
         table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         # A table of one file is one split here; one of many files is read as it is.

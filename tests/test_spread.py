@@ -1,0 +1,45 @@
+import os
+
+import pytest
+
+from moorage.sources import spread
+from moorage.sources.spread import deal_by_size
+
+FIRST = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+MERGED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
+@pytest.fixture
+def session(spark):
+    """A session of its own, as the settings stay."""
+    return spark.newSession()
+
+
+def test_shuffles_begin_with_partitions_by_input_size(session, tmp_path):
+    small, large = tmp_path / "small.parquet", tmp_path / "large.parquet"
+    small.write_bytes(os.urandom(100))
+    large.mkdir()
+    for k in range(2):
+        (large / f"part-{k}").write_bytes(bytes(30 * spread._INPUT_PER_PARTITION))
+    least = int(session.conf.get("spark.sql.shuffle.partitions"))
+    assert deal_by_size(session, [str(small)]) == least
+    assert deal_by_size(session, [str(small), f"file://{large}"]) == 61
+    assert session.conf.get(FIRST) == "61"
+    keyed = session.range(1000).repartition("id")
+    assert "hashpartitioning(id#" in keyed._jdf.queryExecution().toString() and ", 61)" in keyed._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("given, kept", [("64MB", f"{16 * 2**20}b"), ("8m", "8m"), ("1024b", "1024b"), ("1g", f"{16 * 2**20}b"), ("33554432", f"{16 * 2**20}b")])
+def test_merged_partitions_stay_small(session, tmp_path, given, kept):
+    session.conf.set(MERGED, given)
+    (tmp_path / "t").write_bytes(b"x")
+    deal_by_size(session, [str(tmp_path / "t")])
+    assert session.conf.get(MERGED) == kept
+
+
+def test_queries_begin_with_the_size_of_their_tables(session):
+    from queries.views import view
+
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    view(session, "/root/testdata/sf0.1", "requests")
+    assert int(session.conf.get(FIRST)) > 2
