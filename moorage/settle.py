@@ -65,10 +65,11 @@ def settle(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame
     Unlike a cached plan it survives the loss of executors, later readers prune its columns, and
     the optimiser knows its true size: a join against it is broadcast exactly when the files are
     below ``spark.sql.autoBroadcastJoinThreshold`` and shuffled otherwise. The shuffle files behind it are
-    removed once it is written, as nothing reads them again.
+    removed once it is written, as nothing reads them again. Texts of messages repeat their field names, so the
+    files are compressed with zstd.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if (scope := _SCOPE.get()) is not None:

@@ -81,10 +81,11 @@ def answer_uuids(messages: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class AnswerSink:
-    """Either a folder of JSON lines or a topic."""
+    """Either a folder of JSON lines or a topic; ``compression`` is that of the lines' files, by which readers tell it."""
 
     path: str | None = None
     topic: Topic | None = None
+    compression: str = "gzip"
 
     def __post_init__(self):
         if (self.path is None) == (self.topic is None):
@@ -101,9 +102,9 @@ def write_answers(answers: DataFrame, sink: AnswerSink, *, batch: int | None = N
     if sink.topic is not None:
         sink.topic.write(messages)
     elif batch is None:
-        messages.write.mode("append").text(sink.path)
+        messages.write.mode("append").option("compression", sink.compression).text(sink.path)
     else:
-        messages.write.mode("overwrite").text(f"{sink.path}/batch_id={batch}")
+        messages.write.mode("overwrite").option("compression", sink.compression).text(f"{sink.path}/batch_id={batch}")
 
 
 def publish_requests(requests: DataFrame, topic: Topic) -> None:

@@ -12,6 +12,7 @@ from moorage.operators.answered import after_cut, answer_counts, last_cancelled
 from moorage.operators.requests import MESSAGE
 from moorage.operators.scoring import history_scores
 from moorage.plans.inference import RankJob, Scorer, rank_messages
+from moorage.schema import AS_SENT
 from moorage.settle import settle, settled_for_now
 from moorage.sources.messages import AnswerSink, write_answers
 from moorage.sources.topics import parse_requests
@@ -118,10 +119,11 @@ def rank_stream(
         # An answer is used up even by a request that could not be answered again.
         still_open, used = cancel_answered(arrived, book.remaining(batch_id))
         book.note(batch_id, used)
-        still_open = settle(still_open.drop("uuid"))
+        # Read twice from the settled batch, as a second copy of all texts would cost more than a join with the cuts.
+        still_open = still_open.drop("uuid")
         requests = parse_requests(accepted(still_open), version=job.version)
         answered = rank_messages(
-            requests.withColumn(MESSAGE, F.struct(*_ORDER)), state(batch.sparkSession), job=job, scorer=scorer
+            requests.withColumn(MESSAGE, F.struct(*_ORDER)), state(batch.sparkSession), job=job, scorer=scorer, echo=[AS_SENT]
         )
         write_answers(answered, sink, batch=batch_id)
         refused(still_open).write.mode("overwrite").parquet(f"{dead_letters}/batch_id={batch_id}")

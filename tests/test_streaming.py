@@ -10,9 +10,10 @@ from moorage.operators.cleaning import clean, derive
 from moorage.operators.latest import latest_state
 from moorage.plans.inference import history_state
 from moorage.schema import TOPIC_SCHEMA
-from moorage.settle import shared_folder
+from moorage.settle import settle, shared_folder
 from moorage.sources.history import read_history_files
 from moorage.sources.messages import AnswerSink
+from moorage.streaming import ranking
 from moorage.streaming.ingest import append_history, current_state, ingest_history
 from moorage.streaming.ranking import AnswerLedger, rank_stream
 from tests.test_ranking import candidate
@@ -261,3 +262,32 @@ def test_state_of_days_is_that_of_all_rows(spark, folder, make_history):
         assert tuple(a)[3:] == pytest.approx(tuple(b)[3:])
     plan = found._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "month" in plan.split("PartitionFilters", 1)[1]
+
+
+def test_a_batch_keeps_its_texts_once_and_compressed(spark, folder, make_history, monkeypatch):
+    """The settled batch is the only copy of the texts beside the answers, whose lines are compressed."""
+    state = history_state(make_history({"provider_name": "good", "region_name": "r"}))
+    copies = []
+
+    def counted(df, **how):
+        copies.extend(["value"] if "value" in df.columns else [])
+        return settle(df, **how)
+
+    monkeypatch.setattr(ranking, "settle", counted)
+    send(spark, folder, 0, request("a", candidate("good"), candidate("bad")), request("b", candidate("x")), "no json")
+    rank_stream(
+        stream(spark, folder),
+        answers=spark.createDataFrame([("b",)], "uuid string"),
+        state=lambda _: state,
+        sink=AnswerSink(path=f"{folder}/answers"),
+        dead_letters=f"{folder}/refused",
+        ledger=f"{folder}/ledger",
+        checkpoint=f"{folder}/checkpoint",
+    ).awaitTermination()
+    assert copies == ["value"]
+    files = [f for f in os.listdir(f"{folder}/answers/batch_id=0") if f.startswith("part-")]
+    assert files and all(f.endswith(".txt.gz") for f in files)
+    (answer,) = (json.loads(r["value"]) for r in spark.read.text(f"{folder}/answers").collect())
+    assert [p["provider_name"] for p in answer["ranked_providers"]] == ["good", "bad"]
+    assert answer["ranked_providers"][0].keys() >= {"gpus_requ", "classification"}
+    assert spark.read.parquet(f"{folder}/refused").count() == 1
