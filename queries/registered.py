@@ -563,21 +563,24 @@ def stream_rank_batches(spark, sf_dir):
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     requests = struct_messages(messages(spark, sf_dir).select("uuid", "msg_version", "template_name", "providers"))
     number = F.get_json_object("value", "$.uuid").cast("bigint")
-    _shaped(requests.where(number % 2 == 0), number).coalesce(1).write.parquet(f"{folder}/topic")
-    _shaped(requests, number + 1_000_000_000).coalesce(1).write.mode("append").parquet(f"{folder}/topic")
+    sent = settle(requests.withColumn("number", number))
     known = state(spark, sf_dir)
-    states = iter([known.limit(0), known])
-    rank_stream(
-        spark.readStream.schema(spark.read.parquet(f"{folder}/topic").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/topic"),
-        answers=view(spark, sf_dir, "processed"),
-        state=lambda _: next(states),
-        sink=AnswerSink(path=f"{folder}/answers"),
-        dead_letters=f"{folder}/refused",
-        ledger=f"{folder}/ledger",
-        checkpoint=f"{folder}/checkpoint",
-        job=RankJob(complex_templates=COMPLEX),
-        required=CANDIDATE_FIELDS,
-    ).awaitTermination()
+    # The stream is started once for each part of the topic, so that a batch is a part however many files and tasks write it.
+    parts = [(sent.where(F.col("number") % 2 == 0), F.col("number"), known.limit(0)), (sent, F.col("number") + 1_000_000_000, known)]
+    for part, offset, history in parts:
+        rows = _shaped(part, offset)
+        rows.write.mode("append").option("compression", "zstd").parquet(f"{folder}/topic")
+        rank_stream(
+            spark.readStream.schema(rows.schema).parquet(f"{folder}/topic"),
+            answers=view(spark, sf_dir, "processed"),
+            state=lambda _, history=history: history,
+            sink=AnswerSink(path=f"{folder}/answers"),
+            dead_letters=f"{folder}/refused",
+            ledger=f"{folder}/ledger",
+            checkpoint=f"{folder}/checkpoint",
+            job=RankJob(complex_templates=COMPLEX),
+            required=CANDIDATE_FIELDS,
+        ).awaitTermination()
     entry = "uuid string, ranked_providers array<struct<provider_name string, region_name string>>, batch_id int"
     answers = spark.read.schema(entry).json(f"{folder}/answers")
     return answers.select("uuid", F.col("batch_id").alias("batch"), F.size("ranked_providers").alias("n_ranked"), _ranking_text())
