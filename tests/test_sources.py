@@ -327,3 +327,32 @@ def test_label_maps_keep_all_labels(spark, tmp_path):
     path.write_text(json.dumps(document))
     rows = read_history_files(spark, str(path)).collect()
     assert {(r["uuid"], r["vcpus_quota"], r["n_failures"]) for r in rows} == {(f"u{k}", float(k) if k != "2999" else None, 1) for k in labels}
+
+
+def test_columns_that_a_document_lacks_are_empty(spark, tmp_path):
+    folder = tmp_path / "lists.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"uuid": ["a", "b"], "vcpus_quota": [1, 2]}')
+    (folder / "b.json").write_text('{"uuid": ["c"], "n_failures": [3]}')
+    rows = sorted((r["uuid"], r["vcpus_quota"], r["n_failures"]) for r in read_history_files(spark, str(folder)).collect())
+    assert rows == [("a", 1.0, None), ("b", 2.0, None), ("c", None, 3)]
+
+
+def test_what_documents_hold_is_told_without_a_type_of_each_label(spark, tmp_path):
+    from moorage.sources.jsonfiles import layout
+
+    cases = {
+        "labels": [{"uuid": {f"{d}-{i}": "u" for i in range(100)}, "n_failures": {}} for d in range(3)],
+        "list": [{"uuid": ["u"], "n_failures": []}],
+        "value": [{"uuid": "[1]", "status_reason": "{x}", "n_failures": None}, [{"uuid": "b"}]],
+    }
+    for kind, documents in cases.items():
+        folder = tmp_path / f"{kind}.json"
+        folder.mkdir()
+        for k, document in enumerate(documents):
+            (folder / f"{k}.json").write_text(json.dumps(document))
+        names, kinds = layout(spark, str(folder), True, ["uuid", "n_failures", "status_reason"])
+        assert ({"uuid", "n_failures"} <= set(names), kinds) == (True, {kind})
+    (tmp_path / "mixed.json").write_text('{"uuid": ["a"], "n_failures": {"0": 1}}')
+    with pytest.raises(ValueError, match="labelled values"):
+        read_history_files(spark, str(tmp_path / "mixed.json"))
