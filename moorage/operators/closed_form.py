@@ -1,6 +1,6 @@
 """Learners that follow from a few sums over the rows: Gaussian naive Bayes and least squares.
 
-The sums are counts, means and co-moments, which Spark computes in one aggregation without cancellation and which
+The sums are counts, means and co-moments, which Spark computes in a few aggregations without cancellation and which
 merge. Kept per group of rows, a fold say, they give the model of any union of groups without another read.
 """
 
@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from operator import and_
 from typing import Any
 
 import numpy as np
@@ -41,26 +42,48 @@ class Moments:
         return Moments(self.n, (self.mean - middles) / spreads, self.products / np.outer(spreads, spreads))
 
 
+#: Sums of one aggregation: Spark does not compile one of over a hundred numbers (``spark.sql.codegen.maxFields``).
+_SUMS = 91
+
+
 def moments(rows: DataFrame, columns: Sequence[str], by: Sequence[str], *, crossed: bool) -> dict[tuple, Moments]:
-    """Values of ``by`` (few) -> moments of the columns, from one aggregation; ``crossed``: of pairs of columns too."""
+    """Values of ``by`` (few) -> moments of the columns; ``crossed``: of pairs of columns too.
+
+    Two passes: the means of each group, then plain sums of products of the deviations from them, ``_SUMS`` at a time. Those run as compiled
+    code, which as many of Spark's covariances, each with four numbers of its own, do not.
+    """
     width = len(columns)
     pairs = [(i, j) for i in range(width) for j in range(i if crossed else i, width if crossed else i + 1)]
-    numbers = [F.col(f"`{c}`").cast("double") for c in columns]
-    # One array a group, so that Spark returns numbers, not a hundred columns.
-    found = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(c) for c in numbers]).alias("mean"),
-        F.array(*[F.covar_pop(numbers[i], numbers[j]) for i, j in pairs]).alias("spread"),
-    )
-    out = {}
-    for r in found.collect():
-        if any(v is None or not math.isfinite(v) for v in (*r["mean"], *r["spread"])):
+    numbers = rows.select(*[F.col(c).alias(f"by{k}") for k, c in enumerate(by)], *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    keys = [f"by{k}" for k in range(len(by))]
+
+    def refused_unless(whole: bool) -> None:
+        if not whole:
             raise ValueError(f"a column of {list(columns)} has no value, or NaN or infinite ones")
-        products = np.zeros((width, width))
-        for (i, j), value in zip(pairs, r["spread"]):
-            products[i, j] = products[j, i] = value * r["n"]
-        out[tuple(r[c] for c in by)] = Moments(r["n"], np.array(r["mean"]), products)
-    return out
+
+    averages = numbers.groupBy(*keys).agg(F.array(F.count(F.lit(1)), *[F.count(f"x{i}") for i in range(width)]).alias("n"), F.array(*[F.avg(f"x{i}") for i in range(width)]).alias("mean"))
+    counts, centres = {}, {}
+    for r in averages.collect():
+        refused_unless(min(r["n"]) == max(r["n"]) and all(v is not None and math.isfinite(v) for v in r["mean"]))
+        key = tuple(r[k] for k in keys)
+        counts[key], centres[key] = r["n"][0], r["mean"]
+    if not centres:
+        return {}
+    centre = F.lit(None).cast("array<double>")
+    for key, mean in centres.items():
+        here = reduce(and_, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, key)], F.lit(True))
+        centre = F.when(here, F.array(*map(F.lit, mean))).otherwise(centre)
+    apart = numbers.withColumn("centre", centre).select(*keys, *[(F.col(f"x{i}") - F.col("centre")[i]).alias(f"x{i}") for i in range(width)])
+    products = {key: np.zeros((width, width)) for key in centres}
+    for at in range(0, len(pairs), _SUMS):
+        some = pairs[at : at + _SUMS]
+        # One array a group, so that Spark returns numbers, not a hundred columns.
+        for r in apart.groupBy(*keys).agg(F.array(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in some]).alias("product")).collect():
+            key = tuple(r[k] for k in keys)
+            refused_unless(all(math.isfinite(v) for v in r["product"]))
+            for (i, j), value in zip(some, r["product"]):
+                products[key][i, j] = products[key][j, i] = value
+    return {key: Moments(counts[key], np.array(centres[key]), products[key]) for key in centres}
 
 
 @dataclass(frozen=True)
@@ -174,7 +197,7 @@ class ClosedForm:
                 raise ValueError(f"model {name!r} has no parameter {given!r}; known: {sorted(self.defaults)}")
 
     def sums(self, rows: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ()) -> dict[tuple, Moments]:
-        """Group (values of ``by``, then the class of a classifier) -> moments. One read."""
+        """Group (values of ``by``, then the class of a classifier) -> moments. ``rows`` are read twice."""
         if self.classifies:
             return moments(rows.withColumn(label, F.col(label).cast("int")), features, [*by, label], crossed=False)
         return moments(rows, [*features, label], list(by), crossed=True)

@@ -30,11 +30,11 @@ def exact_quantiles(
     """Column -> its quantiles, null and NaN left out; None for a column without values.
 
     The result is one number per (column, probability), so it is returned, not left in a table.
-    ``df`` is read twice: settle it first when it is costly to compute.
+    ``df`` is read up to three times: settle it first when it is costly to compute.
 
     One aggregation over all columns gives counts, ends, and from a mergeable sketch with a bound on its rank error a
-    bracket around each wanted rank. A second pass counts what lies below the brackets and the distinct values inside,
-    which are a few of ten thousand rows, and puts those in order. Where even they are too many for one task they are
+    bracket around each wanted rank. A second pass counts what lies below the brackets; where they hold more than one value, a third
+    puts in order the distinct values inside, which are those of a few of ten thousand rows. Where even they are too many for one task they are
     narrowed by histogram first.
     """
     columns, probabilities = list(columns), [float(p) for p in probabilities]
@@ -110,16 +110,46 @@ def _entries(numbers: DataFrame, brackets: dict) -> DataFrame:
 
 
 def _ordered_inside(numbers: DataFrame, slots: dict, brackets: dict) -> dict[str, list[float]]:
-    """slot -> values at its ranks; slots whose bracket misses a rank are left out."""
-    upto = F.sum("n").over(Window.partitionBy("slot").orderBy(F.asc_nulls_first("value")))
-    wanted = F.array(*[F.struct(F.lit(s).alias("slot"), F.array(*map(F.lit, _ranks(slots[s]))).alias("ranks")) for s in brackets])
-    ranks = F.map_from_entries(wanted)[F.col("slot")]
-    placed = _entries(numbers, brackets).withColumn("upto", upto).withColumn("ranks", ranks)
+    """slot -> values at its ranks; slots whose bracket misses a rank are left out.
+
+    Rows below and up to the end of each bracket are plain counts of one aggregation, which is all that brackets of one value
+    need; only the rows inside the others are taken out and put in order.
+    """
+    names = list(brackets)
+    ends = [F.array(F.count_if(F.col(c) < F.lit(low)), F.count_if(F.col(c) <= F.lit(high))) for c, low, high in brackets.values()]
+    counts = numbers.agg(F.array(*ends).alias("ends")).first()["ends"]
+    found, open_slots = {}, {}
+    for slot, (below, upto) in zip(names, counts):
+        _, low, high = brackets[slot]
+        ranks = _ranks(slots[slot])
+        if not below <= ranks[0] <= ranks[-1] < upto:
+            continue
+        if low == high:
+            found[slot] = [low] * len(ranks)
+        else:
+            open_slots[slot] = below
+    if not open_slots:
+        return found
+
+    def by_slot(values: dict) -> Column:
+        entries = [F.struct(F.lit(s).alias("slot"), v.alias("value")) for s, v in values.items()]
+        return F.map_from_entries(F.array(*entries))[F.col("slot")]
+
+    inside = [
+        F.when(F.col(c).between(low, high), F.struct(F.lit(slot).alias("slot"), F.col(c).alias("value")))
+        for slot, (c, low, high) in brackets.items()
+        if slot in open_slots
+    ]
+    any_inside = F.explode(F.array_compact(F.array(*inside))).alias("e")
+    counted = numbers.select(any_inside).groupBy("e.slot", "e.value").agg(F.count(F.lit(1)).alias("n"))
+    upto = by_slot({s: F.lit(n).cast("bigint") for s, n in open_slots.items()}) + F.sum("n").over(Window.partitionBy("slot").orderBy("value"))
+    ranks = by_slot({s: F.array(*[F.lit(k).cast("bigint") for k in _ranks(slots[s])]) for s in open_slots})
+    placed = counted.withColumn("upto", upto).withColumn("ranks", ranks)
     held = F.filter("ranks", lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto")))
     values: dict[str, dict[int, float]] = {}
-    for r in placed.where(F.col("value").isNotNull()).select("slot", "value", held.alias("held")).where(F.size("held") > 0).collect():
+    for r in placed.select("slot", "value", held.alias("held")).where(F.size("held") > 0).collect():
         values.setdefault(r["slot"], {}).update(dict.fromkeys(r["held"], r["value"]))
-    return {s: [v[k] for k in _ranks(slots[s])] for s, v in values.items() if len(v) == len(_ranks(slots[s]))}
+    return found | {s: [v[k] for k in _ranks(slots[s])] for s, v in values.items()}
 
 
 def _narrowed(numbers: DataFrame, slots: dict, brackets: dict, in_one_task: int) -> dict[str, list[float]]:

@@ -257,3 +257,13 @@ def test_parts_do_not_depend_on_the_prefix(spark, monkeypatch, rows):
     monkeypatch.setattr(sampling, "_PREFIX_ROWS", 5)
     monkeypatch.setattr(sampling, "_LEAST_BITS", 1)
     assert sorted(map(tuple, with_folds(df, 4, label="s", by=["id"], stored=True).collect())) == wide
+
+
+def test_quantiles_of_columns_of_few_values_take_out_no_rows(spark, monkeypatch):
+    rows = spark.range(30_000).select((F.col("id") % 4).cast("double").alias("a"), F.when(F.col("id") % 3 == 0, 1.0).alias("b"))
+
+    def taken_out(_):
+        raise AssertionError("rows are taken out")
+
+    monkeypatch.setattr(quantiles.F, "explode", taken_out)
+    assert exact_quantiles(rows, ["a", "b"], [0.1, 0.4, 0.9]) == {"a": [0.0, 1.0, 3.0], "b": [1.0, 1.0, 1.0]}
