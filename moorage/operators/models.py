@@ -260,6 +260,22 @@ def feature_stages(train: DataFrame, features: Sequence[str], *, scale: bool) ->
     return [scaler_stage(fit_scaler(train, features)), assembler]
 
 
+@dataclass(frozen=True)
+class Sums:
+    """What closed-form learners of one kind need of the training rows, whatever their parameters."""
+
+    moments: dict
+    scaler: Scaler | None
+
+
+def training_sums(train: DataFrame, *, name: str, kind: str, features: Sequence[str], label: str, scale: bool = False) -> Sums:
+    """The sums that ``fit`` takes, for models of several parameters from one set of reads."""
+    entry = learner(name, kind)
+    if not isinstance(entry, ClosedForm):
+        raise TypeError(f"model {name!r} does not follow from sums")
+    return Sums(entry.sums(train, features, label), fit_scaler(train, features) if scale else None)
+
+
 def fit(
     train: DataFrame,
     *,
@@ -270,13 +286,15 @@ def fit(
     label: str,
     scale: bool = False,
     stages: list | None = None,
+    sums: Sums | None = None,
 ) -> Fitted:
+    """A learner fitted on ``train``; ``sums`` are those of the same rows, features and scaling, if they are known."""
     entry = learner(name, kind)
     if isinstance(entry, ClosedForm):
         entry.check(name, params)
-        scaler = fit_scaler(train, features) if scale else None
-        known = entry.sums(train, features, label)
-        formula = entry.solved(_scaled(known, scaler, features), params)
+        sums = sums or training_sums(train, name=name, kind=kind, features=features, label=label, scale=scale)
+        scaler = sums.scaler
+        formula = entry.solved(_scaled(sums.moments, scaler, features), params)
         names = [scaled_name(c) for c in features] if scale else list(features)
         pipeline = PipelineModel([*([scaler_stage(scaler)] if scale else []), formula.stage(names)])
         return Fitted(name, kind, recorded_params(name, params, kind), list(features), label, pipeline, formula)

@@ -550,8 +550,9 @@ def registry_round_trip(spark, sf_dir):
     registry = Registry(spark, f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}")
     info = ModelInfo(datetime(2024, 1, 1), datetime(2024, 2, 1), [*DEFAULT_FEATURES, "deployment_time"], scaling=True)
     none = spark.createDataFrame([], "feature string, importance double")
+    sums = models.training_sums(train, name="Ridge", **how)
     for alpha in (100.0, RIDGE):
-        fitted = models.fit(train, name="Ridge", params={"alpha": alpha}, **how)
+        fitted = models.fit(train, name="Ridge", params={"alpha": alpha}, sums=sums, **how)
         registry.append(fitted, info=info, metrics={"alpha": alpha}, importances=none)
     newest = newest_versions(registry.models())
     pipeline, _ = registry.load("Ridge", str(newest.first()["version"]))
