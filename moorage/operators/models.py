@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -362,6 +363,7 @@ def cross_validate(
     by: str | None = None,
     scale: bool = False,
     scale_inside_fold: bool = False,
+    stored: bool = False,
 ) -> list[FoldScore]:
     """Score every model on every fold: AUC for classifiers, r2 for regressors.
 
@@ -369,14 +371,15 @@ def cross_validate(
 
     Folds are a column, stratified by label for classifiers.  The scaler is fitted on all rows
     unless ``scale_inside_fold``, which keeps the validation rows out of it. Closed-form learners share one
-    read of sums per fold: a fold's model is that of the other folds' sums.
+    read of sums per fold: a fold's model is that of the other folds' sums. Folds are settled apart, so that a fold is read
+    without the others; ``train`` is not settled before if it is already (``stored``).
     """
     for name in models:
         learner(name, kind)
     own = [by] if by else []
-    folded = with_folds(
-        train.select(*own, *features, label), folds, label=label if kind == CLASSIFIER else None, by=own or None, to="_fold"
-    )
+    rows = train.select(*own, *features, label)
+    dealt = with_folds(rows, folds, label=label if kind == CLASSIFIER else None, by=own or None, to="_fold", stored=stored)
+    folded = settle(dealt.select(*features, label, "_fold"), partition_by=["_fold"])
     shared, sums, scalers = None, None, None
     measure = "auc" if kind == CLASSIFIER else "r2"
     scores = []
@@ -416,16 +419,17 @@ def _fold_scalers(train, folded, features, folds, scale, inside) -> list[Scaler
 
 
 def _closed_scores(folded: DataFrame, name: str, params: dict, sums: dict, scalers: list, features: Sequence[str], label: str) -> list[FoldScore]:
-    """Each fold's rows are scored by the model of the others, all in one pass."""
-    answer = F.lit(None).cast("double")
+    """Each fold's rows are scored by the model of the others; every row is read once."""
+    answered = []
     for i, scaler in enumerate(scalers):
         others = {key: m for key, m in sums.items() if key[0] != i}
         if not others:
             raise ValueError(f"fold {i} holds all rows")
         formula = CLOSED_FORMS[name].solved(_scaled(others, scaler, features), params)
         values = [scaled(c, scaler) if scaler else F.col(c) for c in features]
-        answer = F.when(F.col("_fold") == i, formula.score(values)).otherwise(answer)
-    scored = settle(folded.select("_fold", F.col(label).alias("y"), answer.alias("score")))
+        # A fold at a time: all models in one expression would not be compiled.
+        answered.append(folded.where(F.col("_fold") == i).select("_fold", F.col(label).alias("y"), formula.score(values).alias("score")))
+    scored = settle(reduce(DataFrame.unionByName, answered))
     if CLOSED_FORMS[name].classifies:
         return [FoldScore(name, i, metrics.roc_auc(scored.where(F.col("_fold") == i)).first()["auc"]) for i in range(len(scalers))]
     parts = metrics.regression_metrics(scored, predicted="score", by=["_fold"]).collect()

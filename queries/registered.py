@@ -487,7 +487,7 @@ def train_regressor(spark, sf_dir):
 def cross_validate(spark, sf_dir):
     train, _ = _training_rows(spark, sf_dir, DEFAULT_FEATURES, "status", "deployment_time")
     train = settle(train)
-    how = {"folds": FOLDS, "by": "uuid", "scale": True}
+    how = {"folds": FOLDS, "by": "uuid", "scale": True, "stored": True}
     scores = models.cross_validate(train, {"GaussianNB": {}}, kind=models.CLASSIFIER, features=DEFAULT_FEATURES, label="status", **how)
     listed = {"LinearRegression": {}, "Ridge": {"alpha": RIDGE}}
     scores += models.cross_validate(train, listed, kind=models.REGRESSOR, features=INDEPENDENT, label="deployment_time", **how)

@@ -365,3 +365,44 @@ def test_nothing_to_train_on(spark, make_history, registry):
 def test_unknown_features(spark, make_history, registry):
     with pytest.raises(ValueError, match="colour"):
         train(spark, make_history({}), TrainSpec(features=["colour"]), registry)
+
+
+def test_moments_of_groups_some_sums_at_a_time(spark, monkeypatch):
+    from moorage.operators import closed_form
+
+    values = np.random.default_rng(1).normal(size=(200, 4)) + [0.0, 1e6, -3.0, 5.0]
+    rows = [(i % 3 if i % 3 else None, *map(float, v)) for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, "g int, a double, b double, c double, d double")
+    monkeypatch.setattr(closed_form, "_SUMS", 3, raising=False)
+    found = closed_form.moments(table, ["a", "b", "c", "d"], ["g"], crossed=True)
+    assert set(found) == {(None,), (1,), (2,)}
+    for (g,), m in found.items():
+        own = values[(g or 0) :: 3]
+        assert m.n == len(own)
+        assert np.allclose(m.mean, own.mean(axis=0), rtol=1e-14)
+        assert np.allclose(m.products, np.cov(own.T, bias=True) * len(own), rtol=1e-9, atol=1e-7)
+    with pytest.raises(ValueError, match="no value"):
+        closed_form.moments(table.withColumn("a", F.when(F.col("a") > 0, F.col("a"))), ["a", "b"], [], crossed=True)
+
+
+def test_sums_of_training_rows_serve_models_of_several_parameters(spark):
+    rows = spark.range(50).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") * 1.5).alias("y"))
+    how = {"name": "Ridge", "kind": models.REGRESSOR, "features": ["x"], "label": "y", "scale": True}
+    sums = models.training_sums(rows, **how)
+    for alpha in (1.0, 10.0):
+        own, shared = models.fit(rows, params={"alpha": alpha}, **how), models.fit(rows.limit(0), params={"alpha": alpha}, sums=sums, **how)
+        assert own.formula.weights.tolist() == shared.formula.weights.tolist()
+    with pytest.raises(TypeError, match="sums"):
+        models.training_sums(rows, **how | {"name": "Lasso"})
+
+
+def test_folds_are_settled_apart_and_stored_rows_once(spark, monkeypatch):
+    from moorage.settle import settle
+
+    rows = settle(spark.range(60).select(F.col("id").cast("string").alias("uuid"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") * 1.5).alias("y")))
+    how = {"kind": models.REGRESSOR, "features": ["x"], "label": "y", "folds": 3, "by": "uuid", "scale": True}
+    plain = models.cross_validate(rows, {"Ridge": {}}, **how)
+    written = []
+    monkeypatch.setattr(models, "settle", lambda df, **way: written.append(way) or settle(df, **way))
+    assert models.cross_validate(rows, {"Ridge": {}}, stored=True, **how) == plain
+    assert written[0] == {"partition_by": ["_fold"]}
