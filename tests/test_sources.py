@@ -356,3 +356,16 @@ def test_what_documents_hold_is_told_without_a_type_of_each_label(spark, tmp_pat
     (tmp_path / "mixed.json").write_text('{"uuid": ["a"], "n_failures": {"0": 1}}')
     with pytest.raises(ValueError, match="labelled values"):
         read_history_files(spark, str(tmp_path / "mixed.json"))
+
+
+def test_names_of_accepted_messages_come_with_their_check(spark):
+    from moorage.sources.validation import with_history_reason
+
+    texts = ['{"msg_version":"1.1.0","uuid":"a"}', '{"msg_version":"1.1.0","z":1,"colour":1}', '{"uuid":"a"}', "[]"]
+    rows = with_history_reason(spark.createDataFrame([(t,) for t in texts], "value string"), names="names").collect()
+    assert [(r["names"], r["reason"]) for r in rows] == [
+        ("msg_version,uuid", None),
+        (None, "invalid keys: colour,z"),
+        (None, "message has no version"),
+        (None, "not a JSON object"),
+    ]
