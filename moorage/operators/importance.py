@@ -129,6 +129,7 @@ def shapley_values(
     background: DataFrame | None = None,
     background_rows: int = BACKGROUND_ROWS,
     sets: Coalitions | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """Shapley values of the model's answer for each distinct row of ``train``.
 
@@ -137,7 +138,8 @@ def shapley_values(
     regressor. A feature left out of a coalition takes its values from the rows of ``background`` (by default the first
     of ``train`` by hash), averaged.
 
-    Equal rows are explained once.  What is shuffled is one number per distinct row and coalition.
+    Equal rows are explained once.  What is shuffled is one number per distinct row and coalition. A line's answers need neither
+    a shuffle nor the background's rows one by one (:func:`_line_values`); with ``repeats`` its rows are not brought together, ``n`` is 1.
     """
     width = len(fitted.features)
     sets = sets or coalitions(width)
@@ -153,6 +155,9 @@ def shapley_values(
 
     seen = vectors(train)
     known = vectors(background) if background is not None else first_by_hash(seen, background_rows)
+    if isinstance(fitted.formula, Line):
+        counted = seen.withColumn("n", F.lit(1).cast("bigint")) if repeats else seen.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        return _line_values(fitted.formula, counted, known, sets)
     sample = [list(r["x"]) for r in known.collect()]
     others = F.array(*[F.array(*[F.lit(v) for v in row]) for row in sample])
     numbered = F.posexplode(_numbers(sets.members.tolist(), "bigint")).alias("place", "members")
@@ -178,6 +183,30 @@ def shapley_values(
     return rows.select("x", "n", parts.alias("phi"))
 
 
+def _line_values(line: Line, seen: DataFrame, known: DataFrame, sets: Coalitions) -> DataFrame:
+    """``shapley_values`` of a linear function for rows (x, n), against all rows of ``known``.
+
+    Its answer averaged over the background is its answer at the background's mean. With d for the weighted deviations from that mean, a
+    coalition's answer is the mean's plus the d of its members; a value, a weighted sum over all coalitions, is then the same few sums
+    over coalitions for every row, times d. So all coalitions and rows of any background cost one mean and one pass.
+    """
+    width = len(line.weights)
+    mean = known.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(width)]).alias("mean")).first()["mean"]
+    if None in mean:
+        mean, seen = [0.0] * width, seen.where(F.lit(False))
+    inside = (sets.members[:, None] >> np.arange(width) & 1).astype(float)
+    shares = sets.weights @ inside
+    middle = sets.weights.sum(axis=2) * (line.intercept + float(np.dot(line.weights, mean)))
+    apart = [(F.col("x")[i] - F.lit(m)) * F.lit(w) for i, (m, w) in enumerate(zip(mean, line.weights.tolist()))]
+    away = seen.select("x", "n", F.array(*apart).alias("d"))
+
+    def value(e: int, i: int) -> Column:
+        return sum((F.col("d")[j] * F.lit(float(shares[e, i, j])) for j in range(width)), F.lit(float(middle[e, i])))
+
+    phi = F.array(*[F.array(*[value(e, i) for i in range(width)]) for e in range(len(sets.weights))])
+    return away.select("x", "n", phi.alias("phi"))
+
+
 def _numbers(values: list, kind: str) -> Column:
     """A constant array that is one value of the plan, whatever its length."""
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
@@ -189,7 +218,7 @@ def shapley_importance(fitted: Fitted, train: DataFrame, **how) -> DataFrame:
     The standard error is that of sampling coalitions, from the spread of the parts of the sample; null where all
     coalitions were visited.
     """
-    values = shapley_values(fitted, train, **how)
+    values = shapley_values(fitted, train, repeats=True, **how)
     sets = how.get("sets") or coalitions(len(fitted.features))
     estimates = len(sets.weights)
 

@@ -10,8 +10,6 @@ from queries.oracles import HASH, with_ctes
 #: Features without the column that follows from the other differences, for a fit without penalty.
 INDEPENDENT = [c for c in DEFAULT_FEATURES if c != "instances_diff"]
 RIDGE, FOLDS = 1.0, 5
-#: Rows that importances explain, and rows they are compared with.
-EXPLAINED, BACKGROUND = 500, 50
 
 _PARTS = f"""
 , parts AS (
@@ -176,14 +174,12 @@ SELECT name, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS
 def _importances() -> str:
     means = ", ".join(f"avg(x{i}) AS o{i}" for i in range(_WIDTH))
     rows = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, avg(abs(w{i} * (x{i} - o{i}))) AS value FROM seen, line, (SELECT {means} FROM scaled WHERE place <= {BACKGROUND})"
+        f"SELECT '{c}' AS feature, avg(abs(w{i} * (x{i} - o{i}))) AS value FROM scaled, line, (SELECT {means} FROM scaled)"
         for i, c in enumerate(DEFAULT_FEATURES)
     )
     return with_ctes(
         ["rolled"],
-        f"""{_PARTS}, placed AS (SELECT *, row_number() OVER (ORDER BY k) AS place FROM train)
-{_scaled("placed", "scaled", DEFAULT_FEATURES, "place, deployment_time")}{_line("line", "scaled", _WIDTH, RIDGE)}
-, seen AS (SELECT * FROM scaled WHERE place <= {EXPLAINED})
+        f"""{_PARTS}{_scaled("train", "scaled", DEFAULT_FEATURES, "deployment_time")}{_line("line", "scaled", _WIDTH, RIDGE)}
 SELECT feature, {_significant("value")} AS importance, 0.0E0 AS standard_error FROM ({rows})""",
     )
 

@@ -15,7 +15,7 @@ from moorage.operators import metrics, models
 from moorage.operators.answered import skip_answered
 from moorage.operators.cleaning import clean, derive
 from moorage.operators.enrich import enrich
-from moorage.operators.importance import first_by_hash, importance, shapley_importance
+from moorage.operators.importance import coalitions, importance, shapley_importance
 from moorage.operators.latest import latest_state
 from moorage.operators.outliers import iqr_fences, within_fences
 from moorage.operators.quantiles import exact_quantiles
@@ -36,7 +36,7 @@ from moorage.sources.topics import answer_messages, dump, history_messages, pars
 from moorage.sources.validation import with_history_reason, with_request_reason
 from moorage.streaming.ingest import append_history, current_state, ingest_history
 from moorage.streaming.ranking import rank_stream
-from queries.model_oracles import BACKGROUND, EXPLAINED, FOLDS, INDEPENDENT, RIDGE
+from queries.model_oracles import FOLDS, INDEPENDENT, RIDGE
 from queries.oracles import COMPLEX, FENCED, LONE_ENTRY, SCALED, THRESHOLD
 from queries.views import view
 
@@ -495,12 +495,12 @@ def cross_validate(spark, sf_dir):
 
 
 def shapley_importance_query(spark, sf_dir):
-    """All default features: a sample of coalitions, exact for a linear model."""
+    """All default features and all coalitions of them, all training rows explained, against all training rows."""
     train, _ = _training_rows(spark, sf_dir, DEFAULT_FEATURES, "deployment_time")
     fitted = models.fit(train, name="Ridge", params={"alpha": RIDGE}, kind=models.REGRESSOR, features=DEFAULT_FEATURES, label="deployment_time", scale=True)
-    explained, known = (first_by_hash(train, n, by=["uuid"]) for n in (EXPLAINED, BACKGROUND))
-    rows = shapley_importance(fitted, explained, background=known).collect()
-    digits = [(r["feature"], float(f"{r['importance']:.6g}"), round(r["standard_error"], 6)) for r in rows]
+    rows = shapley_importance(fitted, train, background=train, sets=coalitions(len(DEFAULT_FEATURES), exact=True)).collect()
+    # The operator gives no error of sampling where nothing was sampled: it is nought.
+    digits = [(r["feature"], float(f"{r['importance']:.6g}"), round(r["standard_error"] or 0.0, 6)) for r in rows]
     return spark.createDataFrame(digits, "feature string, importance double, standard_error double")
 
 

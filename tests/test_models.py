@@ -139,6 +139,32 @@ def test_shapley_values_of_a_line_have_a_closed_form(spark, rows):
         assert all(part == pytest.approx(expected, abs=1e-5) for part in sampled[tuple(r["x"])])
 
 
+def test_a_line_is_explained_against_all_rows_without_fetching_them(rows, monkeypatch):
+    line = fit(rows, "LinearRegression", models.REGRESSOR, "t")
+    means = rows.agg(*[F.avg(c).alias(c) for c in FEATURES]).first()
+    taken, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: (found := collect(df), taken.append(len(found)))[0])
+    for repeats, count in ((True, 240), (False, rows.select(*FEATURES).distinct().count())):
+        values = shapley_values(line, rows, background=rows, sets=coalitions(3, exact=True), repeats=repeats).toLocalIterator()
+        seen = [(r["x"], r["n"], r["phi"]) for r in values]
+        assert max(taken) == 1  # a mean, not the background's rows
+        assert len(seen) == count and sum(n for _, n, _ in seen) == 240
+        for x, _, phi in seen:
+            assert phi[0] == pytest.approx([w * (v - means[c]) for w, v, c in zip((3.0, -2.0, 0.0), x, FEATURES)], abs=1e-5)
+
+
+def test_the_registered_importances_leave_no_row_out(spark, monkeypatch):
+    from queries import registered
+
+    asked = []
+    monkeypatch.setattr(registered, "shapley_importance", lambda fitted, explained, **how: asked.append((explained, how)) or shapley_importance(fitted, explained, **how))
+    registered.shapley_importance_query(spark, "/root/testdata/sf0.001").collect()
+    (explained, how), = asked
+    train, _ = registered._training_rows(spark, "/root/testdata/sf0.001", registered.DEFAULT_FEATURES, "deployment_time")
+    assert explained.count() == how["background"].count() == train.count() > 4000
+    assert len(how["sets"].members) == 2 ** len(registered.DEFAULT_FEATURES)
+
+
 def test_sampled_coalitions_come_near_all(rows):
     bayes = fit(rows, "GaussianNB", models.CLASSIFIER, "y")
     exact = {r["feature"]: r for r in shapley_importance(bayes, rows, background_rows=10).collect()}
