@@ -60,17 +60,16 @@ def merge_repeats(candidates: DataFrame, *, message: str = MESSAGE) -> DataFrame
     """One row per (message, provider): place and request of the first mention, values of the last.
 
     The rows are first brought together by message: the windows here and the later ranking share
-    that one shuffle.
+    that one shuffle, and Spark leaves it out where the rows came by message. One order tells the first mention and the last.
     """
     mention = Window.partitionBy(message, "provider").orderBy("pos")
-    back = Window.partitionBy(message, "provider").orderBy(F.col("pos").desc())
-    first = {"_first_pos": F.first("pos").over(mention)}
+    whole = mention.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = {"_first_pos": F.first("pos").over(mention), "_last": F.row_number().over(mention) == F.count(F.lit(1)).over(whole)}
     if "request" in candidates.columns:
         first["_first_request"] = F.first("request").over(mention)
     merged = (
         candidates.repartition(message)
         .withColumns(first)
-        .withColumn("_last", F.row_number().over(back) == 1)
         .where("_last")
         .withColumn("pos", F.col("_first_pos"))
     )

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from moorage.operators.answered import after_cut, answer_counts, last_cancelled
+from moorage.operators.answered import answer_counts, last_cancelled
 from moorage.operators.requests import MESSAGE
 from moorage.operators.scoring import history_scores
 from moorage.plans.inference import RankJob, Scorer, rank_messages
 from moorage.schema import AS_SENT
-from moorage.settle import settle, settled_for_now
+from moorage.settle import settle, settled_for_now, shuffles_removed
 from moorage.sources.messages import AnswerSink, write_answers
 from moorage.sources.topics import parse_requests
 from moorage.sources.validation import accepted, refused, with_request_reason
@@ -79,8 +79,16 @@ class AnswerLedger:
 
 
 def cancel_answered(requests: DataFrame, remaining: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(requests still to answer, cancellations used per uuid)."""
-    still_open = after_cut(requests, last_cancelled(requests, remaining, order=_ORDER), order=_ORDER)
+    """(requests still to answer, cancellations used per uuid).
+
+    The cancelled are told by their places alone. Texts are then joined with these by message, in whose order ranking
+    wants them, so they move once at most, however many requests are cancelled.
+    """
+    if MESSAGE not in requests.columns:
+        requests = requests.withColumn(MESSAGE, F.struct(*_ORDER))
+    cut = settle(last_cancelled(requests, remaining, order=_ORDER))
+    gone = requests.select("uuid", MESSAGE).join(cut, "uuid").where(F.col(MESSAGE) <= F.col("cut"))
+    still_open = requests.join(settle(gone.select(MESSAGE)), MESSAGE, "left_anti")
     seen = requests.groupBy("uuid").agg(F.count(F.lit(1)).alias("n")).join(remaining, "uuid")
     return still_open, seen.select("uuid", F.least("answered", "n").alias("used"))
 
@@ -110,23 +118,23 @@ def rank_stream(
     book.freeze(answers)
 
     def rank(batch: DataFrame, batch_id: int) -> None:
-        with settled_for_now(batch.sparkSession):
+        with settled_for_now(batch.sparkSession), shuffles_removed(batch.sparkSession):
             rank_batch(batch, batch_id)
 
     def rank_batch(batch: DataFrame, batch_id: int) -> None:
         uuid = F.get_json_object(F.col("value").cast("string"), "$.uuid")
-        arrived = settle(with_request_reason(batch, required=required).withColumn("uuid", uuid))
+        arrived = settle(with_request_reason(batch, required=required).withColumn("uuid", uuid)).withColumn(MESSAGE, F.struct(*_ORDER))
         # An answer is used up even by a request that could not be answered again.
         still_open, used = cancel_answered(arrived, book.remaining(batch_id))
         book.note(batch_id, used)
-        # Read twice from the settled batch, as a second copy of all texts would cost more than a join with the cuts.
+        # Read twice from the settled batch, as a second copy of all texts would cost more than a join with the cancelled.
         still_open = still_open.drop("uuid")
-        requests = parse_requests(accepted(still_open), version=job.version)
-        answered = rank_messages(
-            requests.withColumn(MESSAGE, F.struct(*_ORDER)), state(batch.sparkSession), job=job, scorer=scorer, echo=[AS_SENT]
-        )
+        # Brought together by message as texts: candidates, each with its text and typed fields, then stay where they are.
+        requests = parse_requests(accepted(still_open).repartition(MESSAGE), version=job.version)
+        answered = rank_messages(requests, state(batch.sparkSession), job=job, scorer=scorer, echo=[AS_SENT])
         write_answers(answered, sink, batch=batch_id)
-        refused(still_open).write.mode("overwrite").parquet(f"{dead_letters}/batch_id={batch_id}")
+        put_aside = refused(still_open).drop(MESSAGE).write.mode("overwrite").option("compression", "zstd")
+        put_aside.parquet(f"{dead_letters}/batch_id={batch_id}")
 
     return (
         messages.writeStream.foreachBatch(rank)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moorage.plans.inference import rank_messages
+from moorage.operators.requests import route
 from moorage.schema import CANDIDATE_FIELDS, HISTORY_STATS, TOPIC_SCHEMA, history_schema
 from moorage.sources.history import HistorySource, read_history, read_history_files
 from moorage.sources.messages import (
@@ -369,3 +370,39 @@ def test_names_of_accepted_messages_come_with_their_check(spark):
         (None, "message has no version"),
         (None, "not a JSON object"),
     ]
+
+
+def test_candidates_are_parsed_once_however_often_they_are_looked_at(spark):
+    sent = spark.createDataFrame([(1, '{"uuid":"u","template_name":"t","msg_version":"1.1.0","providers":[{"provider_name":"a","gpus_requ":2}]}')], "msg_id int, value string")
+    routed = route(parse_requests(sent)).where("route <> 'none'")
+    plan = routed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2  # the request, and each candidate's fields
+    (r,) = routed.collect()
+    assert (r["route"], r["providers"][0]["gpus_requ"], r["providers"][0]["sent"]) == ("single", 2.0, '{"provider_name":"a","gpus_requ":2}')
+
+
+def test_answers_look_at_the_names_of_an_entry_once(spark):
+    entry = "struct<sent string, classification double, regression double, resource_exactness double>"
+    rows = [("u", [('{"a":1}', 0.5, None, 1.0), ('{"regression":"own"}', 0.5, 0.25, 1.0), ("{}", 0.5, 0.25, None), (' {"a":{}}', None, None, None)])]
+    answers = answer_messages(spark.createDataFrame(rows, f"uuid string, ranked_providers array<{entry}>"))
+    plan = answers._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("jsonObjectKeys") + plan.count("json_object_keys") == 1
+    wanted = ['{"classification":0.5,"resource_exactness":1.0,"a":1}', '{"classification":0.5,"resource_exactness":1.0,"regression":"own"}', '{"classification":0.5,"regression":0.25}', '{"a":{}}']
+    assert answers.first()["value"] == f'{{"ranked_providers":[{",".join(wanted)}],"uuid":"u"}}'
+
+
+@pytest.mark.parametrize(
+    "providers, reason",
+    [
+        ('[{"provider_name":"a"},{"gpus_requ":{"y":1,"y":2}}]', None),
+        ('[{"provider_name":"a"},{"q":{"y":1,"y":2}}]', "invalid keys: q"),
+        ('[{"provider_name":"a"},5]', "no providers"),
+        ('[{"provider_name":"a"},"{}"]', "no providers"),
+        ('[{"gpus_requ":1,"gpus_requ":2},{"gpus_requ":1e400}]', None),
+    ],
+)
+def test_values_do_not_count_where_names_are_checked(spark, providers, reason):
+    text = f'{{"uuid":"u","template_name":"t","msg_version":"1.1.0","providers":{providers}}}'
+    checked = with_request_reason(spark.createDataFrame([(text,)], "value string"))
+    assert checked.first()["reason"] == reason
+    assert "map<string,variant>" in checked._jdf.queryExecution().analyzed().toString().lower() or "VariantType" in checked._jdf.queryExecution().analyzed().toString()

@@ -43,3 +43,27 @@ def test_queries_begin_with_the_size_of_their_tables(session):
     session.conf.set("spark.sql.shuffle.partitions", "2")
     view(session, "/root/testdata/sf0.1", "requests")
     assert int(session.conf.get(FIRST)) > 2
+
+
+def test_a_large_file_of_many_row_groups_is_not_dealt_out(session, tmp_path, monkeypatch):
+    from moorage.sources.spread import read_by_all
+
+    rows = session.range(200_000).selectExpr("id", "uuid() AS text").coalesce(1)
+    rows.write.option("parquet.block.size", 2**18).parquet(str(tmp_path / "many"))
+    rows.write.parquet(str(tmp_path / "one"))
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(2**18))
+    many, one = (session.read.parquet(str(tmp_path / name)) for name in ("many", "one"))
+    assert not read_by_all(many)  # not large
+    monkeypatch.setattr(spread, "_LARGE_FILE", 2**20)
+    assert read_by_all(many) and not read_by_all(one)
+
+
+def test_requests_move_with_the_columns_of_the_tables(session):
+    """The fields made of them come behind the shuffle by order; the rows are those of the SQL."""
+    from queries.views import view, view_sql
+
+    found = view(session, "/root/testdata/sf0.001", "requests")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS ram_gb_usage" in plan.split("Window", 1)[0] and "AS ram_gb_usage" not in plan.split("Window", 1)[1]
+    wanted = session.sql(view_sql("requests", "STRING"))
+    assert found.schema == wanted.schema and found.exceptAll(wanted).isEmpty() and wanted.exceptAll(found).isEmpty()

@@ -12,7 +12,7 @@ from moorage.plans.inference import history_state
 from moorage.schema import TOPIC_SCHEMA
 from moorage.settle import settle, shared_folder
 from moorage.sources.history import read_history_files
-from moorage.sources.messages import AnswerSink
+from moorage.sources.messages import AnswerSink, write_answers
 from moorage.streaming import ranking
 from moorage.streaming.ingest import append_history, current_state, ingest_history
 from moorage.streaming.ranking import AnswerLedger, rank_stream
@@ -291,3 +291,29 @@ def test_a_batch_keeps_its_texts_once_and_compressed(spark, folder, make_history
     assert [p["provider_name"] for p in answer["ranked_providers"]] == ["good", "bad"]
     assert answer["ranked_providers"][0].keys() >= {"gpus_requ", "classification"}
     assert spark.read.parquet(f"{folder}/refused").count() == 1
+
+
+def test_a_batch_brings_texts_together_and_leaves_no_shuffle_files(spark, folder, make_history, monkeypatch):
+    """What moves by message is its text, not its candidates, and goes with the batch."""
+    state = history_state(make_history({"provider_name": "good", "region_name": "r"}))
+    plans, modes = [], []
+
+    def written(answers, *args, **how):
+        modes.append(answers.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"))
+        plans.append(answers._jdf.queryExecution().executedPlan().toString())
+        return write_answers(answers, *args, **how)
+
+    monkeypatch.setattr(ranking, "write_answers", written)
+    send(spark, folder, 0, request("a", candidate("good"), candidate("bad")), request("b", candidate("x")))
+    rank_stream(
+        stream(spark, folder),
+        answers=spark.createDataFrame([("b",)], "uuid string"),
+        state=lambda _: state,
+        sink=AnswerSink(path=f"{folder}/answers"),
+        dead_letters=f"{folder}/refused",
+        ledger=f"{folder}/ledger",
+        checkpoint=f"{folder}/checkpoint",
+    ).awaitTermination()
+    assert modes == ["true"]
+    shuffles = [line for line in plans[0].split("\n") if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and plans[0].index("Exchange hashpartitioning") > plans[0].rindex("Generate ")
