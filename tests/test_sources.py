@@ -1,4 +1,7 @@
+import gzip
 import json
+import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +9,7 @@ from pyspark.sql import functions as F
 from moorage.plans.inference import rank_messages
 from moorage.operators.requests import route
 from moorage.schema import CANDIDATE_FIELDS, HISTORY_STATS, TOPIC_SCHEMA, history_schema
+from moorage.settle import settled_for_now, shared_folder
 from moorage.sources.history import HistorySource, read_history, read_history_files
 from moorage.sources.messages import (
     AnswerSink,
@@ -406,3 +410,30 @@ def test_values_do_not_count_where_names_are_checked(spark, providers, reason):
     checked = with_request_reason(spark.createDataFrame([(text,)], "value string"))
     assert checked.first()["reason"] == reason
     assert "map<string,variant>" in checked._jdf.queryExecution().analyzed().toString().lower() or "VariantType" in checked._jdf.queryExecution().analyzed().toString()
+
+
+def test_rows_of_many_documents_are_not_dealt_out_again(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    for name, files in (("one", 1), ("many", cores)):
+        folder = tmp_path / f"{name}.json"
+        folder.mkdir()
+        for k in range(files):
+            with gzip.open(folder / f"{k}.json.gz", "wt") as f:
+                json.dump([{"uuid": f"{k}-{i}", "n_failures": i} for i in range(3)], f, indent=1)
+        found = read_history_files(spark, str(folder))
+        assert ("RoundRobin" in found._jdf.queryExecution().executedPlan().toString()) == (files < cores)
+        assert sorted(r["uuid"] for r in found.collect()) == sorted(f"{k}-{i}" for k in range(files) for i in range(3))
+
+
+def test_history_files_are_compressed_and_leave_nothing_else(spark, make_history):
+    from queries.registered import _write_history_files
+
+    folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    before = {f for f in os.listdir(shared_folder(spark).removeprefix("file:")) if f.startswith("settled-")}
+    with settled_for_now(spark):
+        _write_history_files(make_history({}, {"uuid": "u0"}, {"template_name": 'a "b"'}), folder)
+    assert {f for f in os.listdir(shared_folder(spark).removeprefix("file:")) if f.startswith("settled-")} <= before
+    for name in ("rows.csv", "rows.json", "array.json", "labels.json"):
+        files = [f for f in os.listdir(f"{folder.removeprefix('file:')}/{name}") if f.startswith("part-")]
+        assert files and all(f.endswith(".gz") for f in files)
+        assert read_history_files(spark, f"{folder}/{name}").where("status_reason IS NOT NULL").count() == 3
